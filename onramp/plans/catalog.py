@@ -149,3 +149,578 @@ FROM tiered""")
 def q_score_users(spark, sf_dir):
     fx = fixture(spark, sf_dir)
     return SP.score_users(fx.features, LK.app_readiness(fx.inventory), labels_of(fx))
+
+
+# ------------------------------------------------------------------ shared SQL pieces
+
+def _feat_sql(*more: str) -> str:
+    return O.with_(*O.base_ctes(), *O.feat_ctes(), *more)
+
+
+def _users_sql(*more: str) -> str:
+    return O.with_(*O.score_users_ctes(), *more)
+
+
+def _requests_sql(*more: str, ttl_s: float = S.DECISION_TTL_SECONDS) -> str:
+    return O.with_(*O.score_users_ctes(), *O.requests_scored_ctes(ttl_s), *more, recursive=True)
+
+
+KEYF = "app_id, airbridge_uuid"
+
+
+# ------------------------------------------------------------------ P1, P2, S1 on text input
+
+@register("coerce_features", _feat_sql(O.feattext_cte()) + f"""
+SELECT {KEYF}, row_no, {', '.join(f"round({O.coerce(f'TRY_CAST({c} AS DOUBLE)')}, 6) AS {c}" for c in S.ALL_FEATURES)}
+FROM feattext""")
+def q_coerce(spark, sf_dir):
+    t = fixture(spark, sf_dir).features_text
+    c = LK.coerce_features(t)
+    return c.select("app_id", "airbridge_uuid", "row_no", *[r6(x) for x in S.ALL_FEATURES])
+
+
+@register("null_profile", _feat_sql(O.feattext_cte()) + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count_if(TRY_CAST({c} AS DOUBLE) IS NULL OR isnan(TRY_CAST({c} AS DOUBLE))) "
+    f"AS null_count FROM feattext" for c in S.ALL_FEATURES) + ") z WHERE null_count > 0")
+def q_null_profile(spark, sf_dir):
+    return LK.null_profile(fixture(spark, sf_dir).features_text)
+
+
+@register("scan_features", _feat_sql(O.feattext_cte()) + f"""
+SELECT {KEYF}, {', '.join(f"round({O.coerce(f'TRY_CAST({c} AS DOUBLE)')}, 6) AS {c}" for c in S.ALL_FEATURES)}
+FROM feattext""")
+def q_scan_features(spark, sf_dir):
+    """The text feature table written as CSV to the shared checkpoint folder, read back."""
+    import hashlib
+    from ..session import ensure_checkpoint_dir
+    from ..sources.feature_table import read_feature_table
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/feature_csv_{hashlib.md5(sf_dir.encode()).hexdigest()[:10]}"
+    t = fixture(spark, sf_dir).features_text
+    # columns written in a different order than the contract: the reader binds by name
+    t.select(*reversed(t.columns)).write.mode("overwrite").option("header", "true").csv(path)
+    f = read_feature_table(spark, path)
+    return f.select("app_id", "airbridge_uuid", *[r6(x) for x in S.ALL_FEATURES])
+
+
+# ------------------------------------------------------------------ W1, A1, A2, P5, L1 on the table with duplicates
+
+@register("latest_per_key", _feat_sql(O.featdup_cte(), O.latest_cte()) + f"""
+SELECT {KEYF}, row_no, round(latency, 6) AS latency, round(trackinglink_count, 6) AS trackinglink_count FROM fl""")
+def q_latest(spark, sf_dir):
+    f = LK.latest_per_key(fixture(spark, sf_dir).features_with_duplicates)
+    return f.select("app_id", "airbridge_uuid", "row_no", r6("latency"), r6("trackinglink_count"))
+
+
+@register("user_count", _feat_sql(O.featdup_cte()) + "SELECT count(*) AS user_count FROM featdup")
+def q_user_count(spark, sf_dir):
+    return LK.user_count(fixture(spark, sf_dir).features_with_duplicates)
+
+
+@register("users_per_app", _feat_sql(O.featdup_cte()) + """
+SELECT app_id, count(*) AS count, count(*) AS total FROM featdup GROUP BY app_id""")
+def q_users_per_app(spark, sf_dir):
+    return LK.users_per_app(fixture(spark, sf_dir).features_with_duplicates)
+
+
+@register("users_of_app", _feat_sql(O.featdup_cte()) + f"""
+SELECT {KEYF}, row_no, round(latency, 6) AS latency FROM featdup WHERE app_id = 'app_0'""")
+def q_users_of_app(spark, sf_dir):
+    f = LK.users_of_app(fixture(spark, sf_dir).features_with_duplicates, "app_0")
+    return f.select("app_id", "airbridge_uuid", "row_no", r6("latency"))
+
+
+@register("first_users", _feat_sql(O.featdup_cte()) + f"""
+SELECT * FROM (SELECT {KEYF}, row_no,
+  row_number() OVER (PARTITION BY app_id ORDER BY row_no, airbridge_uuid) AS rank FROM featdup) z WHERE rank <= 20""")
+def q_first_users(spark, sf_dir):
+    f = LK.first_users(fixture(spark, sf_dir).features_with_duplicates, 20)
+    return f.select("app_id", "airbridge_uuid", "row_no", F.col("rank").cast("bigint").alias("rank"))
+
+
+# ------------------------------------------------------------------ J1, J2, J3, S6
+
+@register("lookup_features", _feat_sql(O.req_cte(), O.featdup_cte(), O.latest_cte()) + f"""
+SELECT r.request_id, r.app_id, r.airbridge_uuid, {sql_ts('r.request_ts', 'request_ts')}, fl.row_no,
+       round(fl.latency, 6) AS latency
+FROM req r JOIN fl ON r.app_id = fl.app_id AND r.airbridge_uuid = fl.airbridge_uuid""")
+def q_lookup(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    j = LK.lookup_features(fx.requests, fx.features_with_duplicates)
+    return j.select("request_id", "app_id", "airbridge_uuid", ts_text("request_ts"), "row_no", r6("latency"))
+
+
+@register("unknown_users", _feat_sql(O.req_cte(), O.featdup_cte()) + """
+SELECT request_id, app_id, airbridge_uuid FROM req r
+WHERE NOT EXISTS (SELECT 1 FROM featdup f WHERE f.app_id = r.app_id AND f.airbridge_uuid = r.airbridge_uuid)""")
+def q_unknown(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return LK.unknown_users(fx.requests, fx.features_with_duplicates).select("request_id", "app_id", "airbridge_uuid")
+
+
+@register("unscorable_requests", _feat_sql(O.req_cte(), *O.inventory_ctes(), O.ready_cte(), O.featdup_cte()) + """
+SELECT request_id, app_id, airbridge_uuid, reason FROM (
+  SELECT r.request_id, r.app_id, r.airbridge_uuid,
+         CASE WHEN NOT EXISTS (SELECT 1 FROM ready x WHERE x.app_id = r.app_id AND x.ready) THEN 'app_not_found'
+              WHEN NOT EXISTS (SELECT 1 FROM featdup f WHERE f.app_id = r.app_id AND f.airbridge_uuid = r.airbridge_uuid)
+              THEN 'user_not_found' END AS reason
+  FROM req r) z WHERE reason IS NOT NULL""")
+def q_unscorable(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    u = LK.unscorable_requests(fx.requests, LK.app_readiness(fx.inventory), fx.features_with_duplicates)
+    return u.select("request_id", "app_id", "airbridge_uuid", "reason")
+
+
+@register("artifact_inventory", O.with_(*O.base_ctes(), O.req_cte(), *O.inventory_ctes()) + """
+SELECT app_id, file, round(length / 1024.0, 1) AS size_kb FROM inv""")
+def q_inventory(spark, sf_dir):
+    from ..sources.config import inventory_listing
+    return inventory_listing(fixture(spark, sf_dir).inventory)
+
+
+# ------------------------------------------------------------------ J4, M1, M2, W2, M3, M4 on every user
+
+def _trigger_cols_sql(prefix: str = "") -> str:
+    return ", ".join(f"{O.trigger_sql(t, prefix=prefix)} AS score_{t}" for t in S.TREATMENT_TRIGGERS)
+
+
+@register("user_trigger_grid", _feat_sql() + f"""
+SELECT f.app_id, f.airbridge_uuid, t.ordinal, t.trigger,
+       {', '.join(f"CAST(t.trigger = '{x}' AS INTEGER) AS is_{x}" for x in S.TREATMENT_TRIGGERS)}
+FROM feat f CROSS JOIN (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(S.TREATMENT_TRIGGERS))}) t(ordinal, trigger)""")
+def q_grid(spark, sf_dir):
+    from ..operators.policy import users_x_triggers
+    g = users_x_triggers(fixture(spark, sf_dir).features.select("app_id", "airbridge_uuid"))
+    return g.select("app_id", "airbridge_uuid", "ordinal", "trigger", *[f"is_{t}" for t in S.TREATMENT_TRIGGERS])
+
+
+@register("score_d3", _feat_sql() + f"""
+SELECT {KEYF},
+  round({O.logistic_sql(O.linear_sql(P.D3_PURCHASE.weights, P.D3_PURCHASE.intercept))}, 4) AS d3_purchase_prob,
+  round({O.logistic_sql(O.linear_sql(P.D3_CHURN.weights, P.D3_CHURN.intercept))}, 4) AS d3_churn_prob
+FROM feat""")
+def q_score_d3(spark, sf_dir):
+    from ..operators.scoring import score_binary
+    f = score_binary(fixture(spark, sf_dir).features, P.D3_PURCHASE, P.D3_CHURN)
+    return f.select("app_id", "airbridge_uuid", "d3_purchase_prob", "d3_churn_prob")
+
+
+@register("trigger_scores", _feat_sql() + f"SELECT {KEYF}, {_trigger_cols_sql()} FROM feat")
+def q_trigger_scores(spark, sf_dir):
+    from ..operators.scoring import score_triggers
+    f = score_triggers(fixture(spark, sf_dir).features, P.TRIGGER)
+    return f.select("app_id", "airbridge_uuid", *[f"score_{t}" for t in S.TREATMENT_TRIGGERS])
+
+
+_ARGMAX_SQL = "CASE " + " ".join(
+    f"WHEN score_{t} = greatest({', '.join(f'score_{x}' for x in S.TREATMENT_TRIGGERS)}) THEN '{t}'"
+    for t in S.TREATMENT_TRIGGERS) + " END"
+
+
+@register("best_trigger", _feat_sql() + f"""
+SELECT {KEYF}, {_ARGMAX_SQL} AS best_trigger FROM (SELECT {KEYF}, {_trigger_cols_sql()} FROM feat) z""")
+def q_best_trigger(spark, sf_dir):
+    from ..operators.policy import best_trigger_col
+    from ..operators.scoring import score_triggers
+    f = score_triggers(fixture(spark, sf_dir).features, P.TRIGGER)
+    return f.select("app_id", "airbridge_uuid", best_trigger_col().alias("best_trigger"))
+
+
+_POOL_SQL = "[" + ", ".join(f"'{t}'" for t in S.TREATMENT_TRIGGERS) + "]"
+
+
+@register("assign_trigger", _feat_sql() + f"""
+SELECT {KEYF}, is_random, CASE WHEN is_random THEN pick ELSE {_ARGMAX_SQL} END AS best_trigger FROM (
+  SELECT {KEYF}, {_trigger_cols_sql()},
+         {O.draw_sql(P.POLICY_SEED, 'explore', ['app_id', 'airbridge_uuid'])} < {O.d(S.EXPLORATION_SHARE)} AS is_random,
+         {_POOL_SQL}[CAST(floor({O.draw_sql(P.POLICY_SEED, 'choice', ['app_id', 'airbridge_uuid'])} * 4) + 1 AS INTEGER)] AS pick
+  FROM feat) z""")
+def q_assign_trigger(spark, sf_dir):
+    from ..operators.policy import assign_trigger
+    from ..operators.scoring import score_triggers
+    f = score_triggers(fixture(spark, sf_dir).features, P.TRIGGER)
+    a = assign_trigger(f, has_model=F.lit(True), seed=P.POLICY_SEED)
+    return a.select("app_id", "airbridge_uuid", "is_random", "best_trigger")
+
+
+@register("hurdle_ltv", _feat_sql() + f"""
+SELECT {KEYF}, round({O.logistic_sql(O.linear_sql(P.PLTV_PURCHASE.weights, P.PLTV_PURCHASE.intercept))}
+  * (exp(greatest({O.linear_sql(P.PLTV_AMOUNT.weights, P.PLTV_AMOUNT.intercept)}, {O.d(0)})) - {O.d(1)}), 4) AS pltv_score
+FROM feat""")
+def q_hurdle(spark, sf_dir):
+    from ..operators.scoring import hurdle_ltv
+    f = hurdle_ltv(fixture(spark, sf_dir).features, P.PLTV_PURCHASE, P.PLTV_AMOUNT)
+    return f.select("app_id", "airbridge_uuid", F.round("pltv_score", 4).alias("pltv_score"))
+
+
+# ------------------------------------------------------------------ M5, M6, M11, S3 and batch read-outs
+
+def _scored_users(fx: Fixture) -> DataFrame:
+    return SP.score_rows(fx.features.select("app_id", "airbridge_uuid", *S.ALL_FEATURES),
+                         LK.app_readiness(fx.inventory))
+
+
+def _tier_cfg(fx: Fixture) -> DataFrame:
+    return SP.tier_config_from(_scored_users(fx), labels_of(fx))
+
+
+@register("build_tier_config", _users_sql() + """
+SELECT cfg.app_id, round(cfg.tiers[1].threshold, 4) AS high_threshold, round(cfg.tiers[2].threshold, 4) AS medium_threshold,
+       round(cfg.tiers[3].threshold, 4) AS low_threshold, CAST(len(cfg.q) AS INTEGER) AS n_quantiles,
+       round(cfg.q[1], 4) AS q_first, round(cfg.q[500], 4) AS q_500, round(cfg.q[len(cfg.q)], 4) AS q_last,
+       round((SELECT m FROM cfgavg a WHERE a.app_id = cfg.app_id AND a.tier = 'high'), 4) AS avg_high,
+       round((SELECT m FROM cfgavg a WHERE a.app_id = cfg.app_id AND a.tier = 'medium'), 4) AS avg_medium,
+       round((SELECT m FROM cfgavg a WHERE a.app_id = cfg.app_id AND a.tier = 'low'), 4) AS avg_low
+FROM cfg""")
+def q_build_cfg(spark, sf_dir):
+    c = _tier_cfg(fixture(spark, sf_dir))
+    q = F.col("score_percentiles")
+    return c.select(
+        "app_id",
+        F.round(F.col("tiers")[0]["threshold"], 4).alias("high_threshold"),
+        F.round(F.col("tiers")[1]["threshold"], 4).alias("medium_threshold"),
+        F.round(F.col("tiers")[2]["threshold"], 4).alias("low_threshold"),
+        F.size(q).alias("n_quantiles"),
+        F.round(F.element_at(q, 1), 4).alias("q_first"),
+        F.round(F.element_at(q, 500), 4).alias("q_500"),
+        F.round(F.element_at(q, -1), 4).alias("q_last"),
+        *[F.round(F.try_element_at("tier_avg_ltv", F.lit(t)), 4).alias(f"avg_{t}") for t in S.TIER_NAMES])
+
+
+@register("tier_config_long", _users_sql() + """
+SELECT cfg.app_id, CAST(p.pos - 1 AS INTEGER) AS pos, cfg.tiers[p.pos].name AS tier,
+       round(cfg.tiers[p.pos].threshold, 4) AS threshold,
+       round(coalesce((SELECT m FROM cfgavg a WHERE a.app_id = cfg.app_id AND a.tier = cfg.tiers[p.pos].name), 0.0), 4)
+         AS tier_avg_ltv
+FROM cfg CROSS JOIN (VALUES (1), (2), (3)) p(pos)""")
+def q_cfg_long(spark, sf_dir):
+    from ..operators.ltv import tier_config_long
+    t = tier_config_long(_tier_cfg(fixture(spark, sf_dir)))
+    return t.select("app_id", "pos", "tier", F.round("threshold", 4).alias("threshold"),
+                    F.round("tier_avg_ltv", 4).alias("tier_avg_ltv"))
+
+
+@register("assign_tier", _users_sql() + f"""
+SELECT {KEYF}, round(pltv_score, 4) AS pltv_score, pltv_tier, pltv_percentile, round(tier_avg_ltv, 4) AS tier_avg_ltv
+FROM tiered""")
+def q_assign_tier(spark, sf_dir):
+    s = q_score_users(spark, sf_dir)
+    return s.select("app_id", "airbridge_uuid", "pltv_score", "pltv_tier", "pltv_percentile", "tier_avg_ltv")
+
+
+@register("coupon_action", _users_sql() + f"""
+SELECT {KEYF}, CASE WHEN best_trigger = 'price_appeal' AND pltv_tier = 'high' THEN 'vip_coupon'
+                    WHEN pltv_tier = 'medium' AND d3_churn_prob >= 0.5 THEN 'retention_offer'
+                    WHEN pltv_tier = 'low' THEN 'save_budget' ELSE 'none' END AS coupon_action
+FROM tiered""")
+def q_coupon(spark, sf_dir):
+    from ..operators.policy import coupon_action
+    return coupon_action(q_score_users(spark, sf_dir)).select("app_id", "airbridge_uuid", "coupon_action")
+
+
+_DECILE_SQL = ("SELECT *, 10 - len(list_filter(c.cuts, lambda x: x < d3_purchase_prob)) AS decile FROM tiered t "
+               "JOIN (SELECT app_id AS capp, quantile_disc(d3_purchase_prob, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
+               "::DOUBLE[]) AS cuts FROM tiered GROUP BY app_id) c ON t.app_id = c.capp")
+
+
+def _deciled(spark, sf_dir):
+    from ..operators.evaluate import score_deciles
+    return score_deciles(q_score_users(spark, sf_dir), "d3_purchase_prob")
+
+
+@register("score_deciles", _users_sql(f"dec10 AS ({_DECILE_SQL})") + f"""
+SELECT {KEYF}, d3_purchase_prob, CAST(decile AS INTEGER) AS decile FROM dec10""")
+def q_deciles(spark, sf_dir):
+    return _deciled(spark, sf_dir).select("app_id", "airbridge_uuid", "d3_purchase_prob", "decile")
+
+
+_DECILE_TABLE_SQL = """dtab AS (
+  SELECT d.app_id, CAST(d.decile AS INTEGER) AS decile, count(*) AS users, avg(CAST(l.d3_purchase AS DOUBLE)) AS label_rate,
+         avg(d.d3_purchase_prob) AS mean_score
+  FROM dec10 d JOIN lab l ON d.app_id = l.app_id AND d.airbridge_uuid = l.airbridge_uuid
+  WHERE l.d3_purchase IS NOT NULL GROUP BY d.app_id, d.decile)"""
+
+
+def _decile_table(spark, sf_dir):
+    from ..operators.evaluate import decile_table
+    lb = labels_of(fixture(spark, sf_dir)).select("app_id", "airbridge_uuid", "d3_purchase")
+    return decile_table(_deciled(spark, sf_dir).join(lb, S.KEY), "d3_purchase", "d3_purchase_prob")
+
+
+@register("decile_table", _users_sql(f"dec10 AS ({_DECILE_SQL})", _DECILE_TABLE_SQL) + """
+SELECT app_id, decile, users, round(label_rate, 6) AS label_rate, round(mean_score, 6) AS mean_score FROM dtab""")
+def q_decile_table(spark, sf_dir):
+    return _decile_table(spark, sf_dir).select("app_id", "decile", "users", r6("label_rate"), r6("mean_score"))
+
+
+@register("decile_lift", _users_sql(f"dec10 AS ({_DECILE_SQL})", _DECILE_TABLE_SQL) + """
+SELECT app_id, round(top_rate, 6) AS top_rate, round(bottom_rate, 6) AS bottom_rate,
+       round(CASE WHEN bottom_rate <> 0 THEN top_rate / bottom_rate END, 6) AS lift FROM (
+  SELECT app_id, max(CASE WHEN decile = 1 THEN label_rate END) AS top_rate,
+         max(CASE WHEN decile = 10 THEN label_rate END) AS bottom_rate FROM dtab GROUP BY app_id) z""")
+def q_decile_lift(spark, sf_dir):
+    from ..operators.evaluate import decile_lift
+    return decile_lift(_decile_table(spark, sf_dir)).select("app_id", r6("top_rate"), r6("bottom_rate"), r6("lift"))
+
+
+@register("top_fraction", _users_sql() + f"""
+SELECT t.app_id, t.airbridge_uuid, t.d3_purchase_prob FROM tiered t
+JOIN (SELECT app_id, quantile_disc(d3_purchase_prob, 0.9) AS cut FROM tiered GROUP BY app_id) c
+  ON t.app_id = c.app_id WHERE t.d3_purchase_prob > c.cut""")
+def q_top_fraction(spark, sf_dir):
+    from ..operators.evaluate import top_fraction
+    t = top_fraction(q_score_users(spark, sf_dir), "d3_purchase_prob", 0.1)
+    return t.select("app_id", "airbridge_uuid", "d3_purchase_prob")
+
+
+@register("tier_table", _users_sql() + """
+SELECT t.app_id, t.pltv_tier, t.users, round(t.mean_actual, 6) AS mean_actual,
+       round(CASE WHEN lo.m <> 0 THEN t.mean_actual / lo.m END, 6) AS ratio_to_low
+FROM (SELECT x.app_id, x.pltv_tier, count(*) AS users, avg(l.ltv) AS mean_actual
+      FROM tiered x JOIN lab l ON x.app_id = l.app_id AND x.airbridge_uuid = l.airbridge_uuid
+      WHERE x.pltv_tier IS NOT NULL AND l.ltv IS NOT NULL GROUP BY x.app_id, x.pltv_tier) t
+LEFT JOIN (SELECT x.app_id, avg(l.ltv) AS m FROM tiered x JOIN lab l
+             ON x.app_id = l.app_id AND x.airbridge_uuid = l.airbridge_uuid
+           WHERE x.pltv_tier = 'low' AND l.ltv IS NOT NULL GROUP BY x.app_id) lo ON t.app_id = lo.app_id""")
+def q_tier_table(spark, sf_dir):
+    from ..operators.evaluate import tier_table
+    fx = fixture(spark, sf_dir)
+    s = q_score_users(spark, sf_dir).join(labels_of(fx).select("app_id", "airbridge_uuid", "ltv"), S.KEY)
+    return tier_table(s).select("app_id", "pltv_tier", "users", r6("mean_actual"), r6("ratio_to_low"))
+
+
+# ------------------------------------------------------------------ A11, M7, M13
+
+def _moments_sql(src: str, cols=S.ALL_FEATURES) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {i} AS pos, '{c}' AS feature, avg({c}) AS mean, stddev_pop({c}) AS std_pop, "
+        f"stddev_samp({c}) AS std_samp FROM {src}" for i, c in enumerate(cols))
+
+
+@register("feature_moments", _feat_sql() + f"""
+SELECT pos, feature, round(mean, 6) AS mean, round(std_pop, 6) AS std_pop, round(std_samp, 6) AS std_samp
+FROM ({_moments_sql('feat')}) z""")
+def q_moments(spark, sf_dir):
+    from ..operators.evaluate import feature_moments
+    m = feature_moments(fixture(spark, sf_dir).features)
+    return m.select("pos", "feature", r6("mean"), r6("std_pop"), r6("std_samp"))
+
+
+def _factor_sql() -> str:
+    from ..operators.evaluate import FACTOR_GROUPS
+    parts = []
+    for name, members in FACTOR_GROUPS.items():
+        terms = " + ".join(
+            f"(CASE WHEN coalesce(m.s_{c}, 0.0) <> 0 THEN (f.{c} - m.m_{c}) / m.s_{c} ELSE {O.d(0)} END) * {O.d(1)}"
+            for c in S.UA_FEATURES if c in members)
+        parts.append(f"round({O.d(0)} + {terms}, 6) AS {name}")
+    moments = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in S.UA_FEATURES)
+    return f"SELECT f.app_id, f.airbridge_uuid, {', '.join(parts)} FROM feat f CROSS JOIN (SELECT {moments} FROM feat) m"
+
+
+@register("factor_scores", _feat_sql() + _factor_sql())
+def q_factor(spark, sf_dir):
+    from ..operators.evaluate import FACTOR_GROUPS, factor_scores_from_moments, feature_moments
+    f = fixture(spark, sf_dir).features
+    out = factor_scores_from_moments(f, feature_moments(f, S.UA_FEATURES))
+    return out.select("app_id", "airbridge_uuid", *[r6(g) for g in FACTOR_GROUPS])
+
+
+DRIFT_SPLIT_DAY = 15  # reference = users installed before 2024-01-15, current = from then on
+
+
+def _split_feat(fx: Fixture):
+    inst = fx.installs.select("app_id", F.col("user_id").alias("airbridge_uuid"), "t0")
+    f = fx.features.join(inst, S.KEY)
+    early = F.dayofmonth("t0") < DRIFT_SPLIT_DAY
+    return f.where(early), f.where(~early)
+
+
+@register("feature_drift", _feat_sql(
+    "fi AS (SELECT f.*, inst.t0 FROM feat f JOIN inst ON f.app_id = inst.app_id AND f.airbridge_uuid = inst.user_id)",
+    f"fref AS (SELECT * FROM fi WHERE dayofmonth(t0) < {DRIFT_SPLIT_DAY})",
+    f"fcur AS (SELECT * FROM fi WHERE dayofmonth(t0) >= {DRIFT_SPLIT_DAY})") + f"""
+SELECT r.pos, r.feature, round(r.mean, 6) AS ref_mean, round(r.std_pop, 6) AS ref_std, round(c.mean, 6) AS cur_mean,
+       round(CASE WHEN r.std_pop <> 0 THEN (c.mean - r.mean) / r.std_pop END, 6) AS drift
+FROM ({_moments_sql('fref')}) r JOIN ({_moments_sql('fcur')}) c ON r.pos = c.pos""")
+def q_drift(spark, sf_dir):
+    from ..operators.evaluate import feature_drift
+    ref, cur = _split_feat(fixture(spark, sf_dir))
+    d = feature_drift(cur, ref)
+    return d.select("pos", "feature", r6("ref_mean"), r6("ref_std"), r6("cur_mean"), r6("drift"))
+
+
+# ------------------------------------------------------------------ W4, W6, M12 per request, logs, J9, A7, A8
+
+_STICKY_CACHE: dict = {}
+
+
+def _requests_scored(spark, sf_dir, ttl_s=S.DECISION_TTL_SECONDS) -> DataFrame:
+    fx = fixture(spark, sf_dir)
+    return SP.score_requests(fx.requests, fx.features_with_duplicates, LK.app_readiness(fx.inventory),
+                             _tier_cfg(fx), ttl_s=ttl_s)
+
+
+def _sticky(spark, sf_dir, ttl_s):
+    from ..operators.policy import sticky_decisions
+    fx = fixture(spark, sf_dir)
+    rd = LK.app_readiness(fx.inventory).where(F.col("ready")).select("app_id", "model_version")
+    req = fx.requests.join(rd, "app_id")
+    hit = LK.lookup_features(req, fx.features_with_duplicates.select("app_id", "airbridge_uuid", "row_no"))
+    return sticky_decisions(hit, ttl_s=ttl_s)
+
+
+def _sticky_sql(ttl_s):
+    return O.with_(*O.base_ctes(), *O.feat_ctes(), O.req_cte(), *O.inventory_ctes(), O.ready_cte(),
+                   O.featdup_cte(), O.latest_cte(), """rq AS (
+  SELECT req.request_id, req.app_id, req.airbridge_uuid, req.request_ts, ready.model_version
+  FROM req JOIN ready ON req.app_id = ready.app_id AND ready.ready
+  JOIN fl ON req.app_id = fl.app_id AND req.airbridge_uuid = fl.airbridge_uuid)""",
+                   *O.sticky_cte("rq", ttl_s), recursive=True) + f"""
+SELECT request_id, app_id, airbridge_uuid, {sql_ts('request_ts')}, {sql_ts('make_timestamp(anchor_us)', 'anchor_ts')}
+FROM sticky"""
+
+
+@register("sticky_decisions", _sticky_sql(3600))
+def q_sticky(spark, sf_dir):
+    s = _sticky(spark, sf_dir, 3600)
+    return s.select("request_id", "app_id", "airbridge_uuid", ts_text("request_ts"), ts_text("anchor_ts"))
+
+
+@register("sticky_decisions_24h", _sticky_sql(86400))
+def q_sticky24(spark, sf_dir):
+    s = _sticky(spark, sf_dir, 86400)
+    return s.select("request_id", "app_id", "airbridge_uuid", ts_text("request_ts"), ts_text("anchor_ts"))
+
+
+@register("repeat_request_stats", _sticky_sql(86400).rsplit("SELECT request_id", 1)[0] + """
+SELECT app_id, count(*) AS requests, count_if(epoch_us(request_ts) = anchor_us) AS decisions,
+       count_if(epoch_us(request_ts) <> anchor_us) AS reused,
+       round(CAST(count_if(epoch_us(request_ts) <> anchor_us) AS DOUBLE) / count(*), 6) AS reused_share
+FROM sticky GROUP BY app_id""")
+def q_repeat(spark, sf_dir):
+    from ..operators.policy import repeat_request_stats
+    return repeat_request_stats(_sticky(spark, sf_dir, 86400))
+
+
+REQ_COLS_SQL = f"""request_id, app_id, airbridge_uuid, {sql_ts('request_ts')}, {sql_ts('make_timestamp(anchor_us)', 'anchor_ts')},
+       best_trigger, is_random, {', '.join(f'score_{t}' for t in S.TREATMENT_TRIGGERS)}, d3_purchase_prob, d3_churn_prob,
+       round(pltv_score, 4) AS pltv_score, pltv_tier, pltv_percentile, round(tier_avg_ltv, 4) AS tier_avg_ltv"""
+
+
+@register("score_requests", _requests_sql() + f"SELECT {REQ_COLS_SQL} FROM rtiered")
+def q_score_requests(spark, sf_dir):
+    r = _requests_scored(spark, sf_dir)
+    return r.select("request_id", "app_id", "airbridge_uuid", ts_text("request_ts"), ts_text("anchor_ts"),
+                    "best_trigger", "is_random", *[f"score_{t}" for t in S.TREATMENT_TRIGGERS],
+                    "d3_purchase_prob", "d3_churn_prob", "pltv_score", "pltv_tier", "pltv_percentile", "tier_avg_ltv")
+
+
+@register("response_json")
+def q_response_json(spark, sf_dir):
+    return SP.to_response(_requests_scored(spark, sf_dir))
+
+
+LOG_SQL_COLS = """app_id, airbridge_uuid AS user_id, best_trigger, is_random,
+       len(list_filter([score_price_appeal, score_social_proof, score_scarcity, score_novelty], lambda x: x IS NOT NULL))
+         AS n_trigger_scores, d3_purchase_prob, d3_churn_prob, pltv_tier, pltv_percentile"""
+
+
+def _log_rows(spark, sf_dir):
+    from ..operators.logs import flatten_for_log
+    return flatten_for_log(_requests_scored(spark, sf_dir), ts_col="request_ts")
+
+
+def _log_view(df):
+    # compare without the JSON text (engines format numbers differently) and the log time
+    return df.select("app_id", "user_id", "best_trigger", "is_random",
+                     F.coalesce(F.size(F.from_json("trigger_scores", "map<string,double>")), F.lit(0))
+                      .cast("bigint").alias("n_trigger_scores"),
+                     "d3_purchase_prob", "d3_churn_prob", "pltv_tier", "pltv_percentile")
+
+
+@register("log_rows", _requests_sql() + f"SELECT {LOG_SQL_COLS} FROM rtiered")
+def q_log_rows(spark, sf_dir):
+    return _log_view(_log_rows(spark, sf_dir))
+
+
+@register("exploration_sample", _requests_sql() + f"SELECT {LOG_SQL_COLS} FROM rtiered WHERE is_random")
+def q_exploration(spark, sf_dir):
+    from ..operators.logs import exploration_sample
+    return _log_view(exploration_sample(_log_rows(spark, sf_dir)))
+
+
+@register("log_rollup", _requests_sql() + """
+SELECT app_id, strftime(CAST(request_ts AS DATE), '%Y-%m-%d') AS log_date, is_random, pltv_tier, count(*) AS requests
+FROM rtiered GROUP BY app_id, CAST(request_ts AS DATE), is_random, pltv_tier""")
+def q_log_rollup(spark, sf_dir):
+    from ..operators.logs import log_rollup
+    r = log_rollup(_log_rows(spark, sf_dir))
+    return r.select("app_id", F.date_format("log_date", "yyyy-MM-dd").alias("log_date"), "is_random", "pltv_tier",
+                    "requests")
+
+
+def _attributed(spark, sf_dir):
+    from ..operators.evaluate import attribute_response
+    return attribute_response(_requests_scored(spark, sf_dir), fixture(spark, sf_dir).modal_events, 86400)
+
+
+@register("attribute_response", _requests_sql(*O.attribution_ctes(86400)) + f"""
+SELECT event_id, app_id, airbridge_uuid, trigger_type, {sql_ts('ts')}, request_id, is_random, clicked FROM att""")
+def q_attribute(spark, sf_dir):
+    a = _attributed(spark, sf_dir)
+    return a.select("event_id", "app_id", "airbridge_uuid", "trigger_type", ts_text("ts"), "request_id",
+                    "is_random", "clicked")
+
+
+@register("rct_trigger_rates", _requests_sql(*O.attribution_ctes(86400)) + """
+SELECT app_id, trigger_type, n, clicks, round(rate, 6) AS rate, round(pooled, 6) AS pooled_rate,
+       round(rate - coalesce(ctrl, pooled), 6) AS uplift,
+       round(CASE WHEN n_rest > 0 AND se <> 0 THEN (rate - p_rest) / se END, 6) AS z
+FROM (
+  SELECT p.*, CAST(p.clicks AS DOUBLE) / p.n AS rate, CAST(t.C AS DOUBLE) / t.N AS pooled, t.ctrl,
+         t.N - p.n AS n_rest,
+         CASE WHEN t.N - p.n <> 0 THEN CAST(t.C - p.clicks AS DOUBLE) / (t.N - p.n) END AS p_rest,
+         sqrt(CAST(t.C AS DOUBLE) / t.N * (1.0 - CAST(t.C AS DOUBLE) / t.N) * (1.0 / p.n + 1.0 / (t.N - p.n))) AS se
+  FROM (SELECT app_id, trigger_type, count(*) AS n, CAST(sum(clicked) AS BIGINT) AS clicks
+        FROM dec WHERE is_random GROUP BY app_id, trigger_type) p
+  JOIN (SELECT app_id, sum(n) AS N, sum(clicks) AS C,
+               max(CASE WHEN trigger_type = 'control' THEN CAST(clicks AS DOUBLE) / n END) AS ctrl
+        FROM (SELECT app_id, trigger_type, count(*) AS n, sum(clicked) AS clicks
+              FROM dec WHERE is_random GROUP BY app_id, trigger_type) q GROUP BY app_id) t ON p.app_id = t.app_id) z""")
+def q_rct(spark, sf_dir):
+    from ..operators.evaluate import decision_outcomes, rct_trigger_rates
+    r = rct_trigger_rates(decision_outcomes(_attributed(spark, sf_dir)))
+    return r.select("app_id", "trigger_type", "n", "clicks", r6("rate"), r6("pooled_rate"), r6("uplift"), r6("z"))
+
+
+@register("policy_value", _requests_sql(*O.attribution_ctes(86400)) + f"""
+SELECT app_id, count(*) AS decisions, round(avg(y), 6) AS logged_rate,
+       round(CASE WHEN sum(wm) <> 0 THEN sum(wm * y) / sum(wm) END, 6) AS model_value,
+       round(CASE WHEN sum(wr) <> 0 THEN sum(wr * y) / sum(wr) END, 6) AS random_value
+FROM (
+  SELECT app_id, y, CASE WHEN served_best THEN 1.0 / prop ELSE 0.0 END AS wm, 0.25 / prop AS wr FROM (
+    SELECT d.app_id, CAST(d.clicked AS DOUBLE) AS y, coalesce(d.trigger_type = b.model_best, FALSE) AS served_best,
+           CASE WHEN b.model_best IS NULL THEN 0.25
+                ELSE 0.8 * CAST(coalesce(d.trigger_type = b.model_best, FALSE) AS DOUBLE) + 0.05 END AS prop
+    FROM dec d JOIN (SELECT request_id, {_ARGMAX_SQL} AS model_best FROM rtiered) b ON d.request_id = b.request_id) x) z
+GROUP BY app_id""")
+def q_policy_value(spark, sf_dir):
+    from ..operators.evaluate import decision_outcomes, policy_value
+    from ..operators.policy import best_trigger_col
+    dec = decision_outcomes(_attributed(spark, sf_dir))
+    best = _requests_scored(spark, sf_dir).select("request_id", best_trigger_col().alias("model_best"))
+    v = policy_value(dec.join(best, "request_id"))
+    return v.select("app_id", "decisions", r6("logged_rate"), r6("model_value"), r6("random_value"))
+
+
+# ------------------------------------------------------------------ T6 batch form
+
+@register("touch_rollup", O.with_(O.ev_cte()) + f"""
+SELECT app_id, channel, {sql_ts("date_trunc('hour', ts)", 'window_start')},
+       count_if(touch_type = 'click') AS clicks, count_if(touch_type = 'impression') AS impressions
+FROM ev WHERE touch_type IS NOT NULL GROUP BY app_id, channel, date_trunc('hour', ts)""")
+def q_touch_rollup(spark, sf_dir):
+    from ..operators.evaluate import touch_rollup
+    t = touch_rollup(fixture(spark, sf_dir).events)
+    return t.select("app_id", "channel", ts_text("window_start"), "clicks", "impressions")

@@ -349,3 +349,77 @@ def sticky_cte(src: str, ttl_s: float = S.DECISION_TTL_SECONDS, name: str = "sti
     ON sq.app_id = rec.app_id AND sq.airbridge_uuid = rec.airbridge_uuid
    AND sq.model_version IS NOT DISTINCT FROM rec.model_version AND sq.seq = rec.seq)""",
     ]
+
+
+# ---------------------------------------------------------------- fixture variants of the feature table
+
+def featdup_cte() -> str:
+    cols = []
+    for c in S.ALL_FEATURES:
+        cols.append(f"{c} + {d(1)} AS {c}" if c == "latency" else c)
+    return f"""featdup AS (
+  SELECT app_id, airbridge_uuid, row_no, {', '.join(S.ALL_FEATURES)} FROM feat
+  UNION ALL
+  SELECT app_id, airbridge_uuid, row_no + {1 << 40} AS row_no, {', '.join(cols)} FROM feat
+  WHERE CAST(airbridge_uuid AS BIGINT) % {FX.DUP_EVERY} = 0)"""
+
+
+def feattext_cte() -> str:
+    cols = []
+    for c in S.ALL_FEATURES:
+        cases = " ".join(f"WHEN CAST(airbridge_uuid AS BIGINT) % {m} = 0 THEN {s(t)}" for m, t in FX.BAD_TEXT)
+        cols.append(f"CASE {cases} ELSE CAST({c} AS VARCHAR) END AS {c}")
+    return f"""feattext AS (SELECT app_id, airbridge_uuid, row_no, {', '.join(cols)} FROM feat)"""
+
+
+def latest_cte(src: str = "featdup", name: str = "fl") -> str:
+    return f"""{name} AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY app_id, airbridge_uuid ORDER BY row_no DESC) AS rn
+    FROM {src} WHERE row_no IS NOT NULL) x WHERE rn = 1)"""
+
+
+def modal_cte() -> str:
+    pool = "[" + ", ".join(s(t) for t in S.TREATMENT_TRIGGERS) + "]"
+    return f"""modal AS (
+  SELECT ev.event_id, ev.app_id, ev.user_id AS airbridge_uuid, ev.ts,
+         CASE WHEN ev.touch_type = 'impression' THEN {s(S.EV_MODAL_SHOWN)} ELSE {s(S.EV_MODAL_CLICKED)} END
+           AS event_type,
+         {pool}[CAST(ev.k % 4 AS INTEGER) + 1] AS trigger_type
+  FROM ev JOIN inst ON ev.app_id = inst.app_id AND ev.user_id = inst.user_id
+  WHERE ev.touch_type IS NOT NULL AND ev.k < {FX.MODAL_K_BELOW} AND ev.ts > inst.t0)"""
+
+
+def requests_scored_ctes(ttl_s: float = S.DECISION_TTL_SECONDS) -> list[str]:
+    """score_requests in SQL: ready apps, latest feature row, sticky anchors, scoring, tiers."""
+    rq = """rq AS (
+  SELECT req.request_id, req.app_id, req.airbridge_uuid, req.request_ts, ready.model_version, fl.* EXCLUDE (app_id, airbridge_uuid)
+  FROM req JOIN ready ON req.app_id = ready.app_id AND ready.ready
+  JOIN fl ON req.app_id = fl.app_id AND req.airbridge_uuid = fl.airbridge_uuid)"""
+    return ([featdup_cte(), latest_cte(), rq] + sticky_cte("rq", ttl_s)
+            + [scored_cte(src="sticky", name="scr", draw_extra=["f.anchor_us"],
+                          src_cols="f.* EXCLUDE (model_version)"),
+               tiered_cte(src="scr", name="rtiered")])
+
+
+def score_requests_ctes(ttl_s: float = S.DECISION_TTL_SECONDS) -> list[str]:
+    return score_users_ctes() + requests_scored_ctes(ttl_s)
+
+
+def attribution_ctes(click_horizon_s: float = 86400) -> list[str]:
+    h = int(click_horizon_s * US)
+    return [modal_cte(), """asg AS (
+  SELECT request_id, app_id, airbridge_uuid, best_trigger, request_ts AS ts, is_random, anchor_us FROM rtiered)""",
+            f"""att AS (
+  SELECT s.event_id, s.app_id, s.airbridge_uuid, s.trigger_type, s.ts, a.request_id, a.is_random, a.anchor_us,
+         CAST(EXISTS (SELECT 1 FROM modal c
+                      WHERE c.event_type = {s(S.EV_MODAL_CLICKED)} AND c.app_id = s.app_id
+                        AND c.airbridge_uuid = s.airbridge_uuid AND c.trigger_type = s.trigger_type
+                        AND c.ts >= s.ts AND epoch_us(c.ts) - epoch_us(s.ts) < {h}) AS INTEGER) AS clicked
+  FROM (SELECT * FROM modal WHERE event_type = {s(S.EV_MODAL_SHOWN)}) s
+  ASOF LEFT JOIN asg a ON s.app_id = a.app_id AND s.airbridge_uuid = a.airbridge_uuid
+                      AND s.trigger_type = a.best_trigger AND s.ts >= a.ts)""",
+            """dec AS (
+  SELECT app_id, airbridge_uuid, anchor_us, trigger_type, max(clicked) AS clicked,
+         bool_or(is_random) AS is_random, min(request_id) AS request_id
+  FROM att WHERE request_id IS NOT NULL GROUP BY app_id, airbridge_uuid, anchor_us, trigger_type)"""]

@@ -83,7 +83,7 @@ def score_requests(requests: DataFrame, features: DataFrame, readiness: DataFram
                         draw_extra=[F.col("anchor_us")])
     tiered = LT.assign_tier(scored, cfg)
     return tiered.select(
-        "request_id", "app_id", "airbridge_uuid", "request_ts", "anchor_ts",
+        "request_id", "app_id", "airbridge_uuid", "request_ts", "anchor_ts", "anchor_us", "mode",
         "best_trigger", "is_random", "trigger_scores",
         *[f"score_{t}" for t in S.TREATMENT_TRIGGERS],
         "d3_purchase_prob", "d3_churn_prob",
