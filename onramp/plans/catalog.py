@@ -35,6 +35,11 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     return _FIXTURES[key]
 
 
+def reset_fixtures() -> None:
+    """Forget materialised fixture tables (next query rebuilds from the raw tables)."""
+    _FIXTURES.clear()
+
+
 def r6(c: str) -> F.Column:
     return F.round(F.col(c), 6).alias(c)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import features as FT
+from ..session import materialize
 from ..sources.events import read_events
 
 # ---------------------------------------------------------------------------
@@ -31,14 +32,25 @@ INVENTORY_RULE = {
 
 
 class Fixture:
-    """Lazily built, shared frames for one scale-factor directory."""
+    """Lazily built, shared frames for one scale-factor directory.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, window_s: float = 24 * 3600):
+    ``installs``, ``features`` and ``requests`` each feed several branches of the
+    queries built on them; they are checkpointed once (``materialize``) so the event
+    table is scanned once per derived table, not once per branch. Set
+    ``materialized=False`` to keep everything as one lazy plan.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, window_s: float = 24 * 3600,
+                 materialized: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.window_s = window_s
+        self.materialized = materialized
         self._cache: dict = {}
 
+    def _mat(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if self.materialized else df
+
     def _get(self, name, build):
         if name not in self._cache:
             self._cache[name] = build()
@@ -50,7 +62,7 @@ class Fixture:
 
     @property
     def installs(self) -> DataFrame:
-        return self._get("installs", lambda: FT.installs(self.events))
+        return self._get("installs", lambda: self._mat(FT.installs(self.events), "installs"))
 
     @property
     def features(self) -> DataFrame:
@@ -59,7 +71,7 @@ class Fixture:
             f = FT.user_features(self.events, window_s=self.window_s, inst=self.installs)
             rn = self.installs.select("app_id", F.col("user_id").alias("airbridge_uuid"),
                                       F.col("install_event_id").alias("row_no"))
-            return f.join(rn, S.KEY)
+            return self._mat(f.join(rn, S.KEY), "features")
         return self._get("features", build)
 
     @property
@@ -96,8 +108,9 @@ class Fixture:
             j = e.join(self.installs, ["app_id", "user_id"]).where(F.col("ts") > F.col("t0"))
             app = F.when(F.pmod(F.col("user_id").cast("bigint"), F.lit(UNKNOWN_APP_EVERY)) == 0,
                          F.lit(UNKNOWN_APP)).otherwise(F.col("app_id"))
-            return j.select(F.col("event_id").alias("request_id"), app.alias("app_id"),
-                            F.col("user_id").alias("airbridge_uuid"), F.col("ts").alias("request_ts"))
+            return self._mat(j.select(F.col("event_id").alias("request_id"), app.alias("app_id"),
+                                      F.col("user_id").alias("airbridge_uuid"), F.col("ts").alias("request_ts")),
+                             "requests")
         return self._get("requests", build)
 
     @property

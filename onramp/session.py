@@ -66,3 +66,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="onramp-ckpt-", dir=os.environ.get("ONRAMP_SCRATCH", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
+
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage: write ``df`` once as a parquet table in the shared checkpoint folder
+    (spark.checkpoint.dir) and return a DataFrame reading it back.
+
+    Used where one derived table feeds several branches of a plan, so the raw tables are
+    scanned once. A written table (rather than RDD checkpoint, which computes the plan a
+    second time for the checkpoint write) costs one execution, survives executor loss,
+    and keeps parquet column pruning and filter pushdown for every reader.
+    """
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/onramp-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
