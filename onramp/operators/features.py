@@ -142,6 +142,58 @@ def inapp_features(joined: DataFrame, window_s: float = 300.0, as_flag: bool = F
     return w.groupBy(*KEY).agg(*aggs).select(*KEY, *S.INAPP_FEATURES)
 
 
+def inapp_and_label_parts(joined: DataFrame, window_s: float, purchase_h_s: float, churn_from_s: float,
+                          churn_to_s: float, ltv_h_s: float) -> DataFrame:
+    """A5 + A6 in one aggregate: both read the in-app rows after install, so one pass over
+    the journey join serves the first-session counts and every label horizon."""
+    us = US_PER_SECOND
+    dt = F.col("dt_us")
+    rows = joined.where(F.col("event_type").isNotNull() & (dt >= 0)
+                        & (F.col("event_id") != F.col("install_event_id")))
+    in_win = dt < F.lit(int(window_s * us))
+    aggs = []
+    for feat in S.INAPP_FEATURES:
+        ev = S.INAPP_EVENT_OF.get(feat)
+        if ev is not None:
+            aggs.append(F.count_if(in_win & (F.col("event_type") == ev)).cast("double").alias(feat))
+    aggs += [
+        F.count_if(in_win).cast("double").alias("total_events"),
+        F.count_distinct(F.when(in_win, F.col("event_type"))).cast("double").alias("n_event_types"),
+        F.count_if((F.col("event_type") == S.EV_ORDER_COMPLETED) & (dt < F.lit(int(purchase_h_s * us))))
+         .alias("_np"),
+        F.count_if((dt >= F.lit(int(churn_from_s * us))) & (dt < F.lit(int(churn_to_s * us)))).alias("_nc"),
+        F.sum(F.when(dt < F.lit(int(ltv_h_s * us)), F.coalesce("revenue", F.lit(0.0)))).alias("_ltv"),
+    ]
+    return rows.groupBy(*KEY).agg(*aggs)
+
+
+def user_table(events: DataFrame, window_s: float, purchase_h_s: float, churn_from_s: float,
+               churn_to_s: float, ltv_h_s: float, last1h_anchor: str = "last_click",
+               inst: DataFrame | None = None) -> DataFrame:
+    """Features (25) and labels of every installed user from ONE journey join: the
+    ad-touch aggregates and a fused in-app + label aggregate, keyed like the join, so the
+    event table is read once for both. Columns: app_id, airbridge_uuid, row_no,
+    25 features, d3_purchase, d3_churn, ltv (labels NULL where not mature)."""
+    inst = installs(events) if inst is None else inst
+    joined = attach_install(events, inst)
+    ua = ad_journey_features(joined, last1h_anchor=last1h_anchor)
+    parts = inapp_and_label_parts(joined, window_s, purchase_h_s, churn_from_s, churn_to_s, ltv_h_s)
+    last = events.agg(F.max(F.unix_micros("ts")).alias("_last_us"))
+    t0 = F.unix_micros("t0")
+
+    def mature(h):
+        return t0 + F.lit(int(h * US_PER_SECOND)) <= F.col("_last_us")
+
+    out = (inst.join(ua, KEY, "left").join(parts, KEY, "left").crossJoin(F.broadcast(last)))
+    return out.select(
+        F.col("app_id"), F.col("user_id").alias("airbridge_uuid"), F.col("install_event_id").alias("row_no"),
+        *[to_number(c).alias(c) for c in S.ALL_FEATURES],
+        F.when(mature(purchase_h_s), (F.coalesce("_np", F.lit(0)) > 0).cast("int")).alias("d3_purchase"),
+        F.when(mature(churn_to_s), (F.coalesce("_nc", F.lit(0)) == 0).cast("int")).alias("d3_churn"),
+        F.when(mature(ltv_h_s), F.coalesce("_ltv", F.lit(0.0))).alias("ltv"),
+    )
+
+
 def user_features(events: DataFrame, window_s: float = 300.0, last1h_anchor: str = "last_click",
                   inst: DataFrame | None = None) -> DataFrame:
     """The 25-feature table, one row per installed user, key (app_id, airbridge_uuid).

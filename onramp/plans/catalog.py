@@ -70,8 +70,8 @@ def register(name: str, sql: str | None = None):
 
 
 def labels_of(fx: Fixture) -> DataFrame:
-    return LB.user_labels(fx.events, P.FIXTURE_PURCHASE_H_S, P.FIXTURE_CHURN_FROM_S,
-                          P.FIXTURE_CHURN_TO_S, P.FIXTURE_LTV_H_S, inst=fx.installs)
+    """Labels from the fixture's one-pass user table (features and labels share a scan)."""
+    return fx.labels
 
 
 # ------------------------------------------------------------------ S5 scan_events
@@ -123,7 +123,9 @@ def q_feature_table(spark, sf_dir):
 @register("labels", O.with_(*O.base_ctes(), *O.labels_cte()) + """
 SELECT app_id, airbridge_uuid, d3_purchase, d3_churn, round(ltv, 6) AS ltv FROM lab""")
 def q_labels(spark, sf_dir):
-    lb = labels_of(fixture(spark, sf_dir))
+    fx = fixture(spark, sf_dir)
+    lb = LB.user_labels(fx.events, P.FIXTURE_PURCHASE_H_S, P.FIXTURE_CHURN_FROM_S,
+                        P.FIXTURE_CHURN_TO_S, P.FIXTURE_LTV_H_S, inst=fx.installs)
     return lb.select("app_id", "airbridge_uuid", "d3_purchase", "d3_churn", r6("ltv"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import params as P
 from .. import schema as S
 from ..operators import features as FT
 from ..session import materialize
@@ -64,15 +65,24 @@ class Fixture:
     def installs(self) -> DataFrame:
         return self._get("installs", lambda: self._mat(FT.installs(self.events), "installs"))
 
+    @property
+    def user_table(self) -> DataFrame:
+        """Features and labels of every installed user, built in one pass (materialised)."""
+        def build():
+            t = FT.user_table(self.events, self.window_s, P.FIXTURE_PURCHASE_H_S, P.FIXTURE_CHURN_FROM_S,
+                              P.FIXTURE_CHURN_TO_S, P.FIXTURE_LTV_H_S, inst=self.installs)
+            return self._mat(t, "user_table")
+        return self._get("user_table", build)
+
     @property
     def features(self) -> DataFrame:
         """25-feature table with ``row_no`` (= install event id), one row per installed user."""
-        def build():
-            f = FT.user_features(self.events, window_s=self.window_s, inst=self.installs)
-            rn = self.installs.select("app_id", F.col("user_id").alias("airbridge_uuid"),
-                                      F.col("install_event_id").alias("row_no"))
-            return self._mat(f.join(rn, S.KEY), "features")
-        return self._get("features", build)
+        return self.user_table.select("app_id", "airbridge_uuid", "row_no", *S.ALL_FEATURES)
+
+    @property
+    def labels(self) -> DataFrame:
+        """d3_purchase, d3_churn, ltv at the fixture horizons (NULL where not mature)."""
+        return self.user_table.select("app_id", "airbridge_uuid", "d3_purchase", "d3_churn", "ltv")
 
     @property
     def features_with_duplicates(self) -> DataFrame:
