@@ -13,7 +13,9 @@ from .. import params as P
 from .. import schema as S
 from ..operators import features as FT
 from ..session import materialize
-from ..sources.events import read_events
+from ..sources.events import TOUCH_OF_KIND, read_events
+
+TOUCH_KINDS = list(TOUCH_OF_KIND)
 
 # ---------------------------------------------------------------------------
 # fixed values of the fixture mapping
@@ -114,7 +116,7 @@ class Fixture:
     def requests(self) -> DataFrame:
         """Every click after install is a scoring request; user_id % 50 = 0 asks for app_x."""
         def build():
-            e = self.events.where(F.col("touch_type") == "click")
+            e = self.events.where(F.col("source_type") == "click")
             j = e.join(self.installs, ["app_id", "user_id"]).where(F.col("ts") > F.col("t0"))
             app = F.when(F.pmod(F.col("user_id").cast("bigint"), F.lit(UNKNOWN_APP_EVERY)) == 0,
                          F.lit(UNKNOWN_APP)).otherwise(F.col("app_id"))
@@ -128,7 +130,7 @@ class Fixture:
         """entry_modal_shown (view) / entry_modal_clicked (click) with k < 40 after install;
         trigger_type = trigger k % 4 in artifact order."""
         def build():
-            e = self.events.where(F.col("touch_type").isNotNull() & (F.col("k") < MODAL_K_BELOW))
+            e = self.events.where(F.col("source_type").isin(*TOUCH_KINDS) & (F.col("k") < MODAL_K_BELOW))
             j = e.join(self.installs, ["app_id", "user_id"]).where(F.col("ts") > F.col("t0"))
             trig = F.element_at(F.array(*[F.lit(t) for t in S.TREATMENT_TRIGGERS]),
                                 (F.pmod(F.col("k"), F.lit(4)) + 1).cast("int"))

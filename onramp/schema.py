@@ -74,16 +74,20 @@ FEATURE_SCHEMA = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in ALL_FEATURES]
 )
 
+# Journey rows (output of sources.events.normalize_events): one event, both views.
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("app_id", T.StringType()),
     T.StructField("user_id", T.StringType()),
     T.StructField("ts", T.TimestampType()),
-    T.StructField("event_type", T.StringType()),
+    T.StructField("event_type", T.StringType()),      # in-app name (after install)
+    T.StructField("touch_type", T.StringType()),      # click / impression (before install)
     T.StructField("channel", T.StringType()),
-    T.StructField("channel_class", T.StringType()),
+    T.StructField("channel_class", T.StringType()),   # DA / SA / other
     T.StructField("revenue", T.DoubleType()),
+    T.StructField("is_install", T.BooleanType()),
     T.StructField("k", T.IntegerType()),
+    T.StructField("source_type", T.StringType()),
 ])
 
 PREDICTION_LOG_SCHEMA = T.StructType([

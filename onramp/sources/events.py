@@ -61,6 +61,8 @@ def normalize_events(raw: DataFrame) -> DataFrame:
         F.when(kind == REVENUE_KIND, F.col("value")).alias("revenue"),
         (kind == INSTALL_KIND).alias("is_install"),
         k.alias("k"),
+        # the source's own event kind: filters on it reach the parquet scan (PushedFilters)
+        kind.alias("source_type"),
     )
 
 
