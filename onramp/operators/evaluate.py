@@ -126,34 +126,57 @@ def feature_drift(current: DataFrame, reference: DataFrame, cols=S.ALL_FEATURES)
 
 # --------------------------------------------------------------------------- J9, A7, A8
 
-def attribute_response(assignments: DataFrame, modal: DataFrame, click_horizon_s: float = 86400) -> DataFrame:
+def attribute_response(assignments: DataFrame, modal: DataFrame, click_horizon_s: float = 86400,
+                       bucket_s: float = 3600) -> DataFrame:
     """Each modal-shown event gets the latest decision at or before it for the same
     user and trigger (as-of join), and clicked = a modal click with that trigger in
     [shown, shown + horizon).
 
-    Both look-ups are one window pass over the union of decisions, shown and clicked rows
-    per (app, user, trigger), ordered by (ts, kind): ``last(..., ignorenulls)`` looking
-    back for the decision, ``first(..., ignorenulls)`` looking ahead for the click.
-    No range join, so no pair explosion.
+    No range join (no pair explosion) and no window over a user's whole history: each
+    (app, user, trigger) timeline is cut into ``bucket_s`` time buckets.
+      1. inside a bucket, one window pass over the union of decisions, shown and clicked
+         rows ordered by (ts, kind): ``last(..., ignorenulls)`` looks back for the
+         decision, ``first(..., ignorenulls)`` looks ahead for the click;
+      2. across buckets, a per-bucket summary (last decision, first click — plain
+         aggregates, combined map-side) is scanned by a window whose groups hold at most
+         one row per bucket, giving the decision carried in from earlier buckets and the
+         first click of later buckets.
+    A user with a huge number of events is therefore spread over many tasks, one per
+    bucket; only the small summary is grouped per user.
     """
     k = ["app_id", "airbridge_uuid", "trig"]
+    bucket_us = int(bucket_s * US_PER_SECOND)
     a = assignments.select("app_id", "airbridge_uuid", F.col("best_trigger").alias("trig"), F.col("request_ts").alias("ts"),
                            F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("event_id"),
                            F.struct("request_id", "is_random", "anchor_us").alias("dec"))
     m = modal.select("app_id", "airbridge_uuid", F.col("trigger_type").alias("trig"), "ts",
                      F.when(F.col("event_type") == S.EV_MODAL_SHOWN, 1).otherwise(2).alias("kind"),
                      "event_id", F.lit(None).cast(a.schema["dec"].dataType).alias("dec"))
-    u = a.unionByName(m)
-    back = Window.partitionBy(*k).orderBy("ts", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*k).orderBy("ts", "kind", "event_id").rowsBetween(0, Window.unboundedFollowing)
-    u = (u.withColumn("_dec", F.last("dec", ignorenulls=True).over(back))
-          .withColumn("_next_click", F.first(F.when(F.col("kind") == 2, F.col("ts")), ignorenulls=True).over(ahead)))
-    shown = u.where(F.col("kind") == 1)
-    within = (F.unix_micros("_next_click") - F.unix_micros("ts")) < F.lit(int(click_horizon_s * US_PER_SECOND))
+    u = a.unionByName(m).withColumn("b", F.floor(F.unix_micros("ts") / F.lit(bucket_us)).cast("bigint"))
+    kb = k + ["b"]
+    order = ["ts", "kind", "event_id"]
+    back = Window.partitionBy(*kb).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*kb).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    click_ts = F.when(F.col("kind") == 2, F.col("ts"))
+    inner = (u.withColumn("_dec_in", F.last("dec", ignorenulls=True).over(back))
+              .withColumn("_click_in", F.first(click_ts, ignorenulls=True).over(ahead))
+              .where(F.col("kind") == 1))
+    summary = u.groupBy(*kb).agg(
+        F.max_by(F.col("dec"), F.when(F.col("kind") == 0, F.struct("ts", F.col("dec.request_id"))))
+         .alias("_last_dec"),
+        F.min(click_ts).alias("_first_click"))
+    before = Window.partitionBy(*k).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*k).orderBy("b").rowsBetween(1, Window.unboundedFollowing)
+    carry = summary.select(*kb, F.last("_last_dec", ignorenulls=True).over(before).alias("_dec_prev"),
+                           F.first("_first_click", ignorenulls=True).over(after).alias("_click_next"))
+    shown = inner.join(carry, kb, "left")
+    dec = F.coalesce(F.col("_dec_in"), F.col("_dec_prev"))
+    nxt = F.coalesce(F.col("_click_in"), F.col("_click_next"))
+    within = (F.unix_micros(nxt) - F.unix_micros("ts")) < F.lit(int(click_horizon_s * US_PER_SECOND))
     return shown.select(
         "event_id", "app_id", "airbridge_uuid", F.col("trig").alias("trigger_type"), "ts",
-        F.col("_dec.request_id").alias("request_id"), F.col("_dec.is_random").alias("is_random"),
-        F.col("_dec.anchor_us").alias("anchor_us"),
+        dec["request_id"].alias("request_id"), dec["is_random"].alias("is_random"),
+        dec["anchor_us"].alias("anchor_us"),
         F.coalesce(within, F.lit(False)).cast("int").alias("clicked"))
 
 
