@@ -144,3 +144,83 @@ def coupon_action(df: DataFrame, rules=DEFAULT_COUPON_RULES, default: str = "non
         c = F.expr(cond)
         out = F.when(c, F.lit(action)) if out is None else out.when(c, F.lit(action))
     return df.withColumn("coupon_action", out.otherwise(F.lit(default)) if out is not None else F.lit(default))
+
+
+# --------------------------------------------------------------------------- W4, split form
+
+def sticky_decisions_split(requests: DataFrame, ttl_s: float = S.DECISION_TTL_SECONDS,
+                           key=("app_id", "airbridge_uuid", "model_version"), ts: str = "request_ts",
+                           order_tiebreak: str = "request_id", max_levels: int = 40) -> DataFrame:
+    """W4 without routing a key through one task (same result as ``sticky_decisions``).
+
+    Time is cut into TTL-wide buckets; two anchors of a key are at least a TTL apart, so
+    a request's anchor is in its own bucket or the one before, and the request that
+    follows an anchor a as the next anchor is the first request at or after a + TTL:
+      1. ``nxt(r)`` = first request of the key at or after ts(r) + TTL — an as-of look-up
+         into the next bucket (window per (key, bucket)), else the first request of any
+         later bucket (window over a per-bucket summary, one row per bucket);
+      2. anchors = requests reachable from each key's first request along ``nxt``:
+         pointer doubling (nxt^2, nxt^4, ...) then expansion, each level a join on the
+         request id (evenly hashed: a hot user is spread over all tasks), each level
+         written to the checkpoint folder to cut lineage;
+      3. each request takes the latest anchor at or before it among the anchors of its
+         bucket and the previous one (at most two candidates: an equi-join, no explosion).
+    Cost: about 2 * log2(decisions per key) shuffles of the request ids, vs one for the
+    streaming scan; use it when single keys are very large.
+    """
+    from pyspark.sql.window import Window
+
+    from ..session import materialize
+
+    if order_tiebreak not in requests.columns:
+        raise ValueError(f"sticky_decisions_split needs a unique request id column {order_tiebreak!r}")
+    T_us = int(round(ttl_s * US_PER_SECOND))
+    k = list(key)
+    # NULL key parts folded into one string key (same rule as the scan form)
+    key_str = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in k])
+    r = requests.select(key_str.alias("_k"), F.col(order_tiebreak).cast("bigint").alias("rid"),
+                        F.unix_micros(ts).alias("t"))
+    r = r.withColumn("b", F.floor(F.col("t") / F.lit(T_us)).cast("bigint"))
+
+    # 1. next-anchor candidate of every request
+    cand = r.select("_k", "b", "t", F.lit(1).alias("kind"), F.col("rid").alias("cid"),
+                    F.lit(None).cast("bigint").alias("qid"))
+    qry = r.select("_k", (F.col("b") + 1).alias("b"), (F.col("t") + F.lit(T_us)).alias("t"), F.lit(0).alias("kind"),
+                   F.lit(None).cast("bigint").alias("cid"), F.col("rid").alias("qid"))
+    w_next = Window.partitionBy("_k", "b").orderBy("t", "kind", "cid").rowsBetween(0, Window.unboundedFollowing)
+    near = (qry.unionByName(cand)
+            .withColumn("_nx", F.first(F.when(F.col("kind") == 1, F.struct("t", "cid")), ignorenulls=True).over(w_next))
+            .where(F.col("kind") == 0).select(F.col("qid").alias("rid"), "_k", "b", F.col("_nx.cid").alias("near")))
+    firsts = r.groupBy("_k", "b").agg(F.min(F.struct("t", "rid")).alias("_f"))
+    w_far = Window.partitionBy("_k").orderBy("b").rangeBetween(1, Window.unboundedFollowing)
+    # for a query landing in bucket b (= request bucket + 1): first request of buckets > b
+    # every bucket a look-up can land in gets a summary row (empty buckets included)
+    slots = r.select("_k", (F.col("b") + 1).alias("b")).distinct().join(firsts, ["_k", "b"], "full")
+    far = slots.select("_k", "b", F.first(F.col("_f.rid"), ignorenulls=True).over(w_far).alias("far"))
+    nxt = materialize(near.join(far, ["_k", "b"], "left")
+                      .select("rid", F.coalesce("near", "far").alias("nxt")), "sticky_nxt")
+
+    # 2. anchors reachable from each key's first request
+    heads = firsts.groupBy("_k").agg(F.min("_f").alias("_h")).select(F.col("_h.rid").alias("rid"))
+    jumps = [nxt]
+    while len(jumps) < max_levels:
+        cur = jumps[-1]
+        if cur.where(F.col("nxt").isNotNull()).limit(1).count() == 0:
+            break
+        nxt2 = cur.alias("x").join(cur.alias("y"), F.col("x.nxt") == F.col("y.rid"), "left") \
+                  .select(F.col("x.rid").alias("rid"), F.col("y.nxt").alias("nxt"))
+        jumps.append(materialize(nxt2, "sticky_jump"))
+    anchors = heads
+    for j in jumps:
+        step = anchors.join(j, "rid").where(F.col("nxt").isNotNull()).select(F.col("nxt").alias("rid"))
+        anchors = materialize(anchors.unionByName(step).distinct(), "sticky_anchors")
+
+    # 3. latest anchor at or before each request (same or previous bucket)
+    a = anchors.join(r, "rid").select("_k", F.col("b").alias("ab"), F.col("t").alias("at"), F.col("rid").alias("arid"))
+    a2 = a.withColumn("b", F.explode(F.array(F.col("ab"), F.col("ab") + 1)))
+    cover = (r.join(a2, ["_k", "b"])
+             .where(F.struct("at", "arid") <= F.struct("t", "rid"))
+             .groupBy("rid").agg(F.max(F.struct("at", "arid")).alias("_a"))
+             .select("rid", F.col("_a.at").alias("anchor_us")))
+    return (requests.join(cover, F.col(order_tiebreak).cast("bigint") == F.col("rid"), "left").drop("rid")
+            .withColumn("anchor_ts", F.timestamp_micros("anchor_us")))

@@ -594,6 +594,18 @@ def q_sticky(spark, sf_dir):
     return s.select("request_id", "app_id", "airbridge_uuid", ts_text("request_ts"), ts_text("anchor_ts"))
 
 
+@register("sticky_decisions_split", _sticky_sql(3600))
+def q_sticky_split(spark, sf_dir):
+    """W4 by the split form (pointer doubling on request ids): same rows as the scan."""
+    from ..operators.policy import sticky_decisions_split
+    fx = fixture(spark, sf_dir)
+    rd = LK.app_readiness(fx.inventory).where(F.col("ready")).select("app_id", "model_version")
+    req = fx.requests.join(rd, "app_id")
+    hit = LK.lookup_features(req, fx.features_with_duplicates.select("app_id", "airbridge_uuid", "row_no"))
+    s = sticky_decisions_split(hit, ttl_s=3600)
+    return s.select("request_id", "app_id", "airbridge_uuid", ts_text("request_ts"), ts_text("anchor_ts"))
+
+
 @register("sticky_decisions_24h", _sticky_sql(86400))
 def q_sticky24(spark, sf_dir):
     s = _sticky(spark, sf_dir, 86400)

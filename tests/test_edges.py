@@ -126,9 +126,19 @@ def _anchors(spark, secs, versions=None, ttl=3600):
     df = spark.createDataFrame(rows, "request_id long, app_id string, airbridge_uuid string, model_version string, t double") \
               .withColumn("request_ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
     out = PO.sticky_decisions(df, ttl_s=ttl).orderBy("request_id").collect()
+    split = PO.sticky_decisions_split(df, ttl_s=ttl).orderBy("request_id").collect()
+    assert [r.anchor_us for r in out] == [r.anchor_us for r in split]
     return [r.anchor_us / 1e6 for r in out]
 
 
+def test_hot_key_split_equals_scan(spark):
+    import random
+    rnd = random.Random(5)
+    secs = sorted(rnd.uniform(0, 50 * 3600) for _ in range(3000))   # one user, dense requests
+    secs += [s + 7.0 for s in secs[:40]]                               # plus near-duplicates
+    _anchors(spark, secs)
+
+
 def test_ttl_rules(spark):
     assert _anchors(spark, [0, 3599.999]) == [0, 0]
     assert _anchors(spark, [0, 3600]) == [0, 3600]
