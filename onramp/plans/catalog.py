@@ -743,3 +743,46 @@ def q_touch_rollup(spark, sf_dir):
     from ..operators.evaluate import touch_rollup
     t = touch_rollup(fixture(spark, sf_dir).events)
     return t.select("app_id", "channel", ts_text("window_start"), "clicks", "impressions")
+
+
+# ------------------------------------------------------------------ orders-based LTV population (M11, M5, M6 at scale)
+
+def _orders_population(spark, sf_dir) -> DataFrame:
+    """Customers as users, market segment as app, 30-day value = their order total."""
+    from ..sources.tables import load_table
+    cust = load_table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("app_id"), F.col("c_custkey").cast("string").alias("airbridge_uuid"),
+        F.col("c_custkey").alias("ck"))
+    tot = load_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("ltv"))
+    return (cust.join(tot, F.col("ck") == F.col("o_custkey"), "left")
+            .select("app_id", "airbridge_uuid", F.coalesce("ltv", F.lit(0.0)).alias("ltv"))
+            .withColumn("pltv_score", F.col("ltv")))
+
+
+_ORDERS_SQL = """pop AS (
+  SELECT c.c_mktsegment AS app_id, CAST(c.c_custkey AS VARCHAR) AS airbridge_uuid,
+         coalesce(o.ltv, CAST(0.0 AS DOUBLE)) AS ltv, coalesce(o.ltv, CAST(0.0 AS DOUBLE)) AS pltv_score
+  FROM customer c LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS ltv FROM orders GROUP BY o_custkey) o
+    ON c.c_custkey = o.o_custkey)"""
+
+
+@register("orders_ltv_tiers", O.with_(_ORDERS_SQL, *O.cfg_ctes(src="pop", labels="pop"), O.tiered_cte(src="pop")) + """
+SELECT app_id, airbridge_uuid, round(ltv, 4) AS ltv, pltv_tier, pltv_percentile, round(tier_avg_ltv, 4) AS tier_avg_ltv
+FROM tiered""")
+def q_orders_tiers(spark, sf_dir):
+    from ..operators import ltv as LT
+    pop = _orders_population(spark, sf_dir)
+    cfg = LT.build_tier_config(pop, score="pltv_score", actual="ltv")
+    t = LT.assign_tier(pop, cfg)
+    return t.select("app_id", "airbridge_uuid", F.round("ltv", 4).alias("ltv"), "pltv_tier", "pltv_percentile",
+                    F.round("tier_avg_ltv", 4).alias("tier_avg_ltv"))
+
+
+# ------------------------------------------------------------------ M8 on the fixture (rows only: labels are random)
+
+@register("train_d3_coefficients")
+def q_train(spark, sf_dir):
+    from ..operators.train import coefficient_table, train_d3
+    fx = fixture(spark, sf_dir)
+    fit = train_d3(fx.features, fx.labels, "d3_purchase", name="d3_purchase_model")
+    return coefficient_table(spark, fit.model).withColumn("holdout_auc", F.lit(fit.auc))
