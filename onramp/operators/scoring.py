@@ -132,3 +132,23 @@ def factor_scores(df: DataFrame, params: dict, std_floor: float = 0.0) -> DataFr
             acc = acc + z[f] * F.lit(float(L[i][j]))
         out = out.withColumn(name, acc)
     return out
+
+
+def factor_scores_long(df: DataFrame, params_long: DataFrame, features=None) -> DataFrame:
+    """M7 for per-app parameter tables (``sources.config.read_factor_params``: app_id, pos,
+    feature, mean, std, factor, fpos, loading), any number of factors per app.
+
+    Unpivot the features to (user, feature, x), equi-join the app's parameters on
+    (app_id, feature) — a small table, broadcast by AQE when it is — and sum
+    z * loading per (user, factor). Output: app_id, airbridge_uuid, fpos, factor, score.
+    """
+    feats = list(features or S.UA_FEATURES)
+    long = df.select("app_id", "airbridge_uuid",
+                     F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"))
+                                         for f in feats])).alias("_v")) \
+             .select("app_id", "airbridge_uuid", "_v.feature", "_v.x")
+    z = F.when(F.coalesce(F.col("std"), F.lit(0.0)) != 0, (F.col("x") - F.col("mean")) / F.col("std")) \
+         .otherwise(F.lit(0.0))
+    return (long.join(params_long, ["app_id", "feature"])
+            .groupBy("app_id", "airbridge_uuid", "fpos", "factor")
+            .agg(F.sum(z * F.col("loading")).alias("score")))

@@ -29,7 +29,7 @@ _FIXTURES: dict = {}
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FIXTURES:
         _FIXTURES[key] = Fixture(spark, sf_dir, window_s=P.FIXTURE_WINDOW_S)
     return _FIXTURES[key]
