@@ -635,9 +635,18 @@ def q_score_requests(spark, sf_dir):
                     "d3_purchase_prob", "d3_churn_prob", "pltv_score", "pltv_tier", "pltv_percentile", "tier_avg_ltv")
 
 
-@register("response_json")
+_RESPONSE_SQL = ("json_object('user_id', airbridge_uuid, 'best_trigger', best_trigger, 'trigger_scores', "
+                 "CASE WHEN mode = 'optimized' THEN json_object(" + ", ".join(
+                     f"'{t}', score_{t}" for t in S.TREATMENT_TRIGGERS) + ") ELSE json_object() END, "
+                 "'is_random', is_random, 'd3_purchase_prob', d3_purchase_prob, 'd3_churn_prob', d3_churn_prob, "
+                 "'pltv', CASE WHEN pltv_tier IS NOT NULL THEN json_object('tier', pltv_tier, 'percentile', "
+                 "pltv_percentile, 'tier_avg_ltv', round(tier_avg_ltv, 4)) END)")
+
+
+@register("response_json", _requests_sql() + f"""
+SELECT request_id, app_id, airbridge_uuid, CAST({_RESPONSE_SQL} AS VARCHAR) AS response FROM rtiered""")
 def q_response_json(spark, sf_dir):
-    return SP.to_response(_requests_scored(spark, sf_dir))
+    return SP.to_response(_requests_scored(spark, sf_dir), keep=("request_id", "app_id", "airbridge_uuid"))
 
 
 LOG_SQL_COLS = """app_id, airbridge_uuid AS user_id, best_trigger, is_random,

@@ -93,14 +93,13 @@ def score_requests(requests: DataFrame, features: DataFrame, readiness: DataFram
     )
 
 
-def to_response(df: DataFrame) -> DataFrame:
+def to_response(df: DataFrame, keep=("app_id", "airbridge_uuid")) -> DataFrame:
     """K2: the service's response shape as JSON text (field order as the service; a
-    missing pLTV stays ``null``)."""
+    missing pLTV stays ``null``; exploration mode gives ``"trigger_scores":{}``)."""
     pltv = F.when(F.col("pltv_tier").isNotNull(), F.struct(
         F.col("pltv_tier").alias("tier"), F.col("pltv_percentile").alias("percentile"),
         F.col("tier_avg_ltv").alias("tier_avg_ltv")))
     body = F.struct(
         F.col("airbridge_uuid").alias("user_id"), "best_trigger", "trigger_scores", "is_random",
         "d3_purchase_prob", "d3_churn_prob", pltv.alias("pltv"))
-    return df.select("app_id", "airbridge_uuid",
-                     F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
+    return df.select(*keep, F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
