@@ -63,9 +63,14 @@ def build_tier_config(scored: DataFrame, score: str = "pltv_score", actual: str
     """
     s = scored.where(F.col(score).isNotNull())
     pts = quantile_points(n_quantiles)
+    # one sketch per app answers both the thresholds and the quantile list
+    n = len(pts)
     base = (s.groupBy("app_id").agg(
-        F.percentile_approx(score, [float(high), float(medium)], accuracy).alias("_thr"),
-        F.percentile_approx(score, pts, accuracy).alias("score_percentiles"),
+        F.percentile_approx(score, pts + [float(high), float(medium)], accuracy).alias("_q"),
+    ).select(
+        "app_id",
+        F.slice("_q", n + 1, 2).alias("_thr"),
+        F.slice("_q", 1, n).alias("score_percentiles"),
     ).select(
         "app_id",
         F.array(
