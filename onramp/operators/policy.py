@@ -224,3 +224,20 @@ def sticky_decisions_split(requests: DataFrame, ttl_s: float = S.DECISION_TTL_SE
              .select("rid", F.col("_a.at").alias("anchor_us")))
     return (requests.join(cover, F.col(order_tiebreak).cast("bigint") == F.col("rid"), "left").drop("rid")
             .withColumn("anchor_ts", F.timestamp_micros("anchor_us")))
+
+
+def sticky_decisions_auto(requests: DataFrame, ttl_s: float = S.DECISION_TTL_SECONDS,
+                          key=("app_id", "airbridge_uuid", "model_version"), ts: str = "request_ts",
+                          order_tiebreak: str = "request_id", hot_share: float = 2.0,
+                          hot_floor: int = 100_000) -> DataFrame:
+    """W4, form chosen from the data: one aggregate finds the largest key's request count;
+    when a single key would exceed ``hot_share`` times an even task share (and
+    ``hot_floor`` rows), the split form is used so no key is processed by one task;
+    otherwise the one-shuffle scan. The decision reads one scalar row on the driver."""
+    n_parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stats = (requests.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+             .agg(F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first())
+    mx, tot = (stats.mx or 0), (stats.tot or 0)
+    hot = mx > hot_floor and mx > hot_share * tot / max(n_parts, 1)
+    fn = sticky_decisions_split if hot else sticky_decisions
+    return fn(requests, ttl_s=ttl_s, key=key, ts=ts, order_tiebreak=order_tiebreak)

@@ -78,7 +78,7 @@ def score_requests(requests: DataFrame, features: DataFrame, readiness: DataFram
     req = requests.join(ready, "app_id", "inner")
     feats = features.select("app_id", "airbridge_uuid", "row_no", *S.ALL_FEATURES)
     hit = LK.lookup_features(req, feats)
-    sticky = PO.sticky_decisions(hit, ttl_s=ttl_s)
+    sticky = PO.sticky_decisions_auto(hit, ttl_s=ttl_s)
     scored = score_rows(sticky.drop("model_version"), readiness, seed=seed,
                         draw_extra=[F.col("anchor_us")])
     tiered = LT.assign_tier(scored, cfg)

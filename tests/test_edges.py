@@ -157,3 +157,13 @@ def test_first_matching_tier_nan(spark):
     df = spark.createDataFrame([(float("nan"),)], "s double").withColumn(
         "t", F.array(F.struct(F.lit("high").alias("name"), F.lit(1.0).alias("threshold"))))
     assert df.select(first_matching_tier("t", "s").alias("x")).first().x == "low"
+
+
+def test_sticky_auto_picks_split_for_hot_key(spark):
+    rows = [(i, "a", "hot" if i % 10 else "u%d" % i, "v1", float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "request_id long, app_id string, airbridge_uuid string, model_version string, t double") \
+              .withColumn("request_ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    auto = PO.sticky_decisions_auto(df, ttl_s=60, hot_floor=100)
+    a = {r.request_id: r.anchor_us for r in auto.collect()}
+    b = {r.request_id: r.anchor_us for r in PO.sticky_decisions(df, ttl_s=60).collect()}
+    assert a == b
