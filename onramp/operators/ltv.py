@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.columns import first_matching_tier, left_rank, percentile_from_rank
+from ..functions.columns import double_array, first_matching_tier, left_rank, percentile_from_rank
 
 # accuracy of percentile_approx: relative rank error 1/accuracy, exact below roughly
 # accuracy/2 rows per app, bounded memory (a mergeable sketch) at any size.
@@ -45,9 +45,7 @@ def assign_tier(df: DataFrame, cfg: DataFrame, score: str = "pltv_score",
     pct = F.when(ok, F.when(F.isnan(F.col(score)) & (F.size(q) > 0), F.lit(99))
                   .otherwise(percentile_from_rank(rank, F.size(q))))
     avg = F.when(ok, F.coalesce(F.try_element_at(F.col("_avg"), tier), F.lit(0.0)))
-    return (out.withColumn("pltv_tier", tier)
-               .withColumn("pltv_percentile", pct)
-               .withColumn("tier_avg_ltv", avg)
+    return (out.withColumns({"pltv_tier": tier, "pltv_percentile": pct, "tier_avg_ltv": avg})
                .drop("_tiers", "_avg", "_q"))
 
 
@@ -66,7 +64,7 @@ def build_tier_config(scored: DataFrame, score: str = "pltv_score", actual: str
     # one sketch per app answers both the thresholds and the quantile list
     n = len(pts)
     base = (s.groupBy("app_id").agg(
-        F.percentile_approx(score, pts + [float(high), float(medium)], accuracy).alias("_q"),
+        F.percentile_approx(score, double_array(pts + [float(high), float(medium)]), accuracy).alias("_q"),
     ).select(
         "app_id",
         F.slice("_q", n + 1, 2).alias("_thr"),

@@ -43,8 +43,8 @@ def assign_trigger(df: DataFrame, has_model: Column, seed: str, epsilon: float =
     pool = F.array(*[F.lit(t) for t in random_pool])
     pick = F.element_at(pool, (F.floor(choice * len(random_pool)) + 1).cast("int"))
     is_random = (~has_model) | (explore < F.lit(float(epsilon)))
-    return (df.withColumn("is_random", is_random)
-              .withColumn("best_trigger", F.when(F.col("is_random"), pick).otherwise(best_trigger_col(triggers))))
+    return df.withColumns({"is_random": is_random,
+                           "best_trigger": F.when(is_random, pick).otherwise(best_trigger_col(triggers))})
 
 
 def trigger_dim(spark, triggers=S.TREATMENT_TRIGGERS) -> DataFrame:

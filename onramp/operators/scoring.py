@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.columns import linear, logistic
+from ..functions.columns import dlit, linear_sql, logistic
 from ..params import LinearModel, TriggerModel
 
 
@@ -43,8 +43,8 @@ def select_by_name(df: DataFrame, names, default: float = 0.0) -> list[Column]:
 
 
 def model_output(model: LinearModel) -> Column:
-    z = linear(model.weights, model.intercept)
-    return logistic(z) if model.link == "logistic" else z
+    z = linear_sql(model.weights, model.intercept)
+    return logistic(z) if model.link == "logistic" else F.expr(z)
 
 
 def score_binary(df: DataFrame, purchase: LinearModel, churn: LinearModel,
@@ -53,25 +53,25 @@ def score_binary(df: DataFrame, purchase: LinearModel, churn: LinearModel,
     check_feature_order(purchase.feature_names, model_name=purchase.name)
     check_feature_order(churn.feature_names, model_name=churn.name)
     p, c = model_output(purchase), model_output(churn)
-    out = df.withColumn("_p", p).withColumn("_c", c)
-    out = out.withColumn("d3_purchase_prob", F.round("_p", 4)).withColumn("d3_churn_prob", F.round("_c", 4))
+    cols = {"d3_purchase_prob": F.round(p, 4), "d3_churn_prob": F.round(c, 4)}
     if keep_raw:
-        return out.withColumnRenamed("_p", "d3_purchase_raw").withColumnRenamed("_c", "d3_churn_raw")
-    return out.drop("_p", "_c")
+        cols.update({"d3_purchase_raw": p, "d3_churn_raw": c})
+    # one projection (one analysis); repeated sub-expressions are evaluated once per row
+    return df.withColumns(cols)
 
 
 def trigger_score_columns(model: TriggerModel, present: set[str] | None = None) -> dict[str, Column]:
     """M2: one P(click) per trigger in artifact order. The shared linear part is written
     once per trigger expression; Catalyst's common-subexpression elimination evaluates it
     once per row."""
-    base = linear(model.weights, model.intercept, present)
     out = {}
     for t in model.triggers:
-        z = base + F.lit(float(model.trigger_weights.get(t, 0.0)))
+        z = linear_sql(model.weights, model.intercept, present)[1:-1]
+        z = f"{z} + {dlit(model.trigger_weights.get(t, 0.0))}"
         for f, w in model.interactions.get(t, {}).items():
             if present is None or f in present:
-                z = z + F.lit(float(w)) * F.col(f)
-        out[t] = F.round(logistic(z), 4)
+                z = f"{z} + {dlit(w)} * `{f}`"
+        out[t] = F.round(logistic(f"({z})"), 4)
     return out
 
 
@@ -89,10 +89,8 @@ def score_triggers(df: DataFrame, model: TriggerModel | None, enabled: Column |
         trig = list(model.triggers)
         if enabled is not None:
             cols = {t: F.when(enabled, c) for t, c in cols.items()}
-    out = df
-    for t in trig:
-        out = out.withColumn(f"score_{t}", cols[t])
     has = F.lit(model is not None) if enabled is None or model is None else enabled
+    out = df.withColumns({f"score_{t}": cols[t] for t in trig})
     scores_map = F.when(has, F.map_from_arrays(F.array(*[F.lit(t) for t in trig]),
                                                 F.array(*[F.col(f"score_{t}") for t in trig]))) \
                   .otherwise(F.create_map().cast("map<string,double>"))
