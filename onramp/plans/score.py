@@ -18,10 +18,6 @@ from ..operators import ltv as LT
 from ..operators import policy as PO
 from ..operators import scoring as SC
 
-RESPONSE_COLS = ["d3_purchase_prob", "d3_churn_prob", "pltv_score", "pltv_tier", "pltv_percentile",
-                 "tier_avg_ltv"]
-
-
 def score_rows(df: DataFrame, readiness: DataFrame, seed: str = P.POLICY_SEED,
                draw_extra: list | None = None, trigger_model=P.TRIGGER,
                purchase=P.D3_PURCHASE, churn=P.D3_CHURN, pltv_p=P.PLTV_PURCHASE,

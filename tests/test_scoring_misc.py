@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from onramp import schema as S
 from onramp.operators import scoring as SC

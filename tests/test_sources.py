@@ -1,7 +1,6 @@
 """Sources and sinks: CSV feature table, tier config / factor JSON, inventory, log sink."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
