@@ -52,8 +52,15 @@ def score_batch_fn(feature_loader: Callable[[SparkSession], DataFrame], readines
         ready = readiness.where(F.col("ready")).select("app_id")
         req = batch.join(ready, "app_id")
         hit = req.join(feats, S.KEY)
-        scored = SP.score_rows(hit.select("request_id", "request_ts", "app_id", "airbridge_uuid", *S.ALL_FEATURES),
-                               readiness, draw_extra=[F.unix_micros("request_ts")])
+        # a request served from a sticky decision (T3 upstream: ``anchor_us``) repeats the
+        # decision's draw; without T3 every request is its own decision
+        keep = ["request_id", "request_ts", "app_id", "airbridge_uuid"]
+        if "anchor_us" in batch.columns:
+            keep.append("anchor_us")
+            draw = F.col("anchor_us")
+        else:
+            draw = F.unix_micros("request_ts")
+        scored = SP.score_rows(hit.select(*keep, *S.ALL_FEATURES), readiness, draw_extra=[draw])
         tiered = LT.assign_tier(scored, cfg).withColumn("batch_id", F.lit(batch_id))
         tiered = tiered.persist()
         try:
