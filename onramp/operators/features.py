@@ -170,24 +170,104 @@ def inapp_and_label_parts(joined: DataFrame, window_s: float, purchase_h_s: floa
 def user_table(events: DataFrame, window_s: float, purchase_h_s: float, churn_from_s: float,
                churn_to_s: float, ltv_h_s: float, last1h_anchor: str = "last_click",
                inst: DataFrame | None = None) -> DataFrame:
-    """Features (25) and labels of every installed user from ONE journey join: the
-    ad-touch aggregates and a fused in-app + label aggregate, keyed like the join, so the
-    event table is read once for both. Columns: app_id, airbridge_uuid, row_no,
-    25 features, d3_purchase, d3_churn, ltv (labels NULL where not mature)."""
+    """Features (25) and labels of every installed user from ONE shuffle of the events.
+
+    Plan: events join installs on the user key (the only exchange of event rows). Right
+    after the join, a pre-aggregate keyed by (user, channel, event_type) computes every
+    conditional count, sum, first / last click and label part; it needs no new exchange
+    (the join already clusters by user) and is combined map-side. Per-user features then
+    come from these few rows: a window over (user, channel) gives per-channel click
+    totals for the entropy, distinct channels / event types are small DISTINCTs. Only
+    the "last hour before the last click" count reads the click rows again.
+    Columns: app_id, airbridge_uuid, row_no, 25 features, d3_purchase, d3_churn, ltv
+    (labels NULL where not mature).
+    """
+    from pyspark.sql.window import Window
+
     inst = installs(events) if inst is None else inst
     joined = attach_install(events, inst)
-    ua = ad_journey_features(joined, last1h_anchor=last1h_anchor)
-    parts = inapp_and_label_parts(joined, window_s, purchase_h_s, churn_from_s, churn_to_s, ltv_h_s)
+    us = US_PER_SECOND
+    dt = F.col("dt_us")
+    touch = F.col("touch_type").isNotNull() & (dt < 0)
+    click = touch & (F.col("touch_type") == "click")
+    inapp = F.col("event_type").isNotNull() & (dt >= 0) & (F.col("event_id") != F.col("install_event_id"))
+    lvl = ["app_id", "user_id", "t0", "channel", "event_type"]
+    l1 = joined.groupBy(*lvl).agg(
+        F.count_if(click).alias("n_click"),
+        F.count_if(touch & (F.col("touch_type") == "impression")).alias("n_imp"),
+        F.count_if(click & (F.col("channel_class") == "DA")).alias("n_da"),
+        F.count_if(click & (F.col("channel_class") == "SA")).alias("n_sa"),
+        F.count_if(click & (dt >= F.lit(-24 * 3600 * us))).alias("n_24h"),
+        F.min(F.when(click, F.col("ts"))).alias("first_click"),
+        F.max(F.when(click, F.struct("ts", "event_id", (F.col("channel_class") == "DA").alias("da"))))
+         .alias("last_click"),
+        F.count_if(inapp & (dt < F.lit(int(window_s * us)))).alias("n_win"),
+        F.count_if(inapp & (F.col("event_type") == S.EV_ORDER_COMPLETED) & (dt < F.lit(int(purchase_h_s * us))))
+         .alias("n_buy"),
+        F.count_if(inapp & (dt >= F.lit(int(churn_from_s * us))) & (dt < F.lit(int(churn_to_s * us))))
+         .alias("n_active"),
+        F.sum(F.when(inapp & (dt < F.lit(int(ltv_h_s * us))), F.coalesce("revenue", F.lit(0.0)))).alias("rev"),
+    )
+    n_c = F.sum("n_click").over(Window.partitionBy("app_id", "user_id", "channel"))
+    l1 = l1.withColumn("n_c", n_c)
+    log_c = F.log(2.0, F.col("n_c").cast("double"))
+    inapp_counts = [F.sum(F.when(F.col("event_type") == ev, F.col("n_win")).otherwise(0)).cast("double").alias(feat)
+                    for feat, ev in S.INAPP_EVENT_OF.items()]
+    per_user = l1.groupBy("app_id", "user_id", "t0").agg(
+        F.sum("n_click").alias("clicks"), F.sum("n_imp").alias("imps"), F.sum("n_da").alias("da"),
+        F.sum("n_sa").alias("sa"), F.sum("n_24h").alias("c24"),
+        F.count_distinct(F.when(F.col("n_c") > 0, F.col("channel"))).alias("channels"),
+        F.sum(F.when(F.col("n_click") > 0, F.col("n_click") * log_c)).alias("nlogn"),
+        F.min("first_click").alias("first_click"), F.max("last_click").alias("last_click"),
+        *inapp_counts,
+        F.sum("n_win").cast("double").alias("total_events"),
+        F.count_distinct(F.when(F.col("n_win") > 0, F.col("event_type"))).cast("double").alias("n_event_types"),
+        F.sum("n_buy").alias("_np"), F.sum("n_active").alias("_nc"), F.sum("rev").alias("_ltv"),
+    )
+    clicks = F.col("clicks").cast("double")
+    latency = hours_between("t0", "first_click")
+    recency = hours_between("t0", F.col("last_click.ts"))
+    feats = {
+        "trackinglink_count": clicks,
+        "DA_count": F.col("da").cast("double"),
+        "SA_count": F.col("sa").cast("double"),
+        "unique_channel_count": F.col("channels").cast("double"),
+        "channel_entropy": F.when(F.col("clicks") > 0, F.log(2.0, clicks) - F.col("nlogn") / clicks),
+        "last_touch_is_da": F.col("last_click.da").cast("double"),
+        "latency": latency,
+        "recency": recency,
+        "recent_touch_pressure": safe_div(clicks, F.lit(1.0) + F.coalesce(recency, F.lit(0.0))),
+        "touch_per_latency_hour": safe_div(clicks, F.lit(1.0) + F.coalesce(latency, F.lit(0.0))),
+        "recent_24h_ratio": safe_div(F.col("c24").cast("double"), clicks),
+        "click_ratio": safe_div(clicks, clicks + F.col("imps").cast("double")),
+        "impression_count": F.col("imps").cast("double"),
+        "is_single_touch_install": (F.col("clicks") == 1).cast("double"),
+    }
+    if last1h_anchor == "install":
+        last1h = (touches_before_install(joined)
+                  .where((F.col("touch_type") == "click") & (dt >= F.lit(-3600 * us)))
+                  .groupBy(*KEY).agg(F.count("*").cast("double").alias("last1h_touch_count")))
+    elif last1h_anchor == "last_click":
+        # the anchor comes from the same click rows (identical subtree: its exchange is
+        # reused), not from per_user, which would re-plan the main join
+        clicks_rows = touches_before_install(joined).where(F.col("touch_type") == "click").select(*KEY, "ts")
+        anchor = clicks_rows.groupBy(*KEY).agg(F.max("ts").alias("anchor"))
+        last1h = (clicks_rows.join(anchor, KEY)
+                  .where(F.unix_micros("ts") > F.unix_micros("anchor") - F.lit(3600 * us))
+                  .groupBy(*KEY).agg(F.count("*").cast("double").alias("last1h_touch_count")))
+    else:
+        raise ValueError(f"last1h_anchor must be 'last_click' or 'install', got {last1h_anchor!r}")
     last = events.agg(F.max(F.unix_micros("ts")).alias("_last_us"))
     t0 = F.unix_micros("t0")
 
     def mature(h):
-        return t0 + F.lit(int(h * US_PER_SECOND)) <= F.col("_last_us")
+        return t0 + F.lit(int(h * us)) <= F.col("_last_us")
 
-    out = (inst.join(ua, KEY, "left").join(parts, KEY, "left").crossJoin(F.broadcast(last)))
+    out = (inst.join(per_user.drop("t0"), KEY, "left").join(last1h, KEY, "left").crossJoin(F.broadcast(last)))
+    feats_cols = {**feats, **{c: F.col(c) for c in S.INAPP_FEATURES}, "last1h_touch_count": F.col("last1h_touch_count")}
     return out.select(
         F.col("app_id"), F.col("user_id").alias("airbridge_uuid"), F.col("install_event_id").alias("row_no"),
-        *[to_number(c).alias(c) for c in S.ALL_FEATURES],
+        *[to_number(feats_cols[c]).alias(c) for c in S.ALL_FEATURES],
         F.when(mature(purchase_h_s), (F.coalesce("_np", F.lit(0)) > 0).cast("int")).alias("d3_purchase"),
         F.when(mature(churn_to_s), (F.coalesce("_nc", F.lit(0)) == 0).cast("int")).alias("d3_churn"),
         F.when(mature(ltv_h_s), F.coalesce("_ltv", F.lit(0.0))).alias("ltv"),
