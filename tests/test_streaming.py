@@ -154,7 +154,20 @@ def test_sticky_then_score_stream_equals_batch(spark, tmp_path):
     cfg = C._tier_cfg(fx)
     req_dir, feat_dir = str(tmp_path / "req"), str(tmp_path / "feat")
     req = fx.requests.join(rd.where("ready").select("app_id", "model_version"), "app_id")
-    req.orderBy("request_ts").repartitionByRange(6, "request_ts").write.parquet(req_dir)
+    # arrival order = event-time order: one file per time range, written one after the
+    # other (the file source takes files in modification-time order)
+    import time as _time
+    bounds = req.select(F.percentile_approx(F.unix_micros("request_ts"), [i / 6 for i in range(1, 6)],
+                                            100000)).first()[0]
+    edges = [None] + list(bounds) + [None]
+    for i in range(6):
+        part = req
+        if edges[i] is not None:
+            part = part.where(F.unix_micros("request_ts") > edges[i])
+        if edges[i + 1] is not None:
+            part = part.where(F.unix_micros("request_ts") <= edges[i + 1])
+        part.coalesce(1).write.mode("append").parquet(req_dir)
+        _time.sleep(1.1)
     fx.features_with_duplicates.write.parquet(feat_dir)
     stream = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 2).parquet(req_dir)
     sticky = ST.sticky_decisions_stream(stream, ttl_s=3600, watermark="2 hours")
