@@ -167,6 +167,11 @@ def inapp_and_label_parts(joined: DataFrame, window_s: float, purchase_h_s: floa
     return rows.groupBy(*KEY).agg(*aggs)
 
 
+def _num(x: str) -> str:
+    """SQL form of P1 (NULL / NaN / text -> 0.0)."""
+    return f"coalesce(nanvl(try_cast({x} AS DOUBLE), CAST(0 AS DOUBLE)), CAST(0 AS DOUBLE))"
+
+
 def user_table(events: DataFrame, window_s: float, purchase_h_s: float, churn_from_s: float,
                churn_to_s: float, ltv_h_s: float, last1h_anchor: str = "last_click",
                inst: DataFrame | None = None) -> DataFrame:
@@ -181,71 +186,74 @@ def user_table(events: DataFrame, window_s: float, purchase_h_s: float, churn_fr
     the "last hour before the last click" count reads the click rows again.
     Columns: app_id, airbridge_uuid, row_no, 25 features, d3_purchase, d3_churn, ltv
     (labels NULL where not mature).
-    """
-    from pyspark.sql.window import Window
 
+    The expression lists are SQL text: a few calls to the JVM instead of hundreds.
+    """
     inst = installs(events) if inst is None else inst
     joined = attach_install(events, inst)
     us = US_PER_SECOND
-    dt = F.col("dt_us")
-    touch = F.col("touch_type").isNotNull() & (dt < 0)
-    click = touch & (F.col("touch_type") == "click")
-    inapp = F.col("event_type").isNotNull() & (dt >= 0) & (F.col("event_id") != F.col("install_event_id"))
-    lvl = ["app_id", "user_id", "t0", "channel", "event_type"]
-    l1 = joined.groupBy(*lvl).agg(
-        F.count_if(click).alias("n_click"),
-        F.count_if(touch & (F.col("touch_type") == "impression")).alias("n_imp"),
-        F.count_if(click & (F.col("channel_class") == "DA")).alias("n_da"),
-        F.count_if(click & (F.col("channel_class") == "SA")).alias("n_sa"),
-        F.count_if(click & (dt >= F.lit(-24 * 3600 * us))).alias("n_24h"),
-        F.min(F.when(click, F.col("ts"))).alias("first_click"),
-        F.max(F.when(click, F.struct("ts", "event_id", (F.col("channel_class") == "DA").alias("da"))))
-         .alias("last_click"),
-        F.count_if(inapp & (dt < F.lit(int(window_s * us)))).alias("n_win"),
-        F.count_if(inapp & (F.col("event_type") == S.EV_ORDER_COMPLETED) & (dt < F.lit(int(purchase_h_s * us))))
-         .alias("n_buy"),
-        F.count_if(inapp & (dt >= F.lit(int(churn_from_s * us))) & (dt < F.lit(int(churn_to_s * us))))
-         .alias("n_active"),
-        F.sum(F.when(inapp & (dt < F.lit(int(ltv_h_s * us))), F.coalesce("revenue", F.lit(0.0)))).alias("rev"),
-    )
-    n_c = F.sum("n_click").over(Window.partitionBy("app_id", "user_id", "channel"))
-    l1 = l1.withColumn("n_c", n_c)
-    log_c = F.log(2.0, F.col("n_c").cast("double"))
-    inapp_counts = [F.sum(F.when(F.col("event_type") == ev, F.col("n_win")).otherwise(0)).cast("double").alias(feat)
-                    for feat, ev in S.INAPP_EVENT_OF.items()]
-    per_user = l1.groupBy("app_id", "user_id", "t0").agg(
-        F.sum("n_click").alias("clicks"), F.sum("n_imp").alias("imps"), F.sum("n_da").alias("da"),
-        F.sum("n_sa").alias("sa"), F.sum("n_24h").alias("c24"),
-        F.count_distinct(F.when(F.col("n_c") > 0, F.col("channel"))).alias("channels"),
-        F.sum(F.when(F.col("n_click") > 0, F.col("n_click") * log_c)).alias("nlogn"),
-        F.min("first_click").alias("first_click"), F.max("last_click").alias("last_click"),
-        *inapp_counts,
-        F.sum("n_win").cast("double").alias("total_events"),
-        F.count_distinct(F.when(F.col("n_win") > 0, F.col("event_type"))).cast("double").alias("n_event_types"),
-        F.sum("n_buy").alias("_np"), F.sum("n_active").alias("_nc"), F.sum("rev").alias("_ltv"),
-    )
-    clicks = F.col("clicks").cast("double")
-    latency = hours_between("t0", "first_click")
-    recency = hours_between("t0", F.col("last_click.ts"))
+    touch = "(touch_type IS NOT NULL AND dt_us < 0)"
+    click = f"({touch} AND touch_type = 'click')"
+    inapp = "(event_type IS NOT NULL AND dt_us >= 0 AND event_id <> install_event_id)"
+    l1_aggs = {
+        "n_click": f"count_if({click})",
+        "n_imp": f"count_if({touch} AND touch_type = 'impression')",
+        "n_da": f"count_if({click} AND channel_class = 'DA')",
+        "n_sa": f"count_if({click} AND channel_class = 'SA')",
+        "n_24h": f"count_if({click} AND dt_us >= {-24 * 3600 * us})",
+        "first_click": f"min(CASE WHEN {click} THEN ts END)",
+        # Latest click, ties on event_id, with its channel class
+        "last_click": f"max(CASE WHEN {click} THEN named_struct('ts', ts, 'event_id', event_id, "
+                      f"'da', channel_class = 'DA') END)",
+        "n_win": f"count_if({inapp} AND dt_us < {int(window_s * us)})",
+        "n_buy": f"count_if({inapp} AND event_type = '{S.EV_ORDER_COMPLETED}' AND dt_us < {int(purchase_h_s * us)})",
+        "n_active": f"count_if({inapp} AND dt_us >= {int(churn_from_s * us)} AND dt_us < {int(churn_to_s * us)})",
+        "rev": f"sum(CASE WHEN {inapp} AND dt_us < {int(ltv_h_s * us)} THEN coalesce(revenue, CAST(0 AS DOUBLE)) END)",
+    }
+    l1 = (joined.groupBy("app_id", "user_id", "t0", "channel", "event_type")
+          .agg(*[F.expr(e).alias(n) for n, e in l1_aggs.items()])
+          .selectExpr("*", "sum(n_click) OVER (PARTITION BY app_id, user_id, channel) AS n_c"))
+    inapp_counts = {feat: f"CAST(sum(CASE WHEN event_type = '{ev}' THEN n_win ELSE 0 END) AS DOUBLE)"
+                    for feat, ev in S.INAPP_EVENT_OF.items()}
+    l2_aggs = {
+        "clicks": "sum(n_click)", "imps": "sum(n_imp)", "da": "sum(n_da)", "sa": "sum(n_sa)", "c24": "sum(n_24h)",
+        "channels": "count(DISTINCT CASE WHEN n_c > 0 THEN channel END)",
+        "nlogn": "sum(CASE WHEN n_click > 0 THEN n_click * log(2.0D, CAST(n_c AS DOUBLE)) END)",
+        "first_click": "min(first_click)", "last_click": "max(last_click)",
+        **inapp_counts,
+        "total_events": "CAST(sum(n_win) AS DOUBLE)",
+        "n_event_types": "CAST(count(DISTINCT CASE WHEN n_win > 0 THEN event_type END) AS DOUBLE)",
+        "_np": "sum(n_buy)", "_nc": "sum(n_active)", "_ltv": "sum(rev)",
+    }
+    per_user = l1.groupBy("app_id", "user_id").agg(*[F.expr(e).alias(n) for n, e in l2_aggs.items()])
+    h = f"CAST({3600 * us} AS DOUBLE)"
+    latency = f"((unix_micros(t0) - unix_micros(first_click)) / {h})"
+    recency = f"((unix_micros(t0) - unix_micros(last_click.ts)) / {h})"
+    clicks = "CAST(clicks AS DOUBLE)"
     feats = {
         "trackinglink_count": clicks,
-        "DA_count": F.col("da").cast("double"),
-        "SA_count": F.col("sa").cast("double"),
-        "unique_channel_count": F.col("channels").cast("double"),
-        "channel_entropy": F.when(F.col("clicks") > 0, F.log(2.0, clicks) - F.col("nlogn") / clicks),
-        "last_touch_is_da": F.col("last_click.da").cast("double"),
+        "DA_count": "CAST(da AS DOUBLE)",
+        "SA_count": "CAST(sa AS DOUBLE)",
+        "unique_channel_count": "CAST(channels AS DOUBLE)",
+        "channel_entropy": f"CASE WHEN clicks > 0 THEN log(2.0D, {clicks}) - nlogn / {clicks} END",
+        "last_touch_is_da": "CAST(last_click.da AS DOUBLE)",
         "latency": latency,
         "recency": recency,
-        "recent_touch_pressure": safe_div(clicks, F.lit(1.0) + F.coalesce(recency, F.lit(0.0))),
-        "touch_per_latency_hour": safe_div(clicks, F.lit(1.0) + F.coalesce(latency, F.lit(0.0))),
-        "recent_24h_ratio": safe_div(F.col("c24").cast("double"), clicks),
-        "click_ratio": safe_div(clicks, clicks + F.col("imps").cast("double")),
-        "impression_count": F.col("imps").cast("double"),
-        "is_single_touch_install": (F.col("clicks") == 1).cast("double"),
+        "recent_touch_pressure": f"CASE WHEN 1.0D + coalesce({recency}, 0.0D) <> 0 "
+                                 f"THEN {clicks} / (1.0D + coalesce({recency}, 0.0D)) END",
+        "touch_per_latency_hour": f"CASE WHEN 1.0D + coalesce({latency}, 0.0D) <> 0 "
+                                  f"THEN {clicks} / (1.0D + coalesce({latency}, 0.0D)) END",
+        "recent_24h_ratio": f"CASE WHEN {clicks} <> 0 THEN CAST(c24 AS DOUBLE) / {clicks} END",
+        "click_ratio": f"CASE WHEN {clicks} + CAST(imps AS DOUBLE) <> 0 "
+                       f"THEN {clicks} / ({clicks} + CAST(imps AS DOUBLE)) END",
+        "last1h_touch_count": "last1h_touch_count",
+        "impression_count": "CAST(imps AS DOUBLE)",
+        "is_single_touch_install": "CAST(clicks = 1 AS DOUBLE)",
+        **{c: c for c in S.INAPP_FEATURES},
     }
     if last1h_anchor == "install":
         last1h = (touches_before_install(joined)
-                  .where((F.col("touch_type") == "click") & (dt >= F.lit(-3600 * us)))
+                  .where((F.col("touch_type") == "click") & (F.col("dt_us") >= F.lit(-3600 * us)))
                   .groupBy(*KEY).agg(F.count("*").cast("double").alias("last1h_touch_count")))
     elif last1h_anchor == "last_click":
         # the anchor comes from the same click rows (identical subtree: its exchange is
@@ -257,20 +265,19 @@ def user_table(events: DataFrame, window_s: float, purchase_h_s: float, churn_fr
                   .groupBy(*KEY).agg(F.count("*").cast("double").alias("last1h_touch_count")))
     else:
         raise ValueError(f"last1h_anchor must be 'last_click' or 'install', got {last1h_anchor!r}")
+    # the data's end: one global max -> a single-row frame, broadcast (size is 1 row)
     last = events.agg(F.max(F.unix_micros("ts")).alias("_last_us"))
-    t0 = F.unix_micros("t0")
 
-    def mature(h):
-        return t0 + F.lit(int(h * us)) <= F.col("_last_us")
+    def mature(h_s):
+        return f"unix_micros(t0) + {int(h_s * us)} <= _last_us"
 
-    out = (inst.join(per_user.drop("t0"), KEY, "left").join(last1h, KEY, "left").crossJoin(F.broadcast(last)))
-    feats_cols = {**feats, **{c: F.col(c) for c in S.INAPP_FEATURES}, "last1h_touch_count": F.col("last1h_touch_count")}
-    return out.select(
-        F.col("app_id"), F.col("user_id").alias("airbridge_uuid"), F.col("install_event_id").alias("row_no"),
-        *[to_number(feats_cols[c]).alias(c) for c in S.ALL_FEATURES],
-        F.when(mature(purchase_h_s), (F.coalesce("_np", F.lit(0)) > 0).cast("int")).alias("d3_purchase"),
-        F.when(mature(churn_to_s), (F.coalesce("_nc", F.lit(0)) == 0).cast("int")).alias("d3_churn"),
-        F.when(mature(ltv_h_s), F.coalesce("_ltv", F.lit(0.0))).alias("ltv"),
+    out = inst.join(per_user, KEY, "left").join(last1h, KEY, "left").crossJoin(F.broadcast(last))
+    return out.selectExpr(
+        "app_id", "user_id AS airbridge_uuid", "install_event_id AS row_no",
+        *[f"{_num(feats[c])} AS {c}" for c in S.ALL_FEATURES],
+        f"CASE WHEN {mature(purchase_h_s)} THEN CAST(coalesce(_np, 0) > 0 AS INT) END AS d3_purchase",
+        f"CASE WHEN {mature(churn_to_s)} THEN CAST(coalesce(_nc, 0) = 0 AS INT) END AS d3_churn",
+        f"CASE WHEN {mature(ltv_h_s)} THEN coalesce(_ltv, 0.0D) END AS ltv",
     )
 
 
