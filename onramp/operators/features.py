@@ -201,10 +201,10 @@ def user_table(events: DataFrame, window_s: float, purchase_h_s: float, churn_fr
         "n_da": f"count_if({click} AND channel_class = 'DA')",
         "n_sa": f"count_if({click} AND channel_class = 'SA')",
         "n_24h": f"count_if({click} AND dt_us >= {-24 * 3600 * us})",
+        # fixed-width buffers only (no struct): the aggregate stays a hash aggregate that
+        # runs in the join's partitions without re-sorting the event rows
         "first_click": f"min(CASE WHEN {click} THEN ts END)",
-        # Latest click, ties on event_id, with its channel class
-        "last_click": f"max(CASE WHEN {click} THEN named_struct('ts', ts, 'event_id', event_id, "
-                      f"'da', channel_class = 'DA') END)",
+        "last_click": f"max(CASE WHEN {click} THEN ts END)",
         "n_win": f"count_if({inapp} AND dt_us < {int(window_s * us)})",
         "n_buy": f"count_if({inapp} AND event_type = '{S.EV_ORDER_COMPLETED}' AND dt_us < {int(purchase_h_s * us)})",
         "n_active": f"count_if({inapp} AND dt_us >= {int(churn_from_s * us)} AND dt_us < {int(churn_to_s * us)})",
@@ -228,7 +228,7 @@ def user_table(events: DataFrame, window_s: float, purchase_h_s: float, churn_fr
     per_user = l1.groupBy("app_id", "user_id").agg(*[F.expr(e).alias(n) for n, e in l2_aggs.items()])
     h = f"CAST({3600 * us} AS DOUBLE)"
     latency = f"((unix_micros(t0) - unix_micros(first_click)) / {h})"
-    recency = f"((unix_micros(t0) - unix_micros(last_click.ts)) / {h})"
+    recency = f"((unix_micros(t0) - unix_micros(last_click)) / {h})"
     clicks = "CAST(clicks AS DOUBLE)"
     feats = {
         "trackinglink_count": clicks,
@@ -236,7 +236,7 @@ def user_table(events: DataFrame, window_s: float, purchase_h_s: float, churn_fr
         "SA_count": "CAST(sa AS DOUBLE)",
         "unique_channel_count": "CAST(channels AS DOUBLE)",
         "channel_entropy": f"CASE WHEN clicks > 0 THEN log(2.0D, {clicks}) - nlogn / {clicks} END",
-        "last_touch_is_da": "CAST(last_click.da AS DOUBLE)",
+        "last_touch_is_da": "CAST(last_da AS DOUBLE)",
         "latency": latency,
         "recency": recency,
         "recent_touch_pressure": f"CASE WHEN 1.0D + coalesce({recency}, 0.0D) <> 0 "
@@ -251,20 +251,21 @@ def user_table(events: DataFrame, window_s: float, purchase_h_s: float, churn_fr
         "is_single_touch_install": "CAST(clicks = 1 AS DOUBLE)",
         **{c: c for c in S.INAPP_FEATURES},
     }
-    if last1h_anchor == "install":
-        last1h = (touches_before_install(joined)
-                  .where((F.col("touch_type") == "click") & (F.col("dt_us") >= F.lit(-3600 * us)))
-                  .groupBy(*KEY).agg(F.count("*").cast("double").alias("last1h_touch_count")))
-    elif last1h_anchor == "last_click":
-        # the anchor comes from the same click rows (identical subtree: its exchange is
-        # reused), not from per_user, which would re-plan the main join
-        clicks_rows = touches_before_install(joined).where(F.col("touch_type") == "click").select(*KEY, "ts")
-        anchor = clicks_rows.groupBy(*KEY).agg(F.max("ts").alias("anchor"))
-        last1h = (clicks_rows.join(anchor, KEY)
-                  .where(F.unix_micros("ts") > F.unix_micros("anchor") - F.lit(3600 * us))
-                  .groupBy(*KEY).agg(F.count("*").cast("double").alias("last1h_touch_count")))
-    else:
+    if last1h_anchor not in ("last_click", "install"):
         raise ValueError(f"last1h_anchor must be 'last_click' or 'install', got {last1h_anchor!r}")
+    # W5 and the last-hour count from the click rows: the user's last click time (anchor)
+    # comes from the same rows (identical subtree: its exchange is reused); among clicks
+    # at that time the largest event_id decides the DA flag (exact tie-break, fixed-width
+    # max_by buffer)
+    clicks_rows = (touches_before_install(joined).where(F.col("touch_type") == "click")
+                   .select(*KEY, "ts", "dt_us", "event_id",
+                           (F.col("channel_class") == "DA").cast("int").alias("is_da")))
+    anchor = clicks_rows.groupBy(*KEY).agg(F.max("ts").alias("anchor"))
+    in_hour = ("unix_micros(ts) > unix_micros(anchor) - " + str(3600 * us)) if last1h_anchor == "last_click" \
+        else f"dt_us >= {-3600 * us}"
+    last1h = (clicks_rows.join(anchor, KEY).groupBy(*KEY).agg(
+        F.expr(f"CAST(count_if({in_hour}) AS DOUBLE)").alias("last1h_touch_count"),
+        F.expr("max_by(is_da, CASE WHEN ts = anchor THEN event_id END)").alias("last_da")))
     # the data's end: one global max -> a single-row frame, broadcast (size is 1 row)
     last = events.agg(F.max(F.unix_micros("ts")).alias("_last_us"))
 
