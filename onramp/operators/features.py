@@ -50,6 +50,28 @@ def events_in_window(joined: DataFrame, start_s: float, end_s: float,
     return joined.where(cond)
 
 
+def click_branch(joined: DataFrame, last1h_anchor: str = "last_click") -> DataFrame:
+    """Per user, from the click rows before install: the last-hour click count and the DA
+    flag of the last click (W5).
+
+    The last click time comes from the same rows (identical subtree, so its exchange is
+    reused); among clicks at that time the largest event_id decides the DA flag (exact
+    tie-break). All aggregate buffers are fixed-width, so Spark keeps hash aggregation.
+    """
+    if last1h_anchor not in ("last_click", "install"):
+        raise ValueError(f"last1h_anchor must be 'last_click' or 'install', got {last1h_anchor!r}")
+    us = US_PER_SECOND
+    clicks_rows = (touches_before_install(joined).where(F.col("touch_type") == "click")
+                   .select(*KEY, "ts", "dt_us", "event_id",
+                           (F.col("channel_class") == "DA").cast("int").alias("is_da")))
+    anchor = clicks_rows.groupBy(*KEY).agg(F.max("ts").alias("anchor"))
+    in_hour = ("unix_micros(ts) > unix_micros(anchor) - " + str(3600 * us)) if last1h_anchor == "last_click" \
+        else f"dt_us >= {-3600 * us}"
+    return clicks_rows.join(anchor, KEY).groupBy(*KEY).agg(
+        F.expr(f"CAST(count_if({in_hour}) AS DOUBLE)").alias("last1h_touch_count"),
+        F.expr("max_by(is_da, CASE WHEN ts = anchor THEN event_id END)").alias("last_da"))
+
+
 def ad_journey_features(joined: DataFrame, last1h_anchor: str = "last_click",
                         entropy_base: float = 2.0) -> DataFrame:
     """A4: the 15 ad-touch features per installed user (users without touches get no row;
@@ -67,9 +89,7 @@ def ad_journey_features(joined: DataFrame, last1h_anchor: str = "last_click",
         F.count_if(is_click & (F.col("channel_class") == "SA")).alias("n_sa"),
         F.count_if(is_click & (F.col("dt_us") >= F.lit(-24 * 3600 * US_PER_SECOND))).alias("n_24h"),
         F.min(F.when(is_click, F.col("ts"))).alias("first_click"),
-        # Latest click, ties on event_id; carries its channel class
-        F.max(F.when(is_click, F.struct("ts", "event_id", (F.col("channel_class") == "DA").alias("da"))))
-         .alias("last_click"),
+        F.max(F.when(is_click, F.col("ts"))).alias("last_click"),
     ))
     log_n = F.log(float(entropy_base), F.col("n_click").cast("double"))
     per_user = (per_channel.groupBy(*KEY, "t0").agg(
@@ -85,44 +105,28 @@ def ad_journey_features(joined: DataFrame, last1h_anchor: str = "last_click",
     ))
     clicks = F.col("clicks").cast("double")
     latency = hours_between("t0", "first_click")
-    recency = hours_between("t0", F.col("last_click.ts"))
+    recency = hours_between("t0", "last_click")
     entropy = F.when(F.col("clicks") > 0,
                      F.log(float(entropy_base), clicks) - F.col("nlogn") / clicks)
-    ua = per_user.select(
+    ua = per_user.join(click_branch(joined, last1h_anchor), KEY, "left").select(
         *KEY,
-        "last_click",
-        "t0",
         clicks.alias("trackinglink_count"),
         F.col("da").cast("double").alias("DA_count"),
         F.col("sa").cast("double").alias("SA_count"),
         F.col("channels").cast("double").alias("unique_channel_count"),
         entropy.alias("channel_entropy"),
-        F.col("last_click.da").cast("double").alias("last_touch_is_da"),
+        F.col("last_da").cast("double").alias("last_touch_is_da"),
         latency.alias("latency"),
         recency.alias("recency"),
         safe_div(clicks, F.lit(1.0) + F.coalesce(recency, F.lit(0.0))).alias("recent_touch_pressure"),
         safe_div(clicks, F.lit(1.0) + F.coalesce(latency, F.lit(0.0))).alias("touch_per_latency_hour"),
+        "last1h_touch_count",
         safe_div(F.col("c24").cast("double"), clicks).alias("recent_24h_ratio"),
         safe_div(clicks, clicks + F.col("imps").cast("double")).alias("click_ratio"),
         F.col("imps").cast("double").alias("impression_count"),
         (F.col("clicks") == 1).cast("double").alias("is_single_touch_install"),
     )
-    if last1h_anchor == "install":
-        # clicks in the hour before install: a plain conditional count, no second pass
-        last1h = (t.where(is_click & (F.col("dt_us") >= F.lit(-3600 * US_PER_SECOND)))
-                  .groupBy(*KEY).agg(F.count("*").cast("double").alias("last1h_touch_count")))
-    elif last1h_anchor == "last_click":
-        # clicks in the hour ending at the user's last click: needs that click first, so
-        # a second pass over the click rows, joined on the same key (no new exchange
-        # of the journey rows: both sides are already hash-partitioned by user)
-        anchor = ua.where(F.col("last_click").isNotNull()).select(*KEY, F.col("last_click.ts").alias("anchor"))
-        last1h = (t.where(is_click).select(*KEY, "ts").join(anchor, KEY)
-                  .where(F.unix_micros("ts") > F.unix_micros("anchor") - F.lit(3600 * US_PER_SECOND))
-                  .groupBy(*KEY).agg(F.count("*").cast("double").alias("last1h_touch_count")))
-    else:
-        raise ValueError(f"last1h_anchor must be 'last_click' or 'install', got {last1h_anchor!r}")
-    return (ua.join(last1h, KEY, "left")
-            .select(*KEY, *[F.col(c) for c in S.UA_FEATURES]))
+    return ua.select(*KEY, *[F.col(c) for c in S.UA_FEATURES])
 
 
 def inapp_features(joined: DataFrame, window_s: float = 300.0, as_flag: bool = False) -> DataFrame:
@@ -251,21 +255,7 @@ def user_table(events: DataFrame, window_s: float, purchase_h_s: float, churn_fr
         "is_single_touch_install": "CAST(clicks = 1 AS DOUBLE)",
         **{c: c for c in S.INAPP_FEATURES},
     }
-    if last1h_anchor not in ("last_click", "install"):
-        raise ValueError(f"last1h_anchor must be 'last_click' or 'install', got {last1h_anchor!r}")
-    # W5 and the last-hour count from the click rows: the user's last click time (anchor)
-    # comes from the same rows (identical subtree: its exchange is reused); among clicks
-    # at that time the largest event_id decides the DA flag (exact tie-break, fixed-width
-    # max_by buffer)
-    clicks_rows = (touches_before_install(joined).where(F.col("touch_type") == "click")
-                   .select(*KEY, "ts", "dt_us", "event_id",
-                           (F.col("channel_class") == "DA").cast("int").alias("is_da")))
-    anchor = clicks_rows.groupBy(*KEY).agg(F.max("ts").alias("anchor"))
-    in_hour = ("unix_micros(ts) > unix_micros(anchor) - " + str(3600 * us)) if last1h_anchor == "last_click" \
-        else f"dt_us >= {-3600 * us}"
-    last1h = (clicks_rows.join(anchor, KEY).groupBy(*KEY).agg(
-        F.expr(f"CAST(count_if({in_hour}) AS DOUBLE)").alias("last1h_touch_count"),
-        F.expr("max_by(is_da, CASE WHEN ts = anchor THEN event_id END)").alias("last_da")))
+    last1h = click_branch(joined, last1h_anchor)
     # the data's end: one global max -> a single-row frame, broadcast (size is 1 row)
     last = events.agg(F.max(F.unix_micros("ts")).alias("_last_us"))
 
