@@ -187,8 +187,9 @@ def q_coerce(spark, sf_dir):
 
 
 @register("null_profile", _feat_sql(O.feattext_cte()) + "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count_if(TRY_CAST({c} AS DOUBLE) IS NULL OR isnan(TRY_CAST({c} AS DOUBLE))) "
-    f"AS null_count FROM feattext" for c in S.ALL_FEATURES) + ") z WHERE null_count > 0")
+    f"SELECT '{c}' AS \"column\", CAST(count_if(TRY_CAST({c} AS DOUBLE) IS NULL "
+    f"OR isnan(TRY_CAST({c} AS DOUBLE))) AS BIGINT) AS null_count FROM feattext" for c in S.ALL_FEATURES)
+    + ") z WHERE null_count > 0")
 def q_null_profile(spark, sf_dir):
     return LK.null_profile(fixture(spark, sf_dir).features_text)
 
@@ -613,8 +614,8 @@ def q_sticky24(spark, sf_dir):
 
 
 @register("repeat_request_stats", _sticky_sql(86400).rsplit("SELECT request_id", 1)[0] + """
-SELECT app_id, count(*) AS requests, count_if(epoch_us(request_ts) = anchor_us) AS decisions,
-       count_if(epoch_us(request_ts) <> anchor_us) AS reused,
+SELECT app_id, count(*) AS requests, CAST(count_if(epoch_us(request_ts) = anchor_us) AS BIGINT) AS decisions,
+       CAST(count_if(epoch_us(request_ts) <> anchor_us) AS BIGINT) AS reused,
        round(CAST(count_if(epoch_us(request_ts) <> anchor_us) AS DOUBLE) / count(*), 6) AS reused_share
 FROM sticky GROUP BY app_id""")
 def q_repeat(spark, sf_dir):
@@ -746,7 +747,8 @@ def q_policy_value(spark, sf_dir):
 
 @register("touch_rollup", O.with_(O.ev_cte()) + f"""
 SELECT app_id, channel, {sql_ts("date_trunc('hour', ts)", 'window_start')},
-       count_if(touch_type = 'click') AS clicks, count_if(touch_type = 'impression') AS impressions
+       CAST(count_if(touch_type = 'click') AS BIGINT) AS clicks,
+       CAST(count_if(touch_type = 'impression') AS BIGINT) AS impressions
 FROM ev WHERE touch_type IS NOT NULL GROUP BY app_id, channel, date_trunc('hour', ts)""")
 def q_touch_rollup(spark, sf_dir):
     from ..operators.evaluate import touch_rollup
