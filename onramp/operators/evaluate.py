@@ -152,19 +152,27 @@ def attribute_response(assignments: DataFrame, modal: DataFrame, click_horizon_s
     m = modal.select("app_id", "airbridge_uuid", F.col("trigger_type").alias("trig"), "ts",
                      F.when(F.col("event_type") == S.EV_MODAL_SHOWN, 1).otherwise(2).alias("kind"),
                      "event_id", F.lit(None).cast(a.schema["dec"].dataType).alias("dec"))
-    u = a.unionByName(m).withColumn("b", F.floor(F.unix_micros("ts") / F.lit(bucket_us)).cast("bigint"))
+    u = (a.unionByName(m)
+         .withColumn("b", F.floor(F.unix_micros("ts") / F.lit(bucket_us)).cast("bigint"))
+         # deterministic order inside a bucket: time, kind, then event / request id
+         .withColumn("_tie", F.coalesce(F.col("event_id"), F.col("dec.request_id"))))
     kb = k + ["b"]
-    order = ["ts", "kind", "event_id"]
-    back = Window.partitionBy(*kb).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*kb).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    order = ["ts", "kind", "_tie"]
+    spec = Window.partitionBy(*kb).orderBy(*order)
+    back = spec.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = spec.rowsBetween(0, Window.unboundedFollowing)
+    whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     click_ts = F.when(F.col("kind") == 2, F.col("ts"))
-    inner = (u.withColumn("_dec_in", F.last("dec", ignorenulls=True).over(back))
-              .withColumn("_click_in", F.first(click_ts, ignorenulls=True).over(ahead))
-              .where(F.col("kind") == 1))
-    summary = u.groupBy(*kb).agg(
-        F.max_by(F.col("dec"), F.when(F.col("kind") == 0, F.struct("ts", F.col("dec.request_id"))))
-         .alias("_last_dec"),
-        F.min(click_ts).alias("_first_click"))
+    # one exchange + sort of the union rows serves both the in-bucket look-ups and the
+    # per-bucket summary (whole-bucket frames, one row per bucket), so both branches
+    # share the same exchange
+    windowed = (u.withColumn("_dec_in", F.last("dec", ignorenulls=True).over(back))
+                 .withColumn("_click_in", F.first(click_ts, ignorenulls=True).over(ahead))
+                 .withColumn("_last_dec", F.last("dec", ignorenulls=True).over(whole))
+                 .withColumn("_first_click", F.first(click_ts, ignorenulls=True).over(whole))
+                 .withColumn("_rn", F.row_number().over(spec)))
+    inner = windowed.where(F.col("kind") == 1)
+    summary = windowed.where(F.col("_rn") == 1).select(*kb, "_last_dec", "_first_click")
     before = Window.partitionBy(*k).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*k).orderBy("b").rowsBetween(1, Window.unboundedFollowing)
     carry = summary.select(*kb, F.last("_last_dec", ignorenulls=True).over(before).alias("_dec_prev"),

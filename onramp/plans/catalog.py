@@ -564,9 +564,17 @@ _STICKY_CACHE: dict = {}
 
 
 def _requests_scored(spark, sf_dir, ttl_s=S.DECISION_TTL_SECONDS) -> DataFrame:
+    """Served requests (the decision log): scored once per run and written to the
+    checkpoint folder, as the service's prediction log is a stored table; the read-outs
+    (J9, A7, A8, logs) read it instead of re-running the scoring."""
     fx = fixture(spark, sf_dir)
-    return SP.score_requests(fx.requests, fx.features_with_duplicates, LK.app_readiness(fx.inventory),
-                             _tier_cfg(fx), ttl_s=ttl_s)
+
+    def build():
+        from ..session import materialize
+        scored = SP.score_requests(fx.requests, fx.features_with_duplicates, LK.app_readiness(fx.inventory),
+                                   _tier_cfg(fx), ttl_s=ttl_s)
+        return materialize(scored, "scored_requests") if fx.materialized else scored
+    return fx._get(("scored_requests", ttl_s), build)
 
 
 def _sticky(spark, sf_dir, ttl_s):
