@@ -111,8 +111,10 @@ def sticky_decisions(requests: DataFrame, ttl_s: float = S.DECISION_TTL_SECONDS,
     base = requests.withColumn("_key", key_str).withColumn("_ts", F.unix_micros(ts))
     out_cols = list(requests.columns) + ["anchor_us"]
     schema = T.StructType(list(requests.schema.fields) + [T.StructField("anchor_us", T.LongType())])
-    n = num_partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (base.repartition(n, "_key").sortWithinPartitions("_key", "_ts", order_tiebreak)
+    # hash-partition by key (never ``rebalance``: splitting a key would break its anchor
+    # chain); without an explicit count AQE sizes the partitions from the data
+    parted = base.repartition(num_partitions, "_key") if num_partitions else base.repartition("_key")
+    return (parted.sortWithinPartitions("_key", "_ts", order_tiebreak)
             .mapInPandas(_anchor_stream(ttl_us, out_cols), schema)
             .withColumn("anchor_ts", F.timestamp_micros("anchor_us")))
 

@@ -68,4 +68,5 @@ def artifact_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 def inventory_listing(inventory: DataFrame) -> DataFrame:
     """S6 listing as the service reports it: files sorted by name, size in KB (1 decimal)."""
-    return inventory.select("app_id", "file", F.round(F.col("length") / F.lit(1024.0), 1).alias("size_kb"))
+    return (inventory.select("app_id", "file", F.round(F.col("length") / F.lit(1024.0), 1).alias("size_kb"))
+            .orderBy("app_id", "file"))
