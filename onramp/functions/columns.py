@@ -121,3 +121,27 @@ def percentile_from_rank(idx, n) -> Column:
 def double_array(values) -> Column:
     """A constant array<double> built in one JVM call (foldable, e.g. for percentile lists)."""
     return F.expr("array(" + ", ".join(dlit(v) for v in values) + ")")
+
+
+# (time, id) pairs packed into one DECIMAL(38,0) that orders like the pair: time in
+# microseconds (any date in years 1-9999) times 10^20, plus the id shifted into
+# [0, 2^64). min / max over it pick the same row as min / max over struct(time, id), but
+# a decimal aggregate buffer is updatable in place, so Spark keeps a hash aggregate
+# (with map-side combine) instead of sorting the rows.
+_PAIR_SCALE = "100000000000000000000"       # 10^20 > 2^64
+_ID_SHIFT = "9223372036854775808"           # 2^63
+
+
+def pair_key(ts, ident) -> Column:
+    return F.expr(
+        f"CAST(unix_micros({ts}) AS DECIMAL(38,0)) * CAST({_PAIR_SCALE} AS DECIMAL(38,0)) "
+        f"+ (CAST({ident} AS DECIMAL(38,0)) + CAST({_ID_SHIFT} AS DECIMAL(38,0)))")
+
+
+def pair_ts(key: str) -> Column:
+    return F.expr(f"timestamp_micros(CAST(floor({key} / CAST({_PAIR_SCALE} AS DECIMAL(38,0))) AS BIGINT))")
+
+
+def pair_id(key: str) -> Column:
+    return F.expr(f"CAST({key} - floor({key} / CAST({_PAIR_SCALE} AS DECIMAL(38,0))) "
+                  f"* CAST({_PAIR_SCALE} AS DECIMAL(38,0)) - CAST({_ID_SHIFT} AS DECIMAL(38,0)) AS BIGINT)")

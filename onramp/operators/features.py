@@ -13,17 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.columns import US_PER_SECOND, hours_between, safe_div, to_number
+from ..functions.columns import US_PER_SECOND, hours_between, pair_id, pair_key, pair_ts, safe_div, to_number
 
 KEY = ["app_id", "user_id"]
 
 
 def installs(events: DataFrame) -> DataFrame:
-    """First install row per (app_id, user_id): t0 and its event_id (ties on event_id)."""
-    first = F.min(F.struct("ts", "event_id"))
+    """First install row per (app_id, user_id): t0 and its event_id (ties on event_id).
+
+    min over the packed (ts, event_id) key: same row as min(struct(ts, event_id)), but a
+    hash aggregate combined map-side rather than a sort of the install rows."""
     return (events.where(F.col("is_install"))
-            .groupBy(*KEY).agg(first.alias("_i"))
-            .select(*KEY, F.col("_i.ts").alias("t0"), F.col("_i.event_id").alias("install_event_id")))
+            .groupBy(*KEY).agg(F.min(pair_key("ts", "event_id")).alias("_i"))
+            .select(*KEY, pair_ts("_i").alias("t0"), pair_id("_i").alias("install_event_id")))
 
 
 def attach_install(events: DataFrame, inst: DataFrame) -> DataFrame:

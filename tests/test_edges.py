@@ -167,3 +167,20 @@ def test_sticky_auto_picks_split_for_hot_key(spark):
     a = {r.request_id: r.anchor_us for r in auto.collect()}
     b = {r.request_id: r.anchor_us for r in PO.sticky_decisions(df, ttl_s=60).collect()}
     assert a == b
+
+
+def test_install_row_packed_key_equals_struct_min(spark):
+    import random
+    from onramp.operators import features as FT
+    rnd = random.Random(9)
+    rows = []
+    for u in range(60):
+        for _ in range(rnd.randint(1, 6)):
+            t = rnd.choice([-10 ** 12, -5, 0, 7, 7, 10 ** 15])          # repeats force ties
+            rows.append(("a", "u%d" % u, rnd.randint(-10 ** 18, 10 ** 18), t))
+    df = spark.createDataFrame(rows, "app_id string, user_id string, event_id long, t long") \
+              .withColumn("ts", F.timestamp_micros("t")).withColumn("is_install", F.lit(True))
+    got = {(r.user_id, r.install_event_id, r.t0) for r in FT.installs(df).collect()}
+    want = {(r.user_id, r.m.event_id, r.m.ts) for r in
+            df.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("m")).collect()}
+    assert got == want
