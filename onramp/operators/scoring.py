@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import dlit, linear_sql, logistic
 from ..params import LinearModel, TriggerModel
+from ..sources.feature_table import check_columns
 
 
 def check_feature_order(model_features, expected=S.ALL_FEATURES, model_name: str = "model") -> None:
@@ -22,14 +23,6 @@ def check_feature_order(model_features, expected=S.ALL_FEATURES, model_name: str
                          f"table has {list(expected)}")
 
 
-def check_columns(df: DataFrame, required=S.ALL_FEATURES) -> None:
-    """Raise listing every missing column, in contract order, before any job runs."""
-    have = set(df.columns)
-    missing = [c for c in required if c not in have]
-    if missing:
-        raise ValueError(f"feature table missing columns: {missing}")
-
-
 def feature_vector(df: DataFrame, out: str = "features") -> DataFrame:
     """The 25 features as one array column in contract order."""
     check_columns(df)
