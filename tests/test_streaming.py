@@ -41,10 +41,10 @@ def _run(df, name, mode="append"):
     return df.sparkSession.table(name)
 
 
-def test_first_session_stream_equals_batch(spark, replay_dir):
-    window_s = 24 * 3600
+@pytest.mark.parametrize("window_s", [24 * 3600, 300])   # fixture window and product default
+def test_first_session_stream_equals_batch(spark, replay_dir, window_s):
     stream = ST.read_events_stream(spark, replay_dir, max_files_per_trigger=2)
-    got = _run(ST.five_minute_trigger(stream, window_s=window_s, watermark="1 hour"), "t2_out")
+    got = _run(ST.five_minute_trigger(stream, window_s=window_s, watermark="1 hour"), f"t2_out_{window_s}")
     ev = read_events(spark, SF_CHECK)
     want = FT.inapp_features(FT.attach_install(ev, FT.installs(ev)), window_s=window_s)
     inst = FT.installs(ev)
