@@ -41,3 +41,16 @@ def test_rct_rates_and_policy_value_small(spark):
     assert r["price_appeal"].n == 50 and abs(r["price_appeal"].pooled_rate - 34 / 100) < 1e-12
     v = EV.policy_value(out.withColumn("model_best", F.lit(None).cast("string"))).first()
     assert abs(v.random_value - v.logged_rate) < 1e-12  # uniform logging: IPW = plain mean
+
+
+def test_sticky_split_equals_scan_on_fixture(spark):
+    from onramp.operators import lookup as LK
+    from onramp.operators import policy as PO
+    fx = C.fixture(spark, SF_CHECK)
+    rd = LK.app_readiness(fx.inventory).where("ready").select("app_id", "model_version")
+    req = LK.lookup_features(fx.requests.join(rd, "app_id"),
+                             fx.features_with_duplicates.select("app_id", "airbridge_uuid", "row_no"))
+    for ttl in (600, 86400):
+        scan = {r.request_id: r.anchor_us for r in PO.sticky_decisions(req, ttl_s=ttl).collect()}
+        split = {r.request_id: r.anchor_us for r in PO.sticky_decisions_split(req, ttl_s=ttl).collect()}
+        assert scan == split and len(scan) > 1000
