@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from onramp import schema as S
 from onramp.operators import lookup as LK
+from onramp import schema as S
 from onramp.operators import logs as LG
 from onramp.sources import config as CF
 from onramp.sources.feature_table import read_feature_table
@@ -75,3 +75,14 @@ def test_prediction_log_append(spark, tmp_path):
     assert json.loads(back.where("user_id = 'v'").select("trigger_scores").first()[0]) == {"novelty": 0.3}
     # a failing sink reports instead of raising
     assert LG.append_prediction_log(flat.withColumn("timestamp", F.lit("x")), "/proc/forbidden/log") is False
+
+
+def test_parquet_feature_table_by_name(spark, tmp_path):
+    cols = ["extra", *reversed(S.ALL_FEATURES), "airbridge_uuid", "app_id"]
+    row = ["x", *[str(i) for i in range(25)], "u9", "a"]
+    p = str(tmp_path / "f.parquet")
+    spark.createDataFrame([row], cols).write.parquet(p)
+    r = read_feature_table(spark, p, fmt="parquet").first()
+    assert (r.app_id, r.airbridge_uuid) == ("a", "u9")
+    # reversed order on disk, read back by name
+    assert [r[c] for c in S.ALL_FEATURES] == [float(24 - i) for i in range(25)]
