@@ -29,4 +29,8 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in res.description]
     want = _norm([tuple(row[dcols.index(c)] for c in cols) for row in res.fetchall()])
     assert sorted(dcols) == cols
+    same = {("bigint", "BIGINT"), ("int", "INTEGER"), ("double", "DOUBLE"), ("string", "VARCHAR"),
+            ("boolean", "BOOLEAN")}
+    dtypes = dict(zip(dcols, [str(t) for t in con.sql(E.oracle_sql()[name]).types]))
+    assert all((f.dataType.simpleString(), dtypes[f.name]) in same for f in sdf.schema.fields)
     assert got == want
