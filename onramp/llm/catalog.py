@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, word_bpe
 
 QUERIES = {
     "op1_shard_tree": sharding.op1_shard_tree,
+    "op3_word_bpe": word_bpe.op3_word_bpe,
 }
 ORACLE = {
     "op1_shard_tree": sharding.ORACLE,
