@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import sharding, word_bpe
+from . import sharding, simhash, word_bpe
 
 QUERIES = {
     "op1_shard_tree": sharding.op1_shard_tree,
     "op3_word_bpe": word_bpe.op3_word_bpe,
+    "op7_simhash": simhash.op7_simhash,
 }
 ORACLE = {
     "op1_shard_tree": sharding.ORACLE,
