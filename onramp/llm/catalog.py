@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash, word_bpe
+from . import language_id, sharding, simhash, word_bpe
 
 QUERIES = {
     "op1_shard_tree": sharding.op1_shard_tree,
+    "op2_language_id": language_id.op2_language_id,
     "op3_word_bpe": word_bpe.op3_word_bpe,
     "op7_simhash": simhash.op7_simhash,
 }
