@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, language_id, mixing, sharding, simhash, word_bpe
+from . import host_rules, language_id, mixing, quality_net, sharding, simhash, word_bpe
 
 QUERIES = {
     "op1_shard_tree": sharding.op1_shard_tree,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op7_simhash": simhash.op7_simhash,
     "op9_host_rules": host_rules.op9_host_rules,
+    "op10_quality": quality_net.op10_quality,
 }
 ORACLE = {
     "op1_shard_tree": sharding.ORACLE,
