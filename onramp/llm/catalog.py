@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import host_rules, language_id, mixing, quality_net, secrets_cnn, sharding, simhash, word_bpe
+from . import balltree, host_rules, language_id, mixing, quality_net, secrets_cnn, sharding, simhash, word_bpe
 
 QUERIES = {
     "op1_shard_tree": sharding.op1_shard_tree,
@@ -11,11 +11,13 @@ QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op6_secrets": secrets_cnn.op6_secrets,
     "op7_simhash": simhash.op7_simhash,
+    "op8_top_k": balltree.op8_top_k,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_quality": quality_net.op10_quality,
 }
 ORACLE = {
     "op1_shard_tree": sharding.ORACLE,
     "op5_mix": mixing.ORACLE,
+    "op8_top_k": balltree.ORACLE,
     "op9_host_rules": host_rules.ORACLE,
 }
