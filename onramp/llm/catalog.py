@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import balltree, host_rules, language_id, mixing, quality_net, secrets_cnn, sharding, simhash, word_bpe
+from . import balltree, host_rules, language_id, mixing, quality_net, secrets_cnn, sharding, simhash, url_templates, word_bpe
 
 QUERIES = {
     "op1_shard_tree": sharding.op1_shard_tree,
     "op2_language_id": language_id.op2_language_id,
     "op3_word_bpe": word_bpe.op3_word_bpe,
+    "op4_url_templates": url_templates.op4_url_templates,
     "op5_mix": mixing.op5_mix,
     "op6_secrets": secrets_cnn.op6_secrets,
     "op7_simhash": simhash.op7_simhash,
