@@ -180,14 +180,14 @@ def op5_mix(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it. Rows are joined to
-    their copies by a number written beside them."""
+    """The documents themselves, each as often as the mix takes it. The rows are written
+    once beside their hashes; thresholds meet them by source, so no text is shuffled
+    unless there are more than ``BROADCAST_SOURCES`` sources."""
     d = packed(docs, doc_id="doc_id", text="text", source="source")
     d = d.withColumn("size", words(F.col("text"))).withColumn("h", doc_hash(F.col("doc_id"), F.col("size")))
     whole = materialize(d.select("row", "source", "size", "h", F.monotonically_increasing_id().alias("rid")), "mix-rows")
-    taken = plan(whole.select("rid", "source", "size", "h")).filter("copies > 0").select(F.col("rid").alias("r"), "copies")
-    out = whole.join(taken, F.col("rid") == F.col("r")).select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return unpacked(out, docs)
+    taken = plan(whole).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return unpacked(taken, docs)
 
 
 _WEIGHT = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END"

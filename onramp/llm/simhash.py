@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from onramp.session import materialize
 
-from .common import pick, raw_bytes, table
+from .common import packed, pick, raw_bytes, table, unpacked
 
 SEED = 42
 HOT = 12              # fingerprints of a bucket that are paired off; beyond, the centre index
@@ -162,16 +162,40 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component) per row of ``docs``; component is the smallest id reachable."""
-    rows = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+def classes(rows: DataFrame, distance: int, least) -> DataFrame:
+    """(fp, component) of the written ``rows``; component is the smallest value of the
+    expression ``least`` among the rows reachable."""
+    nodes = rows.groupBy("fp").agg(F.min(least).alias("least"))
     roots = components(links(nodes.select("fp"), distance))
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = materialize(joined, "simhash-nodes")
     least = materialize(joined.groupBy("root").agg(F.min("least").alias("component")), "simhash-least")
-    of = joined.join(least, "root").select("fp", "component")
-    return rows.join(of, "fp").select("id", "fp", "component")
+    return joined.join(least, "root").select("fp", "component")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component) per row of ``docs``; component is the smallest id reachable."""
+    rows = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    return rows.join(classes(rows, distance, F.col("id")), "fp").select("id", "fp", "component")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id (null last),
+    of equal ids the first. Rows are written once with their fingerprints and a number;
+    only the numbers of the rows to drop are joined back."""
+    d = packed(docs, id=id_col, text=text_col)
+    schema = T.StructType([d.schema["row"], d.schema["id"], T.StructField("fp", T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array([fingerprint(t, shingle) for t in raw_bytes(b, "text")], pa.int64())],
+                                             names=schema.names)
+
+    whole = materialize(d.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "fingerprinted")
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "rid")
+    rows = whole.select("rid", "id", "fp")
+    drop = rows.join(classes(rows, distance, rank), "fp").filter(F.col("rid") != F.col("component.rid")).select("rid")
+    return unpacked(whole.join(drop, "rid", "left_anti"), docs)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
