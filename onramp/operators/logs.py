@@ -31,22 +31,26 @@ def exploration_sample(log_rows: DataFrame) -> DataFrame:
 
 
 def log_rollup(log_rows: DataFrame, day_col: str = "timestamp") -> DataFrame:
-    """Requests per app, day, is_random and tier, with the random share per app-day."""
+    """Requests per app, day, is_random and tier."""
     day = F.to_date(day_col).alias("log_date")
     g = log_rows.groupBy("app_id", day, "is_random", "pltv_tier").agg(F.count(F.lit(1)).alias("requests"))
     return g
 
 
-def append_prediction_log(log_rows: DataFrame, path: str) -> bool:
-    """K1: append to a parquet table partitioned by app and day.
+def append_prediction_log(log_rows: DataFrame, path: str, batch_id: int | None = None) -> bool:
+    """K1: append to a parquet table partitioned by app and day; with ``batch_id``, replace
+    the rows of that streaming batch (safe to replay).
 
     A logging failure must never fail scoring: errors are reported and swallowed.
     Spark's file commit protocol makes each append all-or-nothing, so a lost executor
     causes a task retry, not duplicated rows.
     """
     try:
-        (log_rows.withColumn("log_date", F.to_date("timestamp"))
-         .write.mode("append").partitionBy("app_id", "log_date").parquet(path))
+        rows = log_rows.withColumn("log_date", F.to_date("timestamp"))
+        if batch_id is None:
+            rows.write.mode("append").partitionBy("app_id", "log_date").parquet(path)
+        else:
+            rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
         return True
     except Exception as e:  # noqa: BLE001
         log.warning("prediction log append failed: %s", e)

@@ -8,6 +8,7 @@ TIMESTAMP_NTZ, which ``normalize_events`` already casts away.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,17 +40,23 @@ def read_events_stream(spark: SparkSession, path: str, max_files_per_trigger: in
 
 # --------------------------------------------------------------------------- T1
 
-def score_batch_fn(feature_loader: Callable[[SparkSession], DataFrame], readiness: DataFrame,
-                   cfg: DataFrame, out_path: str, log_path: str | None = None):
-    """foreachBatch body for T1: look up the *current* feature table (re-read per batch —
-    a static DataFrame would keep the file list it was planned with), score, and write
-    the batch under its batch id (overwrite of that id only, so a replayed batch after a
-    failure replaces, never duplicates). Logging runs in its own try-block: a log failure
-    never fails scoring."""
+def _now(source, spark: SparkSession) -> DataFrame:
+    """A DataFrame, or what a loader gives for this batch."""
+    return source(spark) if callable(source) else source
+
+
+def score_batch_fn(feature_loader: Callable[[SparkSession], DataFrame], readiness, cfg, out_path: str,
+                   log_path: str | None = None):
+    """foreachBatch body for T1: look up the *current* feature table, readiness and tier
+    config (loaders are called per batch — a static DataFrame would keep the file list it
+    was planned with), score, and write the batch under its batch id. The log is written
+    under the batch id too, so a replayed batch replaces both, never duplicates. A log
+    failure is reported and never fails scoring (K1)."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         feats = LK.latest_per_key(feature_loader(spark))
-        ready = readiness.where(F.col("ready")).select("app_id")
+        readiness_now, cfg_now = _now(readiness, spark), _now(cfg, spark)
+        ready = readiness_now.where(F.col("ready")).select("app_id")
         req = batch.join(ready, "app_id")
         hit = req.join(feats, S.KEY)
         # a request served from a sticky decision (T3 upstream: ``anchor_us``) repeats the
@@ -60,21 +67,21 @@ def score_batch_fn(feature_loader: Callable[[SparkSession], DataFrame], readines
             draw = F.col("anchor_us")
         else:
             draw = F.unix_micros("request_ts")
-        scored = SP.score_rows(hit.select(*keep, *S.ALL_FEATURES), readiness, draw_extra=[draw])
-        tiered = LT.assign_tier(scored, cfg).withColumn("batch_id", F.lit(batch_id))
+        scored = SP.score_rows(hit.select(*keep, *S.ALL_FEATURES), readiness_now, draw_extra=[draw])
+        tiered = LT.assign_tier(scored, cfg_now).withColumn("batch_id", F.lit(batch_id))
         tiered = tiered.persist()
         try:
             (tiered.drop("trigger_scores").write.mode("overwrite")
              .parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}"))
             if log_path is not None:
                 LG.append_prediction_log(LG.flatten_for_log(tiered.withColumn("tier_avg_ltv", F.lit(None))),
-                                         f"{log_path.rstrip('/')}")
+                                         log_path, batch_id=batch_id)
         finally:
             tiered.unpersist()
     return run
 
 
-def score_stream(requests: DataFrame, feature_loader, readiness: DataFrame, cfg: DataFrame,
+def score_stream(requests: DataFrame, feature_loader, readiness, cfg,
                  out_path: str, checkpoint: str, log_path: str | None = None, trigger: dict | None = None):
     """Start the scoring stream. ``trigger`` e.g. {"availableNow": True}."""
     w = (requests.writeStream.foreachBatch(score_batch_fn(feature_loader, readiness, cfg, out_path, log_path))
@@ -92,68 +99,70 @@ FIRST_SESSION_OUT = T.StructType(
 _FS_STATE = T.StructType([
     T.StructField("t0_us", T.LongType()), T.StructField("install_id", T.LongType()),
     T.StructField("ev_ts", T.ArrayType(T.LongType())), T.StructField("ev_id", T.ArrayType(T.LongType())),
-    T.StructField("ev_type", T.ArrayType(T.StringType())),
+    T.StructField("ev_type", T.ArrayType(T.StringType())), T.StructField("done", T.BooleanType()),
 ])
 
 
+def _session_row(key, t0_us: int, install_id: int, events, window_us: int) -> pd.DataFrame:
+    counts = {c: 0.0 for c in S.INAPP_FEATURES}
+    feature_of = {ev: feat for feat, ev in S.INAPP_EVENT_OF.items()}
+    seen = set()
+    total = 0
+    for t, i, ty in events:
+        if i == install_id or not t0_us <= t < t0_us + window_us or ty is None:
+            continue
+        total += 1
+        seen.add(ty)
+        if ty in feature_of:
+            counts[feature_of[ty]] += 1.0
+    counts["total_events"] = float(total)
+    counts["n_event_types"] = float(len(seen))
+    return pd.DataFrame([{"app_id": key[0], "user_id": key[1], "t0": pd.Timestamp(t0_us, unit="us"), **counts}])
+
+
 def _first_session_fn(window_us: int):
+    """State until the row is out: the earliest install so far and the rows that may still
+    count. The watermark decides: a row at or before it can no longer arrive, so the
+    window's row is final once the watermark reaches its end — in a data batch as well as
+    on a timeout. Afterwards only the ``done`` flag stays, so that later sign-ups of the
+    user give no second row."""
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        app_id, user_id = key
-        if state.hasTimedOut:
-            t0_us, install_id, ts, ids, types = state.get
-            state.remove()
-            if t0_us is None:  # never installed within the watermark: nothing to emit
-                return
-            counts = {c: 0.0 for c in S.INAPP_FEATURES}
-            seen = set()
-            total = 0
-            for t, i, ty in zip(ts, ids, types):
-                if i == install_id or t < t0_us or t >= t0_us + window_us or ty is None:
-                    continue
-                total += 1
-                seen.add(ty)
-                for feat, ev in S.INAPP_EVENT_OF.items():
-                    if ty == ev:
-                        counts[feat] += 1.0
-            counts["total_events"] = float(total)
-            counts["n_event_types"] = float(len(seen))
-            row = {"app_id": app_id, "user_id": user_id, "t0": pd.Timestamp(t0_us, unit="us"), **counts}
-            yield pd.DataFrame([row])
+        t0_us, install_id, ts, ids, types, done = state.get if state.exists else (None, None, [], [], [], False)
+        events = list(zip(ts or [], ids or [], types or []))
+        if done:
+            for _ in pdfs:
+                pass
             return
-        if state.exists:
-            t0_us, install_id, ts, ids, types = state.get
-            ts, ids, types = list(ts), list(ids), list(types)
-        else:
-            t0_us, install_id, ts, ids, types = None, None, [], [], []
-        for pdf in pdfs:
-            tus = pdf["ts"].astype("datetime64[us]").astype(np.int64).to_numpy()
-            for t, i, ty, inst in zip(tus, pdf["event_id"].to_numpy(), pdf["event_type"], pdf["is_install"]):
-                if inst and (t0_us is None or (t, i) < (t0_us, install_id)):
-                    t0_us, install_id = int(t), int(i)
-                ts.append(int(t))
-                ids.append(int(i))
-                types.append(ty)
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                tus = pdf["ts"].astype("datetime64[us]").astype(np.int64).to_numpy()
+                for t, i, ty, inst in zip(tus.tolist(), pdf["event_id"].tolist(), pdf["event_type"], pdf["is_install"]):
+                    if inst and (t0_us is None or (t, i) < (t0_us, install_id)):
+                        t0_us, install_id = t, i
+                    events.append((t, i, ty))
         wm_ms = state.getCurrentWatermarkMs()
-        if t0_us is not None:
-            # keep only what can still fall into the session window
-            keep = [k for k, t in enumerate(ts) if t0_us <= t < t0_us + window_us]
-            ts, ids, types = [ts[k] for k in keep], [ids[k] for k in keep], [types[k] for k in keep]
-            state.update((t0_us, install_id, ts, ids, types))
-            state.setTimeoutTimestamp(max(int((t0_us + window_us) // 1000), wm_ms + 1))
-        else:
-            # no install yet: a later install must be at or after the watermark, so older
-            # rows can never fall into its window
-            keep = [k for k, t in enumerate(ts) if t >= wm_ms * 1000]
-            ts, ids, types = [ts[k] for k in keep], [ids[k] for k in keep], [types[k] for k in keep]
-            state.update((None, None, ts, ids, types))
-            state.setTimeoutTimestamp(max(int((max(ts) + window_us) // 1000) if ts else 0, wm_ms + 1))
-        yield pd.DataFrame(columns=[f.name for f in FIRST_SESSION_OUT.fields])
+        if t0_us is not None and wm_ms * 1000 >= t0_us + window_us:
+            state.update((t0_us, install_id, [], [], [], True))
+            yield _session_row(key, t0_us, install_id, events, window_us)
+            return
+        # an install that has yet to arrive lies after the watermark: rows before both it
+        # and the present install cannot count; with an install, later rows cannot either
+        low = wm_ms * 1000 if t0_us is None else min(t0_us, wm_ms * 1000)
+        events = [e for e in events if e[0] >= low and (t0_us is None or e[0] < t0_us + window_us)]
+        if t0_us is None and not events:
+            state.remove()
+            return
+        state.update((t0_us, install_id, *([e[k] for e in events] for k in range(3)), False))
+        due = (t0_us if t0_us is not None else max(e[0] for e in events)) + window_us
+        state.setTimeoutTimestamp(max(-(-due // 1000), wm_ms + 1))
     return fn
 
 
 def five_minute_trigger(events: DataFrame, window_s: float = 300, watermark: str = "10 minutes") -> DataFrame:
     """One row per installed user when event time passes t0 + window, with the
-    in-app counts of [t0, t0 + window). Anchored at the first open, so neither a tumbling
+    in-app counts of [t0, t0 + window). One row per user, whatever the order of arrival
+    within the watermark and however many sign-ups follow; the flag that ensures it is the
+    only state kept of a finished user. Anchored at the first open, so neither a tumbling
     window() nor a gap-based session_window() fits: a per-user state with an event-time
     timer does. Rows behind the watermark are dropped; a user without install in time
     produces nothing."""
@@ -170,37 +179,49 @@ STICKY_OUT = T.StructType([
     T.StructField("airbridge_uuid", T.StringType()), T.StructField("model_version", T.StringType()),
     T.StructField("request_ts", T.TimestampType()), T.StructField("anchor_us", T.LongType()),
 ])
-_STICKY_STATE = T.StructType([T.StructField("anchor_us", T.LongType())])
+_STICKY_STATE = T.StructType([T.StructField("anchor_us", T.LongType()), T.StructField("ts", T.ArrayType(T.LongType())),
+                              T.StructField("ids", T.ArrayType(T.LongType()))])
 
 
 def _sticky_fn(ttl_us: int):
+    """Requests wait in state until the watermark has reached them (no earlier one can
+    follow), then are decided in event-time order, ties by request id."""
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        anchor = state.get[0] if state.exists else None
-        parts = [p for p in pdfs if not p.empty]
-        if not parts:
-            return
-        pdf = pd.concat(parts)
-        pdf["_us"] = pdf["request_ts"].astype("datetime64[us]").astype(np.int64)
-        pdf = pdf.sort_values(["_us", "request_id"])
-        out = np.empty(len(pdf), dtype=np.int64)
-        for i, t in enumerate(pdf["_us"].to_numpy()):
+        anchor, ts, ids = state.get if state.exists else (None, [], [])
+        waiting = list(zip(ts or [], ids or []))
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                us = pdf["request_ts"].astype("datetime64[us]").astype(np.int64)
+                waiting += zip(us.tolist(), pdf["request_id"].tolist())
+        waiting.sort()
+        wm_ms = state.getCurrentWatermarkMs()
+        ready = bisect.bisect_right(waiting, wm_ms * 1000, key=lambda w: w[0])
+        out = []
+        for t, i in waiting[:ready]:
             if anchor is None or t - anchor >= ttl_us:
-                anchor = int(t)
-            out[i] = anchor
-        state.update((anchor,))
-        state.setTimeoutTimestamp(max(int((anchor + ttl_us) // 1000), state.getCurrentWatermarkMs() + 1))
-        pdf["anchor_us"] = out
-        yield pdf[[f.name for f in STICKY_OUT.fields]]
+                anchor = t
+            out.append((i, t, anchor))
+        waiting = waiting[ready:]
+        if waiting:
+            state.update((anchor, [w[0] for w in waiting], [w[1] for w in waiting]))
+            state.setTimeoutTimestamp(max(-(-waiting[0][0] // 1000), wm_ms + 1))
+        elif anchor is not None and anchor + ttl_us > wm_ms * 1000:
+            state.update((anchor, [], []))
+            state.setTimeoutTimestamp(max(-(-(anchor + ttl_us) // 1000), wm_ms + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame({"request_id": [o[0] for o in out], "app_id": key[0], "airbridge_uuid": key[1], "model_version": key[2],
+                                "request_ts": pd.to_datetime([o[1] for o in out], unit="us"), "anchor_us": [o[2] for o in out]})
     return fn
 
 
 def sticky_decisions_stream(requests: DataFrame, ttl_s: float = S.DECISION_TTL_SECONDS,
                             watermark: str = "1 hour") -> DataFrame:
-    """The anchored-TTL rule of W4 over a request stream; state = current anchor per
-    (app, user, model_version), dropped once event time passes anchor + TTL."""
+    """The anchored-TTL rule of W4 over a request stream, in event-time order whatever
+    the order of arrival within the watermark: a request is decided once the watermark
+    reaches it. State per (app, user, model_version): the anchor and the requests that
+    wait; dropped once event time passes anchor + TTL."""
     ttl_us = int(round(ttl_s * US_PER_SECOND))
     src = requests.select("request_id", "app_id", "airbridge_uuid", "model_version", "request_ts") \
                   .withWatermark("request_ts", watermark)
@@ -219,13 +240,11 @@ def dedupe_requests_stream(requests: DataFrame, watermark: str = "1 hour") -> Da
 
 def log_stream(responses: DataFrame, log_path: str, checkpoint: str, trigger: dict | None = None):
     """T5: append flattened log rows per micro-batch; the batch id is written with the rows
-    and a replayed batch overwrites its own partition only (idempotent)."""
+    and a replayed batch overwrites its own partition only (idempotent). A failed write
+    fails the batch, which is then retried from the checkpoint: no log row is lost."""
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = LG.flatten_for_log(batch).withColumn("batch_id", F.lit(batch_id))
-        try:
-            rows.write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}")
-        except Exception:  # noqa: BLE001 — logging must never stop the stream
-            pass
+        rows.write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}")
     w = responses.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 

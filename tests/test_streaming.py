@@ -41,41 +41,135 @@ def _run(df, name, mode="append"):
     return df.sparkSession.table(name)
 
 
+def _write_in_turn(table, folder, n, sentinel, seed=None):
+    """``n`` files and then the sentinel's, with rising modification times (the order in
+    which the file source takes them). With a seed the rows are dealt at random: every
+    file holds rows of all times."""
+    import numpy as np
+    order = np.arange(table.num_rows) if seed is None else np.random.default_rng(seed).permutation(table.num_rows)
+    parts = [table.take(order[i::n] if seed is not None else order[i * len(order) // n:(i + 1) * len(order) // n]) for i in range(n)]
+    for i, part in enumerate([*parts, sentinel]):
+        path = os.path.join(folder, f"part-{i:02d}.parquet")
+        pq.write_table(part, path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+@pytest.fixture(scope="module")
+def shuffled_dir(tmp_path_factory, replay_dir):
+    import datetime as dt
+    import pyarrow as pa
+    d = str(tmp_path_factory.mktemp("events_shuffled"))
+    t = pq.read_table(f"{SF_CHECK}/events.parquet")
+    end = pq.read_table(os.path.join(replay_dir, "part-99.parquet"))
+    end = end.set_column(end.schema.get_field_index("ts"), "ts", pa.array([dt.datetime(2090, 1, 1)], t.schema.field("ts").type))
+    _write_in_turn(t, d, 6, end.cast(t.schema), seed=3)
+    return d
+
+
+def _first_session_rows(df):
+    cols = ["app_id", "user_id", "product_viewed_count", "home_viewed", "total_events", "n_event_types"]
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+def _first_sessions(spark, window_s):
+    """Batch form; users with no in-app event in the window are absent there: fill 0."""
+    ev = read_events(spark, SF_CHECK)
+    inst = FT.installs(ev)
+    want = FT.inapp_features(FT.attach_install(ev, inst), window_s=window_s)
+    return _first_session_rows(inst.select("app_id", "user_id").join(want, ["app_id", "user_id"], "left").na.fill(0.0))
+
+
 @pytest.mark.parametrize("window_s", [24 * 3600, 300])   # fixture window and product default
 def test_first_session_stream_equals_batch(spark, replay_dir, window_s):
-    stream = ST.read_events_stream(spark, replay_dir, max_files_per_trigger=2)
+    stream = ST.read_events_stream(spark, replay_dir, max_files_per_trigger=1)
     got = _run(ST.five_minute_trigger(stream, window_s=window_s, watermark="1 hour"), f"t2_out_{window_s}")
-    ev = read_events(spark, SF_CHECK)
-    want = FT.inapp_features(FT.attach_install(ev, FT.installs(ev)), window_s=window_s)
-    inst = FT.installs(ev)
-    # users with no in-app event in the window are absent from the batch form: fill 0
-    want = inst.select("app_id", "user_id").join(want, ["app_id", "user_id"], "left").na.fill(0.0)
-    g = {(r.app_id, r.user_id): r for r in got.collect()}
-    w = {(r.app_id, r.user_id): r for r in want.collect()}
-    assert set(g) == set(w)
-    for k, r in w.items():
-        for c in ["product_viewed_count", "home_viewed", "total_events", "n_event_types"]:
-            assert g[k][c] == r[c], (k, c)
+    assert _first_session_rows(got) == _first_sessions(spark, window_s)   # rows, not users: one each
+
+
+def test_first_session_out_of_order(spark, shuffled_dir):
+    stream = ST.read_events_stream(spark, shuffled_dir, max_files_per_trigger=1)
+    got = _run(ST.five_minute_trigger(stream, window_s=86400, watermark="9000 days"), "t2_shuffled")
+    assert _first_session_rows(got) == _first_sessions(spark, 86400)
 
 
-def test_sticky_stream_equals_batch(spark, replay_dir):
+def _hand_made(folder, files, start="2024-03-01"):
+    """One parquet file per list of (event id, minutes, user, type)."""
+    import datetime as dt
+    import pyarrow as pa
+    base = dt.datetime.fromisoformat(start)
+    schema = pq.read_schema(f"{SF_CHECK}/events.parquet")
+    for n, rows in enumerate(files):
+        t = pa.table({"event_id": [r[0] for r in rows], "ts": [base + dt.timedelta(minutes=r[1]) for r in rows], "user_id": [r[2] for r in rows],
+                      "event_type": [r[3] for r in rows], "value": [0.0] * len(rows), "props": ['{"k": 1}'] * len(rows)}).cast(schema)
+        path = os.path.join(folder, f"f{n:02d}.parquet")
+        pq.write_table(t, path)
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+
+
+def test_first_session_emits_once_and_in_time(spark, tmp_path):
+    # a second sign-up after the row is out, and rows that keep arriving after the window
+    _hand_made(str(tmp_path), [[(1, 0, 7, "signup"), (2, 2, 7, "view")], [(3, 30, 7, "view")], [(4, 60, 7, "signup")],
+                               [(5, 90, 7, "view"), (6, 61, 7, "view")], [(7, 500, 8, "view")], [(8, 2000, 9, "view")]])
+    stream = ST.read_events_stream(spark, str(tmp_path), max_files_per_trigger=1)
+    rows = _run(ST.five_minute_trigger(stream, window_s=300, watermark="1 minute"), "t2_once").collect()
+    assert [(r.user_id, r.total_events) for r in rows] == [(rows[0].user_id, 1.0)]
+
+
+def _request_table(spark):
     ev = read_events(spark, SF_CHECK)
-    inst = FT.installs(ev)
-    req = (ev.where(F.col("touch_type") == "click").join(inst, ["app_id", "user_id"])
-           .where(F.col("ts") > F.col("t0"))
-           .select(F.col("event_id").alias("request_id"), "app_id", F.col("user_id").alias("airbridge_uuid"),
-                   F.lit("v1").alias("model_version"), F.col("ts").alias("request_ts")))
-    batch = {r.request_id: r.anchor_us for r in PO.sticky_decisions(req, ttl_s=86400).collect()}
-    stream = ST.read_events_stream(spark, replay_dir, max_files_per_trigger=2)
-    # the stream sees requests without the batch-side install join: feed it the same rows
-    req_ids = spark.createDataFrame([(k,) for k in batch], "request_id long")
-    sreq = (stream.where(F.col("touch_type") == "click")
-            .join(req_ids, F.col("event_id") == F.col("request_id"), "inner")
-            .select("request_id", "app_id", F.col("user_id").alias("airbridge_uuid"),
+    return (ev.where(F.col("touch_type") == "click").join(FT.installs(ev), ["app_id", "user_id"])
+            .where(F.col("ts") > F.col("t0"))
+            .select(F.col("event_id").alias("request_id"), "app_id", F.col("user_id").cast("string").alias("airbridge_uuid"),
                     F.lit("v1").alias("model_version"), F.col("ts").alias("request_ts")))
-    got = _run(ST.sticky_decisions_stream(sreq, ttl_s=86400, watermark="48 hours"), "t3_out")
-    g = {r.request_id: r.anchor_us for r in got.collect()}
-    assert g == batch
+
+
+@pytest.mark.parametrize("seed,watermark", [(None, "48 hours"), (5, "9000 days")])
+def test_sticky_stream_equals_batch(spark, tmp_path, seed, watermark):
+    import datetime as dt
+    import pyarrow as pa
+    req = _request_table(spark)
+    want = sorted((r.request_id, r.anchor_us) for r in PO.sticky_decisions(req, ttl_s=86400).collect())
+    req.coalesce(1).write.parquet(str(tmp_path / "all"))
+    t = pq.read_table(str(tmp_path / "all")).sort_by("request_ts")
+    t = t.set_column(4, "request_ts", t["request_ts"].cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC")))
+    end = pa.table({"request_id": [-1], "app_id": ["end"], "airbridge_uuid": ["end"], "model_version": ["v1"],
+                    "request_ts": pa.array([dt.datetime(2090, 1, 1)], pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))})
+    os.makedirs(tmp_path / "in")
+    _write_in_turn(t, str(tmp_path / "in"), 6, end, seed=seed)
+    stream = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = _run(ST.sticky_decisions_stream(stream, ttl_s=86400, watermark=watermark), f"t3_out_{seed}")
+    assert sorted((r.request_id, r.anchor_us) for r in got.where("request_id >= 0").collect()) == want
+
+
+def test_sticky_stream_decides_in_event_time_order(spark, tmp_path):
+    import datetime as dt
+    import pyarrow as pa
+    at = lambda h, m=0: dt.datetime(2024, 3, 1, h, m)
+    schema = "request_id long, app_id string, airbridge_uuid string, model_version string, request_ts timestamp"
+    files = [[(1, at(2))], [(2, at(0, 30))], [(3, at(1, 0)), (4, at(1, 45))], [(9, at(23))], [(10, dt.datetime(2024, 3, 3))]]
+    for n, rows in enumerate(files):
+        d = str(tmp_path / f"w{n}")
+        spark.createDataFrame([(i, "a", "u" if i < 9 else "z", "v", t) for i, t in rows], schema).coalesce(1).write.parquet(d)
+        name = next(f for f in os.listdir(d) if f.endswith(".parquet"))
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        dst = str(tmp_path / "in" / f"{n}.parquet")
+        t = pq.read_table(os.path.join(d, name))
+        pq.write_table(t.set_column(4, "request_ts", t["request_ts"].cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))), dst)
+        os.utime(dst, (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = _run(ST.sticky_decisions_stream(stream, ttl_s=3600, watermark="3 hours"), "t3_order")
+    us = lambda t: int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    assert {r.request_id: r.anchor_us for r in got.where("airbridge_uuid = 'u'").collect()} == {
+        2: us(at(0, 30)), 3: us(at(0, 30)), 4: us(at(1, 45)), 1: us(at(1, 45))}
+
+
+def test_replayed_batch_replaces_its_log(spark, tmp_path):
+    from onramp.operators.logs import append_prediction_log
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "x int, app_id string").withColumn("timestamp", F.current_timestamp())
+    for _ in range(2):
+        assert append_prediction_log(rows, str(tmp_path / "log"), batch_id=7)
+    assert append_prediction_log(rows.limit(1), str(tmp_path / "log"), batch_id=8)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 3
 
 
 def test_touch_rollup_stream_equals_batch(spark, replay_dir):
@@ -168,6 +262,8 @@ def test_sticky_then_score_stream_equals_batch(spark, tmp_path):
             part = part.where(F.unix_micros("request_ts") <= edges[i + 1])
         part.coalesce(1).write.mode("append").parquet(req_dir)
         _time.sleep(1.1)
+    last = req.limit(1).withColumn("request_ts", F.lit("2090-01-01 00:00:00").cast(req.schema["request_ts"].dataType))
+    last.withColumn("airbridge_uuid", F.lit("nobody").cast(req.schema["airbridge_uuid"].dataType)).coalesce(1).write.mode("append").parquet(req_dir)
     fx.features_with_duplicates.write.parquet(feat_dir)
     stream = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 2).parquet(req_dir)
     sticky = ST.sticky_decisions_stream(stream, ttl_s=3600, watermark="2 hours")
