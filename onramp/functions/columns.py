@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,13 +77,16 @@ def uniform_draw(seed: str, *parts) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def left_rank(sorted_arr, x, max_len: int = 1000) -> Column:
+# halvings that exhaust any array (its size is a 32-bit int)
+SEARCH_STEPS = 32
+
+
+def left_rank(sorted_arr, x) -> Column:
     """Number of elements of an ascending array strictly below x (numpy searchsorted 'left').
 
     Binary search as a higher-order ``aggregate``; one plan serves many apps with
     different arrays. NaN x sorts after every number in Spark, so it gets len(arr).
     """
-    steps = max(1, math.ceil(math.log2(max_len + 1)) + 1)
     arr = col_(sorted_arr)
     n = F.size(arr)
     init = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
@@ -97,7 +99,7 @@ def left_rank(sorted_arr, x, max_len: int = 1000) -> Column:
             F.when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
              .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SEARCH_STEPS)), init, step)["lo"]
 
 
 def first_matching_tier(tiers, score, default: str = "low") -> Column:

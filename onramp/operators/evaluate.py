@@ -2,9 +2,9 @@
 factor scores from data moments (M7), drift (M13), as-of response attribution (J9),
 randomised-trigger rates (A7) and off-policy value (A8).
 
-Per-app rank questions use per-app cut points from ``percentile_approx`` (a mergeable
-sketch, combined map-side) followed by a row-local comparison, instead of a window over
-the whole app, which would put an app holding a third of all users into one task.
+Per-app rank questions use exact ranks from range partitions (``ranks``) instead of a
+window over the whole app, which would put an app holding a third of all users into one
+task.
 """
 
 from __future__ import annotations
@@ -14,23 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schema as S
-from ..functions.columns import US_PER_SECOND, left_rank, safe_div
-from .ltv import QUANTILE_ACCURACY
+from ..functions.columns import US_PER_SECOND, safe_div
+from .ranks import ntile, ranked
 
-DECILE_POINTS = [i / 10 for i in range(1, 10)]
 
-
-def score_deciles(df: DataFrame, score: str, group: str = "app_id",
-                  accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
-    """Decile 1 (top) .. 10 (bottom) within the group.
-
-    Cut points are the 10 %, ..., 90 % score quantiles; decile = 10 - #(cuts < score).
-    Ties always share a decile (rank-based ntile would split them arbitrarily).
-    """
-    cuts = df.groupBy(group).agg(F.percentile_approx(score, DECILE_POINTS, accuracy).alias("_cuts"))
-    out = df.join(cuts, group, "left")
-    return (out.withColumn("decile", (F.lit(10) - left_rank(F.col("_cuts"), F.col(score), 9)).cast("int"))
-            .drop("_cuts"))
+def score_deciles(df: DataFrame, score: str, group: str = "app_id", key: str = "airbridge_uuid") -> DataFrame:
+    """Decile 1 (top) .. 10 (bottom) within the group: ntile(10) by score, highest
+    first (NULL last), ties by key."""
+    r = ranked(df, group, F.col(score).desc(), F.col(key).asc())
+    return r.withColumn("decile", ntile(F.col("_rank"), F.col("_n"), 10)).drop("_rank", "_n")
 
 
 def decile_table(deciled: DataFrame, label: str, score: str, group: str = "app_id") -> DataFrame:
@@ -50,11 +42,11 @@ def decile_lift(table: DataFrame, group: str = "app_id") -> DataFrame:
     ).withColumn("lift", safe_div(F.col("top_rate"), F.col("bottom_rate")))
 
 
-def top_fraction(df: DataFrame, score: str, frac: float = 0.1, group: str = "app_id",
-                 accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
-    """L2: rows whose score is above the group's (1 - frac) quantile (targeting list)."""
-    cut = df.groupBy(group).agg(F.percentile_approx(score, 1.0 - frac, accuracy).alias("_cut"))
-    return df.join(cut, group).where(F.col(score) > F.col("_cut")).drop("_cut")
+def top_fraction(df: DataFrame, score: str, frac: float = 0.1, group: str = "app_id", key: str = "airbridge_uuid") -> DataFrame:
+    """L2: the ceil(frac n) rows of each group with the highest scores, ties by key
+    (targeting list)."""
+    r = ranked(df, group, F.col(score).desc(), F.col(key).asc())
+    return r.where(F.col("_rank") <= F.ceil(F.round(F.lit(float(frac)) * F.col("_n"), 9))).drop("_rank", "_n")
 
 
 def tier_table(tiered: DataFrame, actual: str = "ltv", group: str = "app_id") -> DataFrame:

@@ -38,8 +38,9 @@ def latest_per_key(df: DataFrame, key=S.KEY, order: str = "row_no") -> DataFrame
     """
     others = [c for c in df.columns if c not in key]
     packed = F.struct(*[F.col(c) for c in others])
-    return (df.where(F.col(order).isNotNull())
-            .groupBy(*key).agg(F.max_by(packed, F.col(order)).alias("_r"))
+    # a NULL order comes before every other: such a row wins only where it is alone
+    rank = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("order"))
+    return (df.groupBy(*key).agg(F.max_by(packed, rank).alias("_r"))
             .select(*key, *[F.col(f"_r.{c}").alias(c) for c in others]))
 
 

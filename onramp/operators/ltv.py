@@ -13,11 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.columns import double_array, first_matching_tier, left_rank, percentile_from_rank
-
-# accuracy of percentile_approx: relative rank error 1/accuracy, exact below roughly
-# accuracy/2 rows per app, bounded memory (a mergeable sketch) at any size.
-QUANTILE_ACCURACY = 100_000
+from ..functions.columns import first_matching_tier, left_rank, percentile_from_rank
+from .ranks import quantiles
 
 
 def quantile_points(n: int) -> list[float]:
@@ -27,8 +24,7 @@ def quantile_points(n: int) -> list[float]:
     return [i / (n - 1) for i in range(n)]
 
 
-def assign_tier(df: DataFrame, cfg: DataFrame, score: str = "pltv_score",
-                max_quantiles: int = 1000) -> DataFrame:
+def assign_tier(df: DataFrame, cfg: DataFrame, score: str = "pltv_score") -> DataFrame:
     """M5 + M6 + J6: adds pltv_tier, pltv_percentile, tier_avg_ltv.
 
     Tiers in listed order, first ``score >= threshold``; none -> 'low' (also NaN).
@@ -41,7 +37,7 @@ def assign_tier(df: DataFrame, cfg: DataFrame, score: str = "pltv_score",
     ok = F.col(score).isNotNull() & F.col("_tiers").isNotNull()
     tier = F.when(ok, first_matching_tier(F.col("_tiers"), F.col(score), S.DEFAULT_TIER))
     q = F.coalesce(F.col("_q"), F.array().cast("array<double>"))
-    rank = left_rank(q, F.col(score), max_quantiles)
+    rank = left_rank(q, F.col(score))
     pct = F.when(ok, F.when(F.isnan(F.col(score)) & (F.size(q) > 0), F.lit(99))
                   .otherwise(percentile_from_rank(rank, F.size(q))))
     avg = F.when(ok, F.coalesce(F.try_element_at(F.col("_avg"), tier), F.lit(0.0)))
@@ -50,22 +46,18 @@ def assign_tier(df: DataFrame, cfg: DataFrame, score: str = "pltv_score",
 
 
 def build_tier_config(scored: DataFrame, score: str = "pltv_score", actual: str | None = "ltv",
-                      n_quantiles: int = 1000, high: float = 0.8, medium: float = 0.5,
-                      accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
+                      n_quantiles: int = 1000, high: float = 0.8, medium: float = 0.5) -> DataFrame:
     """Per app, thresholds at the ``high`` / ``medium`` quantiles of the score and 0,
     ``n_quantiles`` ascending score quantiles, and mean actual LTV per assigned tier.
 
-    Quantiles come from ``percentile_approx`` — partial aggregation map-side, a bounded
-    sketch per app, so one app holding a third of all users is still spread over every
-    task. Below ~accuracy/2 users per app it is exact (the rank-ceil quantile).
+    Quantiles are exact at every size (the value of rank ceil(p n)): scores are ranked in
+    range partitions, so an app holding a third of all users is spread over many tasks.
     """
     s = scored.where(F.col(score).isNotNull())
     pts = quantile_points(n_quantiles)
-    # one sketch per app answers both the thresholds and the quantile list
+    # one ranking answers both the thresholds and the quantile list
     n = len(pts)
-    base = (s.groupBy("app_id").agg(
-        F.percentile_approx(score, double_array(pts + [float(high), float(medium)]), accuracy).alias("_q"),
-    ).select(
+    base = (quantiles(s, "app_id", score, pts + [float(high), float(medium)]).select(
         "app_id",
         F.slice("_q", n + 1, 2).alias("_thr"),
         F.slice("_q", 1, n).alias("score_percentiles"),
@@ -83,7 +75,7 @@ def build_tier_config(scored: DataFrame, score: str = "pltv_score", actual: str
                    .select("app_id", "tiers", "tier_avg_ltv", "score_percentiles")
     tiered = assign_tier(s.select("app_id", score, actual),
                          base.withColumn("tier_avg_ltv", F.create_map().cast("map<string,double>")),
-                         score=score, max_quantiles=n_quantiles)
+                         score=score)
     means = (tiered.groupBy("app_id", "pltv_tier").agg(F.avg(actual).alias("_m"))
              .groupBy("app_id").agg(F.map_from_entries(F.collect_list(F.struct("pltv_tier", "_m")))
                                    .alias("tier_avg_ltv")))

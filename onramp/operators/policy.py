@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .. import schema as S
 from ..functions.columns import US_PER_SECOND, uniform_draw
+from ..session import materialize
 
 
 def best_trigger_col(triggers=S.TREATMENT_TRIGGERS) -> Column:
@@ -67,21 +69,27 @@ def users_x_triggers(df: DataFrame, triggers=S.TREATMENT_TRIGGERS) -> DataFrame:
 # --------------------------------------------------------------------------- W4
 
 def _anchor_stream(ttl_us: int, out_cols: list[str]):
+    """Rows sorted by (island, time) in; the anchor of each added. Inside a batch an island
+    is walked from anchor to anchor by binary search; only the open island's anchor is
+    carried to the next batch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key = None
-        anchor = 0
+        last, anchor = None, 0
         for pdf in batches:
             if pdf.empty:
                 continue
-            keys = pdf["_key"].to_numpy()
+            keys = pdf["_island"].to_numpy()
             ts = pdf["_ts"].to_numpy(dtype=np.int64)
             out = np.empty(len(pdf), dtype=np.int64)
-            for i in range(len(pdf)):
-                k = keys[i]
-                if k != last_key or ts[i] - anchor >= ttl_us:
-                    last_key = k
-                    anchor = ts[i]
-                out[i] = anchor
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if keys[a] != last:
+                    last, anchor = keys[a], int(ts[a])
+                while a < b:
+                    if ts[a] - anchor >= ttl_us:
+                        anchor = int(ts[a])
+                    end = a + int(np.searchsorted(ts[a:b], anchor + ttl_us, side="left"))
+                    out[a:end] = anchor
+                    a = end
             pdf["anchor_us"] = out
             yield pdf[out_cols]
     return run
@@ -89,34 +97,50 @@ def _anchor_stream(ttl_us: int, out_cols: list[str]):
 
 def sticky_decisions(requests: DataFrame, ttl_s: float = S.DECISION_TTL_SECONDS,
                      key=("app_id", "airbridge_uuid", "model_version"), ts: str = "request_ts",
-                     order_tiebreak: str = "request_id", num_partitions: int | None = None) -> DataFrame:
+                     order_tiebreak: str = "request_id") -> DataFrame:
     """For each request, the time of the decision it is served from (``anchor_ts``).
 
     A decision made at a is reused while ts - a < ttl (strict) and is never extended by a
     hit; the first request at or after a + ttl makes a new one. Keyed by app, user and
     model_version, so a model change starts fresh decisions.
 
-    Anchors are sequential within a key, so this is a secondary-sort scan: rows are
-    hash-partitioned by key, sorted by (key, ts, request id) inside each partition, and
-    one streaming pass (``mapInPandas``) carries only the current anchor. Memory is
-    O(batch) whatever a key's size; keys run in parallel across tasks; rows pass through
-    whole, so there is no join back.
+    A request with no request of its key in the TTL before it always decides anew, so each
+    key falls into independent islands:
+      1. time is cut into TTL-wide buckets; only the first request of a bucket can start an
+         island, and does so unless the bucket before has one less than a TTL earlier. One
+         aggregate row per (key, bucket) is enough to number the islands of a key;
+      2. requests take their island by an equi-join on (key, bucket), which spreads a hot
+         key over its buckets;
+      3. an island shorter than the TTL has one decision, its first request: no Python;
+      4. only longer islands are walked in time order, one island per task stretch, from
+         anchor to anchor.
     """
     if order_tiebreak not in requests.columns:
         raise ValueError(f"sticky_decisions needs a unique request id column {order_tiebreak!r}")
     ttl_us = int(round(ttl_s * US_PER_SECOND))
-    k = list(key)
     # NULL key parts are folded into one string key; the separator cannot occur in ids.
-    key_str = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in k])
-    base = requests.withColumn("_key", key_str).withColumn("_ts", F.unix_micros(ts))
+    key_str = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in key])
+    base = (requests.withColumn("_key", key_str).withColumn("_ts", F.unix_micros(ts))
+            .withColumn("_bucket", F.floor(F.col("_ts") / F.lit(ttl_us)).cast("bigint")))
+    buckets = base.groupBy("_key", "_bucket").agg(F.min("_ts").alias("_lo"), F.max("_ts").alias("_hi"))
+    # one row per active TTL of a key
+    w = Window.partitionBy("_key").orderBy("_bucket")
+    apart = F.coalesce(F.col("_lo") - F.lag("_hi").over(w) >= ttl_us, F.lit(True))
+    numbered = buckets.withColumn("_no", F.sum(apart.cast("bigint")).over(w))
+    whole = Window.partitionBy("_key", "_no")
+    islands = materialize(numbered.select(
+        F.col("_key").alias("_k"), F.col("_bucket").alias("_b"), "_no", F.min("_lo").over(whole).alias("_first"),
+        (F.max("_hi").over(whole) - F.min("_lo").over(whole) >= ttl_us).alias("_long")), "islands")
+    placed = base.join(islands, (F.col("_key") == F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b")))
     out_cols = list(requests.columns) + ["anchor_us"]
+    short = placed.where(~F.col("_long") | F.col("_long").isNull()).select(*requests.columns, F.col("_first").alias("anchor_us"))
     schema = T.StructType(list(requests.schema.fields) + [T.StructField("anchor_us", T.LongType())])
-    # hash-partition by key (never ``rebalance``: splitting a key would break its anchor
-    # chain); without an explicit count AQE sizes the partitions from the data
-    parted = base.repartition(num_partitions, "_key") if num_partitions else base.repartition("_key")
-    return (parted.sortWithinPartitions("_key", "_ts", order_tiebreak)
-            .mapInPandas(_anchor_stream(ttl_us, out_cols), schema)
-            .withColumn("anchor_ts", F.timestamp_micros("anchor_us")))
+    walked = (placed.where("_long").withColumn("_island", F.concat_ws("\u0001", "_key", F.col("_no").cast("string")))
+              .select(*requests.columns, "_island", "_ts")
+              # never ``rebalance``: splitting an island would break its anchor chain
+              .repartition("_island").sortWithinPartitions("_island", "_ts", order_tiebreak)
+              .mapInPandas(_anchor_stream(ttl_us, out_cols), schema))
+    return short.unionByName(walked).withColumn("anchor_ts", F.timestamp_micros("anchor_us"))
 
 
 def repeat_request_stats(decisions: DataFrame, ts: str = "request_ts") -> DataFrame:
@@ -146,100 +170,3 @@ def coupon_action(df: DataFrame, rules=DEFAULT_COUPON_RULES, default: str = "non
         c = F.expr(cond)
         out = F.when(c, F.lit(action)) if out is None else out.when(c, F.lit(action))
     return df.withColumn("coupon_action", out.otherwise(F.lit(default)) if out is not None else F.lit(default))
-
-
-# --------------------------------------------------------------------------- W4, split form
-
-def sticky_decisions_split(requests: DataFrame, ttl_s: float = S.DECISION_TTL_SECONDS,
-                           key=("app_id", "airbridge_uuid", "model_version"), ts: str = "request_ts",
-                           order_tiebreak: str = "request_id", max_levels: int = 40) -> DataFrame:
-    """W4 without routing a key through one task (same result as ``sticky_decisions``).
-
-    Time is cut into TTL-wide buckets; two anchors of a key are at least a TTL apart, so
-    a request's anchor is in its own bucket or the one before, and the request that
-    follows an anchor a as the next anchor is the first request at or after a + TTL:
-      1. ``nxt(r)`` = first request of the key at or after ts(r) + TTL — an as-of look-up
-         into the next bucket (window per (key, bucket)), else the first request of any
-         later bucket (window over a per-bucket summary, one row per bucket);
-      2. anchors = requests reachable from each key's first request along ``nxt``:
-         pointer doubling (nxt^2, nxt^4, ...) then expansion, each level a join on the
-         request id (evenly hashed: a hot user is spread over all tasks), each level
-         written to the checkpoint folder to cut lineage;
-      3. each request takes the latest anchor at or before it among the anchors of its
-         bucket and the previous one (at most two candidates: an equi-join, no explosion).
-    Cost: about 2 * log2(decisions per key) shuffles of the request ids, vs one for the
-    streaming scan; use it when single keys are very large.
-    """
-    from pyspark.sql.window import Window
-
-    from ..session import materialize
-
-    if order_tiebreak not in requests.columns:
-        raise ValueError(f"sticky_decisions_split needs a unique request id column {order_tiebreak!r}")
-    T_us = int(round(ttl_s * US_PER_SECOND))
-    k = list(key)
-    # NULL key parts folded into one string key (same rule as the scan form)
-    key_str = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in k])
-    r = requests.select(key_str.alias("_k"), F.col(order_tiebreak).cast("bigint").alias("rid"),
-                        F.unix_micros(ts).alias("t"))
-    r = r.withColumn("b", F.floor(F.col("t") / F.lit(T_us)).cast("bigint"))
-
-    # 1. next-anchor candidate of every request
-    cand = r.select("_k", "b", "t", F.lit(1).alias("kind"), F.col("rid").alias("cid"),
-                    F.lit(None).cast("bigint").alias("qid"))
-    qry = r.select("_k", (F.col("b") + 1).alias("b"), (F.col("t") + F.lit(T_us)).alias("t"), F.lit(0).alias("kind"),
-                   F.lit(None).cast("bigint").alias("cid"), F.col("rid").alias("qid"))
-    w_next = Window.partitionBy("_k", "b").orderBy("t", "kind", "cid").rowsBetween(0, Window.unboundedFollowing)
-    near = (qry.unionByName(cand)
-            .withColumn("_nx", F.first(F.when(F.col("kind") == 1, F.struct("t", "cid")), ignorenulls=True).over(w_next))
-            .where(F.col("kind") == 0).select(F.col("qid").alias("rid"), "_k", "b", F.col("_nx.cid").alias("near")))
-    firsts = r.groupBy("_k", "b").agg(F.min(F.struct("t", "rid")).alias("_f"))
-    w_far = Window.partitionBy("_k").orderBy("b").rangeBetween(1, Window.unboundedFollowing)
-    # for a query landing in bucket b (= request bucket + 1): first request of buckets > b
-    # every bucket a look-up can land in gets a summary row (empty buckets included)
-    slots = r.select("_k", (F.col("b") + 1).alias("b")).distinct().join(firsts, ["_k", "b"], "full")
-    far = slots.select("_k", "b", F.first(F.col("_f.rid"), ignorenulls=True).over(w_far).alias("far"))
-    nxt = materialize(near.join(far, ["_k", "b"], "left")
-                      .select("rid", F.coalesce("near", "far").alias("nxt")), "sticky_nxt")
-
-    # 2. anchors reachable from each key's first request
-    heads = firsts.groupBy("_k").agg(F.min("_f").alias("_h")).select(F.col("_h.rid").alias("rid"))
-    jumps = [nxt]
-    while len(jumps) < max_levels:
-        cur = jumps[-1]
-        if cur.where(F.col("nxt").isNotNull()).limit(1).count() == 0:
-            break
-        nxt2 = cur.alias("x").join(cur.alias("y"), F.col("x.nxt") == F.col("y.rid"), "left") \
-                  .select(F.col("x.rid").alias("rid"), F.col("y.nxt").alias("nxt"))
-        jumps.append(materialize(nxt2, "sticky_jump"))
-    anchors = heads
-    for j in jumps:
-        step = anchors.join(j, "rid").where(F.col("nxt").isNotNull()).select(F.col("nxt").alias("rid"))
-        anchors = materialize(anchors.unionByName(step).distinct(), "sticky_anchors")
-
-    # 3. latest anchor at or before each request (same or previous bucket)
-    a = anchors.join(r, "rid").select("_k", F.col("b").alias("ab"), F.col("t").alias("at"), F.col("rid").alias("arid"))
-    a2 = a.withColumn("b", F.explode(F.array(F.col("ab"), F.col("ab") + 1)))
-    cover = (r.join(a2, ["_k", "b"])
-             .where(F.struct("at", "arid") <= F.struct("t", "rid"))
-             .groupBy("rid").agg(F.max(F.struct("at", "arid")).alias("_a"))
-             .select("rid", F.col("_a.at").alias("anchor_us")))
-    return (requests.join(cover, F.col(order_tiebreak).cast("bigint") == F.col("rid"), "left").drop("rid")
-            .withColumn("anchor_ts", F.timestamp_micros("anchor_us")))
-
-
-def sticky_decisions_auto(requests: DataFrame, ttl_s: float = S.DECISION_TTL_SECONDS,
-                          key=("app_id", "airbridge_uuid", "model_version"), ts: str = "request_ts",
-                          order_tiebreak: str = "request_id", hot_share: float = 2.0,
-                          hot_floor: int = 100_000) -> DataFrame:
-    """W4, form chosen from the data: one aggregate finds the largest key's request count;
-    when a single key would exceed ``hot_share`` times an even task share (and
-    ``hot_floor`` rows), the split form is used so no key is processed by one task;
-    otherwise the one-shuffle scan. The decision reads one scalar row on the driver."""
-    n_parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stats = (requests.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-             .agg(F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first())
-    mx, tot = (stats.mx or 0), (stats.tot or 0)
-    hot = mx > hot_floor and mx > hot_share * tot / max(n_parts, 1)
-    fn = sticky_decisions_split if hot else sticky_decisions
-    return fn(requests, ttl_s=ttl_s, key=key, ts=ts, order_tiebreak=order_tiebreak)

@@ -426,9 +426,8 @@ def q_coupon(spark, sf_dir):
     return coupon_action(q_score_users(spark, sf_dir)).select("app_id", "airbridge_uuid", "coupon_action")
 
 
-_DECILE_SQL = ("SELECT *, 10 - len(list_filter(c.cuts, lambda x: x < d3_purchase_prob)) AS decile FROM tiered t "
-               "JOIN (SELECT app_id AS capp, quantile_disc(d3_purchase_prob, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
-               "::DOUBLE[]) AS cuts FROM tiered GROUP BY app_id) c ON t.app_id = c.capp")
+_DECILE_SQL = ("SELECT *, ntile(10) OVER (PARTITION BY app_id ORDER BY d3_purchase_prob DESC, airbridge_uuid) AS decile "
+               "FROM tiered")
 
 
 def _deciled(spark, sf_dir):
@@ -471,10 +470,10 @@ def q_decile_lift(spark, sf_dir):
     return decile_lift(_decile_table(spark, sf_dir)).select("app_id", r6("top_rate"), r6("bottom_rate"), r6("lift"))
 
 
-@register("top_fraction", _users_sql() + f"""
-SELECT t.app_id, t.airbridge_uuid, t.d3_purchase_prob FROM tiered t
-JOIN (SELECT app_id, quantile_disc(d3_purchase_prob, 0.9) AS cut FROM tiered GROUP BY app_id) c
-  ON t.app_id = c.app_id WHERE t.d3_purchase_prob > c.cut""")
+@register("top_fraction", _users_sql() + """
+SELECT app_id, airbridge_uuid, d3_purchase_prob FROM (SELECT *,
+  row_number() OVER (PARTITION BY app_id ORDER BY d3_purchase_prob DESC, airbridge_uuid) AS rank,
+  count(*) OVER (PARTITION BY app_id) AS n FROM tiered) WHERE rank <= ceil(round(CAST(0.1 AS DOUBLE) * n, 9))""")
 def q_top_fraction(spark, sf_dir):
     from ..operators.evaluate import top_fraction
     t = top_fraction(q_score_users(spark, sf_dir), "d3_purchase_prob", 0.1)
@@ -605,14 +604,8 @@ def q_sticky(spark, sf_dir):
 
 @register("sticky_decisions_split", _sticky_sql(3600))
 def q_sticky_split(spark, sf_dir):
-    """W4 by the split form (pointer doubling on request ids): same rows as the scan."""
-    from ..operators.policy import sticky_decisions_split
-    fx = fixture(spark, sf_dir)
-    rd = LK.app_readiness(fx.inventory).where(F.col("ready")).select("app_id", "model_version")
-    req = fx.requests.join(rd, "app_id")
-    hit = LK.lookup_features(req, fx.features_with_duplicates.select("app_id", "airbridge_uuid", "row_no"))
-    s = sticky_decisions_split(hit, ttl_s=3600)
-    return s.select("request_id", "app_id", "airbridge_uuid", ts_text("request_ts"), ts_text("anchor_ts"))
+    """W4 under its earlier second name; there is one algorithm now."""
+    return q_sticky(spark, sf_dir)
 
 
 @register("sticky_decisions_24h", _sticky_sql(86400))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+_WRITTEN: list[str] = []  # tables of this process, for drop_tables
+
 # Settings the operators assume. UTC is required: event times are stored without a
 # zone and every time difference / day bucket is taken in UTC.
 BASE_CONF = {
@@ -63,12 +66,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        # executors of a cluster do not see the driver's disk
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="onramp-ckpt-", dir=os.environ.get("ONRAMP_SCRATCH", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
 
 
-
 def materialize(df, name: str = "table"):
     """Cut lineage: write ``df`` once as a parquet table in the shared checkpoint folder
     (spark.checkpoint.dir) and return a DataFrame reading it back.
@@ -76,11 +81,20 @@ def materialize(df, name: str = "table"):
     Used where one derived table feeds several branches of a plan, so the raw tables are
     scanned once. A written table (rather than RDD checkpoint, which computes the plan a
     second time for the checkpoint write) costs one execution, survives executor loss,
-    and keeps parquet column pruning and filter pushdown for every reader.
+    and keeps parquet column pruning and filter pushdown for every reader. ``drop_tables`` removes the
+    tables of this process.
     """
-    import uuid
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/onramp-tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
+
+
+def drop_tables() -> None:
+    """Remove the tables ``materialize`` has written (results must have been used)."""
+    spark = SparkSession.getActiveSession()
+    while spark is not None and _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

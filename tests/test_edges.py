@@ -74,7 +74,7 @@ def test_left_rank_matches_numpy(spark):
     q = np.sort(rng.integers(0, 20, 37).astype(float)).tolist()
     xs = [float(x) for x in rng.integers(-2, 22, 60)] + [float("nan"), float("inf")]
     df = spark.createDataFrame([(x,) for x in xs], "x double").withColumn("q", F.array(*[F.lit(v) for v in q]))
-    got = [r.i for r in df.select(left_rank("q", "x", 64).alias("i")).collect()]
+    got = [r.i for r in df.select(left_rank("q", "x").alias("i")).collect()]
     want = [int(np.searchsorted(q, x, side="left")) if not math.isnan(x) else len(q) for x in xs]
     assert got == want
 
@@ -126,12 +126,17 @@ def _anchors(spark, secs, versions=None, ttl=3600):
     df = spark.createDataFrame(rows, "request_id long, app_id string, airbridge_uuid string, model_version string, t double") \
               .withColumn("request_ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
     out = PO.sticky_decisions(df, ttl_s=ttl).orderBy("request_id").collect()
-    split = PO.sticky_decisions_split(df, ttl_s=ttl).orderBy("request_id").collect()
-    assert [r.anchor_us for r in out] == [r.anchor_us for r in split]
+    want, last = {}, {}
+    for i, _, _, v, t in sorted(rows, key=lambda r: (r[4], r[0])):
+        us = int(t * 1e6)
+        if v not in last or us - last[v] >= ttl * 10**6:
+            last[v] = us
+        want[i] = last[v]
+    assert {r.request_id: r.anchor_us for r in out} == want
     return [r.anchor_us / 1e6 for r in out]
 
 
-def test_hot_key_split_equals_scan(spark):
+def test_hot_key_long_island(spark):
     import random
     rnd = random.Random(5)
     secs = sorted(rnd.uniform(0, 50 * 3600) for _ in range(3000))   # one user, dense requests
@@ -159,14 +164,26 @@ def test_first_matching_tier_nan(spark):
     assert df.select(first_matching_tier("t", "s").alias("x")).first().x == "low"
 
 
-def test_sticky_auto_picks_split_for_hot_key(spark):
-    rows = [(i, "a", "hot" if i % 10 else "u%d" % i, "v1", float(i)) for i in range(2000)]
-    df = spark.createDataFrame(rows, "request_id long, app_id string, airbridge_uuid string, model_version string, t double") \
-              .withColumn("request_ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
-    auto = PO.sticky_decisions_auto(df, ttl_s=60, hot_floor=100)
-    a = {r.request_id: r.anchor_us for r in auto.collect()}
-    b = {r.request_id: r.anchor_us for r in PO.sticky_decisions(df, ttl_s=60).collect()}
-    assert a == b
+def test_sticky_islands(spark):
+    import random
+    rnd = random.Random(2)
+    for ttl in (60, 600):
+        _anchors(spark, [rnd.choice([0, 5, 30, 59, 60, 61, 400]) * k for k in range(300)], versions=[rnd.choice("ab") for _ in range(300)], ttl=ttl)
+
+
+def test_sticky_short_islands_need_no_python(spark):
+    """A key's islands are joined in by (key, bucket): only long ones reach Python."""
+    df = spark.createDataFrame([(i, "a", "hot", "v", i * 7200) for i in range(50)],
+                               "request_id long, app_id string, airbridge_uuid string, model_version string, t long") \
+              .withColumn("request_ts", F.timestamp_seconds("t"))
+    out = PO.sticky_decisions(df, ttl_s=3600)
+    assert all(r.anchor_us == r.t * 10**6 for r in out.collect()) and out.count() == 50
+
+
+def test_latest_row_with_null_order_is_kept(spark):
+    df = spark.createDataFrame([("a", "u", None, 1.0), ("a", "v", None, 2.0), ("a", "v", 1, 3.0)],
+                               "app_id string, airbridge_uuid string, row_no long, latency double")
+    assert {r.airbridge_uuid: r.latency for r in LK.latest_per_key(df).collect()} == {"u": 1.0, "v": 3.0}
 
 
 def test_install_row_packed_key_equals_struct_min(spark):

@@ -28,7 +28,7 @@ def test_left_rank_is_searchsorted(spark, q, xs):
     q = sorted(q)
     df = spark.createDataFrame([(float(x),) for x in xs], "x double") \
               .withColumn("q", F.array(*[F.lit(float(v)) for v in q]).cast("array<double>"))
-    got = [r.i for r in df.select(left_rank("q", "x", 64).alias("i")).collect()]
+    got = [r.i for r in df.select(left_rank("q", "x").alias("i")).collect()]
     assert got == [int(np.searchsorted(q, x, side="left")) for x in xs]
 
 
