@@ -119,65 +119,46 @@ def feature_drift(current: DataFrame, reference: DataFrame, cols=S.ALL_FEATURES)
 # --------------------------------------------------------------------------- J9, A7, A8
 
 def attribute_response(assignments: DataFrame, modal: DataFrame, click_horizon_s: float = 86400,
-                       bucket_s: float = 3600) -> DataFrame:
+                       max_age_s: float = S.DECISION_TTL_SECONDS) -> DataFrame:
     """Each modal-shown event gets the latest decision at or before it for the same
-    user and trigger (as-of join), and clicked = a modal click with that trigger in
+    user and trigger, if that is less than ``max_age_s`` old (an expired decision was not
+    what the user saw), and clicked = a modal click with that trigger in
     [shown, shown + horizon).
 
-    No range join (no pair explosion) and no window over a user's whole history: each
-    (app, user, trigger) timeline is cut into ``bucket_s`` time buckets.
-      1. inside a bucket, one window pass over the union of decisions, shown and clicked
-         rows ordered by (ts, kind): ``last(..., ignorenulls)`` looks back for the
-         decision, ``first(..., ignorenulls)`` looks ahead for the click;
-      2. across buckets, a per-bucket summary (last decision, first click — plain
-         aggregates, combined map-side) is scanned by a window whose groups hold at most
-         one row per bucket, giving the decision carried in from earlier buckets and the
-         first click of later buckets.
-    A user with a huge number of events is therefore spread over many tasks, one per
-    bucket; only the small summary is grouped per user.
+    No range join (no pair explosion) and no window over a user's whole history. Both
+    look-ups reach a bounded distance, so a timeline cut into buckets of that length needs
+    the row's own bucket and one neighbour: decisions are listed in their bucket and the
+    next, clicks in theirs and the one before. Each look-up is then one window over
+    narrow rows inside (app, user, trigger, bucket) groups.
     """
     k = ["app_id", "airbridge_uuid", "trig"]
-    bucket_us = int(bucket_s * US_PER_SECOND)
-    a = assignments.select("app_id", "airbridge_uuid", F.col("best_trigger").alias("trig"), F.col("request_ts").alias("ts"),
-                           F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("event_id"),
-                           F.struct("request_id", "is_random", "anchor_us").alias("dec"))
-    m = modal.select("app_id", "airbridge_uuid", F.col("trigger_type").alias("trig"), "ts",
-                     F.when(F.col("event_type") == S.EV_MODAL_SHOWN, 1).otherwise(2).alias("kind"),
-                     "event_id", F.lit(None).cast(a.schema["dec"].dataType).alias("dec"))
-    u = (a.unionByName(m)
-         .withColumn("b", F.floor(F.unix_micros("ts") / F.lit(bucket_us)).cast("bigint"))
-         # deterministic order inside a bucket: time, kind, then event / request id
-         .withColumn("_tie", F.coalesce(F.col("event_id"), F.col("dec.request_id"))))
-    kb = k + ["b"]
-    order = ["ts", "kind", "_tie"]
-    spec = Window.partitionBy(*kb).orderBy(*order)
-    back = spec.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = spec.rowsBetween(0, Window.unboundedFollowing)
-    whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    click_ts = F.when(F.col("kind") == 2, F.col("ts"))
-    # one exchange + sort of the union rows serves both the in-bucket look-ups and the
-    # per-bucket summary (whole-bucket frames, one row per bucket), so both branches
-    # share the same exchange
-    windowed = (u.withColumn("_dec_in", F.last("dec", ignorenulls=True).over(back))
-                 .withColumn("_click_in", F.first(click_ts, ignorenulls=True).over(ahead))
-                 .withColumn("_last_dec", F.last("dec", ignorenulls=True).over(whole))
-                 .withColumn("_first_click", F.first(click_ts, ignorenulls=True).over(whole))
-                 .withColumn("_rn", F.row_number().over(spec)))
-    inner = windowed.where(F.col("kind") == 1)
-    summary = windowed.where(F.col("_rn") == 1).select(*kb, "_last_dec", "_first_click")
-    before = Window.partitionBy(*k).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*k).orderBy("b").rowsBetween(1, Window.unboundedFollowing)
-    carry = summary.select(*kb, F.last("_last_dec", ignorenulls=True).over(before).alias("_dec_prev"),
-                           F.first("_first_click", ignorenulls=True).over(after).alias("_click_next"))
-    shown = inner.join(carry, kb, "left")
-    dec = F.coalesce(F.col("_dec_in"), F.col("_dec_prev"))
-    nxt = F.coalesce(F.col("_click_in"), F.col("_click_next"))
-    within = (F.unix_micros(nxt) - F.unix_micros("ts")) < F.lit(int(click_horizon_s * US_PER_SECOND))
-    return shown.select(
-        "event_id", "app_id", "airbridge_uuid", F.col("trig").alias("trigger_type"), "ts",
-        dec["request_id"].alias("request_id"), dec["is_random"].alias("is_random"),
-        dec["anchor_us"].alias("anchor_us"),
-        F.coalesce(within, F.lit(False)).cast("int").alias("clicked"))
+    shown = modal.where(F.col("event_type") == S.EV_MODAL_SHOWN).select(
+        "app_id", "airbridge_uuid", F.col("trigger_type").alias("trig"), F.unix_micros("ts").alias("us"), F.col("event_id").alias("id"))
+    clicks = modal.where(F.col("event_type") != S.EV_MODAL_SHOWN).select(
+        "app_id", "airbridge_uuid", F.col("trigger_type").alias("trig"), F.unix_micros("ts").alias("us"), F.col("event_id").alias("id"))
+    decided = assignments.select("app_id", "airbridge_uuid", F.col("best_trigger").alias("trig"), F.unix_micros("request_ts").alias("us"),
+                                 F.col("request_id").alias("id"), F.struct(F.unix_micros("request_ts").alias("at"), "request_id", "is_random", "anchor_us").alias("dec"))
+
+    def near(rows: DataFrame, others: DataFrame, other: str, reach_s: float, step: int) -> DataFrame:
+        """``rows`` and ``others`` (column ``other``) together, in buckets of ``reach_s``."""
+        us = int(reach_s * US_PER_SECOND)
+        b = F.floor(F.col("us") / F.lit(us)).cast("bigint")
+        mine = rows.withColumns({"b": b, "row": F.lit(True), other: F.lit(None).cast(others.schema[other].dataType)})
+        theirs = others.withColumns({"b": F.explode(F.array(b, b + step)), "row": F.lit(False)})
+        return mine.unionByName(theirs, allowMissingColumns=True)
+
+    max_us, horizon_us = int(max_age_s * US_PER_SECOND), int(click_horizon_s * US_PER_SECOND)
+    # a decision of the same instant comes before the shown row, a click after it
+    back = Window.partitionBy(*k, "b").orderBy("us", "row", "id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = (near(shown, decided, "dec", max_age_s, 1).withColumn("dec", F.last("dec", ignorenulls=True).over(back)).where("row")
+            .select(*k, "us", "id", F.when(F.col("us") - F.col("dec.at") < max_us, F.col("dec")).alias("dec")))
+    ahead = Window.partitionBy(*k, "b").orderBy("us", F.col("row").desc(), "id").rowsBetween(0, Window.unboundedFollowing)
+    out = (near(seen, clicks.withColumn("click", F.col("us")), "click", click_horizon_s, -1)
+           .withColumn("click", F.first("click", ignorenulls=True).over(ahead)).where("row"))
+    return out.select(
+        F.col("id").alias("event_id"), "app_id", "airbridge_uuid", F.col("trig").alias("trigger_type"), F.timestamp_micros("us").alias("ts"),
+        F.col("dec.request_id").alias("request_id"), F.col("dec.is_random").alias("is_random"), F.col("dec.anchor_us").alias("anchor_us"),
+        F.coalesce(F.col("click") - F.col("us") < horizon_us, F.lit(False)).cast("int").alias("clicked"))
 
 
 def decision_outcomes(attributed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ UNKNOWN_APP = "app_x"
 UNKNOWN_APP_EVERY = 50          # requests of user_id % 50 = 0 go to the unknown app
 DUP_EVERY = 7                   # second feature row (later row_no, latency + 1)
 BAD_TEXT = [(11, "abc"), (13, ""), (17, "NaN")]   # user_id % m = 0 -> text, first match
-MODAL_K_BELOW = 40              # view / click with k < 40 after install = modal shown / clicked
+ECHO_MINUTES = 90               # a click after install also shows a modal k % 90 minutes later
 # files present per app (app ids not listed get every file)
 INVENTORY_RULE = {
     "app_1": [f for f in S.MODEL_FILES if f != "cate_model.pkl"],
@@ -127,17 +127,22 @@ class Fixture:
 
     @property
     def modal_events(self) -> DataFrame:
-        """entry_modal_shown (view) / entry_modal_clicked (click) with k < 40 after install;
-        trigger_type = trigger k % 4 in artifact order."""
+        """entry_modal_shown (every view) / entry_modal_clicked (every click) after install;
+        trigger_type = trigger k % 4 in artifact order. Each click is also a request, so it
+        shows a modal k % 90 minutes later (event id negated): within and beyond the TTL."""
         def build():
-            e = self.events.where(F.col("source_type").isin(*TOUCH_KINDS) & (F.col("k") < MODAL_K_BELOW))
+            e = self.events.where(F.col("source_type").isin(*TOUCH_KINDS))
             j = e.join(self.installs, ["app_id", "user_id"]).where(F.col("ts") > F.col("t0"))
             trig = F.element_at(F.array(*[F.lit(t) for t in S.TREATMENT_TRIGGERS]),
                                 (F.pmod(F.col("k"), F.lit(4)) + 1).cast("int"))
-            name = F.when(F.col("touch_type") == "impression", F.lit(S.EV_MODAL_SHOWN)) \
-                    .otherwise(F.lit(S.EV_MODAL_CLICKED))
-            return j.select("event_id", "app_id", F.col("user_id").alias("airbridge_uuid"), "ts",
-                            name.alias("event_type"), trig.alias("trigger_type"))
+            shown, clicked = F.lit(S.EV_MODAL_SHOWN), F.lit(S.EV_MODAL_CLICKED)
+            own = F.struct(F.col("event_id").alias("event_id"), F.col("ts").alias("ts"),
+                           F.when(F.col("touch_type") == "impression", shown).otherwise(clicked).alias("event_type"))
+            later = F.timestamp_micros(F.unix_micros("ts") + F.pmod(F.col("k"), F.lit(ECHO_MINUTES)).cast("bigint") * F.lit(60_000_000))
+            echo = F.struct((-F.col("event_id")).alias("event_id"), later.alias("ts"), shown.alias("event_type"))
+            rows = F.when(F.col("touch_type") == "impression", F.array(own)).otherwise(F.array(own, echo))
+            return (j.select("app_id", F.col("user_id").alias("airbridge_uuid"), trig.alias("trigger_type"), F.explode(rows).alias("m"))
+                    .select("m.event_id", "app_id", "airbridge_uuid", "m.ts", "m.event_type", "trigger_type"))
         return self._get("modal", build)
 
     @property

@@ -381,13 +381,17 @@ def latest_cte(src: str = "featdup", name: str = "fl") -> str:
 
 def modal_cte() -> str:
     pool = "[" + ", ".join(s(t) for t in S.TREATMENT_TRIGGERS) + "]"
-    return f"""modal AS (
-  SELECT ev.event_id, ev.app_id, ev.user_id AS airbridge_uuid, ev.ts,
-         CASE WHEN ev.touch_type = 'impression' THEN {s(S.EV_MODAL_SHOWN)} ELSE {s(S.EV_MODAL_CLICKED)} END
-           AS event_type,
+    return f"""touch AS (
+  SELECT ev.event_id, ev.app_id, ev.user_id AS airbridge_uuid, ev.ts, ev.k, ev.touch_type = 'impression' AS shown,
          {pool}[CAST(ev.k % 4 AS INTEGER) + 1] AS trigger_type
   FROM ev JOIN inst ON ev.app_id = inst.app_id AND ev.user_id = inst.user_id
-  WHERE ev.touch_type IS NOT NULL AND ev.k < {FX.MODAL_K_BELOW} AND ev.ts > inst.t0)"""
+  WHERE ev.touch_type IS NOT NULL AND ev.ts > inst.t0),
+modal AS (
+  SELECT event_id, app_id, airbridge_uuid, ts, trigger_type,
+         CASE WHEN shown THEN {s(S.EV_MODAL_SHOWN)} ELSE {s(S.EV_MODAL_CLICKED)} END AS event_type FROM touch
+  UNION ALL
+  SELECT -event_id, app_id, airbridge_uuid, make_timestamp(epoch_us(ts) + CAST(k % {FX.ECHO_MINUTES} AS BIGINT) * 60000000), trigger_type,
+         {s(S.EV_MODAL_SHOWN)} FROM touch WHERE NOT shown)"""
 
 
 def requests_scored_ctes(ttl_s: float = S.DECISION_TTL_SECONDS) -> list[str]:
@@ -406,12 +410,15 @@ def score_requests_ctes(ttl_s: float = S.DECISION_TTL_SECONDS) -> list[str]:
     return score_users_ctes() + requests_scored_ctes(ttl_s)
 
 
-def attribution_ctes(click_horizon_s: float = 86400) -> list[str]:
-    h = int(click_horizon_s * US)
+def attribution_ctes(click_horizon_s: float = 86400, max_age_s: float = S.DECISION_TTL_SECONDS) -> list[str]:
+    h, age = int(click_horizon_s * US), int(max_age_s * US)
     return [modal_cte(), """asg AS (
   SELECT request_id, app_id, airbridge_uuid, best_trigger, request_ts AS ts, is_random, anchor_us FROM rtiered)""",
             f"""att AS (
-  SELECT s.event_id, s.app_id, s.airbridge_uuid, s.trigger_type, s.ts, a.request_id, a.is_random, a.anchor_us,
+  SELECT s.event_id, s.app_id, s.airbridge_uuid, s.trigger_type, s.ts,
+         CASE WHEN epoch_us(s.ts) - epoch_us(a.ts) < {age} THEN a.request_id END AS request_id,
+         CASE WHEN epoch_us(s.ts) - epoch_us(a.ts) < {age} THEN a.is_random END AS is_random,
+         CASE WHEN epoch_us(s.ts) - epoch_us(a.ts) < {age} THEN a.anchor_us END AS anchor_us,
          CAST(EXISTS (SELECT 1 FROM modal c
                       WHERE c.event_type = {s(S.EV_MODAL_CLICKED)} AND c.app_id = s.app_id
                         AND c.airbridge_uuid = s.airbridge_uuid AND c.trigger_type = s.trigger_type

@@ -1,5 +1,5 @@
-"""Read-out operators: bucketed as-of attribution equals the single-bucket form;
-deciles and top fraction behave on ties."""
+"""Read-out operators: as-of attribution against brute force; deciles and top fraction
+behave on ties."""
 
 import math
 
@@ -10,13 +10,30 @@ from onramp.operators import evaluate as EV
 from onramp.plans import catalog as C
 
 
-def test_bucketed_asof_equals_unbucketed(spark):
-    a = C._requests_scored(spark, SF_CHECK)
-    m = C.fixture(spark, SF_CHECK).modal_events
+def test_attribution_against_brute_force(spark):
     cols = ["event_id", "request_id", "is_random", "anchor_us", "clicked"]
-    small = {tuple(r) for r in EV.attribute_response(a, m, 86400, bucket_s=60).select(*cols).collect()}
-    one = {tuple(r) for r in EV.attribute_response(a, m, 86400, bucket_s=10 ** 9).select(*cols).collect()}
-    assert small == one and len(small) > 0
+    req = C._requests_scored(spark, SF_CHECK)
+    modal = C.fixture(spark, SF_CHECK).modal_events.where("cast(airbridge_uuid as bigint) < 60")
+    a = req.select("app_id", "airbridge_uuid", "best_trigger", F.unix_micros("request_ts").alias("us"), "request_id", "is_random", "anchor_us").collect()
+    m = modal.select("*", F.unix_micros("ts").alias("us")).collect()
+    by = {}
+    for r in a:
+        by.setdefault((r.app_id, r.airbridge_uuid, r.best_trigger), []).append(r)
+    clicks = {}
+    for r in m:
+        if r.event_type == "entry_modal_clicked":
+            clicks.setdefault((r.app_id, r.airbridge_uuid, r.trigger_type), []).append(r.us)
+    want = set()
+    for r in m:
+        if r.event_type != "entry_modal_shown":
+            continue
+        key = (r.app_id, r.airbridge_uuid, r.trigger_type)
+        d = max((x for x in by.get(key, []) if x.us <= r.us), key=lambda x: (x.us, x.request_id), default=None)
+        d = d if d and r.us - d.us < 3600 * 10**6 else None
+        hit = any(0 <= c - r.us < 86400 * 10**6 for c in clicks.get(key, []))
+        want.add((r.event_id, d and d.request_id, d.is_random if d else None, d and d.anchor_us, int(hit)))
+    got = {tuple(r) for r in EV.attribute_response(req, modal, 86400).select(*cols).collect()}
+    assert got == want and sum(x[1] is not None for x in want) > 10
 
 
 def test_ranks_with_ties(spark):
