@@ -58,16 +58,15 @@ def tier_table(tiered: DataFrame, actual: str = "ltv", group: str = "app_id") ->
             .drop("_low")
 
 
-def feature_moments(df: DataFrame, cols=S.ALL_FEATURES) -> DataFrame:
-    """Mean, population and sample standard deviation per feature (one pass)."""
+def feature_moments(df: DataFrame, cols=S.ALL_FEATURES, group: str = "app_id") -> DataFrame:
+    """Per app, mean, population and sample standard deviation per feature (one pass)."""
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__sp"), F.stddev_samp(c).alias(f"{c}__ss")]
-    one = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"), F.col(f"{c}__m").alias("mean"),
                               F.col(f"{c}__sp").alias("std_pop"), F.col(f"{c}__ss").alias("std_samp"))
                      for i, c in enumerate(cols)])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    return df.groupBy(group).agg(*aggs).select(group, F.explode(rows).alias("r")).select(group, "r.*")
 
 
 # ---------------------------------------------------------------------------
@@ -87,32 +86,28 @@ def loading_matrix(features=S.UA_FEATURES, groups=FACTOR_GROUPS) -> list[list[fl
     return [[1.0 if f in members else 0.0 for members in groups.values()] for f in features]
 
 
-def factor_scores_from_moments(df: DataFrame, moments: DataFrame, std: str = "std_pop",
-                               features=S.UA_FEATURES, groups=FACTOR_GROUPS) -> DataFrame:
-    """M7 with parameters estimated by Spark: z = (x - mean) / std (std 0 or NULL -> 0),
-    factor_j = sum_i z_i * L[i][j]. The moments are one row (broadcast, size 1)."""
-    wide = moments.where(F.col("feature").isin(*features)).agg(
-        *[F.max(F.when(F.col("feature") == f, F.col("mean"))).alias(f"_m_{i}") for i, f in enumerate(features)],
-        *[F.max(F.when(F.col("feature") == f, F.col(std))).alias(f"_s_{i}") for i, f in enumerate(features)])
-    out = df.crossJoin(F.broadcast(wide))
+def factor_documents(moments: DataFrame, factors: F.Column, features=S.UA_FEATURES, groups=FACTOR_GROUPS, std: str = "std_pop") -> DataFrame:
+    """One factor-parameter document per app in the artifact's shape (mean, std,
+    loading_matrix, feature_names, factor_names) from its moments. ``factors`` is the
+    number of factors the app has (an expression on app_id): documents may differ in k."""
     L = loading_matrix(features, groups)
-    z = [F.when(F.coalesce(F.col(f"_s_{i}"), F.lit(0.0)) != 0, (F.col(f) - F.col(f"_m_{i}")) / F.col(f"_s_{i}"))
-          .otherwise(F.lit(0.0)) for i, f in enumerate(features)]
-    for j, name in enumerate(groups):
-        acc = F.lit(0.0)
-        for i in range(len(features)):
-            if L[i][j] != 0.0:
-                acc = acc + z[i] * F.lit(L[i][j])
-        out = out.withColumn(name, acc)
-    return out.drop(*[c for c in out.columns if c.startswith("_m_") or c.startswith("_s_")])
+    doc = moments.where(F.col("feature").isin(*features)).groupBy("app_id").agg(
+        *[F.max(F.when(F.col("feature") == f, F.col("mean"))).alias(f"m{i}") for i, f in enumerate(features)],
+        *[F.max(F.when(F.col("feature") == f, F.col(std))).alias(f"s{i}") for i, f in enumerate(features)])
+    n = range(len(features))
+    return doc.select(
+        "app_id", F.array(*[F.col(f"m{i}") for i in n]).alias("mean"), F.array(*[F.col(f"s{i}") for i in n]).alias("std"),
+        F.array(*[F.slice(F.array(*[F.lit(x) for x in L[i]]), F.lit(1), factors) for i in n]).alias("loading_matrix"),
+        F.array(*[F.lit(f) for f in features]).alias("feature_names"),
+        F.slice(F.array(*[F.lit(g) for g in groups]), F.lit(1), factors).alias("factor_names"))
 
 
 def feature_drift(current: DataFrame, reference: DataFrame, cols=S.ALL_FEATURES) -> DataFrame:
-    """Per feature, (current mean - reference mean) / reference std (pop)."""
-    cur = feature_moments(current, cols).select("pos", "feature", F.col("mean").alias("cur_mean"))
-    ref = feature_moments(reference, cols).select("pos", "feature", F.col("mean").alias("ref_mean"),
+    """Per app and feature, (current mean - reference mean) / reference std (pop)."""
+    cur = feature_moments(current, cols).select("app_id", "pos", "feature", F.col("mean").alias("cur_mean"))
+    ref = feature_moments(reference, cols).select("app_id", "pos", "feature", F.col("mean").alias("ref_mean"),
                                                   F.col("std_pop").alias("ref_std"))
-    return (ref.join(cur, ["pos", "feature"])
+    return (ref.join(cur, ["app_id", "pos", "feature"])
             .withColumn("drift", safe_div(F.col("cur_mean") - F.col("ref_mean"), F.col("ref_std"))))
 
 

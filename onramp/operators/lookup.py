@@ -51,7 +51,10 @@ def lookup_features(requests: DataFrame, features: DataFrame, key=S.KEY, order:
     The feature table grows with the user base, so there is no broadcast hint; AQE picks
     broadcast only if the deduplicated side turns out small at run time.
     """
-    f = latest_per_key(features, key, order) if order in features.columns else features
+    if order in features.columns:
+        f = latest_per_key(features, key, order)
+    else:  # no order to go by: still one row per key, the largest
+        f = latest_per_key(features.withColumn(order, F.struct(*[c for c in features.columns if c not in key])), key, order).drop(order)
     return requests.join(f, list(key), "inner")
 
 

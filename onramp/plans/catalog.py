@@ -211,6 +211,25 @@ def q_scan_features(spark, sf_dir):
     return f.select("app_id", "airbridge_uuid", *[r6(x) for x in S.ALL_FEATURES])
 
 
+@register("lookup_from_csv", O.with_(*O.base_ctes(), *O.feat_ctes(), O.req_cte(), O.featdup_cte(), O.latest_cte()) + """
+SELECT req.request_id, req.app_id, req.airbridge_uuid, round(fl.latency, 6) AS latency, CAST(1 AS DOUBLE) AS is_single_touch_install
+FROM req JOIN fl ON req.app_id = fl.app_id AND req.airbridge_uuid = fl.airbridge_uuid""")
+def q_lookup_from_csv(spark, sf_dir):
+    """S1 -> W1 -> J1 on the file as it really comes: a CSV with repeated users, no order
+    column and a column of booleans; the last row of the file wins."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources.feature_table import read_feature_table
+    fx = fixture(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/onramp-tables/feature-csv-{uuid.uuid4().hex[:12]}"
+    t = fx.features_with_duplicates.withColumn("is_single_touch_install", F.lit("True"))
+    # file order = row order: ranges of row_no, one file each
+    (t.repartitionByRange(4, "row_no").sortWithinPartitions("row_no").drop("row_no")
+     .write.option("header", "true").csv(path))
+    out = LK.lookup_features(fx.requests, read_feature_table(spark, path))
+    return out.select("request_id", "app_id", "airbridge_uuid", r6("latency"), "is_single_touch_install")
+
+
 # ------------------------------------------------------------------ W1, A1, A2, P5, L1 on the table with duplicates
 
 @register("latest_per_key", _feat_sql(O.featdup_cte(), O.latest_cte()) + f"""
@@ -500,61 +519,79 @@ def q_tier_table(spark, sf_dir):
 
 def _moments_sql(src: str, cols=S.ALL_FEATURES) -> str:
     return " UNION ALL ".join(
-        f"SELECT {i} AS pos, '{c}' AS feature, avg({c}) AS mean, stddev_pop({c}) AS std_pop, "
-        f"stddev_samp({c}) AS std_samp FROM {src}" for i, c in enumerate(cols))
+        f"SELECT app_id, {i} AS pos, '{c}' AS feature, avg({c}) AS mean, stddev_pop({c}) AS std_pop, "
+        f"stddev_samp({c}) AS std_samp FROM {src} GROUP BY app_id" for i, c in enumerate(cols))
 
 
 @register("feature_moments", _feat_sql() + f"""
-SELECT pos, feature, round(mean, 6) AS mean, round(std_pop, 6) AS std_pop, round(std_samp, 6) AS std_samp
+SELECT app_id, pos, feature, round(mean, 6) AS mean, round(std_pop, 6) AS std_pop, round(std_samp, 6) AS std_samp
 FROM ({_moments_sql('feat')}) z""")
 def q_moments(spark, sf_dir):
     from ..operators.evaluate import feature_moments
     m = feature_moments(fixture(spark, sf_dir).features)
-    return m.select("pos", "feature", r6("mean"), r6("std_pop"), r6("std_samp"))
+    return m.select("app_id", "pos", "feature", r6("mean"), r6("std_pop"), r6("std_samp"))
+
+
+FEWER_FACTORS_APP, FEWER_FACTORS = "app_0", 3  # this app's document has fewer factors
 
 
 def _factor_sql() -> str:
     from ..operators.evaluate import FACTOR_GROUPS
     parts = []
-    for name, members in FACTOR_GROUPS.items():
+    for j, (name, members) in enumerate(FACTOR_GROUPS.items()):
         terms = " + ".join(
-            f"(CASE WHEN coalesce(m.s_{c}, 0.0) <> 0 THEN (f.{c} - m.m_{c}) / m.s_{c} ELSE {O.d(0)} END) * {O.d(1)}"
+            f"(CASE WHEN coalesce(m.s_{c}, 0.0) <> 0 THEN (f.{c} - m.m_{c}) / m.s_{c} ELSE {O.d(0)} END)"
             for c in S.UA_FEATURES if c in members)
-        parts.append(f"round({O.d(0)} + {terms}, 6) AS {name}")
+        only = f" WHERE f.app_id <> '{FEWER_FACTORS_APP}'" if j >= FEWER_FACTORS else ""
+        parts.append(f"SELECT f.app_id, f.airbridge_uuid, '{name}' AS factor, round({O.d(0)} + {terms}, 6) AS score "
+                     f"FROM feat f JOIN mom m ON f.app_id = m.app_id{only}")
+    return " UNION ALL ".join(parts)
+
+
+def _factor_moments_cte() -> str:
     moments = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in S.UA_FEATURES)
-    return f"SELECT f.app_id, f.airbridge_uuid, {', '.join(parts)} FROM feat f CROSS JOIN (SELECT {moments} FROM feat) m"
+    return f"mom AS (SELECT app_id, {moments} FROM feat GROUP BY app_id)"
 
 
-@register("factor_scores", _feat_sql() + _factor_sql())
+@register("factor_scores", _feat_sql(_factor_moments_cte()) + _factor_sql())
 def q_factor(spark, sf_dir):
-    from ..operators.evaluate import FACTOR_GROUPS, factor_scores_from_moments, feature_moments
+    """Per-app parameter documents are written as JSON to the shared folder, read
+    back by the reader and joined by app; the apps differ in their number of factors."""
+    import uuid
+    from ..operators.evaluate import FACTOR_GROUPS, factor_documents, feature_moments
+    from ..operators.scoring import factor_scores_long
+    from ..session import ensure_checkpoint_dir
+    from ..sources.config import read_factor_params
     f = fixture(spark, sf_dir).features
-    out = factor_scores_from_moments(f, feature_moments(f, S.UA_FEATURES))
-    return out.select("app_id", "airbridge_uuid", *[r6(g) for g in FACTOR_GROUPS])
+    k = F.when(F.col("app_id") == FEWER_FACTORS_APP, F.lit(FEWER_FACTORS)).otherwise(F.lit(len(FACTOR_GROUPS)))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/onramp-tables/factor-documents-{uuid.uuid4().hex[:12]}"
+    factor_documents(feature_moments(f, S.UA_FEATURES), k).repartition("app_id").write.partitionBy("app_id").json(root)
+    out = factor_scores_long(f, read_factor_params(spark, root, file="*.json"))
+    return out.select("app_id", "airbridge_uuid", "factor", r6("score"))
 
 
-DRIFT_SPLIT_DAY = 15  # reference = users installed before 2024-01-15, current = from then on
+DRIFT_SPLIT = "2024-01-03"  # reference = users installed before, current = from then on
 
 
 def _split_feat(fx: Fixture):
     inst = fx.installs.select("app_id", F.col("user_id").alias("airbridge_uuid"), "t0")
     f = fx.features.join(inst, S.KEY)
-    early = F.dayofmonth("t0") < DRIFT_SPLIT_DAY
+    early = F.to_date("t0") < F.lit(DRIFT_SPLIT).cast("date")
     return f.where(early), f.where(~early)
 
 
 @register("feature_drift", _feat_sql(
     "fi AS (SELECT f.*, inst.t0 FROM feat f JOIN inst ON f.app_id = inst.app_id AND f.airbridge_uuid = inst.user_id)",
-    f"fref AS (SELECT * FROM fi WHERE dayofmonth(t0) < {DRIFT_SPLIT_DAY})",
-    f"fcur AS (SELECT * FROM fi WHERE dayofmonth(t0) >= {DRIFT_SPLIT_DAY})") + f"""
-SELECT r.pos, r.feature, round(r.mean, 6) AS ref_mean, round(r.std_pop, 6) AS ref_std, round(c.mean, 6) AS cur_mean,
+    f"fref AS (SELECT * FROM fi WHERE CAST(t0 AS DATE) < DATE '{DRIFT_SPLIT}')",
+    f"fcur AS (SELECT * FROM fi WHERE CAST(t0 AS DATE) >= DATE '{DRIFT_SPLIT}')") + f"""
+SELECT r.app_id, r.pos, r.feature, round(r.mean, 6) AS ref_mean, round(r.std_pop, 6) AS ref_std, round(c.mean, 6) AS cur_mean,
        round(CASE WHEN r.std_pop <> 0 THEN (c.mean - r.mean) / r.std_pop END, 6) AS drift
-FROM ({_moments_sql('fref')}) r JOIN ({_moments_sql('fcur')}) c ON r.pos = c.pos""")
+FROM ({_moments_sql('fref')}) r JOIN ({_moments_sql('fcur')}) c ON r.app_id = c.app_id AND r.pos = c.pos""")
 def q_drift(spark, sf_dir):
     from ..operators.evaluate import feature_drift
     ref, cur = _split_feat(fixture(spark, sf_dir))
     d = feature_drift(cur, ref)
-    return d.select("pos", "feature", r6("ref_mean"), r6("ref_std"), r6("cur_mean"), r6("drift"))
+    return d.select("app_id", "pos", "feature", r6("ref_mean"), r6("ref_std"), r6("cur_mean"), r6("drift"))
 
 
 # ------------------------------------------------------------------ W4, W6, M12 per request, logs, J9, A7, A8

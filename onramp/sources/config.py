@@ -15,8 +15,8 @@ DEFAULT_FACTOR_FEATURES = list(S.UA_FEATURES)
 
 
 def _app_from_path(col: str = "_path") -> F.Column:
-    # .../<app_id>/<file>
-    return F.element_at(F.split(F.col(col), "/"), -2)
+    # .../<app_id>/<file>, or .../app_id=<app_id>/<file> as Spark's own writer lays it out
+    return F.regexp_replace(F.element_at(F.split(F.col(col), "/"), -2), "^app_id=", "")
 
 
 def read_tier_config(spark: SparkSession, root: str, file: str = "pltv_tier_config.json") -> DataFrame:

@@ -86,3 +86,24 @@ def test_parquet_feature_table_by_name(spark, tmp_path):
     assert (r.app_id, r.airbridge_uuid) == ("a", "u9")
     # reversed order on disk, read back by name
     assert [r[c] for c in S.ALL_FEATURES] == [float(24 - i) for i in range(25)]
+
+
+def test_booleans_and_file_order(spark, tmp_path):
+    from onramp import schema as S
+    from onramp.operators.lookup import lookup_features
+    head = ["app_id", "airbridge_uuid", *S.ALL_FEATURES]
+    a, b = S.ALL_FEATURES[0], S.ALL_FEATURES[1]
+    def line(user, flag, mixed, i):
+        return ",".join(["app", user, *[flag if c == a else mixed if c == b else str(i) for c in S.ALL_FEATURES]])
+    rows = [line("u", "True", "True", 1), line("v", "False", "2", 2), line("u", "False", "x", 3)]
+    (tmp_path / "f.csv").write_text("\n".join([",".join(head), *rows]) + "\n")
+    f = read_feature_table(spark, str(tmp_path / "f.csv"))
+    req = spark.createDataFrame([(1, "app", "u"), (2, "app", "v")], "request_id long, app_id string, airbridge_uuid string")
+    out = {r.request_id: r for r in lookup_features(req, f).collect()}
+    assert len(out) == 2 and lookup_features(req, f).count() == 2
+    assert out[1][a] == 0.0 and out[1][b] == 0.0 and out[1][S.ALL_FEATURES[2]] == 3.0   # last row of the file
+    assert out[2][a] == 0.0 and out[2][b] == 2.0
+    first = read_feature_table(spark, str(tmp_path / "f.csv")).where("airbridge_uuid = 'u'").select(a).collect()
+    assert sorted(r[0] for r in first) == [0.0, 1.0]
+    # no order at all: one row per user
+    assert lookup_features(req, f.drop("row_no")).count() == 2
