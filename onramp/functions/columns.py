@@ -36,8 +36,11 @@ def hours_between(later, earlier) -> Column:
     return (F.unix_micros(col_(later)) - F.unix_micros(col_(earlier))) / F.lit(US_PER_HOUR)
 
 
-def dlit(x: float) -> str:
-    """A DOUBLE literal in SQL text (exact: the shortest repr round-trips)."""
+def dlit(x: float | str) -> str:
+    """A DOUBLE literal in SQL text (exact: the shortest repr round-trips); text is SQL
+    already (a per-app coefficient column)."""
+    if isinstance(x, str):
+        return x
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 

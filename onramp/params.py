@@ -117,6 +117,10 @@ TRIGGER = TriggerModel(
     },
 )
 
+# fixed values: how the fixture apps' own bundles differ from the defaults (all weights of
+# the app's models times this; other apps 1)
+APP_SCALE = {"app_1": 1.25, "app_2": 0.8}
+
 # Fixture horizons (the product defaults stay in the operator signatures):
 FIXTURE_WINDOW_S = 24 * 3600          # first-session window (product: 5 minutes)
 FIXTURE_CHURN_FROM_S = 24 * 3600      # silence window start (product: end of first session)

@@ -18,6 +18,7 @@ from .. import schema as S
 from ..operators import features as FT
 from ..operators import labels as LB
 from ..operators import lookup as LK
+from ..sources import models as BM
 from . import oracle as O
 from . import score as SP
 from .fixtures import Fixture
@@ -155,7 +156,7 @@ SELECT app_id, airbridge_uuid, mode, best_trigger, is_random,
 FROM tiered""")
 def q_score_users(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    return SP.score_users(fx.features, LK.app_readiness(fx.inventory), labels_of(fx))
+    return SP.score_users(fx.features, LK.app_readiness(fx.inventory), labels_of(fx), models=fx.models)
 
 
 # ------------------------------------------------------------------ shared SQL pieces
@@ -328,14 +329,16 @@ SELECT {KEYF},
 FROM feat""")
 def q_score_d3(spark, sf_dir):
     from ..operators.scoring import score_binary
-    f = score_binary(fixture(spark, sf_dir).features, P.D3_PURCHASE, P.D3_CHURN)
+    fx = fixture(spark, sf_dir)
+    f = score_binary(BM.with_models(fx.features, fx.models), BM.app_model(P.D3_PURCHASE), BM.app_model(P.D3_CHURN))
     return f.select("app_id", "airbridge_uuid", "d3_purchase_prob", "d3_churn_prob")
 
 
 @register("trigger_scores", _feat_sql() + f"SELECT {KEYF}, {_trigger_cols_sql()} FROM feat")
 def q_trigger_scores(spark, sf_dir):
     from ..operators.scoring import score_triggers
-    f = score_triggers(fixture(spark, sf_dir).features, P.TRIGGER)
+    fx = fixture(spark, sf_dir)
+    f = score_triggers(BM.with_models(fx.features, fx.models), BM.app_trigger_model())
     return f.select("app_id", "airbridge_uuid", *[f"score_{t}" for t in S.TREATMENT_TRIGGERS])
 
 
@@ -349,7 +352,8 @@ SELECT {KEYF}, {_ARGMAX_SQL} AS best_trigger FROM (SELECT {KEYF}, {_trigger_cols
 def q_best_trigger(spark, sf_dir):
     from ..operators.policy import best_trigger_col
     from ..operators.scoring import score_triggers
-    f = score_triggers(fixture(spark, sf_dir).features, P.TRIGGER)
+    fx = fixture(spark, sf_dir)
+    f = score_triggers(BM.with_models(fx.features, fx.models), BM.app_trigger_model())
     return f.select("app_id", "airbridge_uuid", best_trigger_col().alias("best_trigger"))
 
 
@@ -365,7 +369,8 @@ SELECT {KEYF}, is_random, CASE WHEN is_random THEN pick ELSE {_ARGMAX_SQL} END A
 def q_assign_trigger(spark, sf_dir):
     from ..operators.policy import assign_trigger
     from ..operators.scoring import score_triggers
-    f = score_triggers(fixture(spark, sf_dir).features, P.TRIGGER)
+    fx = fixture(spark, sf_dir)
+    f = score_triggers(BM.with_models(fx.features, fx.models), BM.app_trigger_model())
     a = assign_trigger(f, has_model=F.lit(True), seed=P.POLICY_SEED)
     return a.select("app_id", "airbridge_uuid", "is_random", "best_trigger")
 
@@ -376,7 +381,8 @@ SELECT {KEYF}, round({O.logistic_sql(O.linear_sql(P.PLTV_PURCHASE.weights, P.PLT
 FROM feat""")
 def q_hurdle(spark, sf_dir):
     from ..operators.scoring import hurdle_ltv
-    f = hurdle_ltv(fixture(spark, sf_dir).features, P.PLTV_PURCHASE, P.PLTV_AMOUNT)
+    fx = fixture(spark, sf_dir)
+    f = hurdle_ltv(BM.with_models(fx.features, fx.models), BM.app_model(P.PLTV_PURCHASE), BM.app_model(P.PLTV_AMOUNT))
     return f.select("app_id", "airbridge_uuid", F.round("pltv_score", 4).alias("pltv_score"))
 
 
@@ -384,7 +390,7 @@ def q_hurdle(spark, sf_dir):
 
 def _scored_users(fx: Fixture) -> DataFrame:
     return SP.score_rows(fx.features.select("app_id", "airbridge_uuid", *S.ALL_FEATURES),
-                         LK.app_readiness(fx.inventory))
+                         LK.app_readiness(fx.inventory), models=fx.models)
 
 
 def _tier_cfg(fx: Fixture) -> DataFrame:
@@ -608,7 +614,7 @@ def _requests_scored(spark, sf_dir, ttl_s=S.DECISION_TTL_SECONDS) -> DataFrame:
     def build():
         from ..session import materialize
         scored = SP.score_requests(fx.requests, fx.features_with_duplicates, LK.app_readiness(fx.inventory),
-                                   _tier_cfg(fx), ttl_s=ttl_s)
+                                   _tier_cfg(fx), ttl_s=ttl_s, models=fx.models)
         return materialize(scored, "scored_requests") if fx.materialized else scored
     return fx._get(("scored_requests", ttl_s), build)
 

@@ -97,6 +97,21 @@ class Fixture:
             return f.unionByName(dup)
         return self._get("features_dup", build)
 
+    @property
+    def models(self) -> DataFrame:
+        """Per-app bundles: documents written as JSON to the shared folder and read back."""
+        def build():
+            import uuid
+            from ..session import ensure_checkpoint_dir
+            from ..sources import models as BM
+            scale = F.lit(1.0)
+            for app, x in P.APP_SCALE.items():
+                scale = F.when(F.col("app_id") == app, F.lit(x)).otherwise(scale)
+            root = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/onramp-tables/bundles-{uuid.uuid4().hex[:12]}"
+            BM.write_model_bundles(BM.bundle_documents(self.installs.select("app_id").distinct(), scale), root)
+            return BM.read_model_bundles(self.spark, root)
+        return self._get("models", build)
+
     @property
     def features_text(self) -> DataFrame:
         """String copy of the feature table with bad text planted (CSV-like input)."""

@@ -224,10 +224,16 @@ def ready_cte() -> str:
 
 # ---------------------------------------------------------------- scoring (M1-M4)
 
+def app_scale(prefix: str = "") -> str:
+    """The app's factor on all default weights (its bundle's numbers)."""
+    return f"CASE {prefix}app_id " + " ".join(f"WHEN {s(a)} THEN {d(x)}" for a, x in P.APP_SCALE.items()) + f" ELSE {d(1)} END"
+
+
 def linear_sql(weights: dict, intercept: float, prefix: str = "") -> str:
-    z = d(intercept)
+    sc = app_scale(prefix)
+    z = f"{d(intercept)} * {sc}"
     for f, w in weights.items():
-        z = f"{z} + {d(w)} * {prefix}{f}"
+        z = f"{z} + ({d(w)} * {sc}) * {prefix}{f}"
     return f"({z})"
 
 
@@ -237,9 +243,10 @@ def logistic_sql(z: str) -> str:
 
 def trigger_sql(t: str, m=P.TRIGGER, prefix: str = "") -> str:
     z = linear_sql(m.weights, m.intercept, prefix)[1:-1]
-    z = f"{z} + {d(m.trigger_weights.get(t, 0.0))}"
+    sc = app_scale(prefix)
+    z = f"{z} + {d(m.trigger_weights.get(t, 0.0))} * {sc}"
     for f, w in m.interactions.get(t, {}).items():
-        z = f"{z} + {d(w)} * {prefix}{f}"
+        z = f"{z} + ({d(w)} * {sc}) * {prefix}{f}"
     return f"round({logistic_sql('(' + z + ')')}, 4)"
 
 

@@ -17,24 +17,32 @@ from ..operators import lookup as LK
 from ..operators import ltv as LT
 from ..operators import policy as PO
 from ..operators import scoring as SC
+from ..sources import models as BM
+
 
 def score_rows(df: DataFrame, readiness: DataFrame, seed: str = P.POLICY_SEED,
                draw_extra: list | None = None, trigger_model=P.TRIGGER,
                purchase=P.D3_PURCHASE, churn=P.D3_CHURN, pltv_p=P.PLTV_PURCHASE,
-               pltv_amount=P.PLTV_AMOUNT) -> DataFrame:
+               pltv_amount=P.PLTV_AMOUNT, models: DataFrame | None = None) -> DataFrame:
     """Feature rows of ready apps -> trigger scores, policy, D3 probabilities, pLTV score.
 
+    ``models``: per-app bundles (``sources.models``); each row is then scored with its own
+    app's coefficients and rows of apps without a bundle are refused.
     ``draw_extra``: extra columns for the policy draw (the decision anchor for requests).
     """
     r = readiness.where(F.col("ready")).select("app_id", "mode", "has_pltv", "model_version")
     out = df.join(r, "app_id", "inner")
+    if models is not None:
+        out = BM.with_models(out, models)
+        trigger_model = BM.app_trigger_model(trigger_model)
+        purchase, churn, pltv_p, pltv_amount = map(BM.app_model, (purchase, churn, pltv_p, pltv_amount))
     optimized = F.col("mode") == F.lit("optimized")
     out = SC.score_triggers(out, trigger_model, enabled=optimized)
     key = [F.col("app_id"), F.col("airbridge_uuid"), F.col("model_version")] + list(draw_extra or [])
     out = PO.assign_trigger(out, has_model=optimized, seed=seed, draw_key=key)
     out = SC.score_binary(out, purchase, churn)
     out = SC.hurdle_ltv(out, pltv_p, pltv_amount, enabled=F.col("has_pltv"))
-    return out
+    return out.drop(BM.MODELS)
 
 
 def tier_config_from(scored: DataFrame, labels: DataFrame, n_quantiles: int = 1000) -> DataFrame:
@@ -45,11 +53,11 @@ def tier_config_from(scored: DataFrame, labels: DataFrame, n_quantiles: int = 10
 
 
 def score_users(features: DataFrame, readiness: DataFrame, labels: DataFrame,
-                cfg: DataFrame | None = None, seed: str = P.POLICY_SEED) -> DataFrame:
+                cfg: DataFrame | None = None, seed: str = P.POLICY_SEED, models: DataFrame | None = None) -> DataFrame:
     """Batch form: every feature row of a ready app, tiered with a config built from the
     same population (or the given ``cfg``)."""
     feats = features.select("app_id", "airbridge_uuid", *S.ALL_FEATURES)
-    scored = score_rows(feats, readiness, seed=seed)
+    scored = score_rows(feats, readiness, seed=seed, models=models)
     cfg = tier_config_from(scored, labels) if cfg is None else cfg
     tiered = LT.assign_tier(scored, cfg)
     return tiered.select(
@@ -63,7 +71,8 @@ def score_users(features: DataFrame, readiness: DataFrame, labels: DataFrame,
 
 
 def score_requests(requests: DataFrame, features: DataFrame, readiness: DataFrame, cfg: DataFrame,
-                   ttl_s: float = S.DECISION_TTL_SECONDS, seed: str = P.POLICY_SEED) -> DataFrame:
+                   ttl_s: float = S.DECISION_TTL_SECONDS, seed: str = P.POLICY_SEED,
+                   models: DataFrame | None = None) -> DataFrame:
     """Per-request form (the service's predict path): J3 -> J1 -> W4 -> M2/M3 -> M1 -> M4-M6.
 
     Refused requests (unknown app / user) are not in the output; ``unscorable_requests``
@@ -76,7 +85,7 @@ def score_requests(requests: DataFrame, features: DataFrame, readiness: DataFram
     hit = LK.lookup_features(req, feats)
     sticky = PO.sticky_decisions(hit, ttl_s=ttl_s)
     scored = score_rows(sticky.drop("model_version"), readiness, seed=seed,
-                        draw_extra=[F.col("anchor_us")])
+                        draw_extra=[F.col("anchor_us")], models=models)
     tiered = LT.assign_tier(scored, cfg)
     return tiered.select(
         "request_id", "app_id", "airbridge_uuid", "request_ts", "anchor_ts", "anchor_us", "mode",

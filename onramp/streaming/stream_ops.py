@@ -46,7 +46,7 @@ def _now(source, spark: SparkSession) -> DataFrame:
 
 
 def score_batch_fn(feature_loader: Callable[[SparkSession], DataFrame], readiness, cfg, out_path: str,
-                   log_path: str | None = None):
+                   log_path: str | None = None, models=None):
     """foreachBatch body for T1: look up the *current* feature table, readiness and tier
     config (loaders are called per batch — a static DataFrame would keep the file list it
     was planned with), score, and write the batch under its batch id. The log is written
@@ -67,7 +67,8 @@ def score_batch_fn(feature_loader: Callable[[SparkSession], DataFrame], readines
             draw = F.col("anchor_us")
         else:
             draw = F.unix_micros("request_ts")
-        scored = SP.score_rows(hit.select(*keep, *S.ALL_FEATURES), readiness_now, draw_extra=[draw])
+        scored = SP.score_rows(hit.select(*keep, *S.ALL_FEATURES), readiness_now, draw_extra=[draw],
+                               models=None if models is None else _now(models, spark))
         tiered = LT.assign_tier(scored, cfg_now).withColumn("batch_id", F.lit(batch_id))
         tiered = tiered.persist()
         try:
@@ -82,9 +83,9 @@ def score_batch_fn(feature_loader: Callable[[SparkSession], DataFrame], readines
 
 
 def score_stream(requests: DataFrame, feature_loader, readiness, cfg,
-                 out_path: str, checkpoint: str, log_path: str | None = None, trigger: dict | None = None):
+                 out_path: str, checkpoint: str, log_path: str | None = None, trigger: dict | None = None, models=None):
     """Start the scoring stream. ``trigger`` e.g. {"availableNow": True}."""
-    w = (requests.writeStream.foreachBatch(score_batch_fn(feature_loader, readiness, cfg, out_path, log_path))
+    w = (requests.writeStream.foreachBatch(score_batch_fn(feature_loader, readiness, cfg, out_path, log_path, models))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(**(trigger or {"processingTime": "10 seconds"}))
     return w.start()

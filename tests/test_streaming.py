@@ -268,7 +268,7 @@ def test_sticky_then_score_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 2).parquet(req_dir)
     sticky = ST.sticky_decisions_stream(stream, ttl_s=3600, watermark="2 hours")
     q = ST.score_stream(sticky, lambda s: s.read.parquet(feat_dir), rd, cfg, str(tmp_path / "out"),
-                        str(tmp_path / "ckpt"), trigger={"availableNow": True})
+                        str(tmp_path / "ckpt"), trigger={"availableNow": True}, models=lambda s: fx.models)
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     want = C._requests_scored(spark, SF_CHECK)
