@@ -64,14 +64,18 @@ def unknown_users(requests: DataFrame, features: DataFrame, key=S.KEY) -> DataFr
 
 
 def app_readiness(inventory: DataFrame) -> DataFrame:
-    """A3: per app, from (app_id, file, length, valid):
+    """A3: per app, from (app_id, file, length, valid) and, where known, modified:
 
     available = purchase model present; ready = purchase and churn models;
     mode = optimized (ready and trigger model) / exploration (ready) / not ready;
     missing = required files absent (contract order); has_pltv = all three pLTV files;
-    model_version = hash of the valid (file, length) set, so any artifact change bumps it.
+    model_version = hash of the valid (file, length, modification time) set, so any upload
+    bumps it, also one of the same size.
     """
     valid = F.col("valid") & F.col("file").isNotNull()
+    state = [F.col("file"), F.col("length").cast("string")]
+    if "modified" in inventory.columns:
+        state.append(F.unix_micros("modified").cast("string"))
 
     def has(f):
         return F.bool_or(valid & (F.col("file") == f))
@@ -82,7 +86,7 @@ def app_readiness(inventory: DataFrame) -> DataFrame:
         has(S.TRIGGER_MODEL_FILE).alias("_trig"),
         # at most the 7 whitelisted names per app: a bounded set
         F.collect_set(F.when(valid, F.col("file"))).alias("_files"),
-        F.array_sort(F.collect_list(F.when(valid, F.concat_ws(":", "file", F.col("length").cast("string")))))
+        F.array_sort(F.collect_list(F.when(valid, F.concat_ws(":", *state))))
          .alias("_sig"),
     )
     ready = F.col("available") & F.col("_churn")

@@ -57,13 +57,13 @@ def read_factor_params(spark: SparkSession, root: str, file: str = "fa_params.js
 
 
 def artifact_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Files per app directory with their size (``binaryFile`` listing; only path and
-    length are selected, so file contents are never read)."""
+    """Files per app directory with their size and modification time (``binaryFile``
+    listing; file contents are never read). An empty file cannot be a model: not valid."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-             .select("path", "length"))
+             .select("path", "length", "modificationTime"))
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(F.element_at(F.split("path", "/"), -2).alias("app_id"), name.alias("file"),
-                        F.col("length"), F.lit(True).alias("valid"))
+                        F.col("length"), F.col("modificationTime").alias("modified"), (F.col("length") > 0).alias("valid"))
 
 
 def inventory_listing(inventory: DataFrame) -> DataFrame:

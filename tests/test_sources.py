@@ -107,3 +107,21 @@ def test_booleans_and_file_order(spark, tmp_path):
     assert sorted(r[0] for r in first) == [0.0, 1.0]
     # no order at all: one row per user
     assert lookup_features(req, f.drop("row_no")).count() == 2
+
+
+def test_same_size_upload_bumps_the_version(spark, tmp_path):
+    import os
+    from onramp import schema as S
+    from onramp.operators.lookup import app_readiness
+    from onramp.sources.config import artifact_inventory
+    os.makedirs(tmp_path / "a")
+    for f in S.REQUIRED_MODEL_FILES:
+        (tmp_path / "a" / f).write_text("one")
+    one = app_readiness(artifact_inventory(spark, str(tmp_path))).first()
+    f = tmp_path / "a" / S.REQUIRED_MODEL_FILES[0]
+    f.write_text("two")
+    os.utime(f, (1_900_000_000, 1_900_000_000))
+    two = app_readiness(artifact_inventory(spark, str(tmp_path))).first()
+    assert one.ready and two.ready and one.model_version != two.model_version
+    f.write_text("")   # an empty file does not load
+    assert not app_readiness(artifact_inventory(spark, str(tmp_path))).first().ready
