@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from onramp.session import apply_conf, ensure_checkpoint_dir
 
 # rows a Python worker holds at once (a batch of texts), not a limit on the data
-ARROW_ROWS = "2000"
+ARROW_ROWS = "500"
 
 
 def ready(spark: SparkSession) -> SparkSession:

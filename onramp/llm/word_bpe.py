@@ -10,7 +10,7 @@ on together as the rows of two matrices: every row that still has a rank loses e
 one part a round, so the matrices stay dense. Words over ``SHORT`` symbols would make the
 scan quadratic and use a heap over linked parts instead, with the same result.
 
-Chunks are independent of each other, so each worker keeps the ids of words and chunks it
+Chunks are independent of each other, so each task keeps the ids of words and chunks it
 has seen, in two generations of bounded size. Decoding joins the token strings of the ids
 by single blanks, which is what a vocabulary file without a decoder asks for.
 
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .common import pick, raw_bytes, ready, table
 
 SHORT = 64
-CACHED = 300_000       # words, and chunks, of one cache generation
+CACHED = 200_000       # words, and chunks, of one cache generation
 CACHED_BYTES = 4 * SHORT  # longer chunks are not kept
 BATCH_BYTES = 4 << 20  # text encoded together
 NO_RANK = 1 << 30
@@ -261,6 +261,9 @@ class WordBpe:
         self.chunk_ids.turn()
         return out
 
+    def forget(self) -> None:
+        self.word_ids, self.chunk_ids = Generations(), Generations()
+
     def encode_raw(self, text: bytes) -> bytes:
         return self.encode_all([text])[0]
 
@@ -279,7 +282,7 @@ _LOADED: dict[str, WordBpe] = {}
 
 
 def loaded(spec: str) -> WordBpe:
-    """One encoder per worker process and vocabulary, kept between tasks."""
+    """One encoder per worker process and vocabulary, kept between tasks (without its caches)."""
     key = hashlib.md5(spec.encode()).hexdigest()
     if key not in _LOADED:
         _LOADED.clear()
@@ -310,27 +313,29 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     if keep_text:
         fields.append(T.StructField("decoded", T.StringType()))
 
+    def encoded(bpe: WordBpe, ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+        got = bpe.encode_all(texts)
+        sizes = np.array([len(g) // 4 for g in got], np.int64)
+        decoded = [bpe.decode(ids_of(g)) for g in got] if keep_text else (bpe.decode(ids_of(g)) for g in got)
+        cols = [ids, pa.array(sizes, pa.int64()), pa.array([hashlib.sha256(g).hexdigest() for g in got], pa.string()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string())]
+        if keep_ids:  # as one buffer: no Python number per token
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32))))
+        if keep_text:
+            cols.append(pa.array(decoded, pa.string()))
+        return pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+
     def run(batches):
         bpe = loaded(spec.value)
-        for batch in batches:
-            counts, ids_sha, dec_sha, all_ids, decoded = [], [], [], [], []
-            texts = [t or b"" for t in raw_bytes(batch, "text")]
-            for got in (ids for own in portions(texts) for ids in bpe.encode_all(own)):
-                ids = ids_of(got)
-                text = bpe.decode(ids)
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(got).hexdigest())
-                dec_sha.append(hashlib.sha256(text.encode()).hexdigest())
-                if keep_ids:
-                    all_ids.append(ids)
-                if keep_text:
-                    decoded.append(text)
-            cols = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())]
-            if keep_ids:
-                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
-            if keep_text:
-                cols.append(pa.array(decoded, pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+        try:
+            for batch in batches:
+                at = 0
+                for own in portions([t or b"" for t in raw_bytes(batch, "text")]):
+                    yield encoded(bpe, batch.column("doc_id").slice(at, len(own)), own)
+                    at += len(own)
+        finally:
+            bpe.forget()  # a worker lives on, with other work that needs the memory
 
     return d.mapInArrow(run, T.StructType(fields))
 
