@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from onramp.session import materialize
+
 from .common import pick, table
 
 SLOT_BUCKETS = 4096      # sub-partitions of a shard in which rows are numbered
@@ -147,7 +149,9 @@ def assign_shards(docs: DataFrame, tree: Node, id_col: str = "doc_id", text_col:
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         key.alias("key"))
     rows = descend(descend(rows, "key", tree, "shard"), "key", grown(tree), "grown_shard")
-    return with_slots(rows).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    # the rows without their texts are written once: the count, the offsets and the copies
+    # below would each read the texts again
+    return with_slots(materialize(rows, "sharded")).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op1_shard_tree(spark, sf_dir: str) -> DataFrame:
