@@ -4,7 +4,13 @@ Rules decide the urls they fit (the longest one wins) and label them: blocked or
 For all other urls the method decides. Per host, paths form a tree of segments that is
 walked level by level: under each node, segments with at least ``SUPPORT`` urls and
 ``SHARE`` of the node's urls stay as they are, all others become a wildcard of their shape
-(runs of digits, of hexadecimal digits and of letters; other characters stay). Below
+(runs of digits, of hexadecimal digits and of letters; other characters stay). What is
+folded into one wildcard must be alike in labels, counted in different paths: the labelled
+of all and the blocked of the labelled. A segment whose counts its siblings' share makes
+less likely than ``ALPHA`` (Chernoff bound, over the number of siblings) is kept apart; if
+the counts of all siblings spread more than ``Z`` standard errors beyond chance, all are.
+What is kept apart is folded by its own labels: none, or the same power of two of the
+labelled share and the same fifth of the blocked share. Below
 ``DEPTH`` levels the rest of a path is one wildcard. Then, from the last segment to the
 first, templates that differ only in that literal segment are ordered by their share of
 blocked urls, and neighbours whose shares do not differ significantly (``Z`` standard
@@ -39,6 +45,7 @@ DEPTH = 8
 SUPPORT = 20
 SHARE = 0.05
 Z = 2.0
+ALPHA = 0.05
 A = 2.0
 REJECT = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,6 +76,40 @@ def shape(segment: Column) -> Column:
     return F.regexp_replace(s, r"(?<!\{)\p{L}+(?!\})", "{a}")
 
 
+def spread(squares: Column, hits: Column, n: Column, inverse: Column, k: Column) -> Column:
+    """Whether the hits of ``k`` groups differ more than chance lets them: ``squares`` is the
+    sum of hits^2 / n over the groups, ``inverse`` the sum of 1 / n."""
+    pq = hits / n * (1 - hits / n)
+    chi2 = (squares - hits * hits / n) / pq
+    error = F.sqrt(F.greatest(k, 2 * k + (1 - 6 * pq) / pq * inverse))
+    return F.when((hits > 0) & (hits < n), chi2 - (k - 1) * n / (n - 1) > Z * error).otherwise(False)
+
+
+def unlike(hits: Column, n: Column, all_hits: Column, all_n: Column, k: Column) -> Column:
+    """Whether ``hits`` of ``n`` are too unlikely at the share of the other groups."""
+    p = (all_hits - hits + 0.5) / (all_n - n + 1)
+    part = lambda x, q: F.when(x > 0, x * F.log(x / (n * q))).otherwise(0.0)
+    return (n > 0) & (all_n > n) & (part(hits, p) + part(n - hits, 1 - p) > F.log(k / ALPHA))
+
+
+def kept_apart(segments: DataFrame) -> DataFrame:
+    """(h, t, s, name) of the segments (host, tmpl, seg, shape, paths, known, bad) that must
+    not be folded with all siblings of their shape."""
+    n, known, bad = F.col("paths"), F.col("known"), F.col("bad")
+    some = known > 0
+    sums = segments.groupBy(F.col("host").alias("h"), F.col("tmpl").alias("t"), F.col("shape").alias("sh")).agg(
+        F.sum(n).alias("N"), F.sum(known).alias("L"), F.sum(bad).alias("B"), F.count("*").alias("k"), F.sum(some.cast("long")).alias("kl"),
+        F.sum(known * known / n).alias("l2"), F.sum(1 / n).alias("n1"), F.sum(F.when(some, bad * bad / known)).alias("b2"), F.sum(F.when(some, 1 / known)).alias("l1"))
+    c = F.col
+    sums = sums.filter("k > 1 AND L > 0 AND (L < N OR (B > 0 AND B < L))").withColumn(
+        "spread", spread(c("l2"), c("L"), c("N"), c("n1"), c("k")) | spread(c("b2"), c("B"), c("L"), c("l1"), c("kl")))
+    sums = materialize(sums, "segment-groups")
+    j = segments.join(sums, (c("host") == c("h")) & (c("tmpl") == c("t")) & (c("shape") == c("sh")))
+    j = j.filter(c("spread") | unlike(known, n, c("L"), c("N"), c("k")) | unlike(bad, known, c("B"), c("L"), c("kl")))
+    like = F.concat_ws("|", F.floor(F.log2(n / known)).cast("string"), F.least(F.lit(4), F.floor(5 * bad / known)).cast("string"))
+    return j.select("h", "t", c("seg").alias("s"), F.concat(F.lit("~"), c("shape"), F.lit("|"), F.when(some, like).otherwise("?")).alias("name"))
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """``paths`` (host, path, n, labelled, blocked) with ``tmpl``, the template's segments."""
     t = paths.withColumn("segs", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(
@@ -79,13 +120,15 @@ def templates(paths: DataFrame) -> DataFrame:
         d = t.withColumn("seg", F.get("segs", F.lit(level)))
         live = d.filter("seg IS NOT NULL")
         nodes = live.groupBy(F.col("host").alias("h"), F.col("tmpl").alias("t")).agg(F.sum("n").alias("node_n"))
-        common = live.groupBy("host", "tmpl", "seg").agg(F.sum("n").alias("seg_n")).filter(F.col("seg_n") >= SUPPORT)
-        fixed = (common.join(nodes, (F.col("host") == F.col("h")) & (F.col("tmpl") == F.col("t")))
-                 .filter(F.col("seg_n") >= SHARE * F.col("node_n")).select("h", "t", F.col("seg").alias("s")))
-        fixed = materialize(fixed, "fixed-segments")
-        joined = d.join(fixed, (F.col("host") == F.col("h")) & (F.col("tmpl") == F.col("t")) & (F.col("seg") == F.col("s")), "left")
+        segments = live.groupBy("host", "tmpl", "seg").agg(
+            F.sum("n").alias("seg_n"), F.count("*").alias("paths"), F.sum((F.col("labelled") > 0).cast("long")).alias("known"), F.sum((F.col("blocked") > 0).cast("long")).alias("bad"))
+        segments = materialize(segments.join(nodes, (F.col("host") == F.col("h")) & (F.col("tmpl") == F.col("t"))).withColumn(
+            "often", (F.col("seg_n") >= SUPPORT) & (F.col("seg_n") >= SHARE * F.col("node_n"))).withColumn("shape", shape(F.col("seg"))).drop("h", "t"), "node-segments")
+        often = segments.filter("often").select(F.col("host").alias("h"), F.col("tmpl").alias("t"), F.col("seg").alias("s"), F.concat(F.lit("="), F.col("seg")).alias("name"))
+        named = materialize(often.unionByName(kept_apart(segments.filter("NOT often"))), "named-segments")
+        joined = d.join(named, (F.col("host") == F.col("h")) & (F.col("tmpl") == F.col("t")) & (F.col("seg") == F.col("s")), "left")
         grown = F.when(F.col("seg").isNull(), F.col("tmpl")).otherwise(
-            F.concat("tmpl", F.array(F.when(F.col("s").isNotNull(), F.concat(F.lit("="), F.col("seg"))).otherwise(F.concat(F.lit("~"), shape(F.col("seg")))))))
+            F.concat("tmpl", F.array(F.coalesce("name", F.concat(F.lit("~"), shape(F.col("seg")))))))
         t = materialize(joined.select(*[F.col(c) for c in paths.columns], "segs", grown.alias("tmpl")), "paths")
     rest = F.when(F.size("segs") > DEPTH, F.concat("tmpl", F.array(F.lit("**")))).otherwise(F.col("tmpl"))
     return t.withColumn("tmpl", rest).drop("segs")

@@ -72,3 +72,21 @@ def test_query_against_brute_rules(spark):
         host, path = brute_parts(urls[r.page_id])
         say, rule = brute_rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (say or r.verdict) and r.verdict in ("allow", "block")
+
+
+def test_unlike_siblings_are_not_folded_together(spark):
+    rules = (("block", "few.org/de/"), ("block", "hot.org/s00/"), ("block", "one.org/de/"), ("block", "tiny.org/a"), ("block", "slug.org/de/"))
+    few = [f"http://few.org/{s}/{i}" for s, k in (("de", 18), ("en", 40), ("es", 3), ("fr", 1)) for i in range(k)]
+    hot = [f"http://hot.org/s{s:02d}/{i}" for s in range(40) for i in range(60)]
+    one = [f"http://one.org/de/{i}" for i in range(6)] + ["http://one.org/es/1"]
+    # many sections of two paths each: no section stands out, all together do
+    tiny = [f"http://tiny.org/{a}{b}/{i}" for a in "ab" for b in "abcdefghijklmnopqrst" for i in range(2)]
+    slug = [f"http://slug.org/de/{i}" for i in range(7)] + [f"http://slug.org/{a}{b}" for a in "fgh" for b in "abcdefghij"]
+    urls = few + hot + one + tiny + slug
+    out = U.judge(frame(spark, urls), rules).collect()
+    assert len(out) == len(urls)
+    assert all(r.verdict == ("block" if r.rule else "allow") for r in out), [(r.host, r.path, r.template) for r in out if not r.rule and r.verdict == "block"][:5]
+    # ids of one path each stay one wildcard
+    ids = [f"http://w.org/a/{i:03d}" for i in range(600)]
+    some = tuple(("block", f"w.org/a/{i}") for i in range(5))
+    assert {r.template for r in U.judge(frame(spark, ids), some).collect()} == {"=a/~{n}"}
