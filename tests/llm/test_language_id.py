@@ -32,3 +32,16 @@ def test_edges(spark):
     assert L.identify(new.limit(0), model).count() == 0
     nothing = spark.createDataFrame([(1, None, "en"), (2, "x", None), (None, "text", "fr")], "doc_id long, text string, lang string")
     assert L.learned(nothing) == []
+
+
+def test_short_and_long_texts_are_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.Model(L.learned(docs))
+    held = [(r.text.encode(), r.lang) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and r.lang in ("en", "de") and len(r.text or "") > 300]
+    for size, least in ((5, 0.85), (10, 0.97), (20, 0.99), (50, 0.99)):
+        got = [(model.predict(t[100:100 + size]), lang) for t, lang in held]
+        assert sum(g[0] == lang and g[2] >= L.MARGIN for g, lang in got) >= least * len(got), size
+    english = b" ".join(t for t, lang in held if lang == "en")
+    for size in (2_000, 100_000, 20_000_000):
+        lang, _, margin = model.predict((english * (size // len(english) + 1))[:size])
+        assert lang == "en" and margin > 20 * L.MARGIN, size
