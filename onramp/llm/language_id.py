@@ -9,8 +9,10 @@ the dictionary's byte contexts (of three bytes down to none). If the runner-up's
 relatively, the row is marked ``rejected``; the prediction stays.
 
 Learning reads a bounded sample: of each language the ``SAMPLE_TEXTS`` texts with the
-smallest hash of their content, at most ``DICTIONARY_BYTES / SAMPLE_TEXTS`` bytes of each,
-so copies count once and the dictionary has a known size. Predictions use the text alone.
+smallest hash of their content, of each an equal part of ``DICTIONARY_BYTES`` (more where a
+language has fewer texts): one stretch that begins at a place chosen by the hash, so that
+shared openings do not fill a dictionary. Copies count once and the dictionary has a known
+size. Predictions use the text alone.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and rejected;
 without any labelled row everything is ``und``; a single learned language always wins
@@ -55,18 +57,22 @@ def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, size: int = DICTIONAR
     The number of different texts of a language (a sketch) sets the hash below which about
     1.5 x ``texts`` of them lie; only those rows are grouped and brought to the driver."""
     rows = (labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-            .select("lang", F.xxhash64("text").alias("h"), F.substring(F.col("text").cast("binary"), 1, max(1, size // texts)).alias("text")))
+            .select("lang", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text")))
     different = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(LANGUAGES + 1).collect()
     if len(different) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not different:
         return {}
-    below = F.lit(False)
+    below, room = F.lit(False), F.lit(0)
     for r in different:
+        # the sketch may count a few texts too many or too few: ``dictionaries`` cuts at the size
+        room = F.when(F.col("lang") == r.lang, F.lit(max(1, size // max(1, min(texts, r.n))))).otherwise(room)
         share = min(1.0, 1.5 * texts / max(1, r.n))
         below = below | ((F.col("lang") == r.lang) & (F.col("h") <= min(2**63 - 1, int(-2**63 + share * 2**64))))
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.lit(0), F.length("text") - room) + 1).cast("int")
+    rows = rows.filter(below).select("lang", "h", F.substring(F.col("text"), begin + 1, room).alias("text"))
     got: dict[str, list] = {}
-    for r in rows.filter(below).groupBy("lang", "h").agg(F.min("text").alias("text")).collect():
+    for r in rows.groupBy("lang", "h").agg(F.min("text").alias("text")).collect():
         got.setdefault(r.lang, []).append((r.h, bytes(r.text)))
     return {lang: [t for _, t in sorted(own)[:texts]] for lang, own in got.items()}
 
@@ -140,7 +146,7 @@ class Model:
 
 def dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
     """(lang, dictionary) of each language, by name."""
-    return [(lang, b"".join(map(folded, texts))) for lang, texts in sorted(sample(labelled).items())]
+    return [(lang, b"".join(folded(t.decode("utf-8", "ignore").encode()) for t in texts)[:DICTIONARY_BYTES]) for lang, texts in sorted(sample(labelled).items())]
 
 
 def identify(d: DataFrame, model: list[tuple[str, bytes]], text: str = "text", margin: float = MARGIN) -> DataFrame:

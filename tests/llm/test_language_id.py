@@ -45,3 +45,13 @@ def test_short_and_long_texts_are_kept(spark):
     for size in (2_000, 100_000, 20_000_000):
         lang, _, margin = model.predict((english * (size // len(english) + 1))[:size])
         assert lang == "en" and margin > 20 * L.MARGIN, size
+
+
+def test_sample_is_not_the_openings(spark):
+    notice = "all rights reserved under this licence " * 30
+    rows = [(notice + f"text {i} " * 400, "en") for i in range(600)] + [("ä" * 1000 + f" wort {i} " * 20_000, "de") for i in range(3)]
+    got = L.sample(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(got["en"]) == 512 and len(got["de"]) == 3
+    assert sum(b"rights" in t for t in got["en"]) < 300  # stretches lie anywhere
+    assert sum(map(len, got["de"])) > 0.95 * L.DICTIONARY_BYTES  # few texts fill the dictionary
+    assert all(sum(map(len, own)) <= 1.05 * L.DICTIONARY_BYTES for own in got.values())
