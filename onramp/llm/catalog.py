@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import balltree, host_rules, language_id, mixing, quality_net, secrets_cnn, sharding, simhash, url_templates, word_bpe
+from . import balltree, chat_format, host_rules, language_id, mixing, quality_net, secrets_cnn, sharding, simhash, url_templates, word_bpe
 
 QUERIES = {
     "op1_shard_tree": sharding.op1_shard_tree,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_top_k": balltree.op8_top_k,
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_quality": quality_net.op10_quality,
+    "op11_chat_format": chat_format.op11_chat_format,
 }
 ORACLE = {
     "op1_shard_tree": sharding.ORACLE,
     "op5_mix": mixing.ORACLE,
     "op8_top_k": balltree.ORACLE,
     "op9_host_rules": host_rules.ORACLE,
+    "op11_chat_format": chat_format.ORACLE,
 }
