@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import balltree, chat_format, host_rules, language_id, mixing, quality_net, secrets_cnn, sharding, simhash, url_templates, word_bpe
+from . import balltree, chat_format, hard_negatives, host_rules, language_id, lexical_search, mixing, quality_net, secrets_cnn, sharding, simhash, url_templates, word_bpe
 
 QUERIES = {
     "op1_shard_tree": sharding.op1_shard_tree,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_host_rules": host_rules.op9_host_rules,
     "op10_quality": quality_net.op10_quality,
     "op11_chat_format": chat_format.op11_chat_format,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLE = {
     "op1_shard_tree": sharding.ORACLE,
@@ -23,4 +25,6 @@ ORACLE = {
     "op8_top_k": balltree.ORACLE,
     "op9_host_rules": host_rules.ORACLE,
     "op11_chat_format": chat_format.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
