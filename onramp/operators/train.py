@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -103,6 +103,23 @@ def train_s_learner(outcomes: DataFrame, base_features=S.ALL_FEATURES, interact_
         triggers=tuple(triggers))
 
 
+def fit_gbt(data: DataFrame, target: str, base: str, trees: int = 20, depth: int = 5, seed: int = 1) -> dict[str, str]:
+    """M8 with trees: one GBTClassifier per app on its labelled rows, saved under ``base``;
+    returns {app_id: folder}. Apps with one class only are left out. Apps are fitted one after
+    the other, each fit over all executors (models are per app, so their number is that of
+    the service's customers, not of users)."""
+    labelled = data.where(F.col(target).isNotNull())
+    both = labelled.groupBy("app_id").agg(F.countDistinct(target).alias("classes")).where("classes = 2").select("app_id")
+    va = VectorAssembler(inputCols=list(S.ALL_FEATURES), outputCol="features")
+    out = {}
+    for i, (app,) in enumerate(sorted(both.collect())):
+        own = va.transform(labelled.where(F.col("app_id") == app)).select("features", F.col(target).cast("double").alias("label"))
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed).fit(own)
+        out[app] = f"{base}/{i}"
+        model.write().overwrite().save(out[app])
+    return out
+
+
 def coefficient_table(spark, model: LinearModel) -> DataFrame:
     """A fitted model as rows (name, term, weight) — the exportable artifact form."""
     rows = [(model.name, "(intercept)", float(model.intercept))] + \

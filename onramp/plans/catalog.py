@@ -833,11 +833,4 @@ def q_orders_tiers(spark, sf_dir):
                     F.round("tier_avg_ltv", 4).alias("tier_avg_ltv"))
 
 
-# ------------------------------------------------------------------ M8 on the fixture (rows only: labels are random)
-
-@register("train_d3_coefficients")
-def q_train(spark, sf_dir):
-    from ..operators.train import coefficient_table, train_d3
-    fx = fixture(spark, sf_dir)
-    fit = train_d3(fx.features, fx.labels, "d3_purchase", name="d3_purchase_model")
-    return coefficient_table(spark, fit.model).withColumn("holdout_auc", F.lit(fit.auc))
+from . import training  # noqa: E402,F401  (registers the fitted and tree models)
