@@ -833,4 +833,4 @@ def q_orders_tiers(spark, sf_dir):
                     F.round("tier_avg_ltv", 4).alias("tier_avg_ltv"))
 
 
-from . import training  # noqa: E402,F401  (registers the fitted and tree models)
+from . import streams, training  # noqa: E402,F401  (register the fitted and tree models and the stream forms)

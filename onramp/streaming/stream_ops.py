@@ -121,18 +121,22 @@ def _session_row(key, t0_us: int, install_id: int, events, window_us: int) -> pd
     return pd.DataFrame([{"app_id": key[0], "user_id": key[1], "t0": pd.Timestamp(t0_us, unit="us"), **counts}])
 
 
-def _first_session_fn(window_us: int):
+def _first_session_fn(window_us: int, flag_us: int):
     """State until the row is out: the earliest install so far and the rows that may still
     count. The watermark decides: a row at or before it can no longer arrive, so the
     window's row is final once the watermark reaches its end — in a data batch as well as
     on a timeout. Afterwards only the ``done`` flag stays, so that later sign-ups of the
-    user give no second row."""
+    user give no second row, until the watermark is ``flag_us`` past the install."""
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         t0_us, install_id, ts, ids, types, done = state.get if state.exists else (None, None, [], [], [], False)
         events = list(zip(ts or [], ids or [], types or []))
         if done:
+            if state.hasTimedOut:
+                state.remove()
+                return
             for _ in pdfs:
                 pass
+            keep_flag(state, t0_us)
             return
         if not state.hasTimedOut:
             for pdf in pdfs:
@@ -144,6 +148,7 @@ def _first_session_fn(window_us: int):
         wm_ms = state.getCurrentWatermarkMs()
         if t0_us is not None and wm_ms * 1000 >= t0_us + window_us:
             state.update((t0_us, install_id, [], [], [], True))
+            keep_flag(state, t0_us)
             yield _session_row(key, t0_us, install_id, events, window_us)
             return
         # an install that has yet to arrive lies after the watermark: rows before both it
@@ -156,21 +161,28 @@ def _first_session_fn(window_us: int):
         state.update((t0_us, install_id, *([e[k] for e in events] for k in range(3)), False))
         due = (t0_us if t0_us is not None else max(e[0] for e in events)) + window_us
         state.setTimeoutTimestamp(max(-(-due // 1000), wm_ms + 1))
+
+    def keep_flag(state: GroupState, t0_us: int) -> None:
+        state.setTimeoutTimestamp(max(-(-(t0_us + flag_us) // 1000), state.getCurrentWatermarkMs() + 1))
+
     return fn
 
 
-def five_minute_trigger(events: DataFrame, window_s: float = 300, watermark: str = "10 minutes") -> DataFrame:
+def five_minute_trigger(events: DataFrame, window_s: float = 300, watermark: str = "10 minutes",
+                        flag_s: float = 90 * 86400) -> DataFrame:
     """One row per installed user when event time passes t0 + window, with the
     in-app counts of [t0, t0 + window). One row per user, whatever the order of arrival
-    within the watermark and however many sign-ups follow; the flag that ensures it is the
-    only state kept of a finished user. Anchored at the first open, so neither a tumbling
+    within the watermark and however many sign-ups follow within ``flag_s`` of the install;
+    the flag that ensures it is the only state kept of a finished user, and an event-time
+    timer drops it then: state is bounded by the users of that time (a sign-up after it
+    counts as a new user's). Anchored at the first open, so neither a tumbling
     window() nor a gap-based session_window() fits: a per-user state with an event-time
     timer does. Rows behind the watermark are dropped; a user without install in time
     produces nothing."""
     win_us = int(window_s * US_PER_SECOND)
     src = events.select("app_id", "user_id", "ts", "event_id", "event_type", "is_install").withWatermark("ts", watermark)
     return src.groupBy("app_id", "user_id").applyInPandasWithState(
-        _first_session_fn(win_us), FIRST_SESSION_OUT, _FS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        _first_session_fn(win_us, max(win_us, int(flag_s * US_PER_SECOND))), FIRST_SESSION_OUT, _FS_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --------------------------------------------------------------------------- T3
@@ -250,6 +262,14 @@ def log_stream(responses: DataFrame, log_path: str, checkpoint: str, trigger: di
     return w.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
+def late_touches_stream(events: DataFrame, watermark_us: int | None) -> DataFrame:
+    """Touch rows that a rollup whose watermark stands at ``watermark_us`` drops: those of
+    hours that ended at or before it (none before the first batch)."""
+    t = events.where(F.col("touch_type").isNotNull()).withColumn("window_start", F.date_trunc("hour", "ts"))
+    late = F.lit(False) if watermark_us is None else F.unix_micros("window_start") + 3600 * US_PER_SECOND <= watermark_us
+    return t.where(late).select("app_id", "channel", "window_start", "touch_type")
+
+
 def ad_touch_rollup_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Clicks and impressions per app, channel and tumbling hour; append mode emits a
     window once the watermark passes its end."""
