@@ -130,14 +130,16 @@ def _first_session_fn(window_us: int, flag_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         t0_us, install_id, ts, ids, types, done = state.get if state.exists else (None, None, [], [], [], False)
         events = list(zip(ts or [], ids or [], types or []))
-        if done:
-            if state.hasTimedOut:
-                state.remove()
-                return
+        if done and state.getCurrentWatermarkMs() * 1000 < t0_us + flag_us:
             for _ in pdfs:
                 pass
             keep_flag(state, t0_us)
             return
+        if done:  # rows of this batch begin anew
+            if state.hasTimedOut:
+                state.remove()
+                return
+            t0_us, install_id, done = None, None, False
         if not state.hasTimedOut:
             for pdf in pdfs:
                 tus = pdf["ts"].astype("datetime64[us]").astype(np.int64).to_numpy()
