@@ -1,12 +1,15 @@
 """Operator 2: language identification by compression.
 
-For each language a raw-content zstandard dictionary is cut from labelled texts. A text is
-encoded per language with that dictionary, in equal blocks of at most ``BLOCK`` bytes that
-each start from the fresh dictionary, so that its gain grows with the text; the language
-with the smallest sum wins (ties: the first by name). Texts of at most ``SHORT`` bytes,
-for which whole bytes are too coarse, are measured in bits instead: the code length under
-the dictionary's byte contexts (of three bytes down to none). If the runner-up's encoding is less than ``MARGIN`` larger,
-relatively, the row is marked ``rejected``; the prediction stays.
+For each language a raw-content zstandard dictionary is cut from labelled texts, and that
+into cuts of ``CUT`` bytes. A text is divided into equal blocks of at most ``BLOCK`` bytes;
+block j is encoded with cut j of every language, and texts under ``ENCODED`` bytes go on
+with further cuts until about ``ENCODED`` bytes (or every cut) have been encoded, so that the
+sum is fine enough for a text of a few words. Each encoding starts from the fresh dictionary,
+behind ``CONTEXT`` bytes of the language whose own size is taken off: matches are then worth
+their bits, not the overhead of a frame. The language with the smallest sum wins (ties: the
+first by name). If the runner-up's sum is less than ``MARGIN`` larger, relatively, the row is
+marked ``rejected``; the prediction stays. One rule holds for all lengths: texts under about
+ten bytes hold too little for it and are mostly rejected.
 
 Learning reads a bounded sample: of each language the ``SAMPLE_TEXTS`` texts with the
 smallest hash of their content, of each an equal part of ``DICTIONARY_BYTES`` (more where a
@@ -15,7 +18,9 @@ shared openings do not fill a dictionary. Copies count once and the dictionary h
 size. Predictions use the text alone.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and rejected;
-without any labelled row everything is ``und``; a single learned language always wins
+without any labelled row everything is ``und``; more than ``LANGUAGES`` languages raise
+``ValueError``; very long texts are read whole, block by block; other columns, also of
+clashing names, are ignored; a single learned language always wins
 with score 1; rows with a null lang are predicted but not learned from; rows with a null
 id are not learned from and not held out; repeated rows are predicted alike; an empty
 table gives an empty result.
@@ -25,9 +30,7 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
@@ -39,13 +42,14 @@ from .common import in_fold, pick, raw_bytes, table
 
 DICTIONARY_BYTES = 256 << 10
 SAMPLE_TEXTS = 512          # per language
-LEVEL = 6
-BLOCK = 8 << 10
-SHORT = 96                  # bytes; zstandard tells languages apart from about 50 on
-BACKOFF = 2.0               # weight of the next shorter context
-MARGIN = 0.002              # relative difference of sizes under which a row is rejected
-SHARPNESS = 60.0            # score = 1 - exp(-SHARPNESS * margin)
-LANGUAGES = 512             # most languages one model may hold (a model is broadcast)
+CUT = 4 << 10
+CONTEXT = 16
+BLOCK = 512
+ENCODED = 2 << 10
+MARGIN = 0.03               # relative difference of sizes under which a row is rejected
+SHARPNESS = 30.0            # score = 1 - exp(-SHARPNESS * margin)
+COMPRESSORS = 4096          # of one model: languages share them (each holds about 100 kB)
+LANGUAGES = 512             # most languages one model may hold (a model is broadcast); more raise an error
 
 ascii_letter = re.compile(rb"[A-Za-z]").search
 has_letter = regex.compile(r"\p{L}").search
@@ -77,71 +81,74 @@ def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, size: int = DICTIONAR
     return {lang: [t for _, t in sorted(own)[:texts]] for lang, own in got.items()}
 
 
-def folded(text: bytes) -> bytes:
-    """Lower case, with a leading blank: words match wherever they stand."""
-    return b" " + text.decode("utf-8", "replace").lower().encode()
-
-
-@lru_cache(LANGUAGES)
-def grams(raw: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted byte sequences of length 1 to 4 of a dictionary (packed) and their counts."""
-    x = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    return [np.unique(packed_grams(x, k), return_counts=True) for k in range(1, 5)]
+# everything but letters and the bytes of other scripts
+between = re.compile(rb"[^a-z\x80-\xff]+").sub
 
 
-def packed_grams(x: np.ndarray, k: int) -> np.ndarray:
-    n = max(0, len(x) - k + 1)
-    out = np.zeros(n, np.uint32)
-    for i in range(k):
-        out = out << np.uint32(8) | x[i:i + n]
+def folded(text: bytes) -> bytes:
+    """Lower case with one blank before, between and after words: they match wherever they
+    stand, and digits and signs, which all languages share, take no part."""
+    return between(b" ", b" " + text.decode("utf-8", "replace").lower().encode() + b" ")
+
+
+# small tables for small inputs, three-byte matches
+PARAMETERS = zstandard.ZstdCompressionParameters(window_log=15, chain_log=13, hash_log=12, search_log=3, min_match=3, target_length=24,
+                                                 strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False)
+
+
+def encoders(raw: bytes, most: int) -> list[tuple]:
+    """(compress, context, size of the context alone) for the cuts of a dictionary."""
+    n = max(1, min(most, len(raw) // CUT))
+    out = []
+    for j in range(n):
+        cut = raw[j * len(raw) // n:(j + 1) * len(raw) // n]
+        context, rest = cut[:CONTEXT], cut[CONTEXT:] if len(cut) > 4 * CONTEXT else cut
+        d = zstandard.ZstdCompressionDict(rest, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=PARAMETERS)
+        compress = zstandard.ZstdCompressor(dict_data=d, compression_params=PARAMETERS).compress
+        out.append((compress, context, len(compress(context))))
     return out
 
 
-def bits(text: bytes, raw: bytes) -> float:
-    """Code length of all bytes but the first under the contexts of ``raw``."""
-    x = np.frombuffer(text, np.uint8).astype(np.uint32)
-    p, before = np.full(len(x), 1 / 256), np.full(len(x), float(len(raw)))
-    for k, (keys, counts) in enumerate(grams(raw), 1):
-        own = packed_grams(x, k)
-        if not len(own) or not len(keys):
-            break
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        n = np.where(keys[at] == own, counts[at], 0)
-        # own ends at the places k - 1 and on; before[i] counts the context of place i
-        p[k - 1:] = (n + BACKOFF * p[k - 1:]) / (before[k - 1:] + BACKOFF)
-        before = np.concatenate((np.zeros(k), n[:-1]))
-    return float(-np.log2(p[1:]).sum())
+def block_plan(size: int, cuts: int) -> tuple[list[int], int]:
+    """Bounds of a text's equal blocks, and how many times each of them is encoded."""
+    n = -(-size // BLOCK)
+    return [i * size // n for i in range(n + 1)], max(1, min(cuts // n, -(-ENCODED // size)))
 
 
 class Model:
-    """Compressors of each language, made once per worker."""
+    """Encoders of each language, made once per worker."""
 
     def __init__(self, dictionaries: list[tuple[str, bytes]]) -> None:
         self.langs = [lang for lang, _ in dictionaries]
-        self.raw = [raw for _, raw in dictionaries]
-        self.compress = []
-        for _, raw in dictionaries:
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.compress.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False).compress)
+        most = max(1, min(DICTIONARY_BYTES // CUT, COMPRESSORS // max(1, len(dictionaries))))
+        self.encoders = [encoders(raw, most) for _, raw in dictionaries]
+        self.cuts = max(map(len, self.encoders), default=0)
+
+    def sizes(self, text: bytes) -> list[int]:
+        """The text's encoded size per language."""
+        at, times = block_plan(len(text), self.cuts)
+        parts = [text[a:b] for a, b in zip(at, at[1:])]
+        out = []
+        for own in self.encoders:
+            total = 0
+            for j in range(len(parts) * times):
+                compress, context, alone = own[j % len(own)]
+                total += len(compress(context + parts[j % len(parts)])) - alone
+            out.append(total)
+        return out
 
     def predict(self, text: bytes | None) -> tuple[str, float, float]:
         """(language, score, margin)"""
         if not self.langs or not text or not (ascii_letter(text) or has_letter(text.decode("utf-8", "replace"))):
             return "und", 0.0, 0.0
-        text = folded(text)
-        if len(text) <= SHORT:
-            sizes = [bits(text, raw) for raw in self.raw]
-        else:
-            n = -(-len(text) // BLOCK)
-            cuts = [i * len(text) // n for i in range(n + 1)]
-            sizes = [sum(len(c(text[a:b])) for a, b in zip(cuts, cuts[1:])) for c in self.compress]
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        if len(sizes) == 1:
+        if len(self.langs) == 1:
             return self.langs[0], 1.0, 1.0
+        sizes = self.sizes(folded(text))
+        best = min(range(len(sizes)), key=sizes.__getitem__)
         second = min(s for i, s in enumerate(sizes) if i != best)
-        margin = (second - sizes[best]) / second
-        return self.langs[best], 1.0 - math.exp(-SHARPNESS * margin), margin
+        margin = (second - sizes[best]) / max(1, second)
+        return self.langs[best], 1.0 - math.exp(-SHARPNESS * max(0.0, margin)), margin
 
 
 def dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
