@@ -44,7 +44,7 @@ DICTIONARY_BYTES = 256 << 10
 SAMPLE_TEXTS = 512          # per language
 CUT = 4 << 10
 CONTEXT = 16
-BLOCK = 512
+BLOCK = 2 << 10
 ENCODED = 2 << 10
 MARGIN = 0.03               # relative difference of sizes under which a row is rejected
 SHARPNESS = 30.0            # score = 1 - exp(-SHARPNESS * margin)
@@ -93,7 +93,7 @@ def folded(text: bytes) -> bytes:
 
 # small tables for small inputs, three-byte matches
 PARAMETERS = zstandard.ZstdCompressionParameters(window_log=15, chain_log=13, hash_log=12, search_log=3, min_match=3, target_length=24,
-                                                 strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False)
+                                                 strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False)
 
 
 def encoders(raw: bytes, most: int) -> list[tuple]:
