@@ -16,8 +16,10 @@ by single blanks, which is what a vocabulary file without a decoder asks for.
 
 Edge cases: null is the empty text; a text without words gives no ids and the empty
 decoded text; invalid UTF-8 counts as U+FFFD; repeated rows are encoded alike; an empty
-table gives an empty result. Lower case follows the interpreter's Unicode tables: capital
-letters that Unicode gained after them (56 code points with Python 3.13) stay as they are.
+table gives an empty result; very long texts are encoded whole, long chunks by the heap;
+other columns, also of clashing names, are ignored. NFC and lower case are those of the
+vocabulary's own library (its normaliser alone), as its Unicode tables and the interpreter's
+differ in some marks and capitals.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import normalizers
 
 from .common import pick, raw_bytes, ready, table
 
@@ -44,6 +47,9 @@ NO_RANK = 1 << 30
 VOCABULARY_BYTES = 16 << 20  # bound of the vocabulary file that is broadcast
 
 
+normalised = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where it is printable
     Latin-1, otherwise the next free code point from 256."""
@@ -62,7 +68,7 @@ def byte_symbols() -> list[str]:
 ADDED_IN_16 = (
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D8F),
     (0x10EC2, 0x10EC4), (0x11380, 0x113E2), (0x116D0, 0x116E3), (0x11BC0, 0x11BF9), (0x13460, 0x143FA),
-    (0x16100, 0x16139), (0x16D40, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF),
+    (0x16100, 0x16139), (0x16D40, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF),
 )
 
 
@@ -219,10 +225,10 @@ class WordBpe:
         text = chunk.decode("utf-8", "replace")
         find = self.words
         if not text.isascii():
-            # lower case by single characters: no final form of sigma
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = normalised(text)
             if self.newer(text):
                 find = self.words_newer
+            return [w.encode() for w in find(text)]
         return [w.encode() for w in find(text.lower())]
 
     def learn(self, chunks) -> None:

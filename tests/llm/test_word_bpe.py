@@ -37,6 +37,19 @@ def test_random(pair, text):
     same(pair, text)
 
 
+@pytest.mark.parametrize("pattern", ["{}", "a{}\u0323\u0301", "{}\u0323\u0301"])
+def test_every_code_point(pair, pattern):
+    """Alone, after a letter and before two marks, which come in another order by class."""
+    own, lib = pair
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    wrong = []
+    for i in range(0, len(points), 20_000):
+        texts = [" ".join(pattern.format(chr(c)) for c in points[j:j + 100]) for j in range(i, min(i + 20_000, len(points)), 100)]
+        got = own.encode_all([t.encode() for t in texts])
+        wrong += [hex(points[i + 100 * k]) for k, (g, e) in enumerate(zip(got, lib.encode_batch(texts, add_special_tokens=False))) if B.ids_of(g) != e.ids]
+    assert not wrong
+
+
 def test_heap_and_arrays_agree(pair):
     own, _ = pair
     words = [w.encode() for w in ("thetiontion", "aaaaaaaaaaa", "abababababc", "strengthens")]
