@@ -1,28 +1,36 @@
 """Operator 10: quality classifier on random-indexing word vectors.
 
-Tokens: every chunk between ASCII white space gives its lower-cased core and its shape
-(runs of capitals, small letters, digits and other signs). A token falls into one of
-``BUCKETS`` buckets. Random indexing over all documents: a document has a sparse random
-index vector drawn from a hash of its text, a bucket's vector is the sum of the index
-vectors of the documents it occurs in, times its count there. The table has BUCKETS x DIM
-numbers whatever the size of the corpus; tasks add up their own part and blocks of the
-table are summed on the way, so neither a task nor the driver sees more than one table.
-
-A document's features are the mean and the spread of its tokens' unit vectors and the log
-of its length. A two-layer network in numpy is fitted to at most ``TRAIN_ROWS`` labelled
-rows outside the held-out quarter (chosen by a hash of the id); a fifth of them is set
-aside to fit the temperature by which its output is divided.
+Tokens: every chunk between ASCII white space gives its lower-cased core (a word) and its
+shape (runs of capitals, small letters, digits and other signs). Random indexing over all
+documents: a document has a sparse random index vector drawn from a hash of its text; the
+vector of a word or shape is the sum of the index vectors of the documents it occurs in,
+times its count there, brought to unit length. Every word has a vector of its own, keyed by
+its bytes (beyond ``KEY`` bytes by a 128-bit hash): tasks add up the words of their own texts,
+words are shuffled with these sums and added in sorted order, one word at a time. Words of a
+single document have no vector (they count in the length alone).
+
+A document's features are the mean and the spread of its tokens' vectors, the share of
+tokens that have one and the log of its length. The ``FREQUENT`` words of most documents (a bounded table) are broadcast and pooled
+where the text is read; all other words leave it as (row, word, count), are joined with
+their vectors by word and pooled per row, so that no word is left out and none is hot. All
+sums are of whole numbers: the result does not depend on their order.
+
+A two-layer network in numpy is fitted to about ``TRAIN_ROWS`` labelled rows at most outside the
+held-out quarter (chosen by hashes; labels of one id and value are one row with their number
+as weight); a fifth of them is set aside to fit the temperature by which its output is
+divided.
 
 Edge cases: null is the empty text, whose features are zero; without labels, or with one
 class only, the score is the smoothed share of label 1 (0.5 without any); labels of
 unknown ids, null ids or null qualities are ignored, repeated ones count each; repeated
-rows score alike; an empty table gives an empty result; other columns are not looked at.
+rows score alike; very long texts are read whole; an empty table gives an empty result;
+other columns, also of clashing names, are not looked at.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +39,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from onramp.session import materialize
+
 from .common import in_fold, pick, raw_bytes, table
 
-BUCKETS = 1 << 14
-DIM = 48
-NONZERO = 8          # of a document's index vector
-BLOCK = 256          # buckets summed together
-SALTS = 16
+DIM = 64             # 2^6: six bits of a hash are a place
+NONZERO = 8          # of a document's index vector (places may coincide)
+WIDTH = 2 * DIM + 2  # features of a document
+KEY = 40             # longest word that is its own key
+HELD_WORDS = 100_000 # words whose sums a task holds before it hands them on
+FREQUENT = 1 << 17   # words that are broadcast (at most about 80 bytes each)
 TRAIN_ROWS = 20_000
 HIDDEN = 32
 EPOCHS = 30
-CACHED = 300_000     # chunks whose buckets a task remembers
+CACHED = 200_000     # chunks whose word and shape a task remembers
 CUT = 0.7
 
 # byte classes: capitals, small letters (and all bytes of other scripts), digits; others as they are
@@ -55,105 +66,175 @@ def shape(chunk: bytes) -> bytes:
     return repeated(rb"\1", chunk.translate(CLASSES))
 
 
-class Shapes(dict):
-    """Buckets of shapes by the unreduced classes."""
-
-    def __missing__(self, classes: bytes) -> int:
-        got = zlib.crc32(b"s" + repeated(rb"\1", classes)) % BUCKETS
-        if len(classes) <= 64:
-            self[classes] = got
-        return got
+def key(kind: bytes, token: bytes) -> bytes:
+    """A token's key: kind (w or s) and token, or kind in capitals and a 128-bit hash."""
+    return kind + token if len(token) <= KEY else kind.upper() + xxhash.xxh3_128_digest(token)
 
 
-class Buckets(dict):
-    """The two buckets of a chunk (packed), remembered up to ``CACHED`` chunks."""
+class Tokens(dict):
+    """Keys of a chunk's word and shape, remembered up to ``CACHED`` chunks."""
 
-    def __init__(self) -> None:
-        self.shapes = Shapes()
-
-    def __missing__(self, chunk: bytes) -> int:
-        got = zlib.crc32(chunk.lower().strip(SIGNS)) % BUCKETS << 16 | self.shapes[chunk.translate(CLASSES)]
+    def __missing__(self, chunk: bytes) -> tuple[bytes, bytes]:
+        got = key(b"w", chunk.lower().strip(SIGNS)), key(b"s", shape(chunk))
         if len(self) >= CACHED:
             self.clear()
-            self.shapes.clear()
         if len(chunk) <= 64:
             self[chunk] = got
         return got
 
-    def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct buckets of a text and their counts."""
-        chunks = (text or b"").split()
-        both = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        n = np.bincount(np.concatenate((both >> 16, both & 0xFFFF)), minlength=1)
-        ids = np.flatnonzero(n)
-        return ids, n[ids]
+    def counts(self, text: bytes | None) -> dict[bytes, int]:
+        """Keys of a text and how often each occurs."""
+        out: dict[bytes, int] = {}
+        for chunk, n in Counter((text or b"").split()).items():
+            for k in self[chunk]:
+                out[k] = out.get(k, 0) + n
+        return out
 
 
-def index_vector(text: bytes) -> np.ndarray:
-    rng = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(text)))
-    v = np.zeros(DIM, np.float32)
-    v[rng.choice(DIM, NONZERO, replace=False)] = rng.choice(np.array([-1, 1], np.float32), NONZERO)
-    return v
+def index_vectors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the index vectors, a row for every 64-bit text hash."""
+    i = np.arange(NONZERO, dtype=np.uint64)
+    return ((hashes[:, None] >> (6 * i)) & np.uint64(DIM - 1)).astype(np.int64), 1 - 2 * ((hashes[:, None] >> (48 + i)) & np.uint64(1)).astype(np.int64)
 
 
-def _summed(parts: DataFrame, *by: str) -> DataFrame:
-    """Sum the blocks of equal keys; a task holds one table at most."""
-    def run(batches):
-        sums: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            for key, raw in zip(zip(*(b.column(c).to_pylist() for c in by)), b.column("sums")):
-                v = np.frombuffer(raw.as_buffer(), np.float64)
-                if key in sums:
-                    sums[key] += v
-                else:
-                    sums[key] = v.copy()
-        if sums:
-            cols = [pa.array([k[i] for k in sums], pa.int32()) for i in range(len(by))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=[*by, "sums"])
+def rows_of(column: pa.Array, kind) -> np.ndarray:
+    """A binary column of equal lengths as a matrix of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
-    return parts.repartition(*by).mapInArrow(run, ", ".join(f"{c} int" for c in by) + ", sums binary")
 
+def word_vectors(texts: DataFrame) -> DataFrame:
+    """(key, df, v) of every word and shape of two or more texts: v holds DIM signed bytes."""
+    def sums(batches):
+        tokens, at, df, total = Tokens(), {}, [], np.zeros((0, DIM), np.int64)
+
+        def handed():
+            return pa.RecordBatch.from_arrays([pa.array(list(at), pa.binary()), pa.array(df, pa.int64()),
+                                               pa.array([r.tobytes() for r in total[:len(at)].astype(np.int32)], pa.binary())], names=["key", "df", "v"])
 
-def word_vectors(texts: DataFrame) -> np.ndarray:
-    """Unit vectors of all buckets (BUCKETS x DIM) from every text of ``texts``."""
-    def run(batches):
-        own, total, part = Buckets(), np.zeros((BUCKETS, DIM)), 0
         for b in batches:
+            hashes, ids, owner, n = [], [], [], []
             for t in raw_bytes(b, "text"):
-                ids, n = own.counts(t)
-                if len(ids):
-                    v = index_vector(t)
-                    at = np.flatnonzero(v)
-                    total[ids[:, None], at] += n[:, None] * v[at]
-                    part = (part + xxhash.xxh32_intdigest(t)) % SALTS
-        blocks = [i for i in range(0, BUCKETS, BLOCK) if total[i:i + BLOCK].any()]
-        if blocks:
-            yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK for i in blocks], pa.int32()), pa.array([part] * len(blocks), pa.int32()),
-                                              pa.array([total[i:i + BLOCK].tobytes() for i in blocks], pa.binary())], names=["block", "part", "sums"])
-
-    parts = texts.select("text").mapInArrow(run, "block int, part int, sums binary")
-    out = np.zeros((BUCKETS, DIM))
-    for r in _summed(_summed(parts, "block", "part").drop("part"), "block").collect():  # the one bounded table
-        out[r.block * BLOCK:(r.block + 1) * BLOCK] = np.frombuffer(r.sums).reshape(BLOCK, DIM)
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-
-
-def features(text: bytes | None, vectors: np.ndarray, own: Buckets) -> np.ndarray:
-    """Mean and spread of the token vectors, log of their number."""
-    ids, n = own.counts(text)
-    if not len(ids):
-        return np.zeros(2 * DIM + 1, np.float32)
-    v, total = vectors[ids], n.sum()
-    mean = n @ v / total
-    spread = np.sqrt(np.maximum(n @ (v * v) / total - mean * mean, 0))
-    return np.concatenate((mean, spread, [np.log1p(total) / 10])).astype(np.float32)
+                if not t:
+                    continue
+                for k, c in tokens.counts(t).items():
+                    i = at.setdefault(k, len(at))
+                    if i == len(df):
+                        df.append(0)
+                    df[i] += 1
+                    ids.append(i)
+                    owner.append(len(hashes))
+                    n.append(c)
+                hashes.append(xxhash.xxh64_intdigest(t))
+            if not ids:
+                continue
+            if len(at) > len(total):
+                total = np.concatenate((total, np.zeros((len(at) - len(total) + len(at) // 2, DIM), np.int64)))
+            place, sign = index_vectors(np.array(hashes, np.uint64))
+            np.add.at(total, (np.array(ids)[:, None], place[owner]), sign[owner] * np.array(n)[:, None])
+            if len(at) >= HELD_WORDS:
+                yield handed()
+                at, df, total = {}, [], np.zeros((0, DIM), np.int64)
+        if at:
+            yield handed()
+
+    def added(batches):
+        last: tuple | None = None  # a word may go on in the next batch
+
+        def units(keys, dfs, v):
+            some = dfs >= 2
+            v = v[some] / np.maximum(np.linalg.norm(v[some], axis=1, keepdims=True), 1e-9)
+            return pa.RecordBatch.from_arrays([pa.array([k for k, s in zip(keys, some) if s], pa.binary()), pa.array(dfs[some], pa.int64()),
+                                               pa.array([r.tobytes() for r in np.rint(127 * v).astype(np.int8)], pa.binary())], names=["key", "df", "v"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, dfs, v = b.column("key").to_pylist(), b.column("df").to_numpy(), rows_of(b.column("v"), np.int32).astype(np.int64)
+            if last is not None:
+                keys, dfs, v = [last[0], *keys], np.concatenate(([last[1]], dfs)), np.concatenate((last[2][None], v))
+            begins = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            keys, dfs, v = [keys[i] for i in begins], np.add.reduceat(dfs, begins), np.add.reduceat(v, begins, axis=0)
+            last = keys[-1], dfs[-1], v[-1]
+            if len(keys) > 1:
+                yield units(keys[:-1], dfs[:-1], v[:-1])
+        if last is not None:
+            yield units([last[0]], np.array([last[1]]), last[2][None])
+
+    parts = texts.select("text").mapInArrow(sums, "key binary, df long, v binary")
+    return materialize(parts.repartition("key").sortWithinPartitions("key").mapInArrow(added, "key binary, df long, v binary"), "word-vectors")
+
+
+def features(docs: DataFrame, words: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """(row, doc_id, x): the features of every document as packed doubles, ``row`` its number."""
+    top = words.orderBy(F.desc("df"), "key").limit(frequent).collect()  # at most ``frequent`` rows
+    spec = docs.sparkSession.sparkContext.broadcast(({bytes(r.key): i for i, r in enumerate(top)}, b"".join(bytes(r.v) for r in top)))
+
+    def pooled(batches):
+        tokens, (number, raw) = Tokens(), spec.value
+        v = np.frombuffer(raw, np.int8).reshape(-1, DIM)
+        for b in batches:
+            totals, sums, rest = [], [], []
+            for t in raw_bytes(b, "text"):
+                counts = tokens.counts(t)
+                known = {k: i for k in counts if (i := number.get(k)) is not None}
+                c, own = np.array([counts[k] for k in known], np.int64), v[list(known.values())].astype(np.int64)
+                totals.append(sum(counts.values()))
+                sums.append(np.concatenate((c @ own, c @ (own * own), [c.sum()])).astype(np.int64).tobytes() if known else bytes(8 * WIDTH - 8))
+                rest.append([(k, n) for k, n in counts.items() if k not in known])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(totals, pa.int64()), pa.array(sums, pa.binary()),
+                                              pa.array(rest, pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())])))], names=["doc_id", "total", "sums", "rest"])
+
+    id_type = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("total", T.LongType()), T.StructField("sums", T.BinaryType()),
+                           T.StructField("rest", T.ArrayType(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType())])))])
+    own = materialize(docs.select("doc_id", "text").mapInArrow(pooled, schema).withColumn("row", F.monotonically_increasing_id()), "pooled-words")
+    rest = own.select("row", F.explode("rest").alias("r")).select("row", F.col("r.key").alias("k"), "r.n").join(words.select("key", "v"), F.col("k") == F.col("key"))
+    # a document's own sums first, then its other words
+    both = own.select("row", F.lit(0).alias("kind"), "doc_id", F.col("total").alias("n"), F.col("sums").alias("v")).unionByName(
+        rest.select("row", F.lit(1).alias("kind"), F.lit(None).cast(id_type).alias("doc_id"), "n", "v"))
+
+    def finished(batches):
+        held, out = None, []
+
+        def vector(total, sums):
+            if not total:
+                return np.zeros(WIDTH)
+            mean, square = sums[:DIM] / (127 * total), sums[DIM:2 * DIM] / (127 * 127 * total)
+            return np.concatenate((mean, np.sqrt(np.maximum(square - mean * mean, 0)), [sums[2 * DIM] / total, np.log1p(total) / 10]))
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], kind_of_id),
+                                               pa.array([vector(*o[2:]).tobytes() for o in out], pa.binary())], names=["row", "doc_id", "x"])
+
+        for b in batches:
+            kind_of_id = b.column("doc_id").type
+            for row, kind, doc_id, n, v in zip(*(b.column(c).to_pylist() for c in ("row", "kind", "doc_id", "n", "v"))):
+                if kind == 0:
+                    if held is not None:
+                        out.append(held)
+                    held = (row, doc_id, n, np.frombuffer(v, np.int64).copy())
+                else:
+                    w = np.frombuffer(v, np.int8).astype(np.int64)
+                    held[3][:DIM] += n * w
+                    held[3][DIM:2 * DIM] += n * w * w
+                    held[3][2 * DIM] += n
+            if len(out) >= 2000:
+                yield rows()
+                out = []
+        if held is not None:
+            out.append(held)
+            yield rows()
+
+    out = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", id_type), T.StructField("x", T.BinaryType())])
+    return materialize(both.repartition("row").sortWithinPartitions("row", "kind").mapInArrow(finished, out), "quality-features")
 
 
 class Net:
     """tanh layer, logistic output, divided by a temperature. Without two classes: a constant."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 7) -> None:
-        self.constant = (float(y.sum()) + 0.5) / (len(y) + 1) if len(y) else 0.5
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, seed: int = 7) -> None:
+        weight = np.ones(len(y)) if weight is None else weight
+        self.constant = (float(weight @ y) + 0.5) / (float(weight.sum()) + 1) if len(y) else 0.5
         self.usable = len(set(y.tolist())) == 2
         if not self.usable:
             return
@@ -169,7 +250,7 @@ class Net:
         for _ in range(EPOCHS):
             for part in np.array_split(rng.permutation(fit), max(1, len(fit) // 128)):
                 h = np.tanh(x[part] @ self.p[0] + self.p[1])
-                err = (sigmoid(h @ self.p[2] + self.p[3]) - y[part]) / len(part)
+                err = (sigmoid(h @ self.p[2] + self.p[3]) - y[part]) * weight[part] / weight[part].sum()
                 back = np.outer(err, self.p[2]) * (1 - h * h)
                 grads = [x[part].T @ back + 1e-4 * self.p[0], back.sum(0), h.T @ err + 1e-4 * self.p[2], np.array([err.sum()])]
                 step += 1
@@ -181,7 +262,7 @@ class Net:
         if len(aside):
             z, t = self._logit(x[aside]), y[aside]
             grid = np.exp(np.linspace(np.log(0.2), np.log(20), 200))
-            self.temperature = float(grid[np.argmin([np.logaddexp(0, np.where(t == 1, -z, z) / g).mean() for g in grid])])
+            self.temperature = float(grid[np.argmin([weight[aside] @ np.logaddexp(0, np.where(t == 1, -z, z) / g) for g in grid])])
 
     def _logit(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]
@@ -196,48 +277,43 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(docs: DataFrame, labels: DataFrame, vectors) -> Net:
-    """The network from a bounded sample of (doc_id, quality) rows; ``vectors`` is broadcast."""
-    rows = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~in_fold(F.col("doc_id"), 4, 2))
-    n = rows.count()
-    share = min(1.0, TRAIN_ROWS / max(1, n))
-    some = rows.filter(F.xxhash64("doc_id") <= min(2**63 - 1, int(-2**63 + share * 2**64))).select(F.col("doc_id").alias("labelled"), "quality")
-    # at most about TRAIN_ROWS ids are broadcast: the texts stay where they are
-    mine = docs.join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).select("text", "quality")
+def under(share: float, *cols) -> F.Column:
+    """A hash of the columns falls into this share of all hashes."""
+    return F.xxhash64(*cols) <= min(2**63 - 1, int(-2**63 + min(1.0, share) * 2**64))
 
-    def run(batches):
-        own = Buckets()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t, vectors.value, own).tobytes() for t in raw_bytes(b, "text")], pa.binary()),
-                                              b.column("quality").cast(pa.int32())], names=["x", "y"])
 
-    got = sorted((bytes(r.x), r.y) for r in mine.mapInArrow(run, "x binary, y int").collect())
-    x = np.array([np.frombuffer(a, np.float32) for a, _ in got]).reshape(len(got), 2 * DIM + 1).astype(np.float64)
-    return Net(x, np.array([b for _, b in got], np.float64))
+def train(rows: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Net:
+    """The network from a bounded sample of the labelled ``features`` rows."""
+    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~in_fold(F.col("doc_id"), 4, 2))
+    known = known.groupBy("doc_id", "quality").agg(F.count("*").alias("weight")).withColumnRenamed("doc_id", "labelled")
+    some = known.filter(under(most / max(1, known.count()), "labelled", "quality"))  # about ``most`` rows at most, broadcast
+    mine = rows.join(F.broadcast(some), F.col("doc_id") == F.col("labelled"))
+    # many documents may share an id
+    mine = mine.filter(under(1.2 * most / max(1, mine.count()), "row", "quality", F.lit(1))).select("x", "quality", "weight")
+    got = sorted((bytes(r.x), int(r.quality), r.weight) for r in mine.collect())
+    x = np.array([np.frombuffer(r[0]) for r in got]).reshape(len(got), WIDTH)
+    return Net(x, np.array([r[1] for r in got], np.float64), np.array([r[2] for r in got], np.float64))
 
 
-def score(d: DataFrame, vectors, net) -> DataFrame:
-    """The columns of ``d`` without the text, plus score and predicted."""
-    kept = [c for c in d.columns if c != "text"]
-    schema = T.StructType([d.schema[c] for c in kept] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def score(rows: DataFrame, net: Net) -> DataFrame:
+    """doc_id, score and predicted of every ``features`` row."""
+    spec = rows.sparkSession.sparkContext.broadcast(net)
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
-        own = Buckets()
         for b in batches:
-            x = np.array([features(t, vectors.value, own) for t in raw_bytes(b, "text")]).reshape(b.num_rows, 2 * DIM + 1)
-            s = net.value.score(x.astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())], names=schema.names)
+            s = spec.value.score(rows_of(b.column("x"), np.float64)) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())], names=schema.names)
 
-    return d.mapInArrow(run, schema)
+    return rows.select("doc_id", "x").mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     d = pick(docs, doc_id=id_col, text=text_col)
-    sc = d.sparkSession.sparkContext
-    vectors = sc.broadcast(word_vectors(d))  # BUCKETS x DIM floats
-    net = sc.broadcast(train(d, pick(labels, doc_id="doc_id", quality="quality"), vectors))
-    return score(d.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "text"), vectors, net)
+    rows = features(d, word_vectors(d), frequent)
+    scored = score(rows, train(rows, pick(labels, doc_id="doc_id", quality="quality")))
+    return scored.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

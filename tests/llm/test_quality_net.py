@@ -38,6 +38,70 @@ def test_edges(spark):
 
 def test_shapes():
     assert Q.shape(b"THEAHE!!") == b"A!" and Q.shape(b"ndre$$$") == b"a$" and Q.shape(b"A1,") == b"A0," and Q.shape("Éa".encode()) == b"a"
-    own = Q.Buckets()
-    ids, n = own.counts(b"one One, ONE!! " + b"x" * 500)
-    assert n.sum() == 8 and own.counts(None)[0].size == 0
+    own = Q.Tokens()
+    assert own.counts(b"one One, ONE!! x1") == {b"wone": 3, b"sa": 1, b"sAa,": 1, b"sA!": 1, b"wx1": 1, b"sa0": 1} and own.counts(None) == {}
+    assert own.counts(b"y" * 500)[b"W" + Q.xxhash.xxh3_128_digest(b"y" * 500)] == 1
+
+
+def brute_vectors(texts):
+    """Random indexing word by word."""
+    tokens, total, df = Q.Tokens(), {}, {}
+    for t in texts:
+        if t:
+            place, sign = Q.index_vectors(np.array([Q.xxhash.xxh64_intdigest(t.encode())], np.uint64))
+            for k, n in tokens.counts(t.encode()).items():
+                v = total.setdefault(k, np.zeros(Q.DIM))
+                for p, s in zip(place[0], sign[0]):
+                    v[p] += n * s
+                df[k] = df.get(k, 0) + 1
+    return {k: (df[k], np.rint(127 * v / max(np.linalg.norm(v), 1e-9)).astype(np.int8)) for k, v in total.items() if df[k] >= 2}
+
+
+def brute_features(text, vectors):
+    counts = Q.Tokens().counts(text.encode() if text else b"")
+    total = sum(counts.values())
+    if not total:
+        return np.zeros(Q.WIDTH)
+    every = np.array([vectors[k][1] / 127 if k in vectors else np.zeros(Q.DIM) for k, n in counts.items() for _ in range(n)])
+    mean = every.sum(axis=0) / total
+    return np.concatenate((mean, np.sqrt(np.maximum((every**2).sum(axis=0) / total - mean**2, 0)), [sum(n for k, n in counts.items() if k in vectors) / total, np.log1p(total) / 10]))
+
+
+def test_every_word_has_its_own_vector(spark):
+    """All words of a table, against brute force; nothing is shared and nothing left out,
+    however many words are broadcast."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(900, "word " * 40_000 + "tail"), (901, None), (902, ""), (903, "tail of words"), (None, "tail")], docs.schema))
+    texts = [r.text for r in docs.collect()]
+    want = brute_vectors(texts)
+    old = Q.HELD_WORDS
+    try:
+        Q.HELD_WORDS = 500  # tasks hand on parts of a word's sum
+        words = Q.word_vectors(docs.repartition(3))
+    finally:
+        Q.HELD_WORDS = old
+    got = {bytes(r.key): (r.df, np.frombuffer(bytes(r.v), np.int8)) for r in words.collect()}
+    assert got.keys() == want.keys() and len(got) > 1000
+    assert all(got[k][0] == want[k][0] and (got[k][1] == want[k][1]).all() for k in want)
+    for frequent in (0, 50, 1 << 17):
+        rows = Q.features(docs, words, frequent).collect()
+        assert len(rows) == len(texts)
+        expected = sorted((str(i), brute_features(t, want).round(9).tolist()) for i, t in ((r.doc_id, r.text) for r in docs.collect()))
+        assert sorted((str(r.doc_id), np.frombuffer(bytes(r.x)).round(9).tolist()) for r in rows) == expected
+
+
+def test_labels_stay_bounded(spark):
+    """A label repeated many times is one row with a weight; documents that share an id are sampled."""
+    docs = spark.createDataFrame([(1, f"good words number {i}") for i in range(400)] + [(2, f"bad stuff {i}!!") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 3000 + [(2, 0)] * 3000, "doc_id long, quality int")
+    rows = Q.features(docs, Q.word_vectors(docs))
+    seen = []
+    real = Q.Net
+    try:
+        Q.Net = lambda x, y, w: seen.append((len(y), w.tolist())) or real(x, y, w)
+        net = Q.train(rows, labels, most=100)
+    finally:
+        Q.Net = real
+    assert 60 < seen[0][0] < 200 and set(seen[0][1]) == {3000.0}
+    out = Q.score(rows, net).collect()
+    assert all((r.score > 0.5) == (r.doc_id == 1) for r in out)
