@@ -5,20 +5,24 @@ shape (runs of capitals, small letters, digits and other signs). Random indexing
 documents: a document has a sparse random index vector drawn from a hash of its text; the
 vector of a word or shape is the sum of the index vectors of the documents it occurs in,
 times its count there, brought to unit length. Every word has a vector of its own, keyed by
-its bytes (beyond ``KEY`` bytes by a 128-bit hash): tasks add up the words of their own texts,
-words are shuffled with these sums and added in sorted order, one word at a time. Words of a
-single document have no vector (they count in the length alone).
+its bytes (beyond ``KEY`` bytes by a 128-bit hash): tasks add up the words of their own texts
+and hand them on in packed blocks, one for every part of the words (about one part for
+``PART_DOCS`` documents, so a part has the same size at any size of the corpus), a word of one
+text as text number and count, others as sums; each part is then sorted and added up by
+itself. Words of a single document have no vector (they count in the length alone).
 
 A document's features are the mean and the spread of its tokens' vectors, the share of
 tokens that have one and the log of its length. The ``FREQUENT`` words of most documents (a bounded table) are broadcast and pooled
 where the text is read; all other words leave it as (row, word, count), are joined with
-their vectors by word and pooled per row, so that no word is left out and none is hot. All
-sums are of whole numbers: the result does not depend on their order.
+their vectors by word and pooled per row, so that no word is left out and none is hot. A
+bit table of fixed size (``BLOOM`` bytes) holds back most words without a vector before that
+join, which alone decides. All sums are of whole numbers: the result does not depend on
+their order.
 
 A two-layer network in numpy is fitted to about ``TRAIN_ROWS`` labelled rows at most outside the
 held-out quarter (chosen by hashes; labels of one id and value are one row with their number
 as weight); a fifth of them is set aside to fit the temperature by which its output is
-divided.
+divided; the probabilities of ``STARTS`` networks are averaged.
 
 Edge cases: null is the empty text, whose features are zero; without labels, or with one
 class only, the score is the smoothed share of label 1 (0.5 without any); labels of
@@ -29,12 +33,15 @@ other columns, also of clashing names, are not looked at.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,15 +50,18 @@ from onramp.session import materialize
 
 from .common import in_fold, pick, raw_bytes, table
 
-DIM = 64             # 2^6: six bits of a hash are a place
-NONZERO = 8          # of a document's index vector (places may coincide)
+DIM = 48
+NONZERO = 6          # of a document's index vector (places may coincide)
 WIDTH = 2 * DIM + 2  # features of a document
 KEY = 40             # longest word that is its own key
 HELD_WORDS = 100_000 # words whose sums a task holds before it hands them on
+PART_DOCS = 4096
+BLOOM = 8 << 20
 FREQUENT = 1 << 17   # words that are broadcast (at most about 80 bytes each)
 TRAIN_ROWS = 20_000
 HIDDEN = 32
-EPOCHS = 30
+EPOCHS = 40
+STARTS = (7, 8, 9)    # networks from several starts, whose probabilities are averaged
 CACHED = 200_000     # chunks whose word and shape a task remembers
 CUT = 0.7
 
@@ -94,7 +104,8 @@ class Tokens(dict):
 def index_vectors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the index vectors, a row for every 64-bit text hash."""
     i = np.arange(NONZERO, dtype=np.uint64)
-    return ((hashes[:, None] >> (6 * i)) & np.uint64(DIM - 1)).astype(np.int64), 1 - 2 * ((hashes[:, None] >> (48 + i)) & np.uint64(1)).astype(np.int64)
+    place = ((hashes[:, None] >> (8 * i)) & np.uint64(255)).astype(np.int64) * DIM >> 8
+    return place, 1 - 2 * ((hashes[:, None] >> (48 + i)) & np.uint64(1)).astype(np.int64)
 
 
 def rows_of(column: pa.Array, kind) -> np.ndarray:
@@ -102,75 +113,150 @@ def rows_of(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def word_vectors(texts: DataFrame) -> DataFrame:
-    """(key, df, v) of every word and shape of two or more texts: v holds DIM signed bytes."""
-    def sums(batches):
-        tokens, at, df, total = Tokens(), {}, [], np.zeros((0, DIM), np.int64)
+def part_of(key: bytes, parts: int) -> int:
+    return zlib.crc32(key) % parts
 
-        def handed():
-            return pa.RecordBatch.from_arrays([pa.array(list(at), pa.binary()), pa.array(df, pa.int64()),
-                                               pa.array([r.tobytes() for r in total[:len(at)].astype(np.int32)], pa.binary())], names=["key", "df", "v"])
 
-        for b in batches:
-            hashes, ids, owner, n = [], [], [], []
-            for t in raw_bytes(b, "text"):
-                if not t:
-                    continue
-                for k, c in tokens.counts(t).items():
-                    i = at.setdefault(k, len(at))
-                    if i == len(df):
-                        df.append(0)
-                    df[i] += 1
-                    ids.append(i)
-                    owner.append(len(hashes))
-                    n.append(c)
-                hashes.append(xxhash.xxh64_intdigest(t))
-            if not ids:
+def bits_of(key: bytes, bits: int) -> tuple[int, int]:
+    """Two places of a key in a bit table."""
+    h = xxhash.xxh64_intdigest(key)
+    return (h & 0xFFFFFFFF) % bits, (h >> 32) % bits
+
+
+class Words:
+    """Words of a task's texts: of one text as (text, count), of more as sums."""
+
+    def __init__(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.df: list[int] = []
+        self.hashes: list[int] = []
+        self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, texts: list[bytes | None], tokens: Tokens) -> None:
+        ids, owner, n, at, df = [], [], [], self.at, self.df
+        for t in texts:
+            if not t:
                 continue
-            if len(at) > len(total):
-                total = np.concatenate((total, np.zeros((len(at) - len(total) + len(at) // 2, DIM), np.int64)))
-            place, sign = index_vectors(np.array(hashes, np.uint64))
-            np.add.at(total, (np.array(ids)[:, None], place[owner]), sign[owner] * np.array(n)[:, None])
-            if len(at) >= HELD_WORDS:
-                yield handed()
-                at, df, total = {}, [], np.zeros((0, DIM), np.int64)
-        if at:
-            yield handed()
-
-    def added(batches):
-        last: tuple | None = None  # a word may go on in the next batch
-
-        def units(keys, dfs, v):
-            some = dfs >= 2
-            v = v[some] / np.maximum(np.linalg.norm(v[some], axis=1, keepdims=True), 1e-9)
-            return pa.RecordBatch.from_arrays([pa.array([k for k, s in zip(keys, some) if s], pa.binary()), pa.array(dfs[some], pa.int64()),
-                                               pa.array([r.tobytes() for r in np.rint(127 * v).astype(np.int8)], pa.binary())], names=["key", "df", "v"])
+            for k, c in tokens.counts(t).items():
+                i = at.setdefault(k, len(at))
+                if i == len(df):
+                    df.append(0)
+                df[i] += 1
+                ids.append(i)
+                owner.append(len(self.hashes))
+                n.append(c)
+            self.hashes.append(xxhash.xxh64_intdigest(t))
+        self.pairs.append((np.array(ids, np.int32), np.array(owner, np.int32), np.array(n, np.int32)))
+
+    def blocks(self, parts: int):
+        """(part, packed block) of all words held."""
+        if not self.at:
+            return
+        keys, df, hashes = list(self.at), np.array(self.df), np.array(self.hashes, np.uint64)
+        ids, owner, n = (np.concatenate(c) for c in zip(*self.pairs))
+        order = np.argsort(ids, kind="stable")
+        ids, owner, n = ids[order], owner[order], n[order]
+        starts = np.searchsorted(ids, np.arange(len(keys)))
+        place, sign = index_vectors(hashes)
+        of = np.array([part_of(k, parts) for k in keys])
+        for part in np.unique(of):
+            mine = np.flatnonzero(of == part)
+            once, more = mine[df[mine] == 1], mine[df[mine] > 1]
+            used, text = np.unique(owner[starts[once]], return_inverse=True)
+            total = np.zeros((len(more), DIM), np.int32)
+            count = df[more]
+            at = np.repeat(starts[more] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(more) else np.zeros(0, np.int64)
+            np.add.at(total, (np.repeat(np.arange(len(more)), count)[:, None], place[owner[at]]), (sign[owner[at]] * n[at][:, None]).astype(np.int32))
+            once_keys = sorted(range(len(once)), key=lambda i: keys[once[i]])
+            block = ([keys[once[i]] for i in once_keys], text[once_keys].astype(np.uint16 if len(used) < 1 << 16 else np.uint32), n[starts[once]][once_keys],
+                     hashes[used], [keys[i] for i in more], count, total)
+            yield int(part), pack(block)
+
+
+def pack(block: tuple) -> bytes:
+    once, text, n, hashes, more, df, total = block
+    lengths = [np.array([len(k) for k in keys], np.uint8) for keys in (once, more)]
+    raw = pickle.dumps((b"".join(once), lengths[0], text, n, hashes, b"".join(more), lengths[1], df, total), protocol=5)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack(raw: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(keys, df, sums) of a block, all words as sums."""
+    once, a, text, n, hashes, more, b, df, total = pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
+
+    def cut(blob, lengths):
+        ends = np.cumsum(lengths, dtype=np.int64).tolist()
+        return [blob[e - w:e] for e, w in zip(ends, lengths.tolist())]
+
+    single = np.zeros((len(a), DIM), np.int64)
+    if len(a):
+        place, sign = index_vectors(hashes[text])
+        np.add.at(single, (np.arange(len(a))[:, None], place), sign * n[:, None].astype(np.int64))
+    return cut(once, a) + cut(more, b), np.concatenate((np.ones(len(a), np.int64), df)), np.concatenate((single, total.astype(np.int64)))
+
+
+def word_vectors(texts: DataFrame) -> tuple[DataFrame, list[bytes]]:
+    """(key, df, v) of every word and shape of two or more texts, v holding DIM signed bytes;
+    and the bit tables of these words, one a part."""
+    parts = max(1, -(-texts.count() // PART_DOCS))
+    bits = 8 * max(1, BLOOM // parts)
 
+    def sums(batches):
+        tokens, words = Tokens(), Words()
         for b in batches:
-            if not b.num_rows:
-                continue
-            keys, dfs, v = b.column("key").to_pylist(), b.column("df").to_numpy(), rows_of(b.column("v"), np.int32).astype(np.int64)
-            if last is not None:
-                keys, dfs, v = [last[0], *keys], np.concatenate(([last[1]], dfs)), np.concatenate((last[2][None], v))
-            begins = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-            keys, dfs, v = [keys[i] for i in begins], np.add.reduceat(dfs, begins), np.add.reduceat(v, begins, axis=0)
-            last = keys[-1], dfs[-1], v[-1]
-            if len(keys) > 1:
-                yield units(keys[:-1], dfs[:-1], v[:-1])
-        if last is not None:
-            yield units([last[0]], np.array([last[1]]), last[2][None])
-
-    parts = texts.select("text").mapInArrow(sums, "key binary, df long, v binary")
-    return materialize(parts.repartition("key").sortWithinPartitions("key").mapInArrow(added, "key binary, df long, v binary"), "word-vectors")
-
-
-def features(docs: DataFrame, words: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+            words.add(raw_bytes(b, "text"), tokens)
+            if len(words.at) >= HELD_WORDS:
+                yield handed(words)
+                words = Words()
+        if words.at:
+            yield handed(words)
+
+    def handed(words):
+        own = list(words.blocks(parts))
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], names=["part", "block"])
+
+    def added(group: pa.Table) -> pa.Table:
+        keys, dfs, total = [], [], []
+        for raw in group.column("block").to_pylist():
+            k, df, v = unpack(raw)
+            keys += k
+            dfs.append(df)
+            total.append(v)
+        number: dict[bytes, int] = {}
+        at = np.array([number.setdefault(k, len(number)) for k in keys])
+        df, v = np.zeros(len(number), np.int64), np.zeros((len(number), DIM), np.int64)
+        np.add.at(df, at, np.concatenate(dfs))
+        np.add.at(v, at, np.concatenate(total))
+        some = np.flatnonzero(df >= 2)
+        v = np.rint(127 * v[some] / np.maximum(np.linalg.norm(v[some], axis=1, keepdims=True), 1e-9)).astype(np.int8)
+        names = list(number)
+        kept = [names[i] for i in some]
+        table_of_bits = np.zeros(bits, bool)
+        table_of_bits[[i for k in kept for i in bits_of(k, bits)]] = True
+        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(table_of_bits).tobytes()], pa.binary()),
+                         "words": pa.array([[(k, int(d), r.tobytes()) for k, d, r in zip(kept, df[some], v)]], pa.list_(pa.struct([("key", pa.binary()), ("df", pa.int64()), ("v", pa.binary())])))})
+
+    blocks = texts.select("text").mapInArrow(sums, "part int, block binary").repartition(parts, "part")
+    found = materialize(blocks.groupBy("part").applyInArrow(added, "part int, bits binary, words array<struct<key:binary,df:long,v:binary>>"), "word-vectors")
+    tables = [bytes(max(1, BLOOM // parts))] * parts
+    for r in found.select("part", "bits").collect():  # ``BLOOM`` bytes in all
+        tables[r.part] = bytes(r.bits)
+    return found.select(F.explode("words").alias("w")).select("w.key", "w.df", "w.v"), tables
+
+
+def features(docs: DataFrame, words: DataFrame, tables: list[bytes], frequent: int = FREQUENT) -> DataFrame:
     """(row, doc_id, x): the features of every document as packed doubles, ``row`` its number."""
     top = words.orderBy(F.desc("df"), "key").limit(frequent).collect()  # at most ``frequent`` rows
-    spec = docs.sparkSession.sparkContext.broadcast(({bytes(r.key): i for i, r in enumerate(top)}, b"".join(bytes(r.v) for r in top)))
+    spec = docs.sparkSession.sparkContext.broadcast(({bytes(r.key): i for i, r in enumerate(top)}, b"".join(bytes(r.v) for r in top), tables))
 
     def pooled(batches):
-        tokens, (number, raw) = Tokens(), spec.value
+        tokens, (number, raw, bit_tables) = Tokens(), spec.value
+        parts, bits = len(bit_tables), 8 * len(bit_tables[0])
+
+        def may_have_vector(k: bytes) -> bool:
+            own = bit_tables[part_of(k, parts)]
+            return all(own[i >> 3] >> (7 - (i & 7)) & 1 for i in bits_of(k, bits))
+
         v = np.frombuffer(raw, np.int8).reshape(-1, DIM)
         for b in batches:
             totals, sums, rest = [], [], []
@@ -180,7 +266,7 @@ def features(docs: DataFrame, words: DataFrame, frequent: int = FREQUENT) -> Dat
                 c, own = np.array([counts[k] for k in known], np.int64), v[list(known.values())].astype(np.int64)
                 totals.append(sum(counts.values()))
                 sums.append(np.concatenate((c @ own, c @ (own * own), [c.sum()])).astype(np.int64).tobytes() if known else bytes(8 * WIDTH - 8))
-                rest.append([(k, n) for k, n in counts.items() if k not in known])
+                rest.append([(k, n) for k, n in counts.items() if k not in known and may_have_vector(k)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(totals, pa.int64()), pa.array(sums, pa.binary()),
                                               pa.array(rest, pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())])))], names=["doc_id", "total", "sums", "rest"])
 
@@ -273,6 +359,16 @@ class Net:
         return sigmoid(self._logit((x - self.mean) / self.scale) / self.temperature)
 
 
+class Nets:
+    """The mean of the networks of all ``STARTS``."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        self.nets = [Net(x, y, weight, seed) for seed in STARTS]
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([net.score(x) for net in self.nets], axis=0)
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
@@ -282,8 +378,8 @@ def under(share: float, *cols) -> F.Column:
     return F.xxhash64(*cols) <= min(2**63 - 1, int(-2**63 + min(1.0, share) * 2**64))
 
 
-def train(rows: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Net:
-    """The network from a bounded sample of the labelled ``features`` rows."""
+def train(rows: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Nets:
+    """The networks from a bounded sample of the labelled ``features`` rows."""
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~in_fold(F.col("doc_id"), 4, 2))
     known = known.groupBy("doc_id", "quality").agg(F.count("*").alias("weight")).withColumnRenamed("doc_id", "labelled")
     some = known.filter(under(most / max(1, known.count()), "labelled", "quality"))  # about ``most`` rows at most, broadcast
@@ -292,10 +388,10 @@ def train(rows: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Net:
     mine = mine.filter(under(1.2 * most / max(1, mine.count()), "row", "quality", F.lit(1))).select("x", "quality", "weight")
     got = sorted((bytes(r.x), int(r.quality), r.weight) for r in mine.collect())
     x = np.array([np.frombuffer(r[0]) for r in got]).reshape(len(got), WIDTH)
-    return Net(x, np.array([r[1] for r in got], np.float64), np.array([r[2] for r in got], np.float64))
+    return Nets(x, np.array([r[1] for r in got], np.float64), np.array([r[2] for r in got], np.float64))
 
 
-def score(rows: DataFrame, net: Net) -> DataFrame:
+def score(rows: DataFrame, net: Nets) -> DataFrame:
     """doc_id, score and predicted of every ``features`` row."""
     spec = rows.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -311,7 +407,7 @@ def score(rows: DataFrame, net: Net) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     d = pick(docs, doc_id=id_col, text=text_col)
-    rows = features(d, word_vectors(d), frequent)
+    rows = features(d, *word_vectors(d), frequent)
     scored = score(rows, train(rows, pick(labels, doc_id="doc_id", quality="quality")))
     return scored.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 

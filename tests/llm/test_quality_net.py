@@ -74,17 +74,17 @@ def test_every_word_has_its_own_vector(spark):
     docs = docs.unionByName(spark.createDataFrame([(900, "word " * 40_000 + "tail"), (901, None), (902, ""), (903, "tail of words"), (None, "tail")], docs.schema))
     texts = [r.text for r in docs.collect()]
     want = brute_vectors(texts)
-    old = Q.HELD_WORDS
+    old = Q.HELD_WORDS, Q.PART_DOCS, Q.BLOOM
     try:
-        Q.HELD_WORDS = 500  # tasks hand on parts of a word's sum
-        words = Q.word_vectors(docs.repartition(3))
+        Q.HELD_WORDS, Q.PART_DOCS, Q.BLOOM = 500, 50, 1 << 12  # tasks hand on parts of a word's sum; small tables let many words through
+        words, tables = Q.word_vectors(docs.repartition(3))
     finally:
-        Q.HELD_WORDS = old
+        Q.HELD_WORDS, Q.PART_DOCS, Q.BLOOM = old
     got = {bytes(r.key): (r.df, np.frombuffer(bytes(r.v), np.int8)) for r in words.collect()}
     assert got.keys() == want.keys() and len(got) > 1000
     assert all(got[k][0] == want[k][0] and (got[k][1] == want[k][1]).all() for k in want)
     for frequent in (0, 50, 1 << 17):
-        rows = Q.features(docs, words, frequent).collect()
+        rows = Q.features(docs, words, tables, frequent).collect()
         assert len(rows) == len(texts)
         expected = sorted((str(i), brute_features(t, want).round(9).tolist()) for i, t in ((r.doc_id, r.text) for r in docs.collect()))
         assert sorted((str(r.doc_id), np.frombuffer(bytes(r.x)).round(9).tolist()) for r in rows) == expected
@@ -94,14 +94,14 @@ def test_labels_stay_bounded(spark):
     """A label repeated many times is one row with a weight; documents that share an id are sampled."""
     docs = spark.createDataFrame([(1, f"good words number {i}") for i in range(400)] + [(2, f"bad stuff {i}!!") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)] * 3000 + [(2, 0)] * 3000, "doc_id long, quality int")
-    rows = Q.features(docs, Q.word_vectors(docs))
+    rows = Q.features(docs, *Q.word_vectors(docs))
     seen = []
-    real = Q.Net
+    real = Q.Nets
     try:
-        Q.Net = lambda x, y, w: seen.append((len(y), w.tolist())) or real(x, y, w)
+        Q.Nets = lambda x, y, w: seen.append((len(y), w.tolist())) or real(x, y, w)
         net = Q.train(rows, labels, most=100)
     finally:
-        Q.Net = real
+        Q.Nets = real
     assert 60 < seen[0][0] < 200 and set(seen[0][1]) == {3000.0}
     out = Q.score(rows, net).collect()
     assert all((r.score > 0.5) == (r.doc_id == 1) for r in out)
