@@ -5,10 +5,10 @@ shape (runs of capitals, small letters, digits and other signs). Random indexing
 documents: a document has a sparse random index vector drawn from a hash of its text; the
 vector of a word or shape is the sum of the index vectors of the documents it occurs in,
 times its count there, brought to unit length. Every word has a vector of its own, keyed by
-its bytes (beyond ``KEY`` bytes by a 128-bit hash): tasks add up the words of their own texts
+a 64-bit hash of its bytes (among 10^10 words, three pairs or so would meet): tasks add up the words of their own texts
 and hand them on in packed blocks, one for every part of the words (about one part for
-``PART_DOCS`` documents, so a part has the same size at any size of the corpus), a word of one
-text as text number and count, others as sums; each part is then sorted and added up by
+``PART_DOCS`` documents, so a part has the same size at any size of the corpus), a word of few
+texts as text numbers and counts, others as sums; each part is then sorted and added up by
 itself. Words of a single document have no vector (they count in the length alone).
 
 A document's features are the mean and the spread of its tokens' vectors, the share of
@@ -35,8 +35,6 @@ from __future__ import annotations
 
 import pickle
 import re
-import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +51,11 @@ from .common import in_fold, pick, raw_bytes, table
 DIM = 48
 NONZERO = 6          # of a document's index vector (places may coincide)
 WIDTH = 2 * DIM + 2  # features of a document
-KEY = 40             # longest word that is its own key
-HELD_WORDS = 100_000 # words whose sums a task holds before it hands them on
+HELD_PAIRS = 2_000_000  # (text, word) pairs a task holds before it hands its words on
+FEW = 4              # a word of so many of a task's texts is handed on text by text
 PART_DOCS = 4096
 BLOOM = 8 << 20
-FREQUENT = 1 << 17   # words that are broadcast (at most about 80 bytes each)
+FREQUENT = 1 << 18   # words that are broadcast (56 bytes each)
 TRAIN_ROWS = 20_000
 HIDDEN = 32
 EPOCHS = 40
@@ -76,29 +74,43 @@ def shape(chunk: bytes) -> bytes:
     return repeated(rb"\1", chunk.translate(CLASSES))
 
 
-def key(kind: bytes, token: bytes) -> bytes:
-    """A token's key: kind (w or s) and token, or kind in capitals and a 128-bit hash."""
-    return kind + token if len(token) <= KEY else kind.upper() + xxhash.xxh3_128_digest(token)
+class Keys(dict):
+    """64-bit keys of chunks under ``kind`` and a reduction, remembered up to ``CACHED`` chunks."""
 
+    def __init__(self, kind: bytes, reduced) -> None:
+        self.kind, self.reduced = kind, reduced
 
-class Tokens(dict):
-    """Keys of a chunk's word and shape, remembered up to ``CACHED`` chunks."""
-
-    def __missing__(self, chunk: bytes) -> tuple[bytes, bytes]:
-        got = key(b"w", chunk.lower().strip(SIGNS)), key(b"s", shape(chunk))
+    def __missing__(self, chunk: bytes) -> int:
+        got = xxhash.xxh64_intdigest(self.kind + self.reduced(chunk))
         if len(self) >= CACHED:
             self.clear()
         if len(chunk) <= 64:
             self[chunk] = got
         return got
 
-    def counts(self, text: bytes | None) -> dict[bytes, int]:
-        """Keys of a text and how often each occurs."""
-        out: dict[bytes, int] = {}
-        for chunk, n in Counter((text or b"").split()).items():
-            for k in self[chunk]:
-                out[k] = out.get(k, 0) + n
-        return out
+
+def word(chunk: bytes) -> bytes:
+    return chunk.lower().strip(SIGNS)
+
+
+class Tokens:
+    """Words and shapes of texts as keys."""
+
+    def __init__(self) -> None:
+        self.kinds = Keys(b"w", word), Keys(b"s", shape)
+
+    def counts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the text, key, occurrences), by place and key."""
+        chunks = [(t or b"").split() for t in texts]
+        sizes = [len(c) for c in chunks]
+        owner = np.tile(np.repeat(np.arange(len(texts), dtype=np.int32), sizes), 2)
+        keys = np.concatenate([np.fromiter((k for own in chunks for k in map(kind.__getitem__, own)), np.uint64, sum(sizes)) for kind in self.kinds])
+        order = np.lexsort((keys, owner))
+        owner, keys = owner[order], keys[order]
+        if not len(keys):
+            return owner, keys, np.zeros(0, np.int32)
+        starts = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))))
+        return owner[starts], keys[starts], np.diff(starts, append=len(keys)).astype(np.int32)
 
 
 def index_vectors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,86 +125,58 @@ def rows_of(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def part_of(key: bytes, parts: int) -> int:
-    return zlib.crc32(key) % parts
+def bits_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each key in a bit table."""
+    return ((keys >> np.uint64(8)) % np.uint64(bits)).astype(np.int64), ((keys >> np.uint64(36)) % np.uint64(bits)).astype(np.int64)
 
 
-def bits_of(key: bytes, bits: int) -> tuple[int, int]:
-    """Two places of a key in a bit table."""
-    h = xxhash.xxh64_intdigest(key)
-    return (h & 0xFFFFFFFF) % bits, (h >> 32) % bits
+def added_up(at: np.ndarray, size: int, texts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the index vectors of ``texts`` (hashes) times ``n`` at the places ``at``."""
+    total = np.zeros((size, DIM), np.int64)
+    place, sign = index_vectors(texts)
+    np.add.at(total, (at[:, None], place), sign * n[:, None])
+    return total
 
 
 class Words:
-    """Words of a task's texts: of one text as (text, count), of more as sums."""
+    """Words of a task's texts, until they are handed on."""
 
     def __init__(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.df: list[int] = []
         self.hashes: list[int] = []
-        self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held: list[tuple] = []
+        self.pairs = 0
 
     def add(self, texts: list[bytes | None], tokens: Tokens) -> None:
-        ids, owner, n, at, df = [], [], [], self.at, self.df
-        for t in texts:
-            if not t:
-                continue
-            for k, c in tokens.counts(t).items():
-                i = at.setdefault(k, len(at))
-                if i == len(df):
-                    df.append(0)
-                df[i] += 1
-                ids.append(i)
-                owner.append(len(self.hashes))
-                n.append(c)
-            self.hashes.append(xxhash.xxh64_intdigest(t))
-        self.pairs.append((np.array(ids, np.int32), np.array(owner, np.int32), np.array(n, np.int32)))
+        owner, keys, n = tokens.counts(texts)
+        self.held.append((owner + len(self.hashes), keys, n))
+        self.hashes += [xxhash.xxh64_intdigest(t or b"") for t in texts]
+        self.pairs += len(keys)
 
     def blocks(self, parts: int):
         """(part, packed block) of all words held."""
-        if not self.at:
+        owner, keys, n = (np.concatenate(c) for c in zip(*self.held))
+        if not len(keys):
             return
-        keys, df, hashes = list(self.at), np.array(self.df), np.array(self.hashes, np.uint64)
-        ids, owner, n = (np.concatenate(c) for c in zip(*self.pairs))
-        order = np.argsort(ids, kind="stable")
-        ids, owner, n = ids[order], owner[order], n[order]
-        starts = np.searchsorted(ids, np.arange(len(keys)))
-        place, sign = index_vectors(hashes)
-        of = np.array([part_of(k, parts) for k in keys])
-        for part in np.unique(of):
-            mine = np.flatnonzero(of == part)
-            once, more = mine[df[mine] == 1], mine[df[mine] > 1]
-            used, text = np.unique(owner[starts[once]], return_inverse=True)
-            total = np.zeros((len(more), DIM), np.int32)
-            count = df[more]
-            at = np.repeat(starts[more] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(more) else np.zeros(0, np.int64)
-            np.add.at(total, (np.repeat(np.arange(len(more)), count)[:, None], place[owner[at]]), (sign[owner[at]] * n[at][:, None]).astype(np.int32))
-            once_keys = sorted(range(len(once)), key=lambda i: keys[once[i]])
-            block = ([keys[once[i]] for i in once_keys], text[once_keys].astype(np.uint16 if len(used) < 1 << 16 else np.uint32), n[starts[once]][once_keys],
-                     hashes[used], [keys[i] for i in more], count, total)
-            yield int(part), pack(block)
-
-
-def pack(block: tuple) -> bytes:
-    once, text, n, hashes, more, df, total = block
-    lengths = [np.array([len(k) for k in keys], np.uint8) for keys in (once, more)]
-    raw = pickle.dumps((b"".join(once), lengths[0], text, n, hashes, b"".join(more), lengths[1], df, total), protocol=5)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def unpack(raw: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(keys, df, sums) of a block, all words as sums."""
-    once, a, text, n, hashes, more, b, df, total = pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
-
-    def cut(blob, lengths):
-        ends = np.cumsum(lengths, dtype=np.int64).tolist()
-        return [blob[e - w:e] for e, w in zip(ends, lengths.tolist())]
-
-    single = np.zeros((len(a), DIM), np.int64)
-    if len(a):
-        place, sign = index_vectors(hashes[text])
-        np.add.at(single, (np.arange(len(a))[:, None], place), sign * n[:, None].astype(np.int64))
-    return cut(once, a) + cut(more, b), np.concatenate((np.ones(len(a), np.int64), df)), np.concatenate((single, total.astype(np.int64)))
+        hashes, part = np.array(self.hashes, np.uint64), (keys % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((keys, part))
+        owner, keys, n, part = owner[order], keys[order], n[order], part[order]
+        for a, b in zip(bounds := np.flatnonzero(np.diff(part, prepend=-1)), [*bounds[1:], len(part)]):
+            names, at, df = np.unique(keys[a:b], return_inverse=True, return_counts=True)
+            few = df <= FEW
+            single = few[at]
+            used, text = np.unique(owner[a:b][single], return_inverse=True)
+            place = np.cumsum(~few) - 1  # of the others among themselves
+            total = added_up(place[at[~single]], int((~few).sum()), hashes[owner[a:b][~single]], n[a:b][~single].astype(np.int64))
+            block = (names[few], df[few].astype(np.uint8), text.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), n[a:b][single], hashes[used],
+                     names[~few], df[~few].astype(np.int32), total.astype(np.int32))
+            yield int(part[a]), zstandard.ZstdCompressor(level=3).compress(pickle.dumps(block, protocol=5))
+
+
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, df, sums) of a block."""
+    few, df_few, text, n, hashes, many, df_many, total = pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
+    own = added_up(np.repeat(np.arange(len(few)), df_few), len(few), hashes[text], n.astype(np.int64))
+    return np.concatenate((few, many)), np.concatenate((df_few.astype(np.int64), df_many)), np.concatenate((own, total.astype(np.int64)))
 
 
 def word_vectors(texts: DataFrame) -> tuple[DataFrame, list[bytes]]:
@@ -205,10 +189,10 @@ def word_vectors(texts: DataFrame) -> tuple[DataFrame, list[bytes]]:
         tokens, words = Tokens(), Words()
         for b in batches:
             words.add(raw_bytes(b, "text"), tokens)
-            if len(words.at) >= HELD_WORDS:
+            if words.pairs >= HELD_PAIRS:
                 yield handed(words)
                 words = Words()
-        if words.at:
+        if words.pairs:
             yield handed(words)
 
     def handed(words):
@@ -216,28 +200,22 @@ def word_vectors(texts: DataFrame) -> tuple[DataFrame, list[bytes]]:
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], names=["part", "block"])
 
     def added(group: pa.Table) -> pa.Table:
-        keys, dfs, total = [], [], []
-        for raw in group.column("block").to_pylist():
-            k, df, v = unpack(raw)
-            keys += k
-            dfs.append(df)
-            total.append(v)
-        number: dict[bytes, int] = {}
-        at = np.array([number.setdefault(k, len(number)) for k in keys])
-        df, v = np.zeros(len(number), np.int64), np.zeros((len(number), DIM), np.int64)
+        keys, dfs, total = zip(*map(unpack, group.column("block").to_pylist()))
+        keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        df, v = np.zeros(len(keys), np.int64), np.zeros((len(keys), DIM), np.int64)
         np.add.at(df, at, np.concatenate(dfs))
         np.add.at(v, at, np.concatenate(total))
         some = np.flatnonzero(df >= 2)
         v = np.rint(127 * v[some] / np.maximum(np.linalg.norm(v[some], axis=1, keepdims=True), 1e-9)).astype(np.int8)
-        names = list(number)
-        kept = [names[i] for i in some]
         table_of_bits = np.zeros(bits, bool)
-        table_of_bits[[i for k in kept for i in bits_of(k, bits)]] = True
+        for places in bits_of(keys[some], bits):
+            table_of_bits[places] = True
+        words = pa.StructArray.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(df[some]), pa.array([r.tobytes() for r in v], pa.binary())], names=["key", "df", "v"])
         return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(table_of_bits).tobytes()], pa.binary()),
-                         "words": pa.array([[(k, int(d), r.tobytes()) for k, d, r in zip(kept, df[some], v)]], pa.list_(pa.struct([("key", pa.binary()), ("df", pa.int64()), ("v", pa.binary())])))})
+                         "words": pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), words)})
 
     blocks = texts.select("text").mapInArrow(sums, "part int, block binary").repartition(parts, "part")
-    found = materialize(blocks.groupBy("part").applyInArrow(added, "part int, bits binary, words array<struct<key:binary,df:long,v:binary>>"), "word-vectors")
+    found = materialize(blocks.groupBy("part").applyInArrow(added, "part int, bits binary, words array<struct<key:long,df:long,v:binary>>"), "word-vectors")
     tables = [bytes(max(1, BLOOM // parts))] * parts
     for r in found.select("part", "bits").collect():  # ``BLOOM`` bytes in all
         tables[r.part] = bytes(r.bits)
@@ -246,33 +224,35 @@ def word_vectors(texts: DataFrame) -> tuple[DataFrame, list[bytes]]:
 
 def features(docs: DataFrame, words: DataFrame, tables: list[bytes], frequent: int = FREQUENT) -> DataFrame:
     """(row, doc_id, x): the features of every document as packed doubles, ``row`` its number."""
-    top = words.orderBy(F.desc("df"), "key").limit(frequent).collect()  # at most ``frequent`` rows
-    spec = docs.sparkSession.sparkContext.broadcast(({bytes(r.key): i for i, r in enumerate(top)}, b"".join(bytes(r.v) for r in top), tables))
+    top = words.orderBy(F.desc("df"), "key").limit(frequent).select("key", "v").orderBy("key").toArrow()  # at most ``frequent`` rows
+    known_keys = top.column("key").to_numpy()
+    spec = docs.sparkSession.sparkContext.broadcast((known_keys, b"".join(top.column("v").to_pylist()), np.frombuffer(b"".join(tables), np.uint8), len(tables)))
 
     def pooled(batches):
-        tokens, (number, raw, bit_tables) = Tokens(), spec.value
-        parts, bits = len(bit_tables), 8 * len(bit_tables[0])
-
-        def may_have_vector(k: bytes) -> bool:
-            own = bit_tables[part_of(k, parts)]
-            return all(own[i >> 3] >> (7 - (i & 7)) & 1 for i in bits_of(k, bits))
-
-        v = np.frombuffer(raw, np.int8).reshape(-1, DIM)
+        tokens, (known, raw, table_of_bits, parts) = Tokens(), spec.value
+        v, size = np.frombuffer(raw, np.int8).reshape(-1, DIM), len(table_of_bits) // parts
         for b in batches:
-            totals, sums, rest = [], [], []
-            for t in raw_bytes(b, "text"):
-                counts = tokens.counts(t)
-                known = {k: i for k in counts if (i := number.get(k)) is not None}
-                c, own = np.array([counts[k] for k in known], np.int64), v[list(known.values())].astype(np.int64)
-                totals.append(sum(counts.values()))
-                sums.append(np.concatenate((c @ own, c @ (own * own), [c.sum()])).astype(np.int64).tobytes() if known else bytes(8 * WIDTH - 8))
-                rest.append([(k, n) for k, n in counts.items() if k not in known and may_have_vector(k)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(totals, pa.int64()), pa.array(sums, pa.binary()),
-                                              pa.array(rest, pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())])))], names=["doc_id", "total", "sums", "rest"])
+            owner, keys, n = tokens.counts(raw_bytes(b, "text"))
+            own, n = keys.view(np.int64), n.astype(np.int64)
+            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+            hit = known[at] == own if len(known) else np.zeros(len(own), bool)
+            sums, total = np.zeros((b.num_rows, 2 * DIM + 1), np.int64), np.bincount(owner, n, b.num_rows).astype(np.int64)
+            if hit.any():
+                w, c, of = v[at[hit]].astype(np.int64), n[hit][:, None], owner[hit]
+                starts = np.flatnonzero(np.diff(of, prepend=-1))
+                sums[of[starts]] = np.add.reduceat(np.concatenate((c * w, c * w * w, c), axis=1), starts, axis=0)
+            may = ~hit
+            base = (keys % np.uint64(parts)).astype(np.int64) * size
+            for places in bits_of(keys, 8 * size):
+                may &= (table_of_bits[base + (places >> 3)] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
+            ends = np.cumsum(np.bincount(owner[may], minlength=b.num_rows))
+            rest = pa.StructArray.from_arrays([pa.array(own[may]), pa.array(n[may])], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total), pa.array([r.tobytes() for r in sums], pa.binary()),
+                                              pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), rest)], names=["doc_id", "total", "sums", "rest"])
 
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("total", T.LongType()), T.StructField("sums", T.BinaryType()),
-                           T.StructField("rest", T.ArrayType(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType())])))])
+                           T.StructField("rest", T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])))])
     own = materialize(docs.select("doc_id", "text").mapInArrow(pooled, schema).withColumn("row", F.monotonically_increasing_id()), "pooled-words")
     rest = own.select("row", F.explode("rest").alias("r")).select("row", F.col("r.key").alias("k"), "r.n").join(words.select("key", "v"), F.col("k") == F.col("key"))
     # a document's own sums first, then its other words
@@ -293,17 +273,23 @@ def features(docs: DataFrame, words: DataFrame, tables: list[bytes], frequent: i
                                                pa.array([vector(*o[2:]).tobytes() for o in out], pa.binary())], names=["row", "doc_id", "x"])
 
         for b in batches:
+            if not b.num_rows:
+                continue
             kind_of_id = b.column("doc_id").type
-            for row, kind, doc_id, n, v in zip(*(b.column(c).to_pylist() for c in ("row", "kind", "doc_id", "n", "v"))):
-                if kind == 0:
-                    if held is not None:
-                        out.append(held)
-                    held = (row, doc_id, n, np.frombuffer(v, np.int64).copy())
-                else:
-                    w = np.frombuffer(v, np.int8).astype(np.int64)
-                    held[3][:DIM] += n * w
-                    held[3][DIM:2 * DIM] += n * w * w
-                    held[3][2 * DIM] += n
+            at, first, n = b.column("row").to_numpy(), b.column("kind").to_numpy() == 0, b.column("n").to_numpy()
+            v, more = b.column("v").to_pylist(), np.flatnonzero(~first)
+            added = {}
+            if len(more):
+                w, c = np.frombuffer(b"".join(v[i] for i in more), np.int8).reshape(-1, DIM).astype(np.int64), n[more][:, None]
+                starts = np.flatnonzero(np.diff(at[more], prepend=-1))
+                added = dict(zip(at[more][starts].tolist(), np.add.reduceat(np.concatenate((c * w, c * w * w, c), axis=1), starts, axis=0)))
+            if held is not None and held[0] in added:
+                held[3][:] += added[held[0]]
+            for i in np.flatnonzero(first):
+                if held is not None:
+                    out.append(held)
+                row = int(at[i])
+                held = (row, b.column("doc_id")[int(i)].as_py(), int(n[i]), np.frombuffer(v[i], np.int64) + added.get(row, 0))
             if len(out) >= 2000:
                 yield rows()
                 out = []

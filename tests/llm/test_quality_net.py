@@ -38,18 +38,29 @@ def test_edges(spark):
 
 def test_shapes():
     assert Q.shape(b"THEAHE!!") == b"A!" and Q.shape(b"ndre$$$") == b"a$" and Q.shape(b"A1,") == b"A0," and Q.shape("Éa".encode()) == b"a"
-    own = Q.Tokens()
-    assert own.counts(b"one One, ONE!! x1") == {b"wone": 3, b"sa": 1, b"sAa,": 1, b"sA!": 1, b"wx1": 1, b"sa0": 1} and own.counts(None) == {}
-    assert own.counts(b"y" * 500)[b"W" + Q.xxhash.xxh3_128_digest(b"y" * 500)] == 1
+    own, key = Q.Tokens(), lambda x: Q.xxhash.xxh64_intdigest(x)
+    place, keys, n = own.counts([b"one One, ONE!! x1", None, b"y" * 500, b""])
+    got = {(int(p), int(k)): int(c) for p, k, c in zip(place, keys, n)}
+    assert got == {(0, key(b"wone")): 3, (0, key(b"sa")): 1, (0, key(b"sAa,")): 1, (0, key(b"sA!")): 1, (0, key(b"wx1")): 1, (0, key(b"sa0")): 1,
+                   (2, key(b"w" + b"y" * 500)): 1, (2, key(b"sa")): 1}
+
+
+def tokens_of(text):
+    """Word by word, without arrays."""
+    out = {}
+    for chunk in (text or "").encode().split():
+        for k in (b"w" + chunk.lower().strip(Q.SIGNS), b"s" + Q.shape(chunk)):
+            out[k] = out.get(k, 0) + 1
+    return out
 
 
 def brute_vectors(texts):
-    """Random indexing word by word."""
-    tokens, total, df = Q.Tokens(), {}, {}
+    """Random indexing word by word; keyed by the word itself."""
+    total, df = {}, {}
     for t in texts:
         if t:
             place, sign = Q.index_vectors(np.array([Q.xxhash.xxh64_intdigest(t.encode())], np.uint64))
-            for k, n in tokens.counts(t.encode()).items():
+            for k, n in tokens_of(t).items():
                 v = total.setdefault(k, np.zeros(Q.DIM))
                 for p, s in zip(place[0], sign[0]):
                     v[p] += n * s
@@ -58,13 +69,14 @@ def brute_vectors(texts):
 
 
 def brute_features(text, vectors):
-    counts = Q.Tokens().counts(text.encode() if text else b"")
+    counts = tokens_of(text)
     total = sum(counts.values())
     if not total:
         return np.zeros(Q.WIDTH)
     every = np.array([vectors[k][1] / 127 if k in vectors else np.zeros(Q.DIM) for k, n in counts.items() for _ in range(n)])
     mean = every.sum(axis=0) / total
-    return np.concatenate((mean, np.sqrt(np.maximum((every**2).sum(axis=0) / total - mean**2, 0)), [sum(n for k, n in counts.items() if k in vectors) / total, np.log1p(total) / 10]))
+    return np.concatenate((mean, np.sqrt(np.maximum((every**2).sum(axis=0) / total - mean**2, 0)),
+                           [sum(n for k, n in counts.items() if k in vectors) / total, np.log1p(total) / 10]))
 
 
 def test_every_word_has_its_own_vector(spark):
@@ -74,13 +86,14 @@ def test_every_word_has_its_own_vector(spark):
     docs = docs.unionByName(spark.createDataFrame([(900, "word " * 40_000 + "tail"), (901, None), (902, ""), (903, "tail of words"), (None, "tail")], docs.schema))
     texts = [r.text for r in docs.collect()]
     want = brute_vectors(texts)
-    old = Q.HELD_WORDS, Q.PART_DOCS, Q.BLOOM
+    old = Q.HELD_PAIRS, Q.PART_DOCS, Q.BLOOM
     try:
-        Q.HELD_WORDS, Q.PART_DOCS, Q.BLOOM = 500, 50, 1 << 12  # tasks hand on parts of a word's sum; small tables let many words through
+        Q.HELD_PAIRS, Q.PART_DOCS, Q.BLOOM = 500, 50, 1 << 12  # tasks hand on parts of a word's sum; small tables let many words through
         words, tables = Q.word_vectors(docs.repartition(3))
     finally:
-        Q.HELD_WORDS, Q.PART_DOCS, Q.BLOOM = old
-    got = {bytes(r.key): (r.df, np.frombuffer(bytes(r.v), np.int8)) for r in words.collect()}
+        Q.HELD_PAIRS, Q.PART_DOCS, Q.BLOOM = old
+    names = {int(np.uint64(Q.xxhash.xxh64_intdigest(k)).astype(np.int64)): k for k in want}
+    got = {names[r.key]: (r.df, np.frombuffer(bytes(r.v), np.int8)) for r in words.collect()}
     assert got.keys() == want.keys() and len(got) > 1000
     assert all(got[k][0] == want[k][0] and (got[k][1] == want[k][1]).all() for k in want)
     for frequent in (0, 50, 1 << 17):
