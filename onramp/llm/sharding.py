@@ -115,13 +115,15 @@ def descend(rows: DataFrame, key: str, tree: Node, out: str) -> DataFrame:
 
 def with_slots(rows: DataFrame, buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Number the rows (columns shard, key and any others) of each shard from 0 without
-    gaps, in the order of a hash bucket of the key and then the other columns.
+    gaps, in the order of a hash bucket of the key and the other columns and then those
+    columns (rows of one key, null among them, lie in many buckets if they differ).
 
     Identical rows are counted before anything is sorted. A shard is numbered in
     ``buckets`` independent pieces, whose offsets come from a table of at most
     shards x buckets rows; copies of a row are generated in chunks dealt over all tasks."""
     names = [c for c in rows.columns if c != "key"]
-    bucket = F.conv(F.substring(F.md5(F.concat("key", F.lit("|slot")).cast("binary")), 1, 4), 16, 10).cast("int") % buckets
+    whole = F.concat_ws("|", "key", *[F.col(c).cast("string") for c in names if c != "shard"], F.lit("slot"))
+    bucket = F.conv(F.substring(F.md5(whole.cast("binary")), 1, 4), 16, 10).cast("int") % buckets
     kinds = rows.withColumn("bucket", bucket).groupBy("bucket", *names).agg(F.count("*").alias("n"))
     order = [F.col(c).asc_nulls_first() for c in names if c != "shard"]
     within = W.partitionBy("shard", "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -193,12 +195,12 @@ b AS (SELECT doc_id, key, strlen(t) + 8 AS size,
       FROM d, steps),
 w AS (SELECT *, {draws} FROM b),
 s AS (SELECT doc_id, size, xor(reg, 4294967295::BIGINT) AS text_crc32, key,
-        {_sql_pick(tree)} AS shard, {_sql_pick(more)} AS grown_shard,
-        ('0x' || substr(md5(key || '|slot'), 1, 4))::BIGINT % {SLOT_BUCKETS} AS bucket FROM w)
+        {_sql_pick(tree)} AS shard, {_sql_pick(more)} AS grown_shard FROM w),
+p AS (SELECT *, ('0x' || substr(md5(concat_ws('|', key, doc_id, size, text_crc32, grown_shard, 'slot')), 1, 4))::BIGINT % {SLOT_BUCKETS} AS bucket FROM s)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32, grown_shard) - 1 AS slot,
   grown_shard::INTEGER AS grown_shard
-FROM s"""
+FROM p"""
 
 
 ORACLE = _sql()
