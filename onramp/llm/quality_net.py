@@ -55,7 +55,7 @@ HELD_PAIRS = 2_000_000  # (text, word) pairs a task holds before it hands its wo
 FEW = 4              # a word of so many of a task's texts is handed on text by text
 PART_DOCS = 4096
 BLOOM = 8 << 20
-FREQUENT = 1 << 18   # words that are broadcast (56 bytes each)
+FREQUENT = 1 << 19   # words that are broadcast (56 bytes each)
 TRAIN_ROWS = 20_000
 HIDDEN = 32
 EPOCHS = 40
@@ -75,36 +75,38 @@ def shape(chunk: bytes) -> bytes:
 
 
 class Keys(dict):
-    """64-bit keys of chunks under ``kind`` and a reduction, remembered up to ``CACHED`` chunks."""
+    """64-bit keys of tokens under ``kind`` and a reduction, remembered up to ``CACHED`` tokens."""
 
     def __init__(self, kind: bytes, reduced) -> None:
         self.kind, self.reduced = kind, reduced
 
-    def __missing__(self, chunk: bytes) -> int:
-        got = xxhash.xxh64_intdigest(self.kind + self.reduced(chunk))
+    def __missing__(self, token: bytes) -> int:
+        got = xxhash.xxh64_intdigest(self.kind + self.reduced(token))
         if len(self) >= CACHED:
             self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = got
+        if len(token) <= 64:
+            self[token] = got
         return got
 
 
-def word(chunk: bytes) -> bytes:
-    return chunk.lower().strip(SIGNS)
-
-
 class Tokens:
-    """Words and shapes of texts as keys."""
+    """Words and shapes of texts as keys: a word by its chunk in small letters, a shape by its
+    byte classes, of which there are few."""
 
     def __init__(self) -> None:
-        self.kinds = Keys(b"w", word), Keys(b"s", shape)
+        self.words = Keys(b"w", lambda chunk: chunk.strip(SIGNS))
+        self.shapes = Keys(b"s", lambda own: repeated(rb"\1", own))
+
+    def keys(self, text: bytes | None) -> tuple[list[int], list[int]]:
+        text = text or b""
+        return list(map(self.words.__getitem__, text.lower().split())), list(map(self.shapes.__getitem__, text.translate(CLASSES).split()))
 
     def counts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of the text, key, occurrences), by place and key."""
-        chunks = [(t or b"").split() for t in texts]
-        sizes = [len(c) for c in chunks]
+        own = [self.keys(t) for t in texts]
+        sizes = [len(w) for w, _ in own]
         owner = np.tile(np.repeat(np.arange(len(texts), dtype=np.int32), sizes), 2)
-        keys = np.concatenate([np.fromiter((k for own in chunks for k in map(kind.__getitem__, own)), np.uint64, sum(sizes)) for kind in self.kinds])
+        keys = np.concatenate([np.fromiter((k for o in own for k in o[i]), np.uint64, sum(sizes)) for i in (0, 1)])
         order = np.lexsort((keys, owner))
         owner, keys = owner[order], keys[order]
         if not len(keys):
@@ -222,6 +224,15 @@ def word_vectors(texts: DataFrame) -> tuple[DataFrame, list[bytes]]:
     return found.select(F.explode("words").alias("w")).select("w.key", "w.df", "w.v"), tables
 
 
+def packed_sums(x: np.ndarray) -> bytes:
+    """Whole numbers in four bytes each where they fit."""
+    return (x.astype(np.int32) if x.max(initial=0) < 2**31 and x.min(initial=0) >= -2**31 else x).tobytes()
+
+
+def unpacked_sums(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * (2 * DIM + 1) else np.int64).astype(np.int64)
+
+
 def features(docs: DataFrame, words: DataFrame, tables: list[bytes], frequent: int = FREQUENT) -> DataFrame:
     """(row, doc_id, x): the features of every document as packed doubles, ``row`` its number."""
     top = words.orderBy(F.desc("df"), "key").limit(frequent).select("key", "v").orderBy("key").toArrow()  # at most ``frequent`` rows
@@ -236,18 +247,19 @@ def features(docs: DataFrame, words: DataFrame, tables: list[bytes], frequent: i
             own, n = keys.view(np.int64), n.astype(np.int64)
             at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
             hit = known[at] == own if len(known) else np.zeros(len(own), bool)
-            sums, total = np.zeros((b.num_rows, 2 * DIM + 1), np.int64), np.bincount(owner, n, b.num_rows).astype(np.int64)
-            if hit.any():
-                w, c, of = v[at[hit]].astype(np.int64), n[hit][:, None], owner[hit]
-                starts = np.flatnonzero(np.diff(of, prepend=-1))
-                sums[of[starts]] = np.add.reduceat(np.concatenate((c * w, c * w * w, c), axis=1), starts, axis=0)
+            total, sums = np.bincount(owner, n, b.num_rows).astype(np.int64), []
+            ends = np.searchsorted(owner[hit], np.arange(b.num_rows + 1))
+            at, c = at[hit], n[hit].astype(np.float64)
+            for i, j in zip(ends, ends[1:]):
+                w = v[at[i:j]].astype(np.float64)  # whole numbers below 2^53
+                sums.append(packed_sums(np.concatenate((c[i:j] @ w, c[i:j] @ (w * w), [c[i:j].sum()])).astype(np.int64)))
             may = ~hit
             base = (keys % np.uint64(parts)).astype(np.int64) * size
             for places in bits_of(keys, 8 * size):
                 may &= (table_of_bits[base + (places >> 3)] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
             ends = np.cumsum(np.bincount(owner[may], minlength=b.num_rows))
             rest = pa.StructArray.from_arrays([pa.array(own[may]), pa.array(n[may])], names=["key", "n"])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total), pa.array([r.tobytes() for r in sums], pa.binary()),
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total), pa.array(sums, pa.binary()),
                                               pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), rest)], names=["doc_id", "total", "sums", "rest"])
 
     id_type = docs.schema["doc_id"].dataType
@@ -289,7 +301,7 @@ def features(docs: DataFrame, words: DataFrame, tables: list[bytes], frequent: i
                 if held is not None:
                     out.append(held)
                 row = int(at[i])
-                held = (row, b.column("doc_id")[int(i)].as_py(), int(n[i]), np.frombuffer(v[i], np.int64) + added.get(row, 0))
+                held = (row, b.column("doc_id")[int(i)].as_py(), int(n[i]), unpacked_sums(v[i]) + added.get(row, 0))
             if len(out) >= 2000:
                 yield rows()
                 out = []
