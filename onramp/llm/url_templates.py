@@ -10,8 +10,9 @@ of all and the blocked of the labelled. A segment whose counts its siblings' sha
 less likely than ``ALPHA`` (Chernoff bound, over the number of siblings) is kept apart; if
 the counts of all siblings spread more than ``Z`` standard errors beyond chance, all are.
 What is kept apart is folded by its own labels: none, or the same power of two of the
-labelled share and the same fifth of the blocked share. Below
-``DEPTH`` levels the rest of a path is one wildcard. Then, from the last segment to the
+labelled share and the same fifth of the blocked share. Levels go on until no path has a
+deeper segment; under a node of a single path, where nothing can differ, its remaining
+segments are named at once by the same rule. Then, from the last segment to the
 first, templates that differ only in that literal segment are ordered by their share of
 blocked urls, and neighbours whose shares do not differ significantly (``Z`` standard
 errors) are merged; templates without a labelled url are merged with each other only. A
@@ -41,7 +42,6 @@ from .common import pick, table
 # The contract's rules, verdict and rule.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-DEPTH = 8
 SUPPORT = 20
 SHARE = 0.05
 Z = 2.0
@@ -114,35 +114,43 @@ def templates(paths: DataFrame) -> DataFrame:
     """``paths`` (host, path, n, labelled, blocked) with ``tmpl``, the template's segments."""
     t = paths.withColumn("segs", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(
         F.split(F.regexp_replace("path", "^/", ""), "/"))).withColumn("tmpl", F.array().cast("array<string>"))
-    t = materialize(t, "paths")
-    deepest = t.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(min(DEPTH, deepest)):
-        d = t.withColumn("seg", F.get("segs", F.lit(level)))
+    t = materialize(t.withColumn("done", F.lit(False)), "paths")
+    level = 0
+    # one round a level that some node of several paths reaches
+    while (t.filter("NOT done").agg(F.max(F.size("segs"))).first()[0] or 0) > level:
+        d = t.withColumn("seg", F.when(~F.col("done"), F.get("segs", F.lit(level))))
         live = d.filter("seg IS NOT NULL")
-        nodes = live.groupBy(F.col("host").alias("h"), F.col("tmpl").alias("t")).agg(F.sum("n").alias("node_n"))
+        nodes = materialize(live.groupBy(F.col("host").alias("h"), F.col("tmpl").alias("t")).agg(F.sum("n").alias("node_n"), F.count("*").alias("node_paths")), "path-nodes")
+        at_node = (F.col("host") == F.col("h")) & (F.col("tmpl") == F.col("t"))
         segments = live.groupBy("host", "tmpl", "seg").agg(
             F.sum("n").alias("seg_n"), F.count("*").alias("paths"), F.sum((F.col("labelled") > 0).cast("long")).alias("known"), F.sum((F.col("blocked") > 0).cast("long")).alias("bad"))
-        segments = materialize(segments.join(nodes, (F.col("host") == F.col("h")) & (F.col("tmpl") == F.col("t"))).withColumn(
-            "often", (F.col("seg_n") >= SUPPORT) & (F.col("seg_n") >= SHARE * F.col("node_n"))).withColumn("shape", shape(F.col("seg"))).drop("h", "t"), "node-segments")
+        segments = materialize(segments.join(nodes.filter("node_paths > 1"), at_node).withColumn(
+            "often", (F.col("seg_n") >= SUPPORT) & (F.col("seg_n") >= SHARE * F.col("node_n"))).withColumn("shape", shape(F.col("seg"))).drop("h", "t", "node_paths"), "node-segments")
         often = segments.filter("often").select(F.col("host").alias("h"), F.col("tmpl").alias("t"), F.col("seg").alias("s"), F.concat(F.lit("="), F.col("seg")).alias("name"))
         named = materialize(often.unionByName(kept_apart(segments.filter("NOT often"))), "named-segments")
-        joined = d.join(named, (F.col("host") == F.col("h")) & (F.col("tmpl") == F.col("t")) & (F.col("seg") == F.col("s")), "left")
-        grown = F.when(F.col("seg").isNull(), F.col("tmpl")).otherwise(
+        alone = nodes.filter("node_paths = 1").select(F.col("h").alias("ah"), F.col("t").alias("at"))
+        joined = d.join(named, at_node & (F.col("seg") == F.col("s")), "left").join(
+            alone, (F.col("host") == F.col("ah")) & (F.col("tmpl") == F.col("at")) & F.col("seg").isNotNull(), "left")
+        rest = F.transform(F.slice("segs", level + 1, F.greatest(F.lit(0), F.size("segs") - level)),
+                           lambda x: F.when(F.col("n") >= SUPPORT, F.concat(F.lit("="), x)).otherwise(F.concat(F.lit("~"), shape(x))))
+        grown = F.when(F.col("seg").isNull(), F.col("tmpl")).when(F.col("ah").isNotNull(), F.concat("tmpl", rest)).otherwise(
             F.concat("tmpl", F.array(F.coalesce("name", F.concat(F.lit("~"), shape(F.col("seg")))))))
-        t = materialize(joined.select(*[F.col(c) for c in paths.columns], "segs", grown.alias("tmpl")), "paths")
-    rest = F.when(F.size("segs") > DEPTH, F.concat("tmpl", F.array(F.lit("**")))).otherwise(F.col("tmpl"))
-    return t.withColumn("tmpl", rest).drop("segs")
+        t = materialize(joined.select(*[F.col(c) for c in paths.columns], "segs", grown.alias("tmpl"),
+                                      (F.col("done") | F.col("ah").isNotNull() | F.col("seg").isNull()).alias("done")), "paths")
+        level += 1
+    return t.drop("segs", "done")
 
 
 def merged(own: DataFrame) -> DataFrame:
     """``own`` (host, tmpl, labelled, blocked) with ``cur``, the template it is merged into."""
     m = materialize(own.withColumn("cur", F.col("tmpl")), "templates")
-    deepest = m.agg(F.max(F.size("tmpl"))).first()[0] or 0
-    for i in reversed(range(deepest)):
+    # only places that hold a literal somewhere can merge
+    literal = m.select(F.posexplode("tmpl").alias("i", "name")).filter(F.col("name").startswith("=")).select("i").distinct()
+    for i in sorted((r.i for r in literal.collect()), reverse=True):
         now = m.groupBy("host", "cur").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
         at = F.get("cur", F.lit(i))
         # the literal at place i is blanked: what remains is the group
-        around = F.concat(F.slice("cur", 1, i), F.array(F.lit("*")), F.slice("cur", i + 2, DEPTH + 2))
+        around = F.concat(F.slice("cur", 1, i), F.array(F.lit("*")), F.slice("cur", i + 2, 1 << 30))
         now = now.filter(at.startswith("=")).withColumn("around", around).withColumn("known", F.col("l") > 0)
         # at most 1 / SHARE segments of a node are literal, so a group has as many members
         rate = F.try_divide("b", "l")
@@ -154,7 +162,7 @@ def merged(own: DataFrame) -> DataFrame:
         now = now.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("cluster", F.sum("apart").over(sisters))
         now = now.withColumn("k", F.count("*").over(W.partitionBy("host", "around", "known", "cluster")))
         name = F.when(F.col("known"), F.concat(F.lit("*"), F.col("cluster").cast("string"))).otherwise(F.lit("*?"))
-        into = F.concat(F.slice("cur", 1, i), F.array(name), F.slice("cur", i + 2, DEPTH + 2))
+        into = F.concat(F.slice("cur", 1, i), F.array(name), F.slice("cur", i + 2, 1 << 30))
         moves = materialize(now.filter("k > 1").select(F.col("host").alias("mh"), F.col("cur").alias("mc"), into.alias("into")), "template-moves")
         m = m.join(moves, (F.col("host") == F.col("mh")) & (F.col("cur") == F.col("mc")), "left").select(
             *own.columns, F.coalesce("into", "cur").alias("cur"))
