@@ -55,7 +55,7 @@ HELD_PAIRS = 2_000_000  # (text, word) pairs a task holds before it hands its wo
 FEW = 4              # a word of so many of a task's texts is handed on text by text
 PART_DOCS = 4096
 BLOOM = 8 << 20
-FREQUENT = 1 << 19   # words that are broadcast (56 bytes each)
+FREQUENT = 1 << 18   # words that are broadcast (56 bytes each)
 TRAIN_ROWS = 20_000
 HIDDEN = 32
 EPOCHS = 40
@@ -140,6 +140,15 @@ def added_up(at: np.ndarray, size: int, texts: np.ndarray, n: np.ndarray) -> np.
     return total
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte: the upper bytes are nearly all zero."""
+    return np.diff(keys, prepend=np.zeros(1, np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 class Words:
     """Words of a task's texts, until they are handed on."""
 
@@ -169,14 +178,15 @@ class Words:
             used, text = np.unique(owner[a:b][single], return_inverse=True)
             place = np.cumsum(~few) - 1  # of the others among themselves
             total = added_up(place[at[~single]], int((~few).sum()), hashes[owner[a:b][~single]], n[a:b][~single].astype(np.int64))
-            block = (names[few], df[few].astype(np.uint8), text.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), n[a:b][single], hashes[used],
-                     names[~few], df[~few].astype(np.int32), total.astype(np.int32))
+            block = (planes(names[few]), df[few].astype(np.uint8), text.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), n[a:b][single], hashes[used],
+                     planes(names[~few]), df[~few].astype(np.int32), total.astype(np.int32))
             yield int(part[a]), zstandard.ZstdCompressor(level=3).compress(pickle.dumps(block, protocol=5))
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, df, sums) of a block."""
     few, df_few, text, n, hashes, many, df_many, total = pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
+    few, many = from_planes(few), from_planes(many)
     own = added_up(np.repeat(np.arange(len(few)), df_few), len(few), hashes[text], n.astype(np.int64))
     return np.concatenate((few, many)), np.concatenate((df_few.astype(np.int64), df_many)), np.concatenate((own, total.astype(np.int64)))
 
@@ -234,7 +244,7 @@ def unpacked_sums(raw: bytes) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: DataFrame, tables: list[bytes], frequent: int = FREQUENT) -> DataFrame:
-    """(row, doc_id, x): the features of every document as packed doubles, ``row`` its number."""
+    """(row, doc_id, x): the features of every document as packed floats, ``row`` its number."""
     top = words.orderBy(F.desc("df"), "key").limit(frequent).select("key", "v").orderBy("key").toArrow()  # at most ``frequent`` rows
     known_keys = top.column("key").to_numpy()
     spec = docs.sparkSession.sparkContext.broadcast((known_keys, b"".join(top.column("v").to_pylist()), np.frombuffer(b"".join(tables), np.uint8), len(tables)))
@@ -282,7 +292,7 @@ def features(docs: DataFrame, words: DataFrame, tables: list[bytes], frequent: i
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], kind_of_id),
-                                               pa.array([vector(*o[2:]).tobytes() for o in out], pa.binary())], names=["row", "doc_id", "x"])
+                                               pa.array([vector(*o[2:]).astype(np.float32).tobytes() for o in out], pa.binary())], names=["row", "doc_id", "x"])
 
         for b in batches:
             if not b.num_rows:
@@ -385,7 +395,7 @@ def train(rows: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Nets:
     # many documents may share an id
     mine = mine.filter(under(1.2 * most / max(1, mine.count()), "row", "quality", F.lit(1))).select("x", "quality", "weight")
     got = sorted((bytes(r.x), int(r.quality), r.weight) for r in mine.collect())
-    x = np.array([np.frombuffer(r[0]) for r in got]).reshape(len(got), WIDTH)
+    x = np.array([np.frombuffer(r[0], np.float32) for r in got]).reshape(len(got), WIDTH).astype(np.float64)
     return Nets(x, np.array([r[1] for r in got], np.float64), np.array([r[2] for r in got], np.float64))
 
 
@@ -396,7 +406,7 @@ def score(rows: DataFrame, net: Nets) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            s = spec.value.score(rows_of(b.column("x"), np.float64)) if b.num_rows else np.zeros(0)
+            s = spec.value.score(rows_of(b.column("x"), np.float32).astype(np.float64)) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())], names=schema.names)
 
     return rows.select("doc_id", "x").mapInArrow(run, schema)
