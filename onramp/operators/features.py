@@ -271,6 +271,7 @@ def user_table(events: DataFrame, window_s: float, purchase_h_s: float, churn_fr
         f"CASE WHEN {mature(purchase_h_s)} THEN CAST(coalesce(_np, 0) > 0 AS INT) END AS d3_purchase",
         f"CASE WHEN {mature(churn_to_s)} THEN CAST(coalesce(_nc, 0) = 0 AS INT) END AS d3_churn",
         f"CASE WHEN {mature(ltv_h_s)} THEN coalesce(_ltv, 0.0D) END AS ltv",
+        "t0",
     )
 
 

@@ -1,10 +1,9 @@
 """Value tiers: tier assignment (M5, J5, J6), score percentile (M6), tier-config build.
 
 The tier config is one row per app: ``tiers`` (ordered name/threshold structs),
-``tier_avg_ltv`` map and ``score_percentiles`` (ascending quantiles). It is joined to
-the scored rows on app_id without a broadcast hint: it is an aggregate, so AQE sees its
-real size after that stage runs and turns the join into a broadcast hash join only
-when it is small (it is: a few KB per app), keeping a shuffle join as the fallback.
+``tier_avg_ltv`` map and ``score_percentiles`` (ascending quantiles). It is counted and
+broadcast to the scored rows when it has few rows (a few KB per app); else the rows are
+joined by shuffle. Pass a written table: an unwritten one is computed for the count too.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import first_matching_tier, left_rank, percentile_from_rank
+from ..session import materialize, small_side
 from .ranks import quantiles
 
 
@@ -33,7 +33,7 @@ def assign_tier(df: DataFrame, cfg: DataFrame, score: str = "pltv_score") -> Dat
     """
     c = cfg.select("app_id", F.col("tiers").alias("_tiers"), F.col("tier_avg_ltv").alias("_avg"),
                    F.col("score_percentiles").alias("_q"))
-    out = df.join(c, "app_id", "left")
+    out = df.join(small_side(c), "app_id", "left")
     ok = F.col(score).isNotNull() & F.col("_tiers").isNotNull()
     tier = F.when(ok, first_matching_tier(F.col("_tiers"), F.col(score), S.DEFAULT_TIER))
     q = F.coalesce(F.col("_q"), F.array().cast("array<double>"))
@@ -73,6 +73,7 @@ def build_tier_config(scored: DataFrame, score: str = "pltv_score", actual: str
     if actual is None:
         return base.withColumn("tier_avg_ltv", F.create_map().cast("map<string,double>")) \
                    .select("app_id", "tiers", "tier_avg_ltv", "score_percentiles")
+    base = materialize(base, "tier-thresholds")
     tiered = assign_tier(s.select("app_id", score, actual),
                          base.withColumn("tier_avg_ltv", F.create_map().cast("map<string,double>")),
                          score=score)

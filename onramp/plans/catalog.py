@@ -389,12 +389,15 @@ def q_hurdle(spark, sf_dir):
 # ------------------------------------------------------------------ M5, M6, M11, S3 and batch read-outs
 
 def _scored_users(fx: Fixture) -> DataFrame:
-    return SP.score_rows(fx.features.select("app_id", "airbridge_uuid", *S.ALL_FEATURES),
-                         LK.app_readiness(fx.inventory), models=fx.models)
+    """Scored once and written without the features: every reader below takes few columns."""
+    def build():
+        scored = SP.score_rows(fx.features.select("app_id", "airbridge_uuid", *S.ALL_FEATURES), LK.app_readiness(fx.inventory), models=fx.models)
+        return fx._mat(scored.drop("trigger_scores", *S.ALL_FEATURES), "scored-users")
+    return fx._get("scored_users", build)
 
 
 def _tier_cfg(fx: Fixture) -> DataFrame:
-    return SP.tier_config_from(_scored_users(fx), labels_of(fx))
+    return fx._get("tier_cfg", lambda: fx._mat(SP.tier_config_from(_scored_users(fx), labels_of(fx)), "tier-config"))
 
 
 @register("build_tier_config", _users_sql() + """
@@ -457,7 +460,8 @@ _DECILE_SQL = ("SELECT *, ntile(10) OVER (PARTITION BY app_id ORDER BY d3_purcha
 
 def _deciled(spark, sf_dir):
     from ..operators.evaluate import score_deciles
-    return score_deciles(q_score_users(spark, sf_dir), "d3_purchase_prob")
+    # the score and its key alone are ranked; tiers play no part
+    return score_deciles(_scored_users(fixture(spark, sf_dir)).select("app_id", "airbridge_uuid", "d3_purchase_prob"), "d3_purchase_prob")
 
 
 @register("score_deciles", _users_sql(f"dec10 AS ({_DECILE_SQL})") + f"""
@@ -501,7 +505,7 @@ SELECT app_id, airbridge_uuid, d3_purchase_prob FROM (SELECT *,
   count(*) OVER (PARTITION BY app_id) AS n FROM tiered) WHERE rank <= ceil(round(CAST(0.1 AS DOUBLE) * n, 9))""")
 def q_top_fraction(spark, sf_dir):
     from ..operators.evaluate import top_fraction
-    t = top_fraction(q_score_users(spark, sf_dir), "d3_purchase_prob", 0.1)
+    t = top_fraction(_scored_users(fixture(spark, sf_dir)).select("app_id", "airbridge_uuid", "d3_purchase_prob"), "d3_purchase_prob", 0.1)
     return t.select("app_id", "airbridge_uuid", "d3_purchase_prob")
 
 
@@ -580,8 +584,7 @@ DRIFT_SPLIT = "2024-01-03"  # reference = users installed before, current = from
 
 
 def _split_feat(fx: Fixture):
-    inst = fx.installs.select("app_id", F.col("user_id").alias("airbridge_uuid"), "t0")
-    f = fx.features.join(inst, S.KEY)
+    f = fx.user_table.select("app_id", "airbridge_uuid", "row_no", *S.ALL_FEATURES, "t0")
     early = F.to_date("t0") < F.lit(DRIFT_SPLIT).cast("date")
     return f.where(early), f.where(~early)
 

@@ -17,6 +17,7 @@ from ..operators import lookup as LK
 from ..operators import ltv as LT
 from ..operators import policy as PO
 from ..operators import scoring as SC
+from ..session import materialize, small_side
 from ..sources import models as BM
 
 
@@ -30,8 +31,8 @@ def score_rows(df: DataFrame, readiness: DataFrame, seed: str = P.POLICY_SEED,
     app's coefficients and rows of apps without a bundle are refused.
     ``draw_extra``: extra columns for the policy draw (the decision anchor for requests).
     """
-    r = readiness.where(F.col("ready")).select("app_id", "mode", "has_pltv", "model_version")
-    out = df.join(r, "app_id", "inner")
+    r = materialize(readiness.where(F.col("ready")).select("app_id", "mode", "has_pltv", "model_version"), "ready-apps")
+    out = df.join(small_side(r), "app_id", "inner")  # a row an app, counted
     if models is not None:
         out = BM.with_models(out, models)
         trigger_model = BM.app_trigger_model(trigger_model)
@@ -57,8 +58,9 @@ def score_users(features: DataFrame, readiness: DataFrame, labels: DataFrame,
     """Batch form: every feature row of a ready app, tiered with a config built from the
     same population (or the given ``cfg``)."""
     feats = features.select("app_id", "airbridge_uuid", *S.ALL_FEATURES)
-    scored = score_rows(feats, readiness, seed=seed, models=models)
-    cfg = tier_config_from(scored, labels) if cfg is None else cfg
+    # written once: the tier config, the ranks behind it and the result all read the scores
+    scored = materialize(score_rows(feats, readiness, seed=seed, models=models).drop("trigger_scores", *S.ALL_FEATURES), "scored-users")
+    cfg = materialize(tier_config_from(scored, labels) if cfg is None else cfg, "tier-config")
     tiered = LT.assign_tier(scored, cfg)
     return tiered.select(
         "app_id", "airbridge_uuid", "mode", "best_trigger", "is_random",

@@ -92,6 +92,13 @@ def materialize(df, name: str = "table"):
     return spark.read.parquet(path)
 
 
+def small_side(df, most: int = 10_000):
+    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is. It is
+    counted, so it should be cheap to read (a written table)."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def drop_tables() -> None:
     """Remove the tables ``materialize`` has written (results must have been used)."""
     spark = SparkSession.getActiveSession()
