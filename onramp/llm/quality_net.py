@@ -51,7 +51,7 @@ from .common import in_fold, pick, raw_bytes, table
 DIM = 48
 NONZERO = 6          # of a document's index vector (places may coincide)
 WIDTH = 2 * DIM + 2  # features of a document
-HELD_PAIRS = 2_000_000  # (text, word) pairs a task holds before it hands its words on
+HELD_PAIRS = 4_000_000  # (text, word) pairs a task holds before it hands its words on
 FEW = 4              # a word of so many of a task's texts is handed on text by text
 PART_DOCS = 4096
 BLOOM = 8 << 20
@@ -180,7 +180,7 @@ class Words:
             total = added_up(place[at[~single]], int((~few).sum()), hashes[owner[a:b][~single]], n[a:b][~single].astype(np.int64))
             block = (planes(names[few]), df[few].astype(np.uint8), text.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), n[a:b][single], hashes[used],
                      planes(names[~few]), df[~few].astype(np.int32), total.astype(np.int32))
-            yield int(part[a]), zstandard.ZstdCompressor(level=3).compress(pickle.dumps(block, protocol=5))
+            yield int(part[a]), zstandard.ZstdCompressor(level=6).compress(pickle.dumps(block, protocol=5))
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
