@@ -836,4 +836,4 @@ def q_orders_tiers(spark, sf_dir):
                     F.round("tier_avg_ltv", 4).alias("tier_avg_ltv"))
 
 
-from . import streams, training  # noqa: E402,F401  (register the fitted and tree models and the stream forms)
+from . import artifacts, streams, training  # noqa: E402,F401  (register what reads artifacts, the stream forms, fitted and tree models)

@@ -22,12 +22,16 @@ def _app_from_path(col: str = "_path") -> F.Column:
 def read_tier_config(spark: SparkSession, root: str, file: str = "pltv_tier_config.json") -> DataFrame:
     """S3: one row per app from ``<root>/<app_id>/pltv_tier_config.json``.
 
-    Apps without the file simply have no row (their pLTV stays NULL downstream)."""
-    raw = (spark.read.option("multiLine", "true").schema(
+    Apps without the file simply have no row (their pLTV stays NULL downstream), and a
+    document that cannot be parsed to its end gives none either: it never fails the job and
+    never counts in part."""
+    raw = (spark.read.option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(
         "tiers array<struct<name:string,threshold:double>>, tier_avg_ltv map<string,double>, "
-        "score_percentiles array<double>")
+        "score_percentiles array<double>, _corrupt string")
         .json(f"{root.rstrip('/')}/*/{file}")
-        .withColumn("_path", F.input_file_name()))
+        .withColumn("_path", F.input_file_name())
+           # Spark refuses plans that read the corrupt-record column alone (a count)
+           .where(F.col("_corrupt").isNull() & (F.coalesce(F.size("tiers"), F.lit(-1)) >= -1)))
     return raw.select(_app_from_path().alias("app_id"), "tiers",
                       F.coalesce("tier_avg_ltv", F.create_map().cast("map<string,double>")).alias("tier_avg_ltv"),
                       F.coalesce("score_percentiles", F.array().cast("array<double>")).alias("score_percentiles"))
