@@ -102,7 +102,9 @@ def left_rank(sorted_arr, x) -> Column:
             F.when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
              .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(SEARCH_STEPS)), init, step)["lo"]
+    # n elements are exhausted by as many halvings as n has binary digits
+    halvings = F.least(F.lit(SEARCH_STEPS), F.length(F.bin(n.cast("bigint"))))
+    return F.aggregate(F.sequence(F.lit(1), halvings), init, step)["lo"]
 
 
 def first_matching_tier(tiers, score, default: str = "low") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.columns import to_number
+from ..session import materialize, small_side
 
 
 def coerce_features(df: DataFrame, cols=S.ALL_FEATURES) -> DataFrame:
@@ -104,6 +105,17 @@ def app_readiness(inventory: DataFrame) -> DataFrame:
     )
 
 
+def requests_of_ready_apps(requests: DataFrame, readiness: DataFrame, *cols: str) -> DataFrame:
+    """Requests of ready apps, with the readiness columns ``cols`` (default
+    ``model_version``).
+
+    Readiness (a row an app) is written and counted, so that the requests stay the streamed
+    side in all their partitions; left alone, AQE may hand the requests around and keep the
+    plan in the few tasks of the app table, or deal them by app."""
+    ready = materialize(readiness.where(F.col("ready")).select("app_id", *(cols or ("model_version",))), "ready-apps")
+    return requests.join(small_side(ready), "app_id")
+
+
 def unscorable_requests(requests: DataFrame, readiness: DataFrame, features: DataFrame,
                         key=S.KEY) -> DataFrame:
     """J3 then J2: requests the service would refuse, with the reason it gives first

@@ -174,6 +174,6 @@ class Fixture:
             grid = apps.crossJoin(F.broadcast(files)).join(ruled, "app_id", "left")
             kept = grid.join(F.broadcast(rule.withColumn("_listed", F.lit(True))), ["app_id", "file"], "left") \
                        .where(F.col("_ruled").isNull() | F.col("_listed").isNotNull())
-            return kept.select("app_id", "file", ((F.col("pos") + 1) * 1024).cast("bigint").alias("length"),
-                               F.lit(True).alias("valid"))
+            return self._mat(kept.select("app_id", "file", ((F.col("pos") + 1) * 1024).cast("bigint").alias("length"),
+                                         F.lit(True).alias("valid")), "inventory")
         return self._get("inventory", build)

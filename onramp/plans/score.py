@@ -81,8 +81,7 @@ def score_requests(requests: DataFrame, features: DataFrame, readiness: DataFram
     lists them. Every served request carries its decision anchor; requests served from
     a sticky decision repeat the decision's trigger (the draw is keyed by the anchor).
     """
-    ready = readiness.where(F.col("ready")).select("app_id", "model_version")
-    req = requests.join(ready, "app_id", "inner")
+    req = LK.requests_of_ready_apps(requests, readiness)
     feats = features.select("app_id", "airbridge_uuid", "row_no", *S.ALL_FEATURES)
     hit = LK.lookup_features(req, feats)
     sticky = PO.sticky_decisions(hit, ttl_s=ttl_s)

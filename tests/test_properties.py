@@ -89,3 +89,27 @@ def test_no_leakage_across_install_and_window(spark):
     a = sorted(tuple(r) for r in full.select(*pick).collect())
     b = sorted(tuple(r) for r in cut.select(*pick).collect())
     assert a == b
+
+
+def test_left_rank_halves_as_often_as_needed(spark):
+    """The binary search gives the count of smaller elements for arrays of every length."""
+    from pyspark.sql import functions as F
+    from onramp.functions.columns import left_rank
+    sizes = [0, 1, 2, 3, 7, 8, 9, 1000, 1023, 1024]
+    rows = spark.createDataFrame([(n, [float(i) for i in range(n)], x) for n in sizes for x in (-1.0, 0.0, n / 2, n - 1.0, n + 0.5, float("nan"))],
+                                 "n int, q array<double>, x double")
+    for r in rows.select("n", "x", left_rank("q", "x").alias("rank")).collect():
+        assert r.rank == (r.n if r.x != r.x else sum(i < r.x for i in range(r.n)))
+    assert spark.range(1).select(left_rank(F.lit(None).cast("array<double>"), F.lit(1.0)).alias("rank")).first().rank == 0
+
+
+def test_requests_stay_in_their_partitions(spark):
+    """Readiness is handed to the requests: neither side is dealt by app, and the requests
+    are not handed to the app table's tasks."""
+    from onramp.operators import lookup as LK
+    requests = spark.range(0, 1000, 1, 8).selectExpr("id AS request_id", "'app_' || id % 3 AS app_id")
+    readiness = spark.createDataFrame([("app_0", True, "v0"), ("app_1", False, "v1"), ("app_2", True, "v2")], "app_id string, ready boolean, model_version string")
+    got = LK.requests_of_ready_apps(requests, readiness)
+    assert got.rdd.getNumPartitions() == 8
+    want = {(i, f"app_{i % 3}", f"v{i % 3}") for i in range(1000) if i % 3 != 1}
+    assert {(r.request_id, r.app_id, r.model_version) for r in got.collect()} == want
