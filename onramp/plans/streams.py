@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import lookup as LK
+from ..session import materialize
 from ..sources.events import normalize_events
 from ..sources.tables import load_table
 from ..streaming import replay as RP
@@ -76,9 +77,8 @@ def _sticky_sink(spark, sf_dir, ttl_s: float) -> str:
     fx = fixture(spark, sf_dir)
 
     def build():
-        ready = LK.app_readiness(fx.inventory).where(F.col("ready")).select("app_id", "model_version")
         known = fx.features_with_duplicates.select("app_id", "airbridge_uuid").distinct()
-        req = fx.requests.join(ready, "app_id").join(known, S.KEY, "left_semi").select(*REQUEST_COLS)
+        req = LK.requests_of_ready_apps(fx.requests, LK.app_readiness(fx.inventory)).join(known, S.KEY, "left_semi").select(*REQUEST_COLS)
         at = F.unix_micros("request_ts")
         low, high = RP.bounds(req, at)
         rows = req.withColumn("_slice", RP.slice_of(at, low, high, SLICES))
@@ -108,9 +108,11 @@ def _score_run(spark, sf_dir) -> tuple[str, str]:
     def build():
         sink = _sticky_sink(spark, sf_dir, S.DECISION_TTL_SECONDS)
         out, log, state = (RP.scratch(spark, x) for x in ("scores", "log", "state"))
-        schema = spark.read.parquet(sink).schema
-        requests = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(sink).where("request_id >= 0").drop("model_version")
-        features, readiness, cfg, models = fx.features_with_duplicates, LK.app_readiness(fx.inventory), C._tier_cfg(fx), fx.models
+        served = spark.read.parquet(sink)
+        requests = spark.readStream.schema(served.schema).option("maxFilesPerTrigger", RP.files_per_batch(served, SLICES)).parquet(sink).where("request_id >= 0").drop("model_version")
+        # read anew for each batch: kept as tables, not as plans over all requests
+        readiness = materialize(LK.app_readiness(fx.inventory), "readiness")
+        features, cfg, models = fx.features_with_duplicates, C._tier_cfg(fx), fx.models
         ST.score_stream(requests, lambda _: features, lambda _: readiness, lambda _: cfg, out, state, log_path=log,
                         trigger={"availableNow": True}, models=lambda _: models).awaitTermination()
         # the first batch again

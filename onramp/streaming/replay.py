@@ -38,6 +38,13 @@ def run_slices(rows: DataFrame, number: str, slices: int, folder: str, run: Call
         run(spark.readStream.schema(schema).parquet(folder), i)
 
 
+def files_per_batch(rows: DataFrame, batches: int) -> int:
+    """So many files a micro-batch that a written table is taken up in ``batches`` of them at
+    most. What a batch reads besides its rows is then read that often, however many files
+    the table's writer (a file a task) has left."""
+    return max(1, -(-len(rows.inputFiles()) // batches))
+
+
 def run_now(query: DataFrame, checkpoint: str, out: str, mode: str = "append") -> dict | None:
     """One ``availableNow`` run into a parquet sink; returns the last progress."""
     q = query.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -50,3 +50,52 @@ def test_slices_cover_all_times(spark):
     got = [r.n for r in rows.select(RP.slice_of(F.col("at"), low, high, 4).alias("n")).orderBy("id").collect()]
     assert got == sorted(got) and set(got) == {0, 1, 2, 3}
     assert RP.bounds(rows.limit(0), F.col("at")) == (0, 0)
+
+
+def test_score_batches_do_not_follow_the_number_of_files(spark, tmp_path):
+    """T1 takes the sink up in as many batches as the replay has slices, at most, whatever
+    the number of files in it: every batch reads the whole feature table."""
+    path = str(tmp_path / "many")
+    spark.range(0, 100, 1, 50).write.parquet(path)
+    rows = spark.read.parquet(path)
+    n = RP.files_per_batch(rows, SQ.SLICES)
+    assert -(-len(rows.inputFiles()) // n) == SQ.SLICES
+    assert RP.files_per_batch(rows.limit(0).coalesce(1), SQ.SLICES) >= 1
+    out, _ = SQ._score_run(spark, SF_SMALL)
+    assert 1 < spark.read.parquet(out).select("batch_id").distinct().count() <= SQ.SLICES
+
+
+def test_state_functions_are_called_by_bucket(spark, tmp_path):
+    """One state row holds the users of a bucket: 40 users in 3 buckets give at most 3 state
+    rows, and every user has a row."""
+    d = str(tmp_path / "events")
+    os.makedirs(d)
+    users = list(range(40))
+    _hand_made(d, [[(2 * u, 0, u, "signup") for u in users] + [(2 * u + 1, u % 5, u, "view") for u in users], [(900, 3000, 99, "view")], [(901, 9000, 99, "view")]])
+    stream = ST.read_events_stream(spark, d, max_files_per_trigger=1)
+    q = (ST.five_minute_trigger(stream, window_s=300, watermark="1 minute", buckets=3).writeStream.format("memory").queryName("t2_buckets")
+         .outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start())
+    q.awaitTermination()
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= 3
+    got = spark.table("t2_buckets").collect()
+    assert sorted(int(r.user_id) for r in got) == users and all(r.total_events == 1.0 for r in got)
+
+
+def test_sticky_bucket_equals_rule(spark, tmp_path):
+    """Requests of many users in one bucket are decided by the anchored rule of each user."""
+    d = str(tmp_path / "requests")
+    rows = [(u * 100 + k, "a" if u % 2 else None, f"u{u}", "v", 1_000_000_000 + k * 900 * (1 + u % 3)) for u in range(9) for k in range(8)]
+    end = [(-1, "end", "end", "end", 1_100_000_000), (-2, "end", "end", "end", 1_100_000_001)]
+    for part in (rows, end[:1], end[1:]):
+        spark.createDataFrame(part, "request_id long, app_id string, airbridge_uuid string, model_version string, s long").select(
+            "request_id", "app_id", "airbridge_uuid", "model_version", F.timestamp_seconds("s").alias("request_ts")).coalesce(1).write.mode("append").parquet(d)
+    stream = spark.readStream.schema(spark.read.parquet(d).schema).parquet(d)
+    got = _run(ST.sticky_decisions_stream(stream, ttl_s=3600, watermark="1 minute", buckets=1), "t3_bucket").where("request_id >= 0").collect()
+    want = {}
+    for u in range(9):
+        anchor = None
+        for k in range(8):
+            at = (1_000_000_000 + k * 900 * (1 + u % 3)) * 1_000_000
+            anchor = at if anchor is None or at - anchor >= 3600 * 1_000_000 else anchor
+            want[u * 100 + k] = anchor
+    assert {r.request_id: r.anchor_us for r in got} == want
