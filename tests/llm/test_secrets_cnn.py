@@ -157,3 +157,58 @@ def test_recall_alone_sets_the_threshold():
     with pytest.warns(UserWarning):
         net._calibrate(rng.normal(0, 1, 4000) + y, y)  # classes that overlap
     assert net.threshold < S.FLOOR and 0.99 <= net.recall <= 0.9925
+
+
+def test_training_and_threshold_read_every_finding(spark, monkeypatch):
+    """More findings of each label than one part takes, and a run of more than BAG windows."""
+    rng, written, keep = random.Random(7), {}, S.materialize
+    draw = lambda letters, k: "".join(rng.choices(letters, k=k))
+    lines = [f"token = {draw('0123456789abcdef', 32)} on the {draw('aeionrst', 20)} est" for _ in range(2600)] + ["the " + draw("aeionrst", 3000) + " er"]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::40])) for i in range(40)] * 2 + [(90, None)], "doc_id long, text string")
+    monkeypatch.setattr(S, "EPOCHS", 1)
+    monkeypatch.setattr(S, "materialize", lambda df, name: written.setdefault(name, keep(df, name)))
+    net = S.train(docs)
+    scans = [S.Scan(r.text) for r in docs.collect()]
+    want = {(w, c[2]) for s in scans for w, c in zip(s.windows, s.candidates) if c[2] >= 0}
+    found = [(S.spread(bytes(r.context)), r.label) for r in written["secret-findings"].collect()]
+    assert len(found) == len(want) > 5200 and set(found) == want
+    assert max(len(w) for w, _ in found) > S.BAG * S.WINDOW
+    scores = written["secret-scores"].collect()
+    assert all(sum(r.label == label for r in scores) >= max(2 * S.VARIED, sum(y == label for _, y in want)) for label in (0, 1))
+    brute = S.CharNet()
+    brute._calibrate(S.np.array([r.z for r in scores]), S.np.array([r.label for r in scores]))
+    assert (net.threshold, net.temperature, net.shift, net.recall, net.alarms) == pytest.approx((brute.threshold, brute.temperature, brute.shift, brute.recall, brute.alarms))
+
+
+def test_parts_hold_every_finding_and_both_labels(spark):
+    pad = lambda t: b"\0" * S.BEFORE + t + b"\0" * S.AFTER
+    rows = [(bytearray(pad(f"thewordthatislong{i}".encode())), 0, i % 3) for i in range(9000)] + [(bytearray(pad(b"Ab3" * 9 + bytes([65 + i]))), 1, i % 3) for i in range(10)]
+    rows.append((bytearray(pad(b"x" * 5000)), 0, 0))
+    found = spark.createDataFrame(rows, "context binary, label int, fold int")
+    dealt = S.dealt(found, {0: 9001, 1: 10}, 400_000).collect()
+    assert len({r.part for r in dealt}) == 3
+    assert sorted((bytes(r.context), r.label, r.fold) for r in dealt if r.home) == sorted((bytes(c), y, f) for c, y, f in rows)
+    assert all(sum(r.part == p and r.label == 1 for r in dealt) == 10 for p in range(3))
+    for p in range(3):
+        own = [r for r in dealt if r.part == p]
+        table = S.pa.table({"context": [bytes(r.context) for r in own], **{c: [r[c] for r in own] for c in ("label", "fold", "home")}})
+        windows, labels, fold, home = S.samples((S.pa.scalar(p),), table)
+        assert {S.spread(bytes(r.context)) for r in own} <= set(windows) and sum(labels == 1) == S.VARIED and sum(labels == 0) >= len(own) - 10
+
+
+def test_a_pass_is_the_mean_of_its_parts(spark):
+    pad = lambda t: b"\0" * S.BEFORE + t + b"\0" * S.AFTER
+    rows = [(bytearray(pad(k + bytes([97 + i]))), y, i % 3, True, i % 2) for i in range(12) for k, y in ((b"wordsofoneformx", 0), (b"0a1b2c3d4e5f607", 1))]
+    parts = spark.createDataFrame(rows, "context binary, label int, fold int, home boolean, part int")
+    nets = [S.CharNet() for _ in range(S.FOLDS + 1)]
+    S.carried_on(parts.repartition(2, "part"), nets, 0)
+    ends = []
+    for p in range(2):
+        own = [r for r in rows if r[4] == p]
+        table = S.pa.table({"context": [bytes(r[0]) for r in own], "label": [r[1] for r in own], "fold": [r[2] for r in own], "home": [True] * len(own)})
+        windows, labels, *_ = S.samples((S.pa.scalar(p),), table)
+        net = S.CharNet()
+        net.learn(windows, labels, S.np.random.default_rng((0, p)))
+        ends.append(net.state())
+    assert S.np.allclose(nets[-1].state(), (ends[0] + ends[1]) / 2, rtol=1e-6, atol=1e-9)
+    assert not S.np.allclose(nets[0].state(), nets[-1].state())
