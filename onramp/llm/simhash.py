@@ -111,7 +111,10 @@ def _index(fps: DataFrame, distance: int) -> DataFrame:
 
 def links(fps: DataFrame, distance: int) -> DataFrame:
     """Links (a, b), a < b, that connect all distinct fingerprints within ``distance`` bits
-    (every pair of cold buckets; stars where a bucket is hot)."""
+    (every pair of cold buckets; stars where a bucket is hot).
+
+    The joins are merge joins by hint: Spark takes an exploded table for as many rows as the
+    one it came from, so the index and the flips, some 66 times that, would be broadcast."""
     if distance not in (1, 2):
         raise ValueError("distance must be 1 or 2")
     whole = (F.shiftrightunsigned("sig", 48).bitwiseAND(63)) == 63  # no bit deleted
@@ -119,11 +122,12 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     # a bucket without a partner holds no link; a wildcard bucket needs both sides
     buckets = (index.groupBy("sig").agg(F.count("*").alias("n"), F.sum("side").alias("ones"))
                .filter((F.col("n") > 1) & (whole | ((F.col("ones") > 0) & (F.col("ones") < F.col("n"))))).select("sig", "n"))
-    met = materialize(index.join(buckets, "sig"), "simhash-buckets")
+    met = materialize(index.join(buckets.hint("merge"), "sig"), "simhash-buckets")
     cold = met.filter(F.col("n") <= HOT)
     left = cold.select("sig", "side", F.col("fp").alias("a"))
     right = cold.select("sig", F.col("side").alias("other"), F.col("fp").alias("b"))
-    pairs = (left.join(right, "sig")
+    # a written table is taken for as small as its file, which packs repeated values far closer than rows
+    pairs = (left.join(right.hint("merge"), "sig")
              .filter((F.col("side") < F.col("other")) | (whole & (F.col("a") < F.col("b"))))
              .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
@@ -133,7 +137,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
         star = flips.groupBy("centre").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("centre", "a")
     else:
         star = hot.select(F.col("fp").alias("centre"), F.col("fp").alias("a"))
-    stars = (flips.join(star, "centre").filter("fp <> a")
+    stars = (flips.join(star.hint("merge"), "centre").filter("fp <> a")
              .select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")))
     return pairs.unionByName(stars).distinct()
 

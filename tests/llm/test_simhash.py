@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from onramp.llm import simhash as S
+from onramp.session import materialize
 
 
 def brute_fp(text, k):
@@ -72,6 +73,26 @@ def test_links_against_all_pairs(spark, monkeypatch, hot, distance):
     assert {(r.node, r.root) for r in got} == {(v, r) for v, r in roots.items() if sizes[r] > 1 and v != r}
 
 
+@pytest.mark.parametrize("distance", [1, 2])
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch, distance):
+    """However small the fingerprints are: the index and the flips are some 66 times that."""
+    written = []
+
+    def noted(df, name):
+        written.append(df)
+        return materialize(df, name)
+
+    monkeypatch.setattr(S, "materialize", noted)
+    monkeypatch.setattr(S, "HOT", 3)
+    fps = materialize(spark.createDataFrame([(f,) for f in [1, 3, 5, 7, 9, 1 << 40, 3 << 40]], "fp long"), "few")
+    found = S.links(fps, distance)
+    for df in [*written, found]:
+        plan = lambda: df._jdf.queryExecution().executedPlan().toString()  # noqa: B023, E731
+        assert "Join" in plan() and "Broadcast" not in plan()
+        df.collect()
+        assert "Broadcast" not in plan()  # nor by sizes measured on the way
+
+
 def test_distance_refused(spark):
     with pytest.raises(ValueError):
         S.links(spark.createDataFrame([(1,)], "fp long"), 3)
