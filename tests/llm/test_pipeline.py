@@ -7,7 +7,9 @@ import corpus_pipeline as P
 import pytest
 from onramp.llm import language_id as L
 from onramp.llm import secrets_cnn as S
+from onramp.llm import simhash
 from onramp.llm import word_bpe as B
+from onramp.session import materialize
 
 from .test_mixing import brute_targets
 from .test_secrets_cnn import brute as brute_secrets
@@ -76,3 +78,21 @@ def test_odd_rows(spark, tmp_path):
             docs = spark.read.parquet(str(tmp_path / f"{name}{i}"))
             if i == 1 and data:
                 assert Counter(r.doc_id for r in docs.collect())[1] == 1
+
+
+def test_near_duplicates_broadcast_no_exploded_table(spark, monkeypatch):
+    written = {}
+
+    def noted(df, name):
+        written.setdefault(name, df)  # of the links the first, not those of the rounds
+        return materialize(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    rows = [(i, f"words of text {i // 2} and some more", "en", "s", 9) for i in range(20)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "docs")
+    kept = P.drop_near_duplicates(spark, docs, SF)
+    roots = brute_components({r[0]: brute_fp(r[1], P.SHINGLE) for r in rows}, P.DISTANCE)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots.values()))
+    for name in ("simhash-buckets", "links"):  # of an index 66 times the fingerprints, whatever their number
+        plan = written[name]._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
